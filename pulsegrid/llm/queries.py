@@ -5,19 +5,57 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm.common import table
+from pyspark.sql import functions as F
+
+from pulsegrid.llm import curriculum, line_quality, line_windows, url_rules
+from pulsegrid.llm.common import Scratch, table
 from pulsegrid.llm.media import media_digests
 from pulsegrid.llm.packing import pack, piece_digests
 
 
+def op1_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.PRODUCTION_RULES, Scratch(spark, "urls"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "component")
+
+
 def op2_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_three_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_windows.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "lines"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
+def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = curriculum.plan_mix(table(spark, sf_dir, "documents"), Scratch(spark, "mix"))
+    return planned.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_quality.judge_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_chars", "kept")
+
+
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_power_of_two_packing, op10_png_media)}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_redirect_equivalence,
+        op2_power_of_two_packing,
+        op3_three_line_windows,
+        op4_curriculum_mix,
+        op7_line_first_quality,
+        op10_png_media,
+    )
+}
+
+ORACLE: dict[str, str] = {
+    "op1_redirect_equivalence": url_rules.oracle(),
+    "op3_three_line_windows": line_windows.ORACLE,
+    "op4_curriculum_mix": curriculum.ORACLE,
+    "op7_line_first_quality": line_quality.ORACLE,
+}
