@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import curriculum, line_quality, line_windows, url_rules
+from pulsegrid.llm import curriculum, line_quality, line_windows, minmax_hash, url_rules
 from pulsegrid.llm.common import Scratch, table
 from pulsegrid.llm.media import media_digests
 from pulsegrid.llm.packing import pack, piece_digests
@@ -37,6 +37,11 @@ def op7_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_chars", "kept")
 
 
+def op8_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minmax_hash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "minmax"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES = {
         op3_three_line_windows,
         op4_curriculum_mix,
         op7_line_first_quality,
+        op8_minmax_hashing,
         op10_png_media,
     )
 }
