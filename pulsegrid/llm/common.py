@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,10 +44,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more, and lets Spark's cleaner find the shuffles of finished jobs."""
         jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

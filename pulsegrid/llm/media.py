@@ -7,7 +7,6 @@ transform and keeps one bit for each of the 8 x 8 lowest frequencies (above thei
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -204,7 +203,3 @@ def media_digests(docs: DataFrame) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
     )
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

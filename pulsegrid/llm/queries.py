@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import curriculum, line_quality, line_windows, minmax_hash, url_rules
+from pulsegrid.llm import bucket_pointer, curriculum, line_quality, line_windows, minmax_hash, url_rules
 from pulsegrid.llm.common import Scratch, table
 from pulsegrid.llm.media import media_digests
 from pulsegrid.llm.packing import pack, piece_digests
@@ -32,6 +32,10 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_bucket_pointer_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bucket_pointer.span_digests(table(spark, sf_dir, "documents"), Scratch(spark, "repeats"))
+
+
 def op7_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_quality.judge_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_chars", "kept")
@@ -53,6 +57,7 @@ QUERIES = {
         op2_power_of_two_packing,
         op3_three_line_windows,
         op4_curriculum_mix,
+        op6_bucket_pointer_refinement,
         op7_line_first_quality,
         op8_minmax_hashing,
         op10_png_media,
