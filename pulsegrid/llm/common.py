@@ -86,3 +86,13 @@ def words(text: Column) -> Column:
 def fold_of(id_col: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, label: str, folds: int, held_out: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, t, y) of the labelled rows outside the held-out fold, written once.
+
+    A document with several labels counts as 1 if any of them is 1; null labels are left out, and so are null ids.
+    """
+    learned = labels.where((fold_of(F.col(id_col), folds) != held_out) & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y"))
+    rows = docs.where(fold_of(F.col(id_col), folds) != held_out).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return scratch.write(rows.join(learned, "id").select("id", "t", "y"), "training")

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bucket_pointer, curriculum, line_quality, line_windows, minmax_hash, url_rules
-from pulsegrid.llm.common import Scratch, table
+from pulsegrid.llm import bucket_pointer, curriculum, gam, line_quality, line_windows, minmax_hash, toxic_segments, url_rules
+from pulsegrid.llm.common import Scratch, fold_of, table, training_rows
 from pulsegrid.llm.media import media_digests
 from pulsegrid.llm.packing import pack, piece_digests
 
@@ -32,6 +32,13 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    training = training_rows(docs, table(spark, sf_dir, "labels"), Scratch(spark, "toxicity"), label="toxic", folds=3, held_out=1)
+    judged = toxic_segments.judge_toxicity(docs.select("doc_id", "text"), toxic_segments.fit(training, "t", "y"))
+    return judged.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "excess", F.size("passages").alias("n_passages"))
+
+
 def op6_bucket_pointer_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_pointer.span_digests(table(spark, sf_dir, "documents"), Scratch(spark, "repeats"))
 
@@ -46,6 +53,13 @@ def op8_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op9_pairwise_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    training = training_rows(docs, table(spark, sf_dir, "labels"), Scratch(spark, "quality"), label="quality", folds=5, held_out=0)
+    judged = gam.judge_quality(docs.select("doc_id", "text"), gam.fit(training))
+    return judged.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -57,9 +71,11 @@ QUERIES = {
         op2_power_of_two_packing,
         op3_three_line_windows,
         op4_curriculum_mix,
+        op5_toxic_segments,
         op6_bucket_pointer_refinement,
         op7_line_first_quality,
         op8_minmax_hashing,
+        op9_pairwise_additive_quality,
         op10_png_media,
     )
 }
