@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import GAP_CHARS, fresh, words
+from pulsegrid.llm.common import GAP_CHARS, WORD, fresh, words
 
 SYMBOLS, SEPARATORS, CLOSING = "#*$%&|<>", "|»·•", ".!?…:;。！？"
+#: A character of a word.
+VISIBLE = WORD.rstrip("+")
 #: Phrases of lines that aren't content.
 BOILERPLATE = r"licen[cs]ed under|all rights reserved|copyright|terms of (use|service)|privacy policy|cookie|javascript|lorem ipsum|sign (in|up)\b|log ?in\b|subscribe|click here|read more"
 #: A document is rejected when its failing lines hold more than this share (in percent) of its characters in words.
@@ -20,30 +22,47 @@ MOST_LOST = 40
 MIN_WORDS, MOST_REPEATED = 50, 50
 
 
+#: One of these stands in every text in which BOILERPLATE can be found.
+HINTS = ("licensed under", "licenced under", "all rights reserved", "copyright", "terms of ", "privacy policy", "cookie", "javascript", "lorem ipsum", "sign in", "sign up", "login", "log in", "subscribe", "click here", "read more")
+
+
+def _any_of(chars: str) -> str:
+    return "[" + "".join("\\" + c if c in "\\]^-[&|" else c for c in chars) + "]"
+
+
 def _count(x: Column, chars: str) -> Column:
-    return F.length(x) - F.length(F.translate(x, chars, ""))
+    return F.regexp_count(x, F.lit(_any_of(chars)))
 
 
-def line_failure(line: Column) -> Column:
-    """The name of the first rule that a line fails, or null."""
+def line_failure(line: Column, hinted: Column, marked: Column, exclaimed: Column) -> Column:
+    """The name of the first rule that a line fails, or null.
+
+    The last three say of the whole text whether it holds a phrase, a symbol and an exclamation mark at all; lines of
+    texts without them skip the dearer tests.
+    """
     size = F.length(line)
-    closing = _count(line, CLOSING)
+    parts = f"(?s){_any_of(SEPARATORS)}.*?{_any_of(SEPARATORS)}.*?{_any_of(SEPARATORS)}"
     return (
-        F.when(_count(line, SEPARATORS) >= 3, "navigation")
-        .when(F.lower(line).rlike(BOILERPLATE), "boilerplate")
-        .when(_count(line, SYMBOLS) * 20 > size, "symbols")
-        .when((_count(line, "!") * 20 > size) & (size >= 20) | (size >= 200) & (closing == 0), "punctuation")
-        .when((size >= 20) & (F.upper(line) == line) & (F.lower(line) != line), "shouting")
+        F.when(line.rlike(parts), "navigation")
+        .when(hinted & F.lower(line).rlike(BOILERPLATE), "boilerplate")
+        .when(marked & (_count(line, SYMBOLS) * 20 > size), "symbols")
+        .when(exclaimed & (size >= 20) & (_count(line, "!") * 20 > size) | (size >= 200) & ~line.rlike(_any_of(CLOSING)), "punctuation")
+        .when((size >= 20) & ~line.rlike("[a-z]") & (F.upper(line) == line) & (F.lower(line) != line), "shouting")
     )
 
 
-def repeated_words(w: Column) -> Column:
-    """Words of an array that stand in three-word windows found twice or more, first included."""
+def windows(w: Column) -> Column:
+    """The three-word windows of an array of words as (hash, position), sorted."""
     n = F.greatest(F.size(w) - 2, F.lit(0))
     three = F.arrays_zip(F.slice(w, F.lit(1), n).alias("a"), F.slice(w, F.lit(2), n).alias("b"), F.slice(w, F.lit(3), n).alias("c"))
-    order = F.sort_array(F.transform(three, lambda t, i: F.struct(F.xxhash64(t["a"], t["b"], t["c"]).alias("h"), i.alias("i"))))
-    pairs = F.zip_with(order, F.slice(order, F.lit(2), n), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])).otherwise(F.array().cast("array<int>")))
-    at = F.sort_array(F.array_distinct(F.flatten(pairs)))
+    return F.sort_array(F.transform(three, lambda t, i: F.struct(F.xxhash64(t["a"], t["b"], t["c"]).alias("h"), i.alias("i"))))
+
+
+def repeated_words(order: Column) -> Column:
+    """Words that stand in windows found twice or more, first included; from the sorted windows."""
+    later = F.slice(order, F.lit(2), F.size(order))
+    none = F.array().cast("array<int>")
+    at = F.sort_array(F.array_distinct(F.flatten(F.zip_with(order, later, lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])).otherwise(none)))))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     return F.aggregate(at, start, lambda s, p: F.struct((s["n"] + p + 3 - F.greatest(s["end"], p)).alias("n"), (p + 3).alias("end")))["n"]
 
@@ -57,20 +76,25 @@ def judge_lines(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_chars", "kept", "clean_text")
     kept = [c for c in docs.columns if c not in names]
-    t, w, lines, order = fresh(docs, "text_", "words_", "lines_", "order_")
+    t, w, lines, order, grams, n_words, n_symbols, hinted, exclaimed = fresh(docs, "text_", "words_", "lines_", "order_", "grams_", "count_", "marks_", "hinted_", "exclaimed_")
     long = lambda c: c.cast("long")
     text = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(t))
-    cut = text.select("*", words(F.col(t)).alias(w), F.split(t, "\n", -1).alias(lines))
-    visible = F.filter(lines, lambda x: F.length(F.translate(x, GAP_CHARS, "")) > 0)
-    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), line_failure(x).alias("rule")))
-    counted = cut.select(
+    low = F.lower(t)
+    has_hint = F.lit(False)
+    for h in HINTS:
+        has_hint = has_hint | low.contains(h)
+    cut = text.select("*", words(F.col(t)).alias(w), F.split(t, "\n", -1).alias(lines), has_hint.alias(hinted), _count(F.col(t), SYMBOLS).alias(n_symbols), F.contains(F.col(t), F.lit("!")).alias(exclaimed))
+    visible = F.filter(lines, lambda x: x.rlike(VISIBLE))
+    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), line_failure(x, F.col(hinted), F.col(n_symbols) > 0, F.col(exclaimed)).alias("rule")))
+    parted = cut.select(*kept, n_symbols, F.size(w).alias(n_words), F.length(F.array_join(w, "")).alias(t), windows(F.col(w)).alias(grams), visible.alias(lines), judged.alias(order))
+    counted = parted.select(
         *kept,
-        long(F.size(w)).alias("n_words"),
-        long(F.length(F.translate(t, GAP_CHARS, ""))).alias("word_chars"),
-        long(_count(F.col(t), SYMBOLS)).alias("n_symbols"),
-        long(F.size(visible) - F.size(F.array_distinct(visible))).alias("n_dup_lines"),
-        long(repeated_words(F.col(w))).alias("n_repeat_words"),
-        judged.alias(order),
+        long(F.col(n_words)).alias("n_words"),
+        long(F.col(t)).alias("word_chars"),
+        long(F.col(n_symbols)).alias("n_symbols"),
+        long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
+        long(repeated_words(F.col(grams))).alias("n_repeat_words"),
+        order,
     )
     lost = F.aggregate(order, F.lit(0).cast("long"), lambda s, x: s + F.when(x["rule"].isNotNull(), F.length(F.translate(x["line"], GAP_CHARS, ""))).otherwise(0))
     left = F.array_join(F.transform(F.filter(order, lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n")
