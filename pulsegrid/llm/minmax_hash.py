@@ -4,10 +4,11 @@ Under each of 64 permutations of the shingle hashes both the minimum and the max
 64 hash evaluations. 32 bands of two minima and two maxima propose candidates; every link is confirmed on the full sets.
 
 Documents with equal sets are one class from the start. In each bucket of a band the first class is compared with the
-others, and connected components contract what is linked. What then still shares a bucket across components is compared
-too, unless the number of shingles that occur in no other candidate rules a link out; so no candidate link is lost,
-while a bucket of many near copies isn't expanded into all its pairs. At a similarity of 0.75 a band agrees with
-probability 0.316, so a link at the threshold escapes all 32 bands with probability 5e-6.
+others, and connected components contract what is linked. Classes that still share a bucket across components form
+families; those that can't link with anything, because more than a quarter of their shingles occur in no other
+candidate, leave first. A family is dealt into blocks, and each pair of blocks counts common shingles for all its
+documents at once, so no row is made for a pair that isn't linked and no candidate link is lost. At a similarity of 0.75
+a band agrees with probability 0.316, so a link at the threshold escapes all 32 bands with probability 5e-6.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pulsegrid.llm.common import Scratch, fresh, keyed
 from pulsegrid.llm.components import components
 from pulsegrid.llm.rolling import U, mix, shingles
 
 PERMUTATIONS, BANDS = 64, 32
+#: Documents of a block, where many candidates that share buckets are compared with each other.
+BLOCK = 256
 #: Of a link: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
 _A = mix(np.arange(1, PERMUTATIONS + 1, dtype=U)) | U(1)
@@ -95,6 +98,49 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
 
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the two blocks of a pair (or within one), by counts of common shingles for all of them at once.
+
+    Of the links between two components one is enough, so at most as many are returned as there are documents.
+    """
+    texts, blocks, comps = rows["text"].tolist(), rows["block"].to_numpy(), rows["c"].to_numpy()
+    keys = rows["key"].to_numpy()
+    sets = [shingles(t) for t in texts]
+    size = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, 8192):
+        a, b = np.searchsorted(column, [low, low + 8192])
+        part = np.zeros((len(sets), min(8192, width - low)), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    linked = 100 * both >= THRESHOLD * (size[:, None] + size[None, :] - both)
+    linked &= comps[:, None] != comps[None, :]
+    if rows["i"].iat[0] != rows["j"].iat[0]:
+        linked &= blocks[:, None] != blocks[None, :]
+    root = {int(c): int(c) for c in comps}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        p, q = find(int(comps[x])), find(int(comps[y]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((keys[x], keys[y]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are linked."""
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
@@ -139,13 +185,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id"
     alone = around.mapInArrow(_each_shingle, "key long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("key").alias("key")).where("times = 1").groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
     able = left.join(alone, "key", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).where(f"100 * most >= {THRESHOLD} * n").drop("alone")
     able = scratch.write(able, "able")
-    x, y = able.alias("x"), able.alias("y")
-    needed = "{0}.most * " + str(100 + THRESHOLD) + " >= " + str(THRESHOLD) + " * (x.n + y.n)"
-    cross = x.join(y, F.expr(f"x.h = y.h and x.key < y.key and x.c <> y.c and {needed.format('x')} and {needed.format('y')} and " + fits.format("x.n", "y.n")))
-    more = cross.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links2 = scratch.write(confirm(scratch.write(more, "more"), texts), "links2")
+    family = components(able.join(able.groupBy("h").agg(F.min("key").alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1"), "h").select(F.col("p").alias("a"), F.col("key").alias("b")), scratch, "family")
+    relatives = scratch.write(able.select("key", "c").distinct().join(family.select(F.col("node").alias("key"), F.col("component").alias("f")), "key"), "relatives")
+    sizes = relatives.groupBy("f").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("f", "blocks")
+    block = relatives.join(sizes, "f").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = block.select("f", "key", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("f", "key", "c", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    links2 = scratch.write(dealt.join(texts, "key").groupBy("f", "i", "j").applyInPandas(_block_links, "a long, b long"), "links2")
     final = components(links.union(links2), scratch, "all").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    scratch.drop("sets", "bucket", "pairs", "texts", "links", "open", "able", "more", "links2")
+    scratch.drop("sets", "bucket", "pairs", "texts", "links", "open", "able", "relatives", "links2")
 
     named = member.join(final, "rep", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias(comp))
     out = rows.join(named, key)
