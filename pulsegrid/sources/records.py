@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pulsegrid.functions.amplitude import amplitude
 from pulsegrid.functions.clock import SYNTHETIC_START, event_time, numbered_second, time_in_path
 from pulsegrid.functions.geometry import true_azimuth, true_zenith
 from pulsegrid.operators.hits import explode_events, first_events, last_events, last_hits
 
-TRIGGER = T.StructType.fromDDL("run_number long, event_number long, du_id array<int>, gps_time array<long>, du_nanoseconds array<long>, trace_0 array<array<short>>, trace_1 array<array<short>>, trace_2 array<array<short>>, trace_3 array<array<short>>")
-SIMULATED = T.StructType.fromDDL("run_number long, event_number long, du_id array<int>, du_nanoseconds array<long>, trace_ch array<array<array<short>>>")
+TRIGGER = "run_number long, event_number long, du_id array<int>, gps_time array<long>, du_nanoseconds array<long>, trace_0 array<array<short>>, trace_1 array<array<short>>, trace_2 array<array<short>>, trace_3 array<array<short>>"
+SIMULATED = "run_number long, event_number long, du_id array<int>, du_nanoseconds array<long>, trace_ch array<array<array<short>>>"
 
 
 def trigger_events(spark: SparkSession, path: str) -> DataFrame:
