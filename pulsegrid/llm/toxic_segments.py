@@ -93,7 +93,7 @@ def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[
             while j >= 0 and out[j][2] >= new[2]:
                 j = int(out[j][4])
             new[4] = j
-            if j < 0 or out[j][3] >= new[3]:
+            if j < 0 or out[j][3] >= new[3] - 1e-9:
                 out.append(new)
                 break
             new[0], new[2] = out[j][0], out[j][2]
