@@ -51,22 +51,38 @@ def solve_sources(start: np.ndarray, p: np.ndarray, t: np.ndarray, w: np.ndarray
     """Damped least squares from (rho, theta, phi in degrees) starts: the solutions and their sums of squares / sigma^2."""
     low = np.array([1 / rho[1], np.radians(theta[0]), -np.inf])
     high = np.array([1 / rho[0], np.radians(theta[1]), np.inf])
-    u = np.clip(np.stack([1 / start[:, 0], np.radians(start[:, 1]), np.radians(start[:, 2])], -1), low, high)
-    damp = np.full(len(u), 1e-3)
-    r, j = _residuals(u, p, t, w, c)
-    cost = (r**2).sum(1)
+    best = np.clip(np.stack([1 / start[:, 0], np.radians(start[:, 1]), np.radians(start[:, 2])], -1), low, high)
+    r, j = _residuals(best, p, t, w, c)
+    total = (r**2).sum(1)
+    # Rows leave as they converge; what follows holds those that are left.
+    at, u, cost, damp = np.arange(len(best)), best.copy(), total.copy(), np.full(len(best), 1e-3)
     for _ in range(steps):
-        a, b = np.einsum("bhi,bhk->bik", j, j), np.einsum("bhi,bh->bi", j, r)
-        diag = np.einsum("bii->bi", a)
-        a = a + np.einsum("bi,ij->bij", damp[:, None] * diag + 1e-300 + diag.max(1, keepdims=True) * 1e-14, np.eye(3))
-        step = np.linalg.solve(a, -b[..., None])[..., 0]
-        trial = np.clip(u + np.nan_to_num(step), low, high)
-        r2, j2 = _residuals(trial, p, t, w, c)
+        if not len(at):
+            break
+        g = np.einsum("bhi,bh->bi", j, r)
+        scale = np.sqrt(np.einsum("bhi,bhi->bi", j, j)) + 1e-300
+        trial = np.clip(u + _damped(j / scale[:, None, :], g / scale, damp) / scale, low, high)
+        r2, j2 = _residuals(trial, p[at], t[at], w[at], c)
         cost2 = (r2**2).sum(1)
         better = cost2 < cost
-        u, r, j, cost = np.where(better[:, None], trial, u), np.where(better[:, None], r2, r), np.where(better[:, None, None], j2, j), np.where(better, cost2, cost)
-        damp = np.clip(np.where(better, damp * 0.3, damp * 4), 1e-12, 1e9)
-    return np.stack([1 / u[:, 0], np.degrees(u[:, 1]), np.degrees(u[:, 2])], -1), cost / SIGMA**2
+        done = (better & (cost - cost2 <= 1e-9 * cost)) | (damp > 1e7) | (cost < 1e-12)
+        u, cost = np.where(better[:, None], trial, u), np.where(better, cost2, cost)
+        r, j = np.where(better[:, None], r2, r), np.where(better[:, None, None], j2, j)
+        damp = np.clip(np.where(better, damp * 0.2, damp * 5), 1e-12, 1e9)
+        best[at], total[at] = u, cost
+        left = ~done
+        at, u, cost, damp, r, j = at[left], u[left], cost[left], damp[left], r[left], j[left]
+    return np.stack([1 / best[:, 0], np.degrees(best[:, 1]), np.degrees(best[:, 2])], -1), total / SIGMA**2
+
+
+def _damped(j: np.ndarray, g: np.ndarray, damp: np.ndarray) -> np.ndarray:
+    """-(J'J + damp) \\ g for columns of unit length, by Cramer's rule."""
+    d = 1 + damp
+    x, y, z = (np.einsum("bh,bh->b", j[:, :, a], j[:, :, b]) for a, b in ((0, 1), (0, 2), (1, 2)))
+    det = d**3 + 2 * x * y * z - d * (x * x + y * y + z * z)
+    det = np.where(np.abs(det) < 1e-30, 1e-30, det)
+    a, b, c = g.T
+    return -np.stack([a * (d * d - z * z) + b * (y * z - d * x) + c * (x * z - d * y), a * (y * z - d * x) + b * (d * d - y * y) + c * (x * y - d * z), a * (x * z - d * y) + b * (x * y - d * z) + c * (d * d - x * x)], -1) / det[:, None]
 
 
 def solve_rows(rows: DataFrame, *, c: float = C_AIR, rho: tuple[float, float] = (RHO_MIN, RHO_MAX), theta: tuple[float, float] = (5.0, 95.0)) -> DataFrame:

@@ -11,15 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.constants import C_AIR, EVENT, MAX_RATIO
-from pulsegrid.functions import clock
+from pulsegrid.functions import clock, geometry
 from pulsegrid.functions.amplitude import peak
 from pulsegrid.functions.geometry import axis_distance, distance
 from pulsegrid.operators import calibration, causality, cuts, planewave, pointsource, repeats, summaries
-from pulsegrid.operators.hits import enough_detectors, last_hits, resolve_positions
+from pulsegrid.operators.hits import align, consistent_events, enough_detectors, first_events, last_hits, resolve_positions, subtract_offsets, within_radius
 from pulsegrid.operators.pairs import hit_pairs, layout_pairs, with_pair_distance
 from pulsegrid.plans.reconstruct import PipelineConfig, reconstruct
 from pulsegrid.plans.staging import Stages
-from pulsegrid.sources import fixtures, records, sinks
+from pulsegrid.sources import fixtures, records, sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -471,3 +471,100 @@ def companion_join(spark, sf_dir):
     run = records.first_companions(nation.select(F.col("n_nationkey").alias("run"), F.col("n_name").alias("site"), F.lit("a").alias("file")), ["run"])
     events = orders.select(F.col("o_orderkey").cast("string").alias("event_key"), F.col("o_custkey").alias("k"))
     return events.join(shower.drop("file"), "k", "left").join(run.drop("file"), "run", "left").select("event_key", "shower", "site")
+
+
+@query(f"{PLACED} select file, event_key, du_id, x, y from p where sqrt(x * x + y * y) <= 1000")
+def hits_within_radius(spark, sf_dir):
+    return within_radius(placed_hits(spark, sf_dir), 1000.0).select(*EVENT, "du_id", "x", "y")
+
+
+@query(""", o as (select (p_partkey % 72)::int as du_id, max_by((p_size % 7) * 1.5e0, p_partkey) as o from part where p_partkey % 5 <> 0 group by 1)
+  select file, event_key, du_id, coalesce(o, 0e0) as time_offset from hits left join o using (du_id)""")
+def static_time_offsets(spark, sf_dir):
+    part = fixtures.read(spark, sf_dir, "part").where("p_partkey % 5 <> 0")
+    table = part.select((F.col("p_partkey") % 72).cast("int").alias("du_id"), ((F.col("p_size") % 7) * F.lit(1.5)).alias("mean_ns"), F.col("p_partkey").alias("ord"))
+    return subtract_offsets(hits_of(spark, sf_dir), table).select(*EVENT, "du_id", "time_offset")
+
+
+@query(""", a as (select file, event_key, count(*) as n_hits from hits group by all), b as (select file, event_key, max(signal) as top from hits where signal > 600 group by all)
+  select file, event_key, gps_time, coalesce(n_hits, 0) as n_hits, coalesce(top, -1) as top from ev left join a using (file, event_key) left join b using (file, event_key)""")
+def aligned_fields(spark, sf_dir):
+    hits = hits_of(spark, sf_dir)
+    n = hits.groupBy(*EVENT).agg(F.count(F.lit(1)).alias("n_hits"))
+    top = hits.where("signal > 600").groupBy(*EVENT).agg(F.max("signal").alias("top"))
+    return align(fixtures.clock(spark, sf_dir), n, top).fillna({"n_hits": 0, "top": -1})
+
+
+@query(f" select du_id, x + {geometry.SHIFT_X} as x, y + {geometry.SHIFT_Y} as y, z + {geometry.SHIFT_Z} as z from (select du_id, x::double as x, y::double as y, z::double as z from du_positions)")
+def shifted_positions(spark, sf_dir):
+    p = fixtures.positions(spark, sf_dir)
+    return p.select("du_id", geometry.shifted(F.col("x"), F.col("y"), F.col("z")).alias("s")).select("du_id", "s.*")
+
+
+@query(f"""{DIRS}, a as (
+  select file, event_key, case when degrees(atan2(ny, nx)) < 0 then degrees(atan2(ny, nx)) + 360 else degrees(atan2(ny, nx)) end as az,
+    degrees(acos(nz / sqrt(nx * nx + ny * ny + nz * nz + 1e-12))) as zen from dirs)
+  select file, event_key, round(az, 6) as azimuth, round(zen, 6) as zenith, round((az + 180) % 360, 6) as from_azimuth, round(sin(radians(zen)) * cos(radians(az)), 6) as ux, round(cos(radians(az)), 6) as u from a""")
+def direction_angles(spark, sf_dir):
+    d = known_directions(hits_of(spark, sf_dir)).withColumns({"az": geometry.azimuth(F.col("nx"), F.col("ny")), "zen": geometry.zenith(F.col("nx"), F.col("ny"), F.col("nz"))})
+    return d.select(
+        *EVENT,
+        rounded(F.col("az")).alias("azimuth"),
+        rounded(F.col("zen")).alias("zenith"),
+        rounded(geometry.true_azimuth(F.col("az"))).alias("from_azimuth"),
+        rounded(geometry.unit_vector(F.col("zen"), F.col("az"))["x"]).alias("ux"),
+        rounded(geometry.uv(F.col("az"))["u"]).alias("u"),
+    )
+
+
+@query(f"""{PLACED}{DIRS} select file, event_key, gps_time, round(nx * 20, 6) as sx_km, round(ny * 20, 6) as sy_km, round(nz * 20, 6) as sz_km, 5.01e0 as chi_square from dirs join ev using (file, event_key)""")
+def parameters_over_time(spark, sf_dir):
+    fits = known_sources(hits_of(spark, sf_dir)).withColumn("chi_square", F.lit(5.0))
+    out = summaries.parameters_over_time(fits, fixtures.clock(spark, sf_dir))
+    return out.select(*EVENT, "gps_time", *[rounded(F.col(f"s{k}_km")).alias(f"s{k}_km") for k in "xyz"], "chi_square")
+
+
+@query(""", s as (select file, event_key, du_id from hits where signal > 40),
+  f as (select file, event_key, du_id, s.du_id is not null as ok from hits left join s using (file, event_key, du_id))
+  select file, event_key from f group by all having bool_and(ok)""")
+def consistent_signals(spark, sf_dir):
+    hits = hits_of(spark, sf_dir)
+    return consistent_events(hits, hits.where("signal > 40"), fixtures.positions(spark, sf_dir).select("du_id"))
+
+
+@query(""" select file, event_key, string_agg(du_id::varchar || '=' || time_ns::bigint::varchar, ',' order by hit_pos) as times from hits group by all""")
+def event_time_maps(spark, sf_dir):
+    hits = hits_of(spark, sf_dir)
+    doc = sinks.event_documents(hits.select(*EVENT).distinct(), hits)
+    entries = F.transform(F.map_entries("time"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("long").cast("string")))
+    return doc.select(*EVENT, F.array_join(entries, ",").alias("times"))
+
+
+@query(""" select 'd/' || strftime(o_orderdate::date, '%Y%m%d') || lpad((o_orderkey % 24)::varchar, 2, '0') || '0000.x' as path from orders
+  where o_orderdate::date::timestamp + to_hours((o_orderkey % 24)::int) between timestamp '1995-03-01 05:00:00' and timestamp '1996-02-01 00:00:00'""")
+def files_of_a_period(spark, sf_dir):
+    stamp = F.concat(F.date_format(F.col("o_orderdate").cast("date"), "yyyyMMdd"), F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"))
+    files = fixtures.read(spark, sf_dir, "orders").select(F.concat(F.lit("d/"), stamp, F.lit("0000.x")).alias("path"))
+    return tables.files_between(files, "1995-03-01 05:00:00", "1996-02-01 00:00:00").select("path")
+
+
+@query(" select du_id, x, y, z from du_positions")
+def layout_from_lines(spark, sf_dir):
+    p = fixtures.positions(spark, sf_dir)
+    line = F.concat_ws(", ", "du_id", "x", "y", F.concat(F.col("z").cast("string"), F.lit(" # metres")))
+    stale = F.concat_ws(" ", F.col("du_id"), F.lit("0 0 0"))
+    lines = p.select(F.explode(F.array(F.struct(F.lit(1).alias("ord"), stale.alias("value")), F.struct(F.lit(2).alias("ord"), line.alias("value")), F.struct(F.lit(3).alias("ord"), F.lit("# comment").alias("value")))).alias("l")).select("l.*")
+    return tables.parse_layout(lines)
+
+
+@query(" select file, event_key, du_id, time_ns from hits")
+def fingerprints_from_lines(spark, sf_dir):
+    item = F.concat(F.lit("('"), F.col("du_id").cast("string"), F.lit("', "), F.col("time_ns").cast("long").cast("string"), F.lit(")"))
+    lines = hits_of(spark, sf_dir).groupBy(*EVENT).agg(F.concat(F.first("event_key"), F.lit(": ["), F.array_join(F.collect_list(item), ", "), F.lit("]")).alias("value"))
+    return tables.parse_fingerprints(lines.select("file", "value")).select(*EVENT, "du_id", "time_ns")
+
+
+@query(""", n as (select *, row_number() over (partition by file order by event_key) - 1 as idx from ev) select file, event_key, gps_time, idx from n where idx < 20""")
+def first_events_of_files(spark, sf_dir):
+    numbered = repeats.sequence(fixtures.clock(spark, sf_dir)).withColumn("idx", F.col("seq") - 1).drop("seq")
+    return first_events(numbered, 20)
