@@ -88,11 +88,17 @@ def fold_of(id_col: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, label: str, folds: int, held_out: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: A classifier is fitted on this many labelled rows at most; those of the least hash of their id are taken.
+MAX_LABELLED = 200_000
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, label: str, folds: int, held_out: int, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_LABELLED) -> DataFrame:
     """(id, t, y) of the labelled rows outside the held-out fold, written once.
 
-    A document with several labels counts as 1 if any of them is 1; null labels are left out, and so are null ids.
+    A document with several labels counts as 1 if any of them is 1; null labels are left out, and so are null ids. As
+    there are at most `max_rows` labels, they are broadcast and no text is shuffled.
     """
-    learned = labels.where((fold_of(F.col(id_col), folds) != held_out) & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y"))
+    learned = labels.where((fold_of(F.col(id_col), folds) != held_out) & F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y"))
+    chosen = learned.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.where(fold_of(F.col(id_col), folds) != held_out).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return scratch.write(rows.join(learned, "id").select("id", "t", "y"), "training")
+    return scratch.write(rows.join(F.broadcast(chosen), "id").select("id", "t", "y"), "training")
