@@ -55,7 +55,7 @@ def op8_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pairwise_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    training = training_rows(docs, table(spark, sf_dir, "labels"), Scratch(spark, "quality"), label="quality", folds=5, held_out=0)
+    training = training_rows(docs, table(spark, sf_dir, "labels"), Scratch(spark, "quality"), label="quality", folds=5, held_out=0, max_rows=gam.MAX_ROWS)
     judged = gam.judge_quality(docs.select("doc_id", "text"), gam.fit(training))
     return judged.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
