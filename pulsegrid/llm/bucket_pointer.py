@@ -168,9 +168,10 @@ def _apply(n_cols: int, text_at: int):
 def repeated_spans(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, a, b): byte ranges of `rows` (key, text) whose union is what repeats."""
     found = scratch.write(rows.mapInArrow(_anchors, "key long, pos long, q long, u long, low short, high short"), "anchors")
-    again = found.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("q")
+    # Written first, so that the join below is of two plain tables and a hot bucket can be split.
+    again = scratch.write(found.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("q"), "again")
     hot = scratch.write(found.join(again, "q"), "hot")
-    scratch.drop("anchors")
+    scratch.drop("anchors", "again")
     same = ["q", "u", "low", "high"]
     classes = scratch.write(hot.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("one")), "classes")
     spans = lambda df, first, last: df.select("key", (F.col("pos") - F.col(last)).alias("a"), (F.col("pos") - F.col(first) + LENGTH).alias("b"))
