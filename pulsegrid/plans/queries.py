@@ -353,12 +353,12 @@ def signal_histogram(spark, sf_dir):
     return summaries.histogram(hits_of(spark, sf_dir), "signal", 40).select("bin", "n")
 
 
-@query(f"{PLACED} select file, event_key, round(regr_slope(signal, sqrt(x * x + y * y)), 6) + 0e0 as slope, round(regr_intercept(signal, sqrt(x * x + y * y)), 4) as intercept from p group by all having count(distinct sqrt(x * x + y * y)) > 1")
+@query(f"{PLACED} select file, event_key, round(regr_slope(signal, sqrt(x * x + y * y)), 6) + 0e0 as slope, round(regr_intercept(signal, sqrt(x * x + y * y)), 4) + 0e0 as intercept from p group by all having count(distinct sqrt(x * x + y * y)) > 1")
 def signal_over_distance(spark, sf_dir):
     hits = placed_hits(spark, sf_dir)
     r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
     several = hits.groupBy(*EVENT).agg(F.count_distinct(r).alias("n")).where("n > 1")
-    return summaries.signal_line(hits.join(several, EVENT, "left_semi"), r).select(*EVENT, (rounded(F.col("slope")) + F.lit(0.0)).alias("slope"), rounded(F.col("intercept"), 4).alias("intercept"))
+    return summaries.signal_line(hits.join(several, EVENT, "left_semi"), r).select(*EVENT, (rounded(F.col("slope")) + F.lit(0.0)).alias("slope"), (rounded(F.col("intercept"), 4) + F.lit(0.0)).alias("intercept"))
 
 
 @query(""" select file, event_key, du_id, round(time_ns - avg(time_ns) over w, 6) as rel_ns,
