@@ -22,7 +22,7 @@ class PipelineConfig:
     skip_ring: bool = False
     min_detectors: int = MIN_DETECTORS
     max_ratio: float = MAX_RATIO
-    relational_repeats: bool = True
+    relational_repeats: bool = False
     remove_outliers: bool = True
 
     @classmethod

@@ -16,7 +16,7 @@ from pulsegrid.functions import amplitude, clock, geometry  # noqa: E402
 from pulsegrid.operators import calibration, causality, cuts, planewave, pointsource, repeats, summaries  # noqa: E402
 from pulsegrid.operators.hits import consistent_events, resolve_positions, subtract_offsets, unplaced_events, within_radius  # noqa: E402
 from pulsegrid.plans.queries import placed_hits  # noqa: E402
-from pulsegrid.plans.reconstruct import PipelineConfig  # noqa: E402
+from pulsegrid.plans.reconstruct import PipelineConfig, reconstruct  # noqa: E402
 from pulsegrid.sources import records, tables  # noqa: E402
 
 HITS = "file string, event_key string, hit_pos int, du_id int, time_ns double, signal long, x double, y double, z double"
@@ -179,6 +179,20 @@ def test_repeat_filter_reach(spark):
         assert ("0" in kept) == stays
 
 
+def test_chain_drops_what_the_history_knows(spark, keep):
+    """A removed source that fires again beyond the buffer goes too: by default the chain runs the sequential filter."""
+    rng, d = np.random.default_rng(15), directions(16, 90)
+    p, t = wave(rng, 6, source=d[0] * 9e3)
+    again = {0, 10, 85}
+    times = {f"{i:04d}": (p, t if i in again else np.linalg.norm(p - d[i] * 9e3, axis=1) / C_AIR) for i in range(90)}
+    hits = spark.createDataFrame(hit_rows(times), HITS)
+    layout = hits.where("event_key = '0000'").select("du_id", "x", "y", "z")
+    events = spark.createDataFrame([("f", k, 1000) for k in times], "file string, event_key string, gps_time long")
+    config = PipelineConfig(skip_calibration=True, skip_matching=True, skip_footprint=True, skip_ring=True, remove_outliers=False)
+    kept = reconstruct(hits.drop("x", "y", "z"), events, layout, config, keep)["kept"]
+    assert {r.event_key for r in kept.select("event_key").distinct().collect()} == {f"{i:04d}" for i in range(90) if i not in again}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from pulsegrid.streaming.repeats import filter_stream, scan_stream
 
