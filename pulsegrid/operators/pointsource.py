@@ -27,6 +27,15 @@ REFIT, REFIT_FOUR = [(3e4, 60.0, 30.0 * k) for k in range(12)] + [(1e4, 75.0, 0.
 #: Fixed values of the removal: chi square that calls for it, gates on the ratio to it, and the residual in ns.
 OUTLYING, GATE_TO_FOUR, GATE, CONFIRM = 10.0, 0.8, 0.7, 3 * SIGMA
 PLANE_FALLBACK, FALLBACK_RHO = 1e6, 1e5
+#: The penalised variant: speed, bounds, gate of its removal, chi square from which all subsets of four of five are tried,
+#: strength of the azimuth penalty in refits, least chi square after the removal.
+PENALISED = {"c": C_VACUUM, "rho": (2e3, 6e4), "theta": (30.0, 95.0)}
+GATE_PENALISED, ALL_FOURS, EDGE_WIDTH, EDGE_STRENGTH, FLOOR_PENALISED = 0.5, 200.0, 10.0, 5e2, 1e-3
+#: Its starts around the fit before (factor of rho, differences of theta and azimuth): four of five hits, one of five left
+#: out, one of more left out.
+AROUND_FOURS = [(1.0, 0.0, 0.0), (1.2, 0.0, 90.0), (0.8, 0.0, -120.0), (1.0, 10.0, -30.0), (1.0, -10.0, 0.0)]
+AROUND_FOUR = [(1.0, 0.0, 0.0), (1.2, 0.0, 20.0), (0.8, 0.0, -30.0), (1.0, 10.0, -90.0), (1.0, -10.0, 0.0), (1.0, 0.0, 180.0)]
+AROUND = [(1.0, 0.0, 0.0), (1.2, 0.0, 0.0), (0.8, 0.0, 0.0), (1.0, 10.0, 0.0), (1.0, -10.0, 0.0), (1.0, 0.0, 180.0)]
 
 
 def _residuals(u: np.ndarray, p: np.ndarray, t: np.ndarray, w: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray]:
@@ -47,12 +56,23 @@ def _residuals(u: np.ndarray, p: np.ndarray, t: np.ndarray, w: np.ndarray, c: fl
     return centre(r), centre(j)
 
 
-def solve_sources(start: np.ndarray, p: np.ndarray, t: np.ndarray, w: np.ndarray, *, c: float = C_AIR, rho: tuple[float, float] = (RHO_MIN, RHO_MAX), theta: tuple[float, float] = (5.0, 95.0), steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Damped least squares from (rho, theta, phi in degrees) starts: the solutions and their sums of squares / sigma^2."""
+def _with_edge(u: np.ndarray, r: np.ndarray, j: np.ndarray, strength: float) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals and derivatives with one more, whose square is the azimuth penalty (in units of sigma^2)."""
+    a = np.degrees(u[:, 2]) % 360.0
+    short = np.maximum(EDGE_WIDTH - np.minimum(a, 360.0 - a), 0.0) * (SIGMA * np.sqrt(strength) / EDGE_WIDTH)
+    slope = np.where(short > 0, np.where(a < 180.0, -1.0, 1.0), 0.0) * (SIGMA * np.sqrt(strength) / EDGE_WIDTH * 180.0 / np.pi)
+    more = np.stack([np.zeros_like(slope), np.zeros_like(slope), slope], -1)
+    return np.concatenate([r, short[:, None]], 1), np.concatenate([j, more[:, None, :]], 1)
+
+
+def solve_sources(start: np.ndarray, p: np.ndarray, t: np.ndarray, w: np.ndarray, *, c: float = C_AIR, rho: tuple[float, float] = (RHO_MIN, RHO_MAX), theta: tuple[float, float] = (5.0, 95.0), edge: float = 0.0, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Damped least squares from (rho, theta, phi in degrees) starts: the solutions and their sums of squares / sigma^2,
+    with the azimuth penalty of strength `edge`."""
+    at_point = (lambda u, *hits: _with_edge(u, *_residuals(u, *hits, c), edge)) if edge else (lambda u, *hits: _residuals(u, *hits, c))
     low = np.array([1 / rho[1], np.radians(theta[0]), -np.inf])
     high = np.array([1 / rho[0], np.radians(theta[1]), np.inf])
     best = np.clip(np.stack([1 / start[:, 0], np.radians(start[:, 1]), np.radians(start[:, 2])], -1), low, high)
-    r, j = _residuals(best, p, t, w, c)
+    r, j = at_point(best, p, t, w)
     total = (r**2).sum(1)
     # Rows leave as they converge; what follows holds those that are left.
     at, u, cost, damp = np.arange(len(best)), best.copy(), total.copy(), np.full(len(best), 1e-3)
@@ -62,7 +82,7 @@ def solve_sources(start: np.ndarray, p: np.ndarray, t: np.ndarray, w: np.ndarray
         g = np.einsum("bhi,bh->bi", j, r)
         scale = np.sqrt(np.einsum("bhi,bhi->bi", j, j)) + 1e-300
         trial = np.clip(u + _damped(j / scale[:, None, :], g / scale, damp) / scale, low, high)
-        r2, j2 = _residuals(trial, p[at], t[at], w[at], c)
+        r2, j2 = at_point(trial, p[at], t[at], w[at])
         cost2 = (r2**2).sum(1)
         better = cost2 < cost
         done = (better & (cost - cost2 <= 1e-9 * cost)) | (damp > 1e7) | (cost < 1e-12)
@@ -85,7 +105,7 @@ def _damped(j: np.ndarray, g: np.ndarray, damp: np.ndarray) -> np.ndarray:
     return -np.stack([a * (d * d - z * z) + b * (y * z - d * x) + c * (x * z - d * y), a * (y * z - d * x) + b * (d * d - y * y) + c * (x * y - d * z), a * (x * z - d * y) + b * (x * y - d * z) + c * (d * d - x * x)], -1) / det[:, None]
 
 
-def solve_rows(rows: DataFrame, *, c: float = C_AIR, rho: tuple[float, float] = (RHO_MIN, RHO_MAX), theta: tuple[float, float] = (5.0, 95.0)) -> DataFrame:
+def solve_rows(rows: DataFrame, *, c: float = C_AIR, rho: tuple[float, float] = (RHO_MIN, RHO_MAX), theta: tuple[float, float] = (5.0, 95.0), edge: float = 0.0) -> DataFrame:
     """Rows with hits (array of structs with x, y, z, time_ns) and a start (rho0, theta0, phi0), with rho, theta, phi and
     total (sum of squared residuals / sigma^2) added."""
     schema = T.StructType([*rows.schema.fields, *[T.StructField(k, T.DoubleType()) for k in ("rho", "theta", "phi", "total")]])
@@ -105,7 +125,7 @@ def solve_rows(rows: DataFrame, *, c: float = C_AIR, rho: tuple[float, float] =
                 t = padded[..., 3]
                 t = (t - t.sum(1, keepdims=True) / size[:, None]) * w
                 start = np.stack([b.column(at[n]).to_numpy(zero_copy_only=False) for n in ("rho0", "theta0", "phi0")], -1).astype(float)
-                u, total = solve_sources(start, padded[..., :3], t, w.astype(float), c=c, rho=rho, theta=theta)
+                u, total = solve_sources(start, padded[..., :3], t, w.astype(float), c=c, rho=rho, theta=theta, edge=edge)
                 yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(u[:, i]) for i in range(3)], pa.array(total)], schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -118,6 +138,12 @@ def with_starts(rows: DataFrame, starts: list[tuple[float, float | None, float]]
     return rows.withColumn("s", F.explode(listed)).select(*rows.columns, "s.start", "s.rho0", "s.theta0", (phi + F.col("s.d")).alias("phi0"))
 
 
+def with_starts_around(rows: DataFrame, starts: list[tuple[float, float, float]], theta: tuple[float, float]) -> DataFrame:
+    """The same for starts around the fit (rho, theta, phi) of each row, which is then dropped; zeniths stay in bounds."""
+    listed = F.array(*[F.struct(F.lit(i).alias("start"), (F.col("rho") * a).alias("rho0"), F.greatest(F.least(F.col("theta") + b, F.lit(theta[1])), F.lit(theta[0])).alias("theta0"), (F.col("phi") + d).alias("phi0")) for i, (a, b, d) in enumerate(starts)])
+    return rows.withColumn("s", F.explode(listed)).select(*[c for c in rows.columns if c not in ("rho", "theta", "phi", "sx", "sy", "sz")], "s.*")
+
+
 def best_start(solved: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
     """The solution of least total by key, the first start among equals, with source coordinates sx, sy, sz."""
     best = F.min_by(F.struct("rho", "theta", "phi", "total", *keep), F.struct("total", "start"))
@@ -132,17 +158,17 @@ def _seeded(hits: DataFrame, plane: DataFrame, least: int) -> DataFrame:
     return gather(hits, least).join(seeds, EVENT)
 
 
-def fit(hits: DataFrame, plane: DataFrame, *, least: int = 5, starts: list[tuple[float, float, float]] | None = None, c: float = C_AIR, rho: tuple[float, float] = (RHO_MIN, RHO_MAX), theta: tuple[float, float] = (5.0, 95.0), floor: float = 0.0) -> DataFrame:
+def fit(hits: DataFrame, plane: DataFrame, *, least: int = 5, starts: list[tuple[float, float, float]] | None = None, c: float = C_AIR, rho: tuple[float, float] = (RHO_MIN, RHO_MAX), theta: tuple[float, float] = (5.0, 95.0), floor: float = 0.0, fallback: float = PLANE_FALLBACK) -> DataFrame:
     """Point-source fit of every event of at least `least` hits that has a plane-wave fit: rho, theta, phi, sx, sy, sz,
     chi_square (over n - 4), fit_status and the hits.
 
-    Where even the best start leaves a chi square above 1e6 the plane wave's direction at 100 km stands in.
+    Where even the best start leaves a chi square above `fallback` the plane wave's direction at 100 km stands in.
     """
     events = _seeded(hits, plane, least)
     solved = solve_rows(with_starts(events, starts or STARTS, F.col("seed_phi"), F.col("seed_theta")), c=c, rho=rho, theta=theta)
     out = best_start(solved, EVENT, ["hits", "seed_phi", "seed_theta"])
     chi = F.greatest(F.col("total") / F.greatest(F.size("hits") - 4, F.lit(1)), F.lit(floor))
-    bad = chi > PLANE_FALLBACK
+    bad = chi > fallback
     t, p = F.radians("seed_theta"), F.radians("seed_phi")
     back = {"sx": F.sin(t) * F.cos(p), "sy": F.sin(t) * F.sin(p), "sz": F.cos(t)}
     return out.select(
@@ -169,12 +195,13 @@ def fit_single(hits: DataFrame, plane: DataFrame) -> DataFrame:
 
 
 def fit_penalised(hits: DataFrame, plane: DataFrame) -> DataFrame:
-    """The variant in vacuum: nearer and higher sources only, eight starts along the seed's azimuth, chi square at least 0.01."""
+    """The variant in vacuum: nearer and higher sources only, eight starts along the seed's azimuth, chi square at least
+    0.01, and no plane wave in its place; `remove_penalised` goes on from here."""
     starts = [(7.3e3, None, 0.0)] + [(3e4, t, 0.0) for t in (55.0, 60.0, 65.0, 70.0, 75.0)] + [(4e4, 80.0, 0.0), (2e4, 85.0, 0.0)]
-    return fit(hits, plane, starts=starts, c=C_VACUUM, rho=(2e3, 6e4), theta=(30.0, 95.0), floor=1e-2)
+    return fit(hits, plane, starts=starts, **PENALISED, floor=1e-2, fallback=float("inf"))
 
 
-def edge_penalty(phi: Column, width: float = 10.0, strength: float = 1e3) -> Column:
+def edge_penalty(phi: Column, width: float = EDGE_WIDTH, strength: float = 1e3) -> Column:
     """The penalty of azimuths within `width` degrees of 0 or 360, rising with the square."""
     a = F.pmod(phi, F.lit(360.0))
     near = F.least(a, 360.0 - a)
@@ -223,6 +250,30 @@ def _round(todo: DataFrame, k: int, longest: int) -> DataFrame:
     return passed.groupBy(*EVENT).agg(best.alias("b")).select(*EVENT, "b.*")
 
 
+def _round_penalised(todo: DataFrame, k: int, longest: int) -> DataFrame:
+    """For each outlying event the refit of the penalised variant that leaves one hit out and passes its gate, or none.
+
+    Of more than five hits the first refit that passes counts, in the order of the hits' residuals; of five that of the
+    largest residual, but above ALL_FOURS the best of all that pass comes first. The chi square includes the penalty.
+    """
+    d = lambda h: F.sqrt(F.pow(h["x"] - F.col("sx"), 2) + F.pow(h["y"] - F.col("sy"), 2) + F.pow(h["z"] - F.col("sz"), 2)) / F.lit(C_VACUUM) - h["time_ns"]
+    off = F.transform("hits", d)
+    mean = F.aggregate("off", F.lit(0.0), lambda s, v: s + v) / F.size("off")
+    ordered = F.array_sort(F.transform("off", lambda v, i: F.struct((-F.abs(v - mean)).alias("v"), i.alias("i"))))
+    fits = todo.select(*EVENT, "chi_square", "seed_phi", "rho", "theta", "phi", "sx", "sy", "sz", "hits").withColumn("off", off).withColumn("order", F.transform(ordered, lambda s: s["i"])).drop("off")
+    tried = subsets(fits, k, longest).withColumn("place", F.array_position("order", F.col("subset"))).drop("order")
+    four = F.size("hits") == 4
+    turns = [(0, tried.where(four & (F.col("chi_square") > ALL_FOURS)), AROUND_FOURS), (1, tried.where(four & (F.col("place") == 1)), AROUND_FOUR), (1, tried.where(~four), AROUND)]
+    starts = [with_starts_around(rows, around, PENALISED["theta"]).withColumn("turn", F.lit(turn)) for turn, rows, around in turns]
+    solved = solve_rows(starts[0].unionByName(starts[1]).unionByName(starts[2]), **PENALISED, edge=EDGE_STRENGTH)
+    refit = best_start(solved, [*EVENT, "subset", "turn"], ["hits", "gone", "chi_square", "seed_phi", "place"])
+    new = F.col("total") / F.greatest(F.size("hits") - 4, F.lit(1))
+    passed = refit.withColumn("new", new).where(F.col("new") < GATE_PENALISED * F.col("chi_square"))
+    first = F.struct("turn", F.when(F.col("turn") == 0, F.col("new")).otherwise(F.col("place")), "subset")
+    best = F.min_by(F.struct("rho", "theta", F.pmod("phi", F.lit(360.0)).alias("phi"), "sx", "sy", "sz", F.col("new").alias("chi_square"), "seed_phi", "hits", "gone"), first)
+    return passed.groupBy(*EVENT).agg(best.alias("b")).select(*EVENT, "b.*")
+
+
 def remove_outliers(fits: DataFrame, checkpoint, *, pairs: bool = True) -> DataFrame:
     """Fits after removal of outlying hits, with removed (their detectors).
 
@@ -231,9 +282,19 @@ def remove_outliers(fits: DataFrame, checkpoint, *, pairs: bool = True) -> DataF
     either removes hits of an event or sets it aside, so there are at most as many rounds as an event has hits.
     `checkpoint` (DataFrame, name -> DataFrame) cuts the lineage between rounds.
     """
+    return _rounds(fits, checkpoint, (1, 2) if pairs else (1,), _round)
+
+
+def remove_penalised(fits: DataFrame, checkpoint) -> DataFrame:
+    """The same after `fit_penalised`: single hits are left out, with refits in vacuum under the azimuth penalty."""
+    done = _rounds(fits, checkpoint, (1,), _round_penalised)
+    return done.withColumn("chi_square", F.greatest(F.col("chi_square"), F.lit(FLOOR_PENALISED)))
+
+
+def _rounds(fits: DataFrame, checkpoint, sizes: tuple[int, ...], attempt) -> DataFrame:
     cols = [*EVENT, "rho", "theta", "phi", "sx", "sy", "sz", "chi_square", "fit_status", "seed_phi", "hits", "removed"]
     state = fits.withColumn("removed", F.array().cast("array<int>")).select(*cols)
-    for k in (1, 2) if pairs else (1,):
+    for k in sizes:
         state, turn = state.withColumn("aside", F.col("fit_status") != "fitted"), 0
         while True:
             state, turn = checkpoint(state, f"state-{k}-{turn}"), turn + 1
@@ -241,7 +302,7 @@ def remove_outliers(fits: DataFrame, checkpoint, *, pairs: bool = True) -> DataF
             longest = state.where(open_).agg(F.max(F.size("hits"))).first()[0]
             if longest is None:
                 break
-            better = checkpoint(_round(state.where(open_), k, longest), f"better-{k}-{turn}")
+            better = checkpoint(attempt(state.where(open_), k, longest), f"better-{k}-{turn}")
             before = state.select(*EVENT, "removed", "fit_status")
             changed = better.join(before, EVENT).withColumn("removed", F.concat("removed", F.transform("gone", lambda h: h["du_id"]))).select(*cols, F.lit(False).alias("aside"))
             rest = state.join(better.select(*EVENT), EVENT, "left_anti").withColumn("aside", F.col("aside") | open_)

@@ -416,8 +416,10 @@ def point_source_fit_single(spark, sf_dir):
 
 @query()
 def point_source_fit_penalised(spark, sf_dir):
-    matched = _matched(spark, sf_dir, Stages(spark))
-    out = pointsource.fit_penalised(matched, planewave.fit(matched)).drop("hits")
+    stages = Stages(spark)
+    matched = _matched(spark, sf_dir, stages)
+    fits = stages.write(pointsource.fit_penalised(matched, planewave.fit(matched)), "fits")
+    out = pointsource.remove_penalised(fits, stages.write).withColumn("n_hits", F.size("hits")).drop("hits")
     return out.withColumn("edge_penalty", pointsource.edge_penalty(F.col("phi")))
 
 

@@ -112,6 +112,42 @@ def test_point_source_and_outlier_removal(spark, keep):
     assert pointsource.fit_four(hits, planewave.fit(hits)).count() == 8 and pointsource.fit_penalised(hits, planewave.fit(hits)).count() == 8
 
 
+def test_penalised_variant_removes_outliers(spark, keep):
+    rng, v = np.random.default_rng(17), 299792458 / 1e9 / C_AIR
+    az, zen = np.radians([40.0, 120.0, 200.0, 300.0, 3.0]), np.radians([50.0, 60.0, 45.0, 70.0, 55.0])
+    d = np.c_[np.sin(zen) * np.cos(az), np.sin(zen) * np.sin(az), np.cos(zen)]
+    events = {}
+    for i, n in enumerate((8, 8, 9, 6, 8)):
+        p, t = wave(rng, n, source=d[i] * 8e3)
+        events[str(i)] = (p, t / v + rng.normal(0, 2, n) + (np.eye(n)[3] * 600 if i else 0))
+    hits = spark.createDataFrame(hit_rows(events), HITS)
+    fits = keep(pointsource.fit_penalised(hits, planewave.fit(hits)), "fits")
+    done = {r.event_key: r for r in pointsource.remove_penalised(fits, keep).collect()}
+    assert set(done) == set(events) and list(done["0"].removed) == []
+    for k in "123":
+        assert list(done[k].removed) == [103] and done[k].chi_square < 10
+        assert math.cos(math.radians(done[k].phi) - az[int(k)]) > math.cos(math.radians(2.0))
+    # Near azimuth 0 the refit counts its penalty: about 500 * 0.7^2 over 8 - 1 - 4 degrees of freedom at 3 degrees.
+    assert 103 in done["4"].removed and done["4"].chi_square > 10
+
+
+def test_edge_penalty_is_part_of_the_objective():
+    rng = np.random.default_rng(18)
+    u = np.c_[np.full(4, 1e-4), np.radians([40.0, 50.0, 60.0, 70.0]), np.radians([3.0, 357.0, 9.0, 90.0])]
+    p, t, w = rng.uniform(-1000, 1000, (4, 6, 3)), rng.normal(0, 9, (4, 6)), np.ones((4, 6))
+    at = lambda x: pointsource._with_edge(x, *pointsource._residuals(x, p, t, w, C_AIR), 5e2)
+    r, j = at(u)
+    assert np.allclose(r[:, -1] ** 2 / 36, 500 * np.array([0.7, 0.7, 0.1, 0.0]) ** 2)
+    for k, h in enumerate((1e-9, 1e-6, 1e-6)):
+        step = np.eye(3)[k] * h
+        assert np.allclose((at(u + step)[0] - at(u - step)[0]) / (2 * h), j[:, :, k], rtol=1e-3, atol=1e-2 * np.abs(j[:, :, k]).max())
+    th, ph = np.radians([50.0, 3.0])
+    t = np.linalg.norm(p - 8e3 * np.array([np.sin(th) * np.cos(ph), np.sin(th) * np.sin(ph), np.cos(th)]), axis=2) / C_AIR
+    t, start = t - t.mean(1, keepdims=True), np.tile([[8e3, 50.0, 3.0]], (4, 1))
+    (free, none), (held, cost) = (pointsource.solve_sources(start, p, t, w, edge=e) for e in (0.0, 5e2))
+    assert np.allclose(free[:, 2], 3.0, atol=1e-3) and (none < 1e-6).all() and (held[:, 2] > 3.0).all() and (cost > 1e-3).all()
+
+
 def test_causality_boundaries(spark):
     rows = [(1.02 * 100 / C_AIR, 100.0), (1.0201 * 100 / C_AIR, 100.0), (5.0, 0.0)]
     got = spark.createDataFrame(rows, "dt double, d double").select(causality.causal(F.col("dt"), F.col("d")).alias("ok")).collect()
