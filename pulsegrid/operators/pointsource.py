@@ -244,7 +244,7 @@ def _round(todo: DataFrame, k: int, longest: int) -> DataFrame:
     refit = best_start(wide.unionByName(few), keys, ["hits", "gone", "chi_square", "seed_phi"])
     new = F.col("total") / F.greatest(F.size("hits") - 4, F.lit(1))
     less = new < F.when(four, GATE_TO_FOUR).otherwise(GATE) * F.col("chi_square")
-    gate = less & ((four & F.lit(k == 1)) | _confirmed())
+    gate = less & (four | _confirmed())
     passed = refit.withColumn("new", new).where(gate)
     best = F.min_by(F.struct("rho", "theta", "phi", "sx", "sy", "sz", F.col("new").alias("chi_square"), "seed_phi", "hits", "gone"), F.struct("new", "subset"))
     return passed.groupBy(*EVENT).agg(best.alias("b")).select(*EVENT, "b.*")

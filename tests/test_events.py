@@ -112,6 +112,19 @@ def test_point_source_and_outlier_removal(spark, keep):
     assert pointsource.fit_four(hits, planewave.fit(hits)).count() == 8 and pointsource.fit_penalised(hits, planewave.fit(hits)).count() == 8
 
 
+def test_pairs_of_six_hits_need_no_confirmation(spark, keep):
+    """Four hits that are left need no hit far off: six-hit events with two small shifts are pruned by the ratio alone."""
+    rng, d = np.random.default_rng(19), directions(20, 12)
+    events = {str(i): wave(rng, 6, source=v * 8e3, noise=9) for i, v in enumerate(d)}
+    hits = spark.createDataFrame(hit_rows(events), HITS)
+    fits = keep(pointsource.fit(hits, planewave.fit(hits)).withColumn("chi_square", F.lit(40.0)), "fits")
+    found = pointsource._round(fits, 2, 6)
+    least = {r.event_key: r for r in found.collect()}
+    assert set(least) == set(events) and all(len(r.hits) == 4 and r.chi_square < 32 for r in least.values())
+    off = found.select("event_key", pointsource._confirmed().alias("far")).where("not far")
+    assert off.count() > 0
+
+
 def test_penalised_variant_removes_outliers(spark, keep):
     rng, v = np.random.default_rng(17), 299792458 / 1e9 / C_AIR
     az, zen = np.radians([40.0, 120.0, 200.0, 300.0, 3.0]), np.radians([50.0, 60.0, 45.0, 70.0, 55.0])
