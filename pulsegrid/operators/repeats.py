@@ -120,13 +120,21 @@ def pairs_of(dus: Iterable[int], times: Iterable[float]) -> Pairs:
     return {(a, b): s - t for i, (a, s) in enumerate(found) for b, t in found[i + 1 :]}
 
 
-def fold_file(rows: pd.DataFrame, **limits) -> pd.DataFrame:
-    """The events of one file that stay; rows have event_key, dus, times."""
-    fold, kept = RepeatFold(**limits), []
-    for r in rows.sort_values("event_key").itertuples():
-        kept += fold.push(r.event_key, pairs_of(r.dus, r.times))
-    kept += fold.flush()
-    return pd.DataFrame({"file": rows["file"].iat[0], "event_key": pd.Series(kept, dtype=str)})
+def fold_sorted(batches: Iterable[pd.DataFrame], **limits) -> Iterator[pd.DataFrame]:
+    """The events that stay, of whole files one after the other, each in order; rows have file, event_key, dus, times.
+
+    One fold is carried along the rows and flushed where the file changes, so only its buffer and history are held.
+    """
+    fold, file, first = RepeatFold(**limits), None, True
+    for rows in batches:
+        kept: list[tuple] = []
+        for r in rows.itertuples():
+            if first or r.file != file:
+                kept += [(file, k) for k in fold.flush()]
+                fold, file, first = RepeatFold(**limits), r.file, False
+            kept += [(file, k) for k in fold.push(r.event_key, pairs_of(r.dus, r.times))]
+        yield pd.DataFrame(kept, columns=["file", "event_key"], dtype=object)
+    yield pd.DataFrame([(file, k) for k in fold.flush()], columns=["file", "event_key"], dtype=object)
 
 
 def packed(events: DataFrame, hits: DataFrame) -> DataFrame:
@@ -138,13 +146,14 @@ def packed(events: DataFrame, hits: DataFrame) -> DataFrame:
 def sequential_filter(events: DataFrame, hits: DataFrame, **limits) -> DataFrame:
     """Events that the sequential filter keeps, file by file, and those that it doesn't look at.
 
-    The order within a file is part of the definition, so one file is one task; files are small recordings.
+    The order within a file is part of the definition, so a file is never dealt to two tasks.
     """
-    kept = packed(events, hits).groupBy("file").applyInPandas(lambda rows: fold_file(rows, **limits), "file string, event_key string")
+    kept = filter_listed(packed(events, hits), **limits)
     passing = events.join(eligible(events, hits).select(*EVENT), EVENT, "left_anti")
     return events.join(kept, EVENT, "left_semi").unionByName(passing)
 
 
 def filter_listed(listed: DataFrame, **limits) -> DataFrame:
     """The same filter for (file, event_key, dus, times) rows, none of which passes unseen."""
-    return listed.groupBy("file").applyInPandas(lambda rows: fold_file(rows, **limits), "file string, event_key string")
+    rows = listed.repartition("file").sortWithinPartitions("file", "event_key").select("file", "event_key", "dus", "times")
+    return rows.mapInPandas(lambda batches: fold_sorted(batches, **limits), "file string, event_key string")

@@ -242,6 +242,24 @@ def test_chain_drops_what_the_history_knows(spark, keep):
     assert {r.event_key for r in kept.select("event_key").distinct().collect()} == {f"{i:04d}" for i in range(90) if i not in again}
 
 
+def test_sequential_filter_holds_no_file(spark):
+    """The fold goes along batches: files that span several are whole, and files that share one don't mix."""
+    import pandas as pd
+
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 5000, 6)
+    rows = [(f"f{i % 3}", f"{i:04d}", list(range(6)), [float(x) for x in (base if i % 9 == 0 else rng.integers(0, 5000, 6))]) for i in range(240)]
+    want = {(f, k) for f, k, _, _ in rows if int(k) % 9}
+    frame = pd.DataFrame(sorted(rows[::-1], key=lambda r: r[:2]), columns=["file", "event_key", "dus", "times"])
+    got = pd.concat(repeats.fold_sorted(frame[k : k + 7] for k in range(0, 240, 7)))
+    assert sorted(map(tuple, got.values)) == sorted(want) and list(repeats.fold_sorted([]))[0].empty
+    listed = spark.createDataFrame(rows, "file string, event_key string, dus array<int>, times array<double>")
+    out = repeats.filter_listed(listed.repartition(5))
+    assert {tuple(r) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from pulsegrid.streaming.repeats import filter_stream, scan_stream
 
