@@ -26,6 +26,8 @@ LINK_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\x22']?canonical\b[^>]*>"
 REFRESH_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\x22']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\x22']?([^\x22'\s>]+)"
 REFRESH_URL = r"(?is)\burl\s*=\s*([^\x22'\s>;]+)"
+#: The same with a quote before the target, inside that of the attribute. The checking SQL reads the form above.
+REFRESH_TARGET = r"(?is)\burl\s*=\s*[\x22']?([^\x22'\s>;]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -44,15 +46,28 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), path, query))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with / after its . and .. segments are resolved."""
+    step = lambda kept, part: F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+    parts = F.aggregate(F.split(F.substring(path, 2, 1 << 30), "/"), F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(parts, "/"))).otherwise(path)
+
+
 def target_of(link: Column, url: Column) -> Column:
-    """A link as an absolute URL: as it is, or completed from the page's."""
+    """A link as an absolute URL: as it is, or resolved against the page's host and directory; null for other schemes."""
     start = F.concat(F.lit("http://"), host_of(url))
+    path, tail = F.regexp_extract(link, r"^[^?#]*", 0), F.regexp_extract(link, r"[?#].*$", 0)
+    folder = F.regexp_replace(path_of(url), "[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    own = F.concat(start, path_of(url), F.when(tail.startswith("#"), F.regexp_extract(url, r"://[^?#]*(\?[^#]*)", 1)).otherwise(""), tail)
     return (
         F.when(F.coalesce(link, F.lit("")) == "", None)
-        .when(F.instr(link, "://") > 0, link)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
-        .when(link.startswith("/"), F.concat(start, link))
-        .otherwise(F.concat(start, F.lit("/"), link))
+        .when(link.startswith("/"), F.concat(start, _without_dots(path), tail))
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(path == "", own)
+        .otherwise(F.concat(start, _without_dots(F.concat(folder, path)), tail))
     )
 
 
@@ -69,12 +84,10 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
 
 
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(a_url, b_url) from canonical links and refresh targets of the pages."""
+    """(a_url, b_url) from all canonical links and refresh targets of the pages."""
     html, url = F.col(html_col), F.col(url_col)
-    tags = pages.where(html.rlike(LINK_TAG) | html.rlike(REFRESH_TAG)).select(
-        url.alias("a_url"),
-        F.explode(F.array(F.regexp_extract(F.regexp_extract(html, LINK_TAG, 0), HREF, 1), F.regexp_extract(F.regexp_extract(html, REFRESH_TAG, 0), REFRESH_URL, 1))).alias("link"),
-    )
+    targets = lambda tag, pattern: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, pattern, 1))
+    tags = pages.where(html.rlike(LINK_TAG) | html.rlike(REFRESH_TAG)).select(url.alias("a_url"), F.explode(F.concat(targets(LINK_TAG, HREF), targets(REFRESH_TAG, REFRESH_TARGET))).alias("link"))
     return tags.select("a_url", target_of(F.col("link"), F.col("a_url")).alias("b_url")).where("a_url is not null and b_url is not null")
 
 

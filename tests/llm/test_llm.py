@@ -109,6 +109,29 @@ def test_redirects_propagate_blocks_and_allows(spark, scratch):
     assert {(r.page_id, r.verdict) for r in got.values()} == want
 
 
+def test_links_that_are_relative_quoted_or_several(spark, scratch):
+    canonical = lambda to: f"<link rel='canonical' href='{to}'>"
+    pages = [
+        ("http://a.example.info/d/b.html", canonical("c.html"), ["http://a.example.info/d/c.html"]),
+        ("http://a.example.info/d/e/b.html?q=1", canonical("../c.html?x=../y#z"), ["http://a.example.info/d/c.html?x=../y#z"]),
+        ("http://a.example.info/d/b", canonical("./../../f/./g/"), ["http://a.example.info/f/g/"]),
+        ("http://a.example.info", canonical("c.html"), ["http://a.example.info/c.html"]),
+        ("http://a.example.info/d/b.html", canonical("?p=2"), ["http://a.example.info/d/b.html?p=2"]),
+        ("http://a.example.info/d/b.html", canonical("go?to=http://x.org/"), ["http://a.example.info/d/go?to=http://x.org/"]),
+        ("http://a.example.info/d/b.html", canonical("mailto:x@y.org"), []),
+        ("http://a.example.info/d/b.html", canonical("//h.org/x"), ["http://h.org/x"]),
+        ("http://r.info/1", "<meta http-equiv=\"refresh\" content=\"0; url='http://b.com/en/1'\">", ["http://b.com/en/1"]),
+        ("http://r.info/d/2", "<meta http-equiv=refresh content='3;URL=next'><meta http-equiv=refresh content='9; url=/last'>", ["http://r.info/d/next", "http://r.info/last"]),
+        ("http://r.info/3", canonical("http://one.info/") + canonical("http://two.info/"), ["http://one.info/", "http://two.info/"]),
+        ("http://r.info/4", "<p>none</p>", []),
+    ]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = sorted((r.a_url, r.b_url) for r in url_rules.link_edges(df, "url", "html").collect())
+    assert got == sorted((u, to) for u, _, targets in pages for to in targets)
+    alias = spark.createDataFrame([(1, "http://b.com/en/1", None), (2, "http://r.info/1", pages[8][1])], "page_id long, url string, html string")
+    assert {r.verdict for r in url_rules.judge_urls(alias, url_rules.PRODUCTION_RULES, scratch).collect()} == {"block"}
+
+
 # -- op2
 
 
