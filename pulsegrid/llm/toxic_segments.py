@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,9 +33,14 @@ K, SIGNIFICANT = 0.1, 0.0
 PREFIXES = (4, 5, 6)
 #: Bins of the summed excess from which the logistic curve is fitted, and their width.
 BINS, BIN = 400, 0.25
-_WORD = re.compile(r"[^\W\d_]+")
-#: The same for Spark's regular expressions.
-WORD_SQL = r"([\p{L}\p{M}]+)"
+#: Letters with the combining marks that follow them, which \w doesn't match; marks stand in these planes only.
+_MARKS = "".join(chr(i) for plane in (range(0x300, 0x20000), range(0xE0100, 0xE01F0)) for i in plane if unicodedata.category(chr(i))[0] == "M")
+_WORD = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, for learning and for scoring."""
+    return _WORD.findall(text.lower())
 
 
 @dataclass
@@ -58,7 +64,7 @@ class Model:
 
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float, float]]]:
         """The number of words, and (first word, last word, score, excess) of each significant segment."""
-        words = _WORD.findall(text.lower())
+        words = words_of(text)
         score = self.score
         hits = [(i, s) for i, w in enumerate(words) if (s := score(w)) > 0]
         out = []
@@ -131,15 +137,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
     return float(b[0]), float(max(b[1], 0.0))
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """y, the number of words and the different words of rows of y and a text."""
+    for b in batches:
+        words = [words_of(t.as_py()) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([list(dict.fromkeys(w)) for w in words], pa.list_(pa.string()))], ["y", "n", "ws"])
+
+
 def fit(training: DataFrame, text_col: str, label_col: str) -> Model:
     """A model from labelled rows. What reaches the driver: at most MAX_UNITS units and 2 * BINS counts."""
     rows = training.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
-    split = rows.select("y", F.regexp_extract_all(F.lower("t"), F.lit(WORD_SQL), 1).alias("ws"))
-    total = split.agg(F.sum("y"), F.sum(1 - F.col("y")), F.sum(F.when(F.col("y") == 0, F.size("ws")))).first()
+    split = rows.select("y", "t").mapInArrow(_split, "y int, n long, ws array<string>")
+    total = split.agg(F.sum("y"), F.sum(1 - F.col("y")), F.sum(F.when(F.col("y") == 0, F.col("n")))).first()
     n_toxic, n_clean, clean_words = (float(x or 0) for x in total)
     if not n_toxic or not n_clean:
         return Model()
-    counted = split.select("y", F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+    counted = split.select("y", F.explode("ws").alias("w")).groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
     prefixes = [F.when(F.length("w") >= n, F.concat(F.lit("^"), F.substring("w", 1, n))) for n in PREFIXES]
     units = counted.select(F.explode(F.array_compact(F.array_distinct(F.array("w", *prefixes)))).alias("unit"), "toxic", "clean").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     prior = F.lit(FLOOR) + F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / F.lit(n_toxic + n_clean)

@@ -255,6 +255,19 @@ def test_held_out_accuracy(spark, name, label, least):
     assert sum(y == p for y, p, _ in rows) / len(rows) >= least and all(0 <= s <= 1 for *_, s in rows)
 
 
+def test_words_with_marks_are_learned_and_found(spark):
+    """Combining marks belong to their words on both sides: Hindi, and accents as characters of their own."""
+    rng = random.Random(4)
+    bad, good = ["घृणित", "मूर्खता", "de\u0301bile", "cre\u0301tin"], ["नदी", "पुस्तक", "fore\u0302t", "jardin", "soleil", "पेड़", "maison", "e\u0301cole"]
+    text = lambda toxic: " ".join([rng.choice(good) for _ in range(30)] + ([rng.choice(bad) for _ in range(6)] if toxic else []) + [rng.choice(good) for _ in range(30)])
+    df = spark.createDataFrame([(i, text(i % 2), i % 2) for i in range(120)], "doc_id long, text string, y int")
+    model = toxic_segments.fit(df, "text", "y")
+    assert {u for u in model.units if u[0] != "^"} == set(bad)
+    rows = toxic_segments.judge_toxicity(df, model).collect()
+    assert all((r.score > 0.5) == bool(r.y) for r in rows) and {r.n_words for r in rows} == {60, 66}
+    assert toxic_segments.words_of("Été l'e\u0301te\u0301 2x_y ि") == ["été", "l", "e\u0301te\u0301", "x", "y"]
+
+
 def test_models_without_labels(spark, scratch):
     d = docs(spark, ["some words", "", None])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
