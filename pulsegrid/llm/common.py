@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local session gets one of its own; on a
+    cluster that is an error, as each machine would write to its own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="pulsegrid-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -65,16 +68,27 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of `df` but for those of these names, whose case doesn't count, as in Spark."""
+    return [c for c in df.columns if c.lower() not in names]
+
+
+def numbered(df: DataFrame, id_col: str) -> bool:
+    """Whether `keyed` numbers the rows, as the ids don't tell them apart."""
+    if not isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return True
+    again = df.groupBy(F.col(id_col).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    return again.where("i is null or n > 1").limit(1).count() > 0
+
+
 def keyed(df: DataFrame, id_col: str, key: str, scratch: Scratch) -> DataFrame:
     """`df` with a column `key` that tells its rows apart (long, never null).
 
     Where `id_col` is an integer column without nulls and repeats, it is the key itself. Otherwise the rows are
     numbered once and written to the shared folder, so that the numbers hold when a task runs again.
     """
-    if isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        again = df.groupBy(F.col(id_col).alias("i")).agg(F.count(F.lit(1)).alias("n"))
-        if again.where("i is null or n > 1").limit(1).count() == 0:
-            return df.withColumn(key, F.col(id_col).cast("long"))
+    if not numbered(df, id_col):
+        return df.withColumn(key, F.col(id_col).cast("long"))
     return scratch.write(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
