@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import Scratch, fresh, keyed
+from pulsegrid.llm.common import Scratch, fresh, keyed, without
 from pulsegrid.llm.components import components
 from pulsegrid.llm.rolling import U, mix, shingles
 
 PERMUTATIONS, BANDS = 64, 32
-#: Documents of a block, where many candidates that share buckets are compared with each other.
-BLOCK = 256
+#: Documents and shingles of a block, where many candidates that share buckets are compared with each other.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 #: Of a link: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
 _A = mix(np.arange(1, PERMUTATIONS + 1, dtype=U)) | U(1)
@@ -113,14 +113,13 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((len(sets), len(sets)), np.int64)
     width = int(column[-1]) + 1 if len(column) else 0
     for low in range(0, width, 8192):
         a, b = np.searchsorted(column, [low, low + 8192])
         part = np.zeros((len(sets), min(8192, width - low)), np.float32)
         part[row[a:b], column[a:b] - low] = 1
-        both += part @ part.T
-    both = both.astype(np.int64)
+        both += (part @ part.T).astype(np.int64)  # at most 8192, so exact in float32
     linked = 100 * both >= THRESHOLD * (size[:, None] + size[None, :] - both)
     linked &= comps[:, None] != comps[None, :]
     if rows["i"].iat[0] != rows["j"].iat[0]:
@@ -155,20 +154,21 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id"
     texts are one class, also where they share an id; null ids come after others and don't name a component. An
     empty table gives none; columns of the new names are replaced.
     """
-    cols = [c for c in docs.columns if c not in ("n_shingles", "component_id", "is_first")]
+    cols = without(docs, "n_shingles", "component_id", "is_first")
     key, rep, comp, one = fresh(docs, "row_key", "class_key", "comp_key", "first_key")
     rows = keyed(docs.select(*cols), id_col, key, scratch)
     input_ = rows.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
     sets = scratch.write(input_.mapInArrow(_sets, "key long, n long, d1 long, d2 long, bands array<long>"), "sets")
     same = ["n", "d1", "d2"]
-    classes = sets.where("n > 0").groupBy(*same).agg(F.min("key").alias("rep"))
+    # Aggregates are written before they are joined: a join of two plain tables can split a hot key.
+    classes = scratch.write(sets.where("n > 0").groupBy(*same).agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "classes")
     member = scratch.write(sets.select("key", *same).join(classes, same, "left").select("key", "n", F.coalesce("rep", "key").alias("rep")), "member")
 
     # First comparisons: in each bucket, the first class with every other.
-    firsts = sets.where("n > 0").join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
+    firsts = sets.where("n > 0").join(member.where("key <> rep").select("key"), "key", "left_anti")
     entries = firsts.select(F.explode("bands").alias("h"), "key", "n")
-    shared = entries.groupBy("h").agg(F.min(F.struct("key", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    bucket = scratch.write(entries.join(shared.select("h", "p"), "h").select("h", "key", "n", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n")), "bucket")
+    shared = scratch.write(entries.groupBy("h").agg(F.min(F.struct("key", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").select("h", "p"), "shared")
+    bucket = scratch.write(entries.join(shared, "h").select("h", "key", "n", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n")), "bucket")
     fits = "100 * least({0}, {1}) >= " + str(THRESHOLD) + " * greatest({0}, {1})"
     pairs = bucket.where("key <> pivot").where(fits.format("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     pairs = scratch.write(pairs, "pairs")
@@ -179,22 +179,40 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id"
 
     # What still shares a bucket across components.
     placed = bucket.select("h", "key", "n").join(linked, "key", "left").withColumn("c", F.coalesce("c", "key"))
-    open_ = placed.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("h")
+    open_ = scratch.write(placed.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("h"), "mixed")
     left = scratch.write(placed.join(open_, "h", "left_semi"), "open")
     around = texts.join(left.select("key").distinct(), "key", "left_semi")
     alone = around.mapInArrow(_each_shingle, "key long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("key").alias("key")).where("times = 1").groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
     able = left.join(alone, "key", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).where(f"100 * most >= {THRESHOLD} * n").drop("alone")
     able = scratch.write(able, "able")
-    family = components(able.join(able.groupBy("h").agg(F.min("key").alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1"), "h").select(F.col("p").alias("a"), F.col("key").alias("b")), scratch, "family")
-    relatives = scratch.write(able.select("key", "c").distinct().join(family.select(F.col("node").alias("key"), F.col("component").alias("f")), "key"), "relatives")
-    sizes = relatives.groupBy("f").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("f", "blocks")
+    ends = scratch.write(able.groupBy("h").agg(F.min("key").alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("h", "p"), "ends")
+    family = components(able.join(ends, "h").select(F.col("p").alias("a"), F.col("key").alias("b")), scratch, "family")
+    relatives = scratch.write(able.select("key", "c", "n").distinct().join(family.select(F.col("node").alias("key"), F.col("component").alias("f")), "key"), "relatives")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = scratch.write(relatives.groupBy("f").agg(blocks.alias("blocks"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("f", "blocks"), "sizes")
     block = relatives.join(sizes, "f").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = block.select("f", "key", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("f", "key", "c", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     links2 = scratch.write(dealt.join(texts, "key").groupBy("f", "i", "j").applyInPandas(_block_links, "a long, b long"), "links2")
     final = components(links.union(links2), scratch, "all").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    scratch.drop("sets", "bucket", "pairs", "texts", "links", "open", "able", "relatives", "links2")
-
-    named = member.join(final, "rep", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias(comp))
-    out = rows.join(named, key)
-    ids = rows.select(F.col(key), F.col(id_col).alias(rep)).join(named, key).groupBy(comp).agg(F.min(F.struct(F.col(rep).isNull().alias("no"), F.col(rep).alias("id"), F.col(key).alias("key"))).alias(one))
-    return out.join(ids, comp).select(*cols, "n_shingles", F.col(f"{one}.id").alias("component_id"), (F.col(key) == F.col(f"{one}.key")).alias("is_first"))
+    scratch.drop("sets", "classes", "shared", "bucket", "pairs", "texts", "links", "mixed", "open", "able", "ends", "relatives", "sizes", "links2")
+
+    named = scratch.write(member.join(final, "rep", "left").select("key", "n", F.coalesce("comp", "rep").alias(comp)), "named")
+    ids = rows.select(F.col(key).alias("key"), F.col(id_col).alias("id")).join(named, "key").groupBy(comp).agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias(one))
+    # Texts meet their component by row, so a large component is nowhere gathered with its texts.
+    tagged = named.join(scratch.write(ids, "ids"), comp).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col(f"{one}.id").alias("component_id"), (F.col("key") == F.col(f"{one}.key")).alias("is_first"))
+    return rows.join(tagged, key).select(*cols, "n_shingles", "component_id", "is_first")
+
+
+ORACLE = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 75 * (a.n + b.n - shared)),
+e as (select x, y from l union select y, x from l),
+r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x),
+m as (select x as doc_id, min(y) as least_id from r group by x)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(least_id, d.doc_id)) as component_id, d.doc_id <= coalesce(least_id, d.doc_id) as kept
+from d left join n using (doc_id) left join m using (doc_id)
+"""

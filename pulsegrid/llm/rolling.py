@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U = np.uint64
@@ -49,6 +51,9 @@ class RangeHash:
         return mix((self.sums[b] - self.sums[a]) * self.back[a])
 
 
+#: A polynomial modulo 2^64 has collisions among regular strings of a thousand letters; longer words than this are
+#: hashed by blake2b.
+LONG_WORD = 256
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -63,7 +68,10 @@ def word_hashes(text: str) -> np.ndarray:
     gap = np.concatenate([[True], _GAP[raw], [True]])
     edge = np.diff(gap.view(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    return RangeHash(raw).of(starts, ends)
+    out = RangeHash(raw).of(starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        out[i] = U(int.from_bytes(blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little"))
+    return out
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
