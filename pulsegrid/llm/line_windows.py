@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import Scratch, fresh, keyed
+from pulsegrid.llm.common import Scratch, fresh, keyed, without
 
 VISIBLE = r"[^\x20\x09-\x0D]"
 
@@ -23,7 +23,7 @@ def dedupe_lines(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", t
     ordered by id, null last; rows that share an id are told apart by their number. Of repeated rows, the first keeps
     its lines. Columns of the names n_lines and n_removed are replaced; an empty table gives none.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept = without(docs, "n_lines", "n_removed")
     key, lines, gone = fresh(docs, "row_key", "all_lines", "gone_lines")
     rows = keyed(docs.select(*kept), id_col, key, scratch)
     split = F.split(F.col(text_col), "\n", -1)
@@ -35,7 +35,8 @@ def dedupe_lines(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", t
         .where(F.col("w.x").rlike(VISIBLE) | F.col("w.y").rlike(VISIBLE) | F.col("w.z").rlike(VISIBLE))
         .select(F.xxhash64("w.x", "w.y", "w.z").alias("h1"), F.xxhash64(F.lit("other"), "w.z", "w.y", "w.x").alias("h2"), F.struct("doc", "pos").alias("at"))
     )
-    firsts = windows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Written, so that the join is of two plain tables and a window that very many documents hold can be split.
+    firsts = scratch.write(windows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
     later = windows.join(firsts, ["h1", "h2"]).where("at > first").select(F.col("at.doc.key").alias(key), F.explode(F.sequence(F.col("at.pos"), F.col("at.pos") + 2)).alias("line"))
     covered = later.groupBy(key).agg(F.collect_set("line").alias(gone))
     joined = rows.join(covered, key, "left").withColumn(lines, split)
