@@ -1,9 +1,11 @@
 """URL filtering with redirect equivalence.
 
-Block and allow rules are matched by host suffix and path prefix. Redirects and canonical links (rel=canonical and
-meta refresh of a page, and a table of redirects where there is one) are edges between URLs; a connected component is one
-page under several addresses. A URL without a rule takes its component's decision: allowed if any member is allowed by a
-rule, else blocked if any member is blocked by one, else the default.
+Block and allow rules are matched by host suffix and path prefix. An address is a node by its host, path and query; scheme,
+fragment and slashes at the end of the path don't make another one. Redirects and canonical links (rel=canonical and meta
+refresh of a page, a table of redirects where there is one, and the address without tracking parameters, which names the
+same page) are edges between nodes; a connected component is one page under several addresses. A URL without a rule takes
+its component's decision: allowed if any member is allowed by a rule, else blocked if any member is blocked by one, else the
+default. A node without edges is a component as well.
 """
 
 from __future__ import annotations
@@ -13,11 +15,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import Scratch, fresh
+from pulsegrid.llm.common import Scratch, fresh, without
 from pulsegrid.llm.components import components
 
-#: The rules are a literal of the plan, so their number is bounded.
-MAX_RULES = 5_000
+#: Up to this many rules are broadcast to the join with the hosts; more are shuffled to them.
+BROADCAST_RULES = 100_000
+#: Query parameters that say where a visitor came from, and not which page is meant.
+TRACKING = "(utm_[a-z_]+|gclid|fbclid|msclkid|igshid|ref|ref_src)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 PRODUCTION_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -71,16 +75,28 @@ def target_of(link: Column, url: Column) -> Column:
     )
 
 
-def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
-    """struct(rule, verdict) of the longest rule that fits, allow before block among equals; nulls where none does."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
-    none = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    found = none
-    for h, p, verdict in sorted(rules, key=lambda r: (len(r[0] + r[1]), r[2] == "allow")):
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        found = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
-    return found
+def plain_of(node: Column) -> Column:
+    """A node without its tracking parameters."""
+    query = F.regexp_extract(node, r"\?(.*)$", 1)
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(f"^{TRACKING}(=|$)"))
+    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    return F.when(node.contains("?"), F.concat(F.regexp_extract(node, r"^[^?]*", 0), tail)).otherwise(node)
+
+
+def match_rules(addresses: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """host, path, rule, verdict of the addresses (host, path; each once) that some rule fits: the longest, allow before
+    block among equals.
+
+    A host is looked up by all its suffixes, so the work grows with the labels of a host and not with the rules.
+    """
+    known = addresses.sparkSession.createDataFrame(list(rules), "suffix string, prefix string, verdict string")
+    known = F.broadcast(known) if len(rules) <= BROADCAST_RULES else known
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fits = addresses.select("host", "path", F.explode(suffixes).alias("suffix")).join(known, "suffix").where(F.startswith("path", "prefix"))
+    rule = F.concat("suffix", "prefix")
+    best = F.max(F.struct(F.length(rule).alias("size"), (F.col("verdict") == "allow").alias("allows"), rule.alias("rule"), F.col("verdict").alias("verdict")))
+    return fits.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.verdict")
 
 
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
@@ -92,31 +108,43 @@ def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], scratch: Scratch, *, url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
-    """`pages` without its HTML, with host, path, rule, verdict and component (the smallest address of its component).
+    """`pages` without its HTML, with host, path, rule, verdict and component (the smallest node of its component).
 
     `redirects` has from_url and to_url. A null URL, or one without ://, has an empty host and path, fits no rule, has
     no component and gets the default. Repeated rows are each judged; a column of the input that has the name of a new
     one is replaced. The result has as many rows as the input.
     """
     names = ("host", "path", "rule", "verdict", "component")
-    kept = [c for c in pages.columns if c.lower() not in names and c != html_col]
-    node, own, most = fresh(pages, "url_node", "own_rule", "comp_verdict")
+    kept = without(pages, "host", "path", "rule", "verdict", "component", html_col.lower() if html_col else "")
+    node, own, most, comp = fresh(pages, "url_node", "own_verdict", "comp_verdict", "comp_name")
+    named = lambda url: [host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node")]
+    urls = pages.select(F.col(url_col).alias("u"))
+    edges = urls.select(node_of(F.col("u")).alias("a")).where("a is not null").select("a", plain_of(F.col("a")).alias("b")).where("a <> b")
+    if html_col or redirects is not None:
+        found = [link_edges(pages, url_col, html_col)] if html_col else []
+        if redirects is not None:
+            found.append(redirects.select(F.col("from_url").alias("a_url"), F.col("to_url").alias("b_url")))
+        links = scratch.write(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "links")
+        urls = urls.union(links.select(F.explode(F.array("a_url", "b_url"))))
+        edges = edges.union(links.select(node_of(F.col("a_url")), node_of(F.col("b_url"))))
+    # All addresses once; what is joined to pages below has been written, so that a frequent address can be split.
+    addresses = scratch.write(urls.select(*named(F.col("u"))).where("node is not null").distinct(), "addresses")
+    fits = scratch.write(match_rules(addresses.select("host", "path").distinct(), rules), "fits")
+    member = scratch.write(components(edges, scratch, "aliases"), "member")
+    rank = F.max(F.when(F.col("verdict") == "allow", 2).when(F.col("verdict") == "block", 1))
+    by_node = scratch.write(addresses.join(fits, ["host", "path"], "left").groupBy("node").agg(rank.alias("r")), "by_node")
+    placed = scratch.write(by_node.join(member, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "r"), "placed")
+    decided = scratch.write(placed.where("r is not null").groupBy("component").agg(F.max("r").alias("most")), "decided")
+    verdict = F.when(F.col("most") == 2, "allow").when(F.col("most") == 1, "block")
+    aliases = scratch.write(placed.join(decided, "component", "left").select(F.col("node").alias(node), F.col("component").alias(comp), verdict.alias(most)), "decisions")
+    scratch.drop("addresses", "member", "by_node", "placed", "decided")
     url = F.col(url_col)
-    judged = pages.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias(node)).withColumn(own, match_rule(F.col("host"), F.col("path"), rules))
-    edges = [link_edges(pages, url_col, html_col)] if html_col else []
-    if redirects is not None:
-        edges.append(redirects.select(F.col("from_url").alias("a_url"), F.col("to_url").alias("b_url")))
-    if not edges:
-        return judged.select(*kept, "host", "path", f"{own}.rule", F.coalesce(F.col(f"{own}.verdict"), F.lit(default)).alias("verdict"), F.col(node).alias("component"))
-    links = scratch.write(edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1]), "links")
-    ends = links.select(F.explode(F.array("a_url", "b_url")).alias("u")).select(node_of(F.col("u")).alias("node"), match_rule(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("v"))
-    member = components(links.select(node_of(F.col("a_url")).alias("a"), node_of(F.col("b_url")).alias("b")), scratch, "aliases")
-    explicit = ends.unionByName(judged.select(F.col(node).alias("node"), F.col(f"{own}.verdict").alias("v"))).where("node is not null and v is not null")
-    rank = F.max(F.when(F.col("v") == "allow", 2).otherwise(1))
-    by_node = explicit.groupBy("node").agg(rank.alias("r"))
-    by_component = member.join(by_node, "node").groupBy("component").agg(F.max("r").alias("r"))
-    aliases = member.join(by_component, "component", "left").select(F.col("node").alias(node), "component", F.when(F.col("r") == 2, "allow").when(F.col("r") == 1, "block").alias(most))
-    return judged.join(aliases, node, "left").select(*kept, "host", "path", f"{own}.rule", F.coalesce(F.col(f"{own}.verdict"), F.col(most), F.lit(default)).alias("verdict"), F.coalesce(F.col("component"), F.col(node)).alias("component"))
+    judged = pages.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias(node))
+    with_address = judged.where(F.col(node).isNotNull()).join(fits.withColumnRenamed("verdict", own), ["host", "path"], "left").join(aliases, node, "left")
+    first = with_address.select(*kept, "host", "path", "rule", F.coalesce(own, most, F.lit(default)).alias("verdict"), F.col(comp).alias("component"))
+    # Rows without an address meet no table: their missing node is no key.
+    none = F.lit(None).cast("string")
+    return first.unionByName(judged.where(F.col(node).isNull()).select(*kept, "host", "path", none.alias("rule"), F.lit(default).alias("verdict"), none.alias("component")))
 
 
 def _sql_rules(rules: Sequence[tuple[str, str, str]]) -> str:
@@ -145,14 +173,19 @@ fit as (
   select u, {_SQL_NODE.format(u="u")} as node, max_by(h || p, length(h || p)) as rule, max_by(v, length(h || p)) as v
   from urls left join rules on ({_SQL_HOST.format(u="u")} = h or ends_with({_SQL_HOST.format(u="u")}, '.' || h)) and starts_with({_SQL_PATH.format(u="u")}, p)
   group by u),
-edges as (
+own as (select distinct node from fit where contains(node, '?')),
+kept as (select node, list_filter(string_split(regexp_extract(node, '\\?(.*)$', 1), '&'), lambda q: q <> '' and not regexp_matches(lower(q), '^{TRACKING}(=|$)')) as q from own),
+plain as (select node as a, regexp_extract(node, '^[^?]*', 0) || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as b from kept),
+pairs as (
   select a.node as a, b.node as b from links join fit a on a.u = a_url join fit b on b.u = b_url where a.node is not null and b.node is not null
-  union select b.node, a.node from links join fit a on a.u = a_url join fit b on b.u = b_url where a.node is not null and b.node is not null),
+  union select a, b from plain where a <> b),
+edges as (select a, b from pairs union select b, a from pairs),
 reach(a, b) as (select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a),
 comp as (select a as node, least(a, min(b)) as component from reach group by a),
 verdicts as (
-  select component, max(case v when 'allow' then 2 when 'block' then 1 end) as r from comp join fit using (node) group by component)
+  select coalesce(component, node) as component, max(case v when 'allow' then 2 when 'block' then 1 end) as r
+  from fit left join comp using (node) where node is not null group by 1)
 select p.page_id, {_SQL_HOST.format(u="p.url")} as host, {_SQL_PATH.format(u="p.url")} as path, f.rule,
   coalesce(f.v, case s.r when 2 then 'allow' when 1 then 'block' end, 'allow') as verdict, coalesce(c.component, f.node) as component
-from pages p left join fit f on f.u is not distinct from p.url left join comp c on c.node = f.node left join verdicts s on s.component = c.component
+from pages p left join fit f on f.u is not distinct from p.url left join comp c on c.node = f.node left join verdicts s on s.component = coalesce(c.component, f.node)
 """
