@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import WORD, Scratch, fresh, keyed
+from pulsegrid.llm.common import WORD, Scratch, fresh, keyed, numbered, without
 
 #: No document is taken more often than this.
 MOST = 3
 #: Hex digits of the order's hash that make a bucket: sums over buckets replace one long running sum for each source.
 DIGITS = 3
+#: Parts of a bucket among rows that share an id, so that no repeated or missing id puts all its rows into one window.
+SALTS = 64
 #: Knots (time, weight) by source weight: light sources fade, heavy ones rise.
 SCHEDULES: Mapping[int, Sequence[tuple[float, float]]] = {1: ((0.0, 1.5), (0.5, 1.25), (1.0, 0.25)), 2: ((0.0, 1.0), (1.0, 1.0)), 3: ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0))}
 
@@ -78,11 +80,15 @@ def source_targets(sizes: DataFrame, cycle: Sequence[int] = (1, 2, 3), most: int
 
 
 def plan_mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = (), seed: str = "mix", cycle: Sequence[int] = (1, 2, 3), schedules: Mapping[int, Sequence[tuple[float, float]]] = SCHEDULES) -> DataFrame:
-    """One row per document: id, the `carry` columns, size, source_size, target, copies, taken, positions (one for each copy, in [0, 1]).
+    """One row per document: id, the `carry` columns, size, source_size, target, copies, taken, positions (one for each
+    copy, in [0, 1]). The words taken are those of the copies that have a position.
 
-    A null text has size 0, as an empty one. A null source is a source of its own. Documents of one id are ordered by
-    size and text, so reruns agree; an empty table gives none. A source without words gets a target of 0.
+    A null text has size 0, as an empty one. A null source is a source of its own. Where ids repeat or are missing, rows
+    are dealt by their numbers as well, and those of one number, size and text are interchangeable: reruns over the
+    same files agree. Other columns are not read, so names don't clash; an empty table gives none. A source without
+    words gets a target of 0.
     """
+    repeated = numbered(docs, id_col)
     sized = docs.select(
         F.col(id_col).alias("id"),
         *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)],
@@ -90,42 +96,48 @@ def plan_mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"),
         F.xxhash64(text_col).alias("tie"),
+        (F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)) if repeated else F.lit(0).cast("long")).alias("salt"),
     )
     sized = scratch.write(sized, "sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cycle)
     targets = scratch.write(targets.withColumn("no", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit(""))).drop("source"), "targets")
     rows = sized.withColumn("no", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit(""))).join(targets, ["no", "name"]).drop("no", "name", "source").withColumn("bucket", F.substring("h", 1, DIGITS))
-    along = W.partitionBy("rank").orderBy("bucket")
-    buckets = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("words")).select("rank", "bucket", (F.sum("words").over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).alias("start"))
-    inside = W.partitionBy("rank", "bucket").orderBy("h", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
-    placed = rows.join(buckets, ["rank", "bucket"]).withColumn("offset", F.col("start") + F.sum("size").over(inside) - F.col("size"))
+    along = W.partitionBy("rank").orderBy("bucket", "salt")
+    # Sources that are few but large: the running sum is over at most 16^DIGITS * SALTS rows of each.
+    sums = rows.groupBy("rank", "bucket", "salt").agg(F.sum("size").alias("words")).select("rank", "bucket", "salt", (F.sum("words").over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).alias("start"))
+    buckets = scratch.write(sums, "buckets")
+    inside = W.partitionBy("rank", "bucket", "salt").orderBy("h", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.join(buckets, ["rank", "bucket", "salt"]).withColumn("offset", F.col("start") + F.sum("size").over(inside) - F.col("size"))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     extra = F.col("target") - (F.col("full") * F.col("source_size")).cast("double")
     once_more = (F.lit(2) * F.col("offset") + F.col("size")).cast("double") < F.lit(2.0) * extra
     taken = placed.withColumn("full", full).withColumn("copies", (F.col("full") + F.when(once_more, 1).otherwise(0)).cast("long"))
     place = lambda k: F.least((k.cast("double") * F.col("source_size") + F.col("offset") + F.col("size") / F.lit(2.0)) / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
     position = lambda k: F.coalesce(*[F.when(F.col("weight") == x, time_of(place(k), schedules[x])) for x in dict.fromkeys(cycle)])
-    return taken.select(
-        F.col("id").alias(id_col),
-        *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)],
-        "size",
-        "source_size",
-        "target",
-        "copies",
-        (F.col("size") * F.col("copies")).alias("taken"),
-        F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), position)).otherwise(F.array().cast("array<double>")).alias("positions"),
-    )
+    positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), position)).otherwise(F.array().cast("array<double>"))
+    names = [*[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)], "size", "source_size", "target", "copies"]
+    return taken.withColumn("positions", positions).select(F.col("id").alias(id_col), *names, (F.col("size") * F.size("positions")).alias("taken"), "positions")
+
+
+def schedule(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A plan with first_position and last_position in place of its positions (null for documents that aren't taken),
+    range-sorted by the first, those that aren't taken last."""
+    ends = plan.withColumn("first_position", F.try_element_at("positions", F.lit(1))).withColumn("last_position", F.try_element_at("positions", F.lit(-1))).drop("positions")
+    order = [F.col("first_position").asc_nulls_last(), F.col(id_col).asc()]
+    return ends.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: a row of `docs` for each copy that is taken, with its `position`, range-sorted by position.
 
-    A column named position is replaced. Ties of the position are sorted by id.
+    A null text and an empty one have no words, and are taken as often as the target asks for at their place. A column
+    named position is replaced. Ties of the position are sorted by id; repeated rows are taken each on their own; an
+    empty table gives none.
     """
     key, position = fresh(docs, "row_key", "position_")
     rows = keyed(docs, id_col, key, scratch)
     plan = scratch.write(plan_mix(rows, scratch, id_col=id_col, carry=[key], **options).where("copies > 0").select(key, F.explode("positions").alias(position)), "plan")
-    columns = [c for c in docs.columns if c != "position"]
+    columns = without(docs, "position")
     taken = rows.join(plan, key).select(*columns, F.col(position).alias("position"))
     return taken.repartitionByRange(F.col("position"), F.col(id_col)).sortWithinPartitions("position", id_col)
 
@@ -143,10 +155,26 @@ g as (select *, cap::double * weight_left < weight::double * (total - before) as
 l as (select *, (total - coalesce(sum(case when stops then cap end) over (), 0))::bigint as rest, sum(case when not stops then weight end) over ()::bigint as sharing from g),
 t as (select *, case when stops then cap::double else least(weight::double * rest / sharing, cap::double) end as target from l),
 o as (
-  select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end::bigint as n_full,
+  select d.doc_id, d.size, t.source_size, t.target, t.weight, case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end::bigint as n_full,
     (sum(d.size) over (partition by t.rank order by d.h, d.size rows between unbounded preceding and current row) - d.size)::bigint as start_at
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  size * (n_full + case when (2 * start_at + size)::double < 2.0 * (target - (n_full * source_size)::double) then 1 else 0 end) as taken
-from o
+  from d join t on d.source is not distinct from t.source),
+m as (select *, n_full + case when (2 * start_at + size)::double < 2.0 * (target - (n_full * source_size)::double) then 1 else 0 end as copies from o),
+y as (
+  select *, least((start_at + size / 2.0::double) / greatest(target, 1.0), 1.0) as y0,
+    least(((copies - 1)::double * source_size + start_at + size / 2.0::double) / greatest(target, 1.0), 1.0) as y1 from m)
+select doc_id, size, source_size, target, copies, size * copies as taken,
+  case when copies > 0 then round({first}, 9) end as first_position, case when copies > 0 then round({last}, 9) end as last_position
+from y
 """
+
+
+def _sql_time(share: str) -> str:
+    """The inverse of the schedules' integrals in SQL."""
+    cases = []
+    for weight, knots in SCHEDULES.items():
+        steps = [f"when {share} >= {y0!r}::double then {t0!r}::double + case when {share} <= {y0!r}::double then 0 else 2.0 * ({share} - {y0!r}::double) / ({w!r}::double + sqrt(greatest({w * w!r}::double + {2 * slope!r}::double * ({share} - {y0!r}::double), 0.0))) end" for y0, t0, w, slope in reversed(segments(knots))]
+        cases.append(f"when weight = {weight} then least(case {' '.join(steps)} end, 1.0)")
+    return f"case {' '.join(cases)} end"
+
+
+ORACLE = ORACLE.replace("{first}", _sql_time("y0")).replace("{last}", _sql_time("y1"))

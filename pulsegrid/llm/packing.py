@@ -11,10 +11,11 @@ import os
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,17 +76,33 @@ def pieces(n: int, seq_len: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 1024, end_id: int = 0) -> DataFrame:
+def stored_order(docs: DataFrame) -> list[Column]:
+    """What sorts the rows of a table of Parquet files as they were written: the number of the part, its file, the row in
+    it. None where `docs` isn't read from files."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return []
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), name, F.col("_metadata.row_index")]
+
+
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 1024, end_id: int = 0, order: Sequence[Column] = ()) -> DataFrame:
     """One row per piece: id, start, length, doc_tokens, ids (little-endian 32-bit), bucket (log2 of the length),
     sequence_id, offset.
 
     `seq_len` must be a power of two. A null text counts as empty and gives one piece with `end_id` alone; repeated rows
-    are packed each on their own; other columns are not read. The sequence ids follow the order of the input's
-    partitions, so they hold when a task runs again. There is no shuffle.
+    are packed each on their own; other columns are not read, so names don't clash; an empty table gives none. The
+    sequence ids follow the order of the input's partitions, so they hold when a task runs again, and there is no
+    shuffle. With `order`, documents are range-sorted by it first, and the sequence ids follow that order.
     """
     if seq_len & (seq_len - 1):
         raise ValueError("seq_len must be a power of two")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if order:
+        names = [f"order_{i}" for i in range(len(order))]
+        rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c.alias(n) for c, n in zip(order, names, strict=True)])
+        rows = rows.repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
     id_type = rows.schema["id"].dataType
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", id_type)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens")] + [T.StructField("ids", T.BinaryType())])
     end = struct.pack("<I", end_id)
