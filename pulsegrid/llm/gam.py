@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.llm.common import without
+
 #: The classifier is fitted on this many labelled rows at most, chosen by a hash of their id.
 MAX_ROWS = 50_000
 BINS, PAIR_BINS, PAIRS = 48, 8, 6
@@ -195,7 +197,7 @@ def judge_quality(docs: DataFrame, model: Model, *, text_col: str = "text", scor
     Null and empty texts have features of 0 and get the score that follows. Repeated rows are judged each; there is no
     shuffle. A column of the name of the score is replaced; an empty table gives none.
     """
-    df = docs.select(*[c for c in docs.columns if c != score_col])
+    df = docs.select(*without(docs, score_col.lower()))
     at, rest = df.columns.index(text_col), [f for f in df.schema.fields if f.name != text_col]
     schema = T.StructType([*rest, T.StructField(score_col, T.DoubleType())])
 

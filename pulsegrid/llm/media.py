@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.llm.common import without
+
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -147,8 +149,10 @@ def visual_hash(samples: np.ndarray) -> str:
 def to_media(df: DataFrame, text_col: str, media_col: str) -> DataFrame:
     """Adds `media_col`: the text's UTF-8 bytes, zero-padded to a positive multiple of 64, as a PNG.
 
-    A null or empty text gives 64 zero bytes. Equal texts give equal bytes.
+    A null or empty text gives 64 zero bytes. Equal texts give equal bytes; repeated rows are stored each. A column of
+    the new name is replaced; an empty table gives none.
     """
+    df = df.select(*without(df, media_col.lower()))
     schema = T.StructType([*df.schema.fields, T.StructField(media_col, T.BinaryType())])
     at = df.columns.index(text_col)
 
@@ -164,7 +168,9 @@ def to_media(df: DataFrame, text_col: str, media_col: str) -> DataFrame:
 
 
 def read_media(df: DataFrame, media_col: str, payload_col: str, feature_col: str) -> DataFrame:
-    """Adds the payload read back from `media_col` and its visual hash; both null where the bytes don't pass the tests."""
+    """Adds the payload read back from `media_col` and its visual hash; both null where the bytes are null or don't pass
+    the tests. Columns of the new names are replaced; an empty table gives none."""
+    df = df.select(*without(df, payload_col.lower(), feature_col.lower()))
     schema = T.StructType([*df.schema.fields, T.StructField(payload_col, T.BinaryType()), T.StructField(feature_col, T.StringType())])
     at = df.columns.index(media_col)
 

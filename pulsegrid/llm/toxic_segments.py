@@ -1,12 +1,13 @@
 """Toxic passages by maximal scoring segments.
 
 Each word gets a log-odds of standing in toxic and in other training documents under an informative Dirichlet prior (the words'
-shares in all training text), taken at its lower confidence bound; words also count for their first 4, 5 and 6 letters,
-so that forms that were never seen borrow from their stem. Every word that is not toxic costs a little, so the scores
-have a negative drift, and a linear-time scan finds all maximal scoring segments of a text. Karlin-Altschul statistics
-of the clean training words turn a segment's score S into an excess, lambda * S - ln(K * n), over what chance gives in n
-words; the excesses of significant segments are summed, and a logistic curve fitted on the training rows maps the sum to
-a probability.
+shares in all training text), taken at the confidence bound that lies nearer to zero: evidence for and against counts
+alike. Words also count for their first 4, 5 and 6 letters, so that forms that were never seen borrow from their stem.
+Every word costs a little, so the scores have a negative drift, and a linear-time scan finds all maximal scoring segments
+of a text. By Karlin-Altschul statistics chance gives E = K * n * exp(-lambda * S) segments of a score of at least S in n
+words; lambda and K are those of the scores that the words of the clean training texts really get. A segment is
+significant below an E of 0.05, and its excess is the logarithm of how far below. The excesses are summed, and a logistic
+curve of the logarithm, fitted on the training rows, maps the sum to a probability.
 """
 
 from __future__ import annotations
@@ -23,16 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Weight of the prior (in documents, and for each unit at least), cost of a word without evidence, the confidence bound
-#: in deviations, and the least bound that counts as evidence.
+from pulsegrid.llm.common import Scratch, without
+
+#: Weight of the prior (in documents, and for each unit at least), cost of a word, the confidence bound in deviations,
+#: and the least bound that counts as evidence.
 PRIOR, FLOOR, DRIFT, CONFIDENCE, LEAST = 1.0, 0.5, 0.1, 1.96, 0.7
-#: Units that the model keeps at most: those of the greatest bound. This is all that is sent to every task.
-MAX_UNITS = 50_000
-#: Karlin-Altschul's K, and the excess a segment needs to be reported.
-K, SIGNIFICANT = 0.1, 0.0
+#: Karlin-Altschul's K where the clean texts hold no segment, and the number of segments of such a score that chance may
+#: give in a text for one to be significant.
+K, SIGNIFICANT = 0.1, 0.05
 PREFIXES = (4, 5, 6)
-#: Bins of the summed excess from which the logistic curve is fitted, and their width.
-BINS, BIN = 400, 0.25
+#: Width of the bins of scores, and of the logarithm of the summed excess, that reach the driver as counts.
+SCORE_BIN, BIN = 0.05, 0.1
 #: Letters with the combining marks that follow them, which \w doesn't match; marks stand in these planes only.
 _MARKS = "".join(chr(i) for plane in (range(0x300, 0x20000), range(0xE0100, 0xE01F0)) for i in plane if unicodedata.category(chr(i))[0] == "M")
 #: Below U+0300 there are no marks, and a plain pattern gives the same words in less time.
@@ -48,10 +50,11 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Scores of units (words, and prefixes with a leading ^), lambda of the clean background, and the logistic curve."""
+    """Scores of units (words, and prefixes with a leading ^), lambda and K of the clean background, and the logistic curve."""
 
     units: dict[str, float] = field(default_factory=dict)
     rate: float = 1.0
+    k: float = K
     bias: float = -20.0
     slope: float = 0.0
     memo: dict[str, float] = field(default_factory=dict, repr=False)
@@ -60,26 +63,27 @@ class Model:
         """The word's bound, or that of a prefix of it where that is more; 0 without evidence."""
         found = self.memo.get(word)
         if found is None:
-            found = max([self.units.get(word, 0.0), *(self.units.get("^" + word[:n], 0.0) for n in PREFIXES if len(word) >= n)])
+            own = self.units.get(word, 0.0)
+            best = max([own, *(self.units.get("^" + word[:n], 0.0) for n in PREFIXES if len(word) >= n)])
+            found = best if best > 0 else own
             if len(self.memo) < 200_000:
                 self.memo[word] = found
         return found
 
+    def scan(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """The maximal scoring segments of a text's words."""
+        score = self.score
+        return segments([(i, s) for i, w in enumerate(words) if (s := score(w))])
+
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float, float]]]:
         """The number of words, and (first word, last word, score, excess) of each significant segment."""
         words = words_of(text)
-        score = self.score
-        hits = [(i, s) for i, w in enumerate(words) if (s := score(w)) > 0]
-        out = []
-        chance = math.log(max(K * len(words), 1.0))
-        for first, last, s in segments(hits):
-            excess = self.rate * s - chance
-            if excess > SIGNIFICANT:
-                out.append((first, last, s, excess))
-        return len(words), out
+        chance = math.log(max(self.k * len(words), 1e-9) / SIGNIFICANT)
+        found = [(first, last, s, self.rate * s - chance) for first, last, s in self.scan(words)]
+        return len(words), [p for p in found if p[3] > 0]
 
     def probability(self, excess: float) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, self.bias + self.slope * min(excess, BINS * BIN)))))
+        return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, self.bias + self.slope * math.log1p(excess)))))
 
 
 def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
@@ -111,18 +115,25 @@ def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[
 
 
 def _rate(scores: np.ndarray, shares: np.ndarray, drift: float = DRIFT) -> float:
-    """The positive root of sum(share * exp(rate * score)) = 1, where the words without evidence score -drift."""
-    rest = max(0.0, 1.0 - shares.sum())
-    value = lambda x: float((shares * np.exp(np.minimum(x * (scores - drift), 300))).sum() + rest * math.exp(-x * drift) - 1)
+    """The positive root of sum(share * exp(rate * (score - drift))) = 1 for words of these scores and shares."""
+    value = lambda x: float((shares * np.exp(np.minimum(x * (scores - drift), 300))).sum() - 1)
     low, high = 1e-3, 5.0
-    if not len(scores) or value(high) < 0:
-        return high if len(scores) else 1.0
+    if not (scores > drift).any() or value(high) < 0:
+        return high if (scores > drift).any() else 1.0
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if value(mid) < 0 else (low, mid)
     return low
 
 
+def _chance(scores: np.ndarray, counts: np.ndarray, words: float, rate: float) -> float:
+    """K, from the clean segments: those that reach their mean score are K * words * exp(-rate * score) in number."""
+    if not counts.sum():
+        return K
+    mean = float((scores * counts).sum() / counts.sum())
+    return float(counts[scores >= mean].sum() / max(words, 1.0) * math.exp(min(rate * mean, 50.0)))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """Bias and slope by Newton's steps on binned counts, with a small ridge."""
     if not n.sum() or not (y * n).sum():
@@ -147,12 +158,33 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([list(dict.fromkeys(w)) for w in words], pa.list_(pa.string()))], ["y", "n", "ws"])
 
 
-def fit(training: DataFrame, text_col: str, label_col: str) -> Model:
-    """A model from labelled rows. What reaches the driver: at most MAX_UNITS units and 2 * BINS counts."""
+def _scan(model: Model):
+    """y, the number of words, the scores of the segments, and counts of the words by score bin, of rows of y and a text."""
+    pairs = pa.list_(pa.struct([("bin", pa.int32()), ("n", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, found, bins = [], [], []
+            for t in b.column(1):
+                words = words_of(t.as_py())
+                sizes.append(len(words))
+                found.append([s for *_, s in model.scan(words)])
+                values, n = np.unique(np.round(np.array([model.score(w) for w in words]) / SCORE_BIN).astype(np.int32), return_counts=True)
+                bins.append([{"bin": int(v), "n": int(c)} for v, c in zip(values, n, strict=True)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.float64())), pa.array(bins, pairs)], ["y", "n", "found", "bins"])
+
+    return run
+
+
+def fit(training: DataFrame, text_col: str, label_col: str, scratch: Scratch | None = None) -> Model:
+    """A model from labelled rows, whose number bounds the units that have evidence; counts by bins reach the driver besides.
+
+    With `scratch` the scanned rows are written, else they are scanned twice.
+    """
     rows = training.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
     split = rows.select("y", "t").mapInArrow(_split, "y int, n long, ws array<string>")
-    total = split.agg(F.sum("y"), F.sum(1 - F.col("y")), F.sum(F.when(F.col("y") == 0, F.col("n")))).first()
-    n_toxic, n_clean, clean_words = (float(x or 0) for x in total)
+    total = rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
+    n_toxic, n_clean = (float(x or 0) for x in total)
     if not n_toxic or not n_clean:
         return Model()
     counted = split.select("y", F.explode("ws").alias("w")).groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
@@ -161,12 +193,20 @@ def fit(training: DataFrame, text_col: str, label_col: str) -> Model:
     prior = F.lit(FLOOR) + F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / F.lit(n_toxic + n_clean)
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / F.lit(n_toxic + PRIOR)) - F.log(b / F.lit(n_clean + PRIOR))
-    bound = odds - F.lit(CONFIDENCE) * F.sqrt(1 / a + 1 / b)
-    best = units.where("toxic >= 2").select("unit", bound.alias("bound"), (b / F.lit(max(clean_words, 1.0))).alias("share")).where(f"bound > {LEAST}").orderBy(F.desc("bound"), "unit").limit(MAX_UNITS).collect()
-    model = Model({r.unit: r.bound for r in best})
-    plain = [r for r in best if not r.unit.startswith("^")]
-    model.rate = _rate(np.array([r.bound for r in plain]), np.array([r.share for r in plain]))
-    bins = excesses(rows, "t", model).select("y", F.least(F.floor(F.col("excess") / BIN), F.lit(BINS)).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y")).orderBy("bin").collect()
+    away = F.lit(CONFIDENCE) * F.sqrt(1 / a + 1 / b)
+    bound = F.when((odds > away) & (F.col("toxic") >= 2), odds - away).when((odds < -away) & (F.col("clean") >= 2) & ~F.startswith("unit", F.lit("^")), odds + away)
+    model = Model({r.unit: r.bound for r in units.select("unit", bound.alias("bound")).where(F.abs("bound") > LEAST).collect()})
+    scanned = rows.select("y", "t").mapInArrow(_scan(model), "y int, n long, found array<double>, bins array<struct<bin: int, n: long>>")
+    scanned = scratch.write(scanned, "scanned") if scratch else scanned
+    clean = scanned.where("y = 0")
+    words = clean.select(F.explode("bins").alias("b")).groupBy("b.bin").agg(F.sum("b.n").alias("n")).collect()
+    n_words = float(sum(r.n for r in words))
+    model.rate = _rate(np.array([r.bin * SCORE_BIN for r in words], float), np.array([r.n / max(n_words, 1.0) for r in words], float))
+    hits = clean.select(F.explode("found").alias("s")).groupBy(F.floor(F.col("s") / SCORE_BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    model.k = _chance(np.array([r.bin * SCORE_BIN for r in hits], float), np.array([r.n for r in hits], float), n_words, model.rate)
+    chance = F.log(F.greatest(F.lit(model.k) * F.col("n"), F.lit(1e-9)) / F.lit(SIGNIFICANT))
+    excess = F.aggregate("found", F.lit(0.0), lambda acc, s: acc + F.greatest(F.lit(model.rate) * s - chance, F.lit(0.0)))
+    bins = scanned.select("y", F.floor(F.log1p(excess) / BIN).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y")).orderBy("bin").collect()
     model.bias, model.slope = _logistic(np.array([(r.bin + (r.bin > 0) * 0.5) * BIN for r in bins], float), np.array([r.y for r in bins], float), np.array([r.n for r in bins], float))
     return model
 
@@ -200,7 +240,7 @@ def judge_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", sco
     A null or empty text has no passage and gets the score of a text without evidence. Repeated rows are judged each;
     there is no shuffle. Columns of the new names are replaced; an empty table gives none.
     """
-    cols = [c for c in docs.columns if c not in ("n_words", "excess", "passages", score_col)]
+    cols = without(docs, "n_words", "excess", "passages", score_col.lower())
     out = excesses(docs.select(*cols), text_col, model, keep_text)
-    z = F.lit(model.bias) + F.lit(model.slope) * F.least(F.col("excess"), F.lit(BINS * BIN))
+    z = F.lit(model.bias) + F.lit(model.slope) * F.log1p("excess")
     return out.withColumn(score_col, 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), z)))))
