@@ -10,20 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import GAP_CHARS, WORD, fresh, words
+from pulsegrid.llm.common import GAP_CHARS, WORD, fresh, without, words
 
 SYMBOLS, SEPARATORS, CLOSING = "#*$%&|<>", "|»·•", ".!?…:;。！？"
 #: A character of a word.
 VISIBLE = WORD.rstrip("+")
-#: Phrases of lines that aren't content.
-BOILERPLATE = r"licen[cs]ed under|all rights reserved|copyright|terms of (use|service)|privacy policy|cookie|javascript|lorem ipsum|sign (in|up)\b|log ?in\b|subscribe|click here|read more"
+#: Phrases of lines that aren't content, by language; a line is lower-cased before it is searched.
+PHRASES = {
+    "en": ("licensed under", "licenced under", "all rights reserved", "copyright", "terms of use", "terms of service", "privacy policy", "cookie", "javascript", "lorem ipsum", "subscribe", "click here", "read more"),
+    "de": ("lizenziert unter", "alle rechte vorbehalten", "urheberrecht", "nutzungsbedingungen", "datenschutzerklärung", "impressum", "hier anmelden", "jetzt registrieren", "hier klicken", "weiterlesen"),
+    "fr": ("sous licence", "tous droits réservés", "droit d'auteur", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "se connecter", "inscrivez-vous", "cliquez ici", "lire la suite"),
+    "es": ("bajo la licencia", "todos los derechos reservados", "derechos de autor", "condiciones de uso", "política de privacidad", "aviso legal", "iniciar sesión", "regístrate", "haz clic", "leer más"),
+}
+#: Phrases that end with a word; the text around them decides.
+BOUNDED = ("sign in", "sign up", "login", "log in")
+BOILERPLATE = "|".join([*(p for phrases in PHRASES.values() for p in phrases), *(rf"{p}\b" for p in BOUNDED)])
 #: A document is rejected when its failing lines hold more than this share (in percent) of its characters in words.
 MOST_LOST = 40
 MIN_WORDS, MOST_REPEATED = 50, 50
 
 
 #: One of these stands in every text in which BOILERPLATE can be found.
-HINTS = ("licensed under", "licenced under", "all rights reserved", "copyright", "terms of ", "privacy policy", "cookie", "javascript", "lorem ipsum", "sign in", "sign up", "login", "log in", "subscribe", "click here", "read more")
+HINTS = (*(p for phrases in PHRASES.values() for p in phrases), *BOUNDED)
 
 
 def _any_of(chars: str) -> str:
@@ -75,7 +83,7 @@ def judge_lines(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     judged each on its own, without a shuffle; columns of these names are replaced; an empty table gives none.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_chars", "kept", "clean_text")
-    kept = [c for c in docs.columns if c not in names]
+    kept = without(docs, *names)
     t, w, lines, order, grams, n_words, n_symbols, hinted, exclaimed = fresh(docs, "text_", "words_", "lines_", "order_", "grams_", "count_", "marks_", "hinted_", "exclaimed_")
     long = lambda c: c.cast("long")
     text = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(t))
@@ -108,6 +116,10 @@ def _sql_count(x: str, chars: str) -> str:
     return f"(length({x}) - length(translate({x}, '{chars}', '')))"
 
 
+_FAILS = f"""{_sql_count("x", SEPARATORS)} >= 3 or regexp_matches(lower(x), '{BOILERPLATE.replace("'", "''")}') or {_sql_count("x", SYMBOLS)} * 20 > length(x)
+      or ({_sql_count("x", "!")} * 20 > length(x) and length(x) >= 20) or (length(x) >= 200 and {_sql_count("x", CLOSING)} = 0)
+      or (length(x) >= 20 and upper(x) = x and lower(x) <> x)"""
+
 ORACLE = rf"""
 with d as (
   select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, string_split(coalesce(text, ''), chr(10)) as lines from documents),
@@ -117,13 +129,11 @@ rep as (select doc_id, count(distinct i + x)::bigint as n from twice, (values (0
 f as (
   select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
     {_sql_count("t", SYMBOLS)}::bigint as n_symbols, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as v,
-    coalesce(list_sum(list_transform(list_filter(lines, lambda x:
-      {_sql_count("x", SEPARATORS)} >= 3 or regexp_matches(lower(x), '{BOILERPLATE}') or {_sql_count("x", SYMBOLS)} * 20 > length(x)
-      or ({_sql_count("x", "!")} * 20 > length(x) and length(x) >= 20) or (length(x) >= 200 and {_sql_count("x", CLOSING)} = 0)
-      or (length(x) >= 20 and upper(x) = x and lower(x) <> x)), lambda x: length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')))), 0)::bigint as failed_chars
+    coalesce(list_sum(list_transform(list_filter(lines, lambda x: {_FAILS}), lambda x: length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')))), 0)::bigint as failed_chars,
+    md5(coalesce(array_to_string(list_filter(lines, lambda x: not ({_FAILS})), chr(10)), '')) as clean_md5
   from d),
 b as (
-  select f.doc_id, n_words, word_chars, n_symbols, (len(v) - len(list_distinct(v)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, failed_chars
+  select f.doc_id, n_words, word_chars, n_symbols, (len(v) - len(list_distinct(v)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, failed_chars, clean_md5
   from f left join rep using (doc_id))
 select *, (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words) as base_failed,
   not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words) and 100 * failed_chars <= {MOST_LOST} * word_chars as kept

@@ -28,14 +28,15 @@ def op3_three_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = curriculum.plan_mix(table(spark, sf_dir, "documents"), Scratch(spark, "mix"))
-    return planned.select("doc_id", "size", "source_size", "target", "taken")
+    planned = curriculum.schedule(curriculum.plan_mix(table(spark, sf_dir, "documents"), Scratch(spark, "mix")))
+    return planned.select("doc_id", "size", "source_size", "target", "copies", "taken", *[F.round(c, 9).alias(c) for c in ("first_position", "last_position")])
 
 
 def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    training = training_rows(docs, table(spark, sf_dir, "labels"), Scratch(spark, "toxicity"), label="toxic", folds=3, held_out=1)
-    judged = toxic_segments.judge_toxicity(docs.select("doc_id", "text"), toxic_segments.fit(training, "t", "y"))
+    scratch = Scratch(spark, "toxicity")
+    training = training_rows(docs, table(spark, sf_dir, "labels"), scratch, label="toxic", folds=3, held_out=1)
+    judged = toxic_segments.judge_toxicity(docs.select("doc_id", "text"), toxic_segments.fit(training, "t", "y", scratch))
     return judged.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "excess", F.size("passages").alias("n_passages"))
 
 
@@ -45,7 +46,7 @@ def op6_bucket_pointer_refinement(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op7_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_quality.judge_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_chars", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_chars", "kept", F.md5("clean_text").alias("clean_md5"))
 
 
 def op8_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +85,7 @@ ORACLE: dict[str, str] = {
     "op1_redirect_equivalence": url_rules.oracle(),
     "op3_three_line_windows": line_windows.ORACLE,
     "op4_curriculum_mix": curriculum.ORACLE,
+    "op6_bucket_pointer_refinement": bucket_pointer.ORACLE,
     "op7_line_first_quality": line_quality.ORACLE,
+    "op8_minmax_hashing": minmax_hash.ORACLE,
 }

@@ -255,6 +255,45 @@ def test_held_out_accuracy(spark, name, label, least):
     assert sum(y == p for y, p, _ in rows) / len(rows) >= least and all(0 <= s <= 1 for *_, s in rows)
 
 
+def test_held_out_toxic_documents_are_found(spark):
+    rows = held_out(spark, "op5_toxic_segments", "/root/testdata/sf0.01", "toxic")
+    found = sum(y == p == 1 for y, p, _ in rows)
+    assert found >= 0.8 * sum(y for y, *_ in rows) and found >= 0.9 * sum(p for _, p, _ in rows)
+
+
+def test_evidence_for_clean_text_counts(spark):
+    """Log-odds by hand: words of toxic texts score above 0, words of clean texts alone below it."""
+    rows = [(i, f"alpha beta vile{'' if i % 2 else 's'} gamma" if i % 4 == 0 else "alpha beta calm gamma", int(i % 4 == 0)) for i in range(400)]
+    model = toxic_segments.fit(spark.createDataFrame(rows, "id long, text string, y int"), "text", "y")
+    n_toxic, n_clean, toxic, clean = 100, 300, 0, 300
+    prior = 0.5 + (toxic + clean) / 400
+    a, b = toxic + prior, clean + prior
+    odds, away = math.log(a / (n_toxic + 1)) - math.log(b / (n_clean + 1)), 1.96 * math.sqrt(1 / a + 1 / b)
+    assert math.isclose(model.units["calm"], odds + away) and model.units["calm"] < 0 < model.units["viles"]
+    assert not {"alpha", "beta", "gamma"} & set(model.units) and not any(u[0] == "^" and v < 0 for u, v in model.units.items())
+    assert model.score("calm") < 0 and model.score("calms") == 0 and model.score("vilest") == model.units["^viles"]
+
+
+def test_background_statistics():
+    """Lambda solves the moment equation of the scores; K gives back the number of clean segments at their mean score."""
+    scores, shares = np.array([-0.5, 0.0, 1.0, 2.5]), np.array([0.2, 0.75, 0.04, 0.01])
+    rate = toxic_segments._rate(scores, shares)
+    assert math.isclose((shares * np.exp(rate * (scores - toxic_segments.DRIFT))).sum(), 1, rel_tol=1e-6) and rate > 0.01
+    counts, at = np.array([50, 30, 20]), np.array([1.0, 2.0, 3.0])
+    k = toxic_segments._chance(at, counts, 1e4, 1.5)
+    assert math.isclose(k * 1e4 * math.exp(-1.5 * 1.7), 50) and toxic_segments._chance(at[:0], counts[:0], 1e4, 1.5) == toxic_segments.K
+    assert toxic_segments._rate(np.array([-1.0]), np.array([1.0])) == 1.0
+
+
+def test_passages_by_hand():
+    model = toxic_segments.Model({"bad": 2.0, "worse": 3.0, "fine": -3.0}, rate=1.0, k=0.01, bias=-1.0, slope=2.0)
+    n, found = model.passages("some bad worse words fine then bad " + "word " * 93)
+    want = [(1, 2, 5 - 2 * toxic_segments.DRIFT)]
+    assert n == 100 and [(a, b) for a, b, *_ in found] == [(1, 2)] and math.isclose(found[0][2], want[0][2])
+    assert math.isclose(found[0][3], want[0][2] - math.log(0.01 * 100 / toxic_segments.SIGNIFICANT))
+    assert model.passages("")[1] == [] and model.probability(0.0) == 1 / (1 + math.exp(1.0))
+
+
 def test_words_with_marks_are_learned_and_found(spark):
     """Combining marks belong to their words on both sides: Hindi, and accents as characters of their own."""
     rng = random.Random(4)
