@@ -17,9 +17,14 @@ TOXIC = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC; null and empty texts stay. The model learns from labels."""
-    training = training_rows(docs, table(spark, sf_dir, "labels"), Scratch(spark, "toxicity"), label="toxic", folds=3, held_out=1)
-    model = toxic_segments.fit(training, "t", "y")
+    """Documents whose toxicity score is below TOXIC. The model learns from labels.
+
+    Null and empty texts hold no evidence and stay; repeated rows are judged each; without labels all stay. An empty
+    table gives none.
+    """
+    scratch = Scratch(spark, "toxicity")
+    training = training_rows(docs, table(spark, sf_dir, "labels"), scratch, label="toxic", folds=3, held_out=1)
+    model = toxic_segments.fit(training, "t", "y", scratch)
     whole = docs.select(F.struct("*").alias("doc"), F.col("text").alias("text"))
     return toxic_segments.judge_toxicity(whole, model).where(F.col("score") < TOXIC).select("doc.*")
 
@@ -27,25 +32,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that later occurrences of a three-line window cover; n_chars follows the text.
 
-    A document that loses every line goes, as nothing of it is left; one that was empty before stays.
+    A document that loses every line goes, as nothing of it is left; one that was empty before stays, and so does a null
+    text. The first document by id (null last) keeps its lines. An empty table gives none.
     """
     cleaned = line_windows.dedupe_lines(docs, Scratch(spark, "lines")).where("n_removed = 0 or n_removed < n_lines")
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
+    """One document of each group of near-duplicates: that of the smallest id.
+
+    Rows of equal texts are near-duplicates, whatever their ids, and null ids come last; null texts, and texts without
+    words, are never near-duplicates and all stay. An empty table gives none.
+    """
     return minmax_hash.near_duplicates(docs, Scratch(spark, "minmax")).where("is_first").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, in the order of its training position."""
+    """A row for each time that the mix takes a document, stored in the order of its training position.
+
+    The rows are range-sorted, so the order of the written parts and of the rows in them is the order of training. A
+    null source is a source of its own; null and empty texts have no words, cost nothing of the target and keep their
+    place; ties are sorted by id; repeated rows are taken each on their own. An empty table gives none.
+    """
     return curriculum.mix(docs, Scratch(spark, "mix")).select(*docs.columns)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces; copies of a document are packed each on their own."""
-    return packing.piece_digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    """The packed pieces; the sequence ids follow the order in which the documents are stored, the training order.
+
+    Copies of a document are packed each on their own. A null text counts as empty and gives the end id alone; an empty
+    table gives no piece. A table that isn't read from files is packed in the order of its partitions.
+    """
+    return packing.piece_digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), order=packing.stored_order(docs)))
 
 
 STAGES = [
