@@ -1,14 +1,14 @@
 """Point-source fits: the distance and direction of a spherical front, with removal of outlying hits.
 
-A source is fitted in (1 / rho, theta, phi); the time origin is linear and drops out when residuals lose their mean. Starts,
-subsets of hits and events are rows: every row carries its hits as arrays, one Arrow batch solves thousands of rows at
-once, and the choice between starts or subsets is an aggregation.
+A source is fitted in (1 / rho, theta, phi); the time origin is linear and drops out when residuals lose their mean. Events
+and their subsets of hits are rows that carry their hits as arrays. An Arrow batch solves thousands of rows from all starts
+at once and gives back the best of each row, so fits need no shuffle; the choice between subsets is an aggregation.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from pulsegrid.constants import C_AIR, C_VACUUM, EVENT, RHO_MAX, RHO_MIN, SIGMA
 from pulsegrid.operators.causality import gather, scatter
 
 STEPS = 60
+#: Hits of all starts that are solved together; bounds the memory of a batch.
+TOGETHER = 1 << 16
 #: Starts (rho, theta, azimuth relative to the seed): two rings of eight azimuths.
 STARTS = [(3e4, 60.0, 45.0 * k) for k in range(8)] + [(2e4, 45.0, 22.5 + 45.0 * k) for k in range(8)]
 #: Azimuths (relative) of the refits of subsets: of more than four hits, of four.
@@ -105,52 +107,72 @@ def _damped(j: np.ndarray, g: np.ndarray, damp: np.ndarray) -> np.ndarray:
     return -np.stack([a * (d * d - z * z) + b * (y * z - d * x) + c * (x * z - d * y), a * (y * z - d * x) + b * (d * d - y * y) + c * (x * y - d * z), a * (x * z - d * y) + b * (x * y - d * z) + c * (d * d - x * x)], -1) / det[:, None]
 
 
-def solve_rows(rows: DataFrame, *, c: float = C_AIR, rho: tuple[float, float] = (RHO_MIN, RHO_MAX), theta: tuple[float, float] = (5.0, 95.0), edge: float = 0.0) -> DataFrame:
-    """Rows with hits (array of structs with x, y, z, time_ns) and a start (rho0, theta0, phi0), with rho, theta, phi and
-    total (sum of squared residuals / sigma^2) added."""
-    schema = T.StructType([*rows.schema.fields, *[T.StructField(k, T.DoubleType()) for k in ("rho", "theta", "phi", "total")]])
-    at = {k: rows.columns.index(k) for k in ("hits", "rho0", "theta0", "phi0")}
+#: Start values (rho, theta, phi) of a batch's rows: an array of rows x starts x 3, from some of their columns.
+Starts = Callable[[dict[str, np.ndarray]], np.ndarray]
+
+
+def relative_to_seed(starts: list[tuple[float, float | None, float]]) -> Starts:
+    """Azimuths relative to seed_phi; a start without a zenith takes seed_theta."""
+
+    def of(col: dict[str, np.ndarray]) -> np.ndarray:
+        one = np.ones(len(col["seed_phi"]))
+        return np.stack([np.stack([rho * one, col["seed_theta"] if theta is None else theta * one, col["seed_phi"] + d], -1) for rho, theta, d in starts], 1)
+
+    return of
+
+
+def around_fit(starts: list[tuple[float, float, float]], theta: tuple[float, float]) -> Starts:
+    """Around the fit (rho, theta, phi) of each row: a factor and two differences; zeniths stay in bounds."""
+
+    def of(col: dict[str, np.ndarray]) -> np.ndarray:
+        return np.stack([np.stack([col["rho"] * a, np.clip(col["theta"] + b, *theta), col["phi"] + d], -1) for a, b, d in starts], 1)
+
+    return of
+
+
+SOLVED = ("rho", "theta", "phi", "total", "sx", "sy", "sz")
+
+
+def solve_best(rows: DataFrame, starts: Starts, needs: list[str], *, c: float = C_AIR, rho: tuple[float, float] = (RHO_MIN, RHO_MAX), theta: tuple[float, float] = (5.0, 95.0), edge: float = 0.0) -> DataFrame:
+    """Rows with hits (array of structs with x, y, z, time_ns), with the solution of least total (sum of squared residuals
+    / sigma^2), the first start among equals, in place of a fit before: rho, theta, phi, total and the source sx, sy, sz.
+
+    `needs` names the columns that `starts` reads. Zeniths above 90 are folded.
+    """
+    kept = [f for f in rows.schema.fields if f.name not in SOLVED]
+    schema = T.StructType([*kept, *[T.StructField(k, T.DoubleType()) for k in SOLVED[:4]]])
+    at = {k: rows.columns.index(k) for k in ("hits", *needs)}
+    rest = [rows.columns.index(f.name) for f in kept]
+
+    def best(hits: pa.ListArray, col: dict[str, np.ndarray]) -> np.ndarray:
+        size = np.array(hits.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+        flat = hits.flatten()
+        values = np.stack([flat.field(n).to_numpy(zero_copy_only=False) for n in ("x", "y", "z", "time_ns")], -1).astype(float)
+        w = np.arange(size.max())[None, :] < size[:, None]
+        padded = np.zeros((*w.shape, 4))
+        padded[w] = values
+        t = padded[..., 3]
+        t = (t - t.sum(1, keepdims=True) / size[:, None]) * w
+        first = starts(col)
+        n, k = first.shape[:2]
+        again = lambda a: np.repeat(a, k, axis=0)
+        u, total = solve_sources(first.reshape(n * k, 3), again(padded[..., :3]), again(t), again(w.astype(float)), c=c, rho=rho, theta=theta, edge=edge)
+        pick = np.arange(n) * k + total.reshape(n, k).argmin(1)
+        return np.column_stack([u[pick], total[pick]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 4096):
-                b = whole.slice(k, 4096)
-                hits = b.column(at["hits"])
-                size = np.array(hits.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-                flat = hits.flatten()
-                values = np.stack([flat.field(n).to_numpy(zero_copy_only=False) for n in ("x", "y", "z", "time_ns")], -1).astype(float)
-                w = np.arange(size.max())[None, :] < size[:, None]
-                padded = np.zeros((*w.shape, 4))
-                padded[w] = values
-                t = padded[..., 3]
-                t = (t - t.sum(1, keepdims=True) / size[:, None]) * w
-                start = np.stack([b.column(at[n]).to_numpy(zero_copy_only=False) for n in ("rho0", "theta0", "phi0")], -1).astype(float)
-                u, total = solve_sources(start, padded[..., :3], t, w.astype(float), c=c, rho=rho, theta=theta, edge=edge)
-                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(u[:, i]) for i in range(3)], pa.array(total)], schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
-def with_starts(rows: DataFrame, starts: list[tuple[float, float | None, float]], phi: Column, theta: Column | None = None) -> DataFrame:
-    """A row for each start, with its number; azimuths are relative to `phi`, a start without a zenith takes `theta`."""
-    zen = lambda b: F.lit(b).cast("double") if b is not None else theta
-    listed = F.array(*[F.struct(F.lit(i).alias("start"), F.lit(a).alias("rho0"), zen(b).alias("theta0"), F.lit(d).alias("d")) for i, (a, b, d) in enumerate(starts)])
-    return rows.withColumn("s", F.explode(listed)).select(*rows.columns, "s.start", "s.rho0", "s.theta0", (phi + F.col("s.d")).alias("phi0"))
-
-
-def with_starts_around(rows: DataFrame, starts: list[tuple[float, float, float]], theta: tuple[float, float]) -> DataFrame:
-    """The same for starts around the fit (rho, theta, phi) of each row, which is then dropped; zeniths stay in bounds."""
-    listed = F.array(*[F.struct(F.lit(i).alias("start"), (F.col("rho") * a).alias("rho0"), F.greatest(F.least(F.col("theta") + b, F.lit(theta[1])), F.lit(theta[0])).alias("theta0"), (F.col("phi") + d).alias("phi0")) for i, (a, b, d) in enumerate(starts)])
-    return rows.withColumn("s", F.explode(listed)).select(*[c for c in rows.columns if c not in ("rho", "theta", "phi", "sx", "sy", "sz")], "s.*")
-
-
-def best_start(solved: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
-    """The solution of least total by key, the first start among equals, with source coordinates sx, sy, sz."""
-    best = F.min_by(F.struct("rho", "theta", "phi", "total", *keep), F.struct("total", "start"))
-    b = solved.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+            longest = max(np.max(whole.column(at["hits"]).value_lengths().to_numpy(zero_copy_only=False), initial=1), 1)
+            step = max(1, TOGETHER // int(16 * longest))
+            for k in range(0, whole.num_rows, step):
+                b = whole.slice(k, step)
+                found = best(b.column(at["hits"]), {n: b.column(at[n]).to_numpy(zero_copy_only=False).astype(float) for n in needs})
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), *[pa.array(found[:, i]) for i in range(4)]], schema.names)
+
+    solved = rows.mapInArrow(run, schema)
     fold = F.when(F.col("theta") > 90.0, 180.0 - F.col("theta")).otherwise(F.col("theta"))
-    t, p = F.radians(fold), F.radians("phi")
-    return b.withColumn("theta", fold).withColumns({"sx": F.col("rho") * F.sin(t) * F.cos(p), "sy": F.col("rho") * F.sin(t) * F.sin(p), "sz": F.col("rho") * F.cos(t)})
+    t, p = F.radians("theta"), F.radians("phi")
+    return solved.withColumn("theta", fold).withColumns({"sx": F.col("rho") * F.sin(t) * F.cos(p), "sy": F.col("rho") * F.sin(t) * F.sin(p), "sz": F.col("rho") * F.cos(t)})
 
 
 def _seeded(hits: DataFrame, plane: DataFrame, least: int) -> DataFrame:
@@ -165,8 +187,7 @@ def fit(hits: DataFrame, plane: DataFrame, *, least: int = 5, starts: list[tuple
     Where even the best start leaves a chi square above `fallback` the plane wave's direction at 100 km stands in.
     """
     events = _seeded(hits, plane, least)
-    solved = solve_rows(with_starts(events, starts or STARTS, F.col("seed_phi"), F.col("seed_theta")), c=c, rho=rho, theta=theta)
-    out = best_start(solved, EVENT, ["hits", "seed_phi", "seed_theta"])
+    out = solve_best(events, relative_to_seed(starts or STARTS), ["seed_phi", "seed_theta"], c=c, rho=rho, theta=theta)
     chi = F.greatest(F.col("total") / F.greatest(F.size("hits") - 4, F.lit(1)), F.lit(floor))
     bad = chi > fallback
     t, p = F.radians("seed_theta"), F.radians("seed_phi")
@@ -216,13 +237,13 @@ def chi_square(hits: DataFrame, sources: DataFrame, fitted: int = 4, c: float =
     return j.groupBy(*EVENT).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * F.var_pop(r) / F.lit(SIGMA * SIGMA)).alias("total")).select(*EVENT, "n", (F.col("total") / F.greatest(F.col("n") - fitted, F.lit(1))).alias("chi_square"))
 
 
-def subsets(events: DataFrame, k: int, longest: int) -> DataFrame:
-    """A row for each way to leave k hits out: hits (those that stay), gone (those that don't) and the subset's number.
-
-    `longest` is the largest number of hits that occurs; the index sets of each number stand in the plan.
-    """
-    ways = F.map_from_arrays(F.array(*[F.lit(n) for n in range(k + 4, longest + 1)]), F.array(*[F.array(*[F.array(*map(F.lit, s)) for s in itertools.combinations(range(n), k)]) for n in range(k + 4, longest + 1)]))
-    rows = events.select("*", F.posexplode(F.try_element_at(ways, F.size("hits"))).alias("subset", "out"))
+def subsets(events: DataFrame, k: int) -> DataFrame:
+    """A row for each way to leave k (one or two) hits out and keep at least four: hits (those that stay), gone (those that
+    don't) and the subset's number. The index sets are made within the row, so an event may have any number of hits."""
+    n = F.size("hits")
+    one = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(i))
+    two = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.array(i, j))))
+    rows = events.where(n >= k + 4).select("*", F.posexplode(one if k == 1 else two).alias("subset", "out"))
     part = lambda want: F.transform(F.filter(F.transform("hits", lambda h, i: F.struct(h.alias("h"), F.array_contains("out", i).alias("o"))), lambda s: s["o"] == want), lambda s: s["h"])
     return rows.select(*[c for c in events.columns if c != "hits"], "subset", part(False).alias("hits"), part(True).alias("gone"))
 
@@ -234,14 +255,13 @@ def _confirmed(c: float = C_AIR) -> Column:
     return F.forall("gone", lambda h: F.abs(d(h) - mean) > CONFIRM)
 
 
-def _round(todo: DataFrame, k: int, longest: int) -> DataFrame:
+def _round(todo: DataFrame, k: int) -> DataFrame:
     """For each outlying event the best way to leave out k hits that passes its gate, or none."""
-    tried = subsets(todo.select(*EVENT, "chi_square", "seed_phi", "hits"), k, longest)
+    tried = subsets(todo.select(*EVENT, "chi_square", "seed_phi", "hits"), k)
     four = F.size("hits") == 4
-    wide = solve_rows(with_starts(tried.where(~four), REFIT, F.col("seed_phi")))
-    few = solve_rows(with_starts(tried.where(four), REFIT_FOUR, F.col("seed_phi")))
-    keys = [*EVENT, "subset"]
-    refit = best_start(wide.unionByName(few), keys, ["hits", "gone", "chi_square", "seed_phi"])
+    wide = solve_best(tried.where(~four), relative_to_seed(REFIT), ["seed_phi"])
+    few = solve_best(tried.where(four), relative_to_seed(REFIT_FOUR), ["seed_phi"])
+    refit = wide.unionByName(few)
     new = F.col("total") / F.greatest(F.size("hits") - 4, F.lit(1))
     less = new < F.when(four, GATE_TO_FOUR).otherwise(GATE) * F.col("chi_square")
     gate = less & (four | _confirmed())
@@ -250,7 +270,7 @@ def _round(todo: DataFrame, k: int, longest: int) -> DataFrame:
     return passed.groupBy(*EVENT).agg(best.alias("b")).select(*EVENT, "b.*")
 
 
-def _round_penalised(todo: DataFrame, k: int, longest: int) -> DataFrame:
+def _round_penalised(todo: DataFrame, k: int) -> DataFrame:
     """For each outlying event the refit of the penalised variant that leaves one hit out and passes its gate, or none.
 
     Of more than five hits the first refit that passes counts, in the order of the hits' residuals; of five that of the
@@ -261,12 +281,11 @@ def _round_penalised(todo: DataFrame, k: int, longest: int) -> DataFrame:
     mean = F.aggregate("off", F.lit(0.0), lambda s, v: s + v) / F.size("off")
     ordered = F.array_sort(F.transform("off", lambda v, i: F.struct((-F.abs(v - mean)).alias("v"), i.alias("i"))))
     fits = todo.select(*EVENT, "chi_square", "seed_phi", "rho", "theta", "phi", "sx", "sy", "sz", "hits").withColumn("off", off).withColumn("order", F.transform(ordered, lambda s: s["i"])).drop("off")
-    tried = subsets(fits, k, longest).withColumn("place", F.array_position("order", F.col("subset"))).drop("order")
+    tried = subsets(fits, k).withColumn("place", F.array_position("order", F.col("subset"))).drop("order")
     four = F.size("hits") == 4
     turns = [(0, tried.where(four & (F.col("chi_square") > ALL_FOURS)), AROUND_FOURS), (1, tried.where(four & (F.col("place") == 1)), AROUND_FOUR), (1, tried.where(~four), AROUND)]
-    starts = [with_starts_around(rows, around, PENALISED["theta"]).withColumn("turn", F.lit(turn)) for turn, rows, around in turns]
-    solved = solve_rows(starts[0].unionByName(starts[1]).unionByName(starts[2]), **PENALISED, edge=EDGE_STRENGTH)
-    refit = best_start(solved, [*EVENT, "subset", "turn"], ["hits", "gone", "chi_square", "seed_phi", "place"])
+    solved = [solve_best(rows.withColumn("turn", F.lit(turn)), around_fit(around, PENALISED["theta"]), ["rho", "theta", "phi"], **PENALISED, edge=EDGE_STRENGTH) for turn, rows, around in turns]
+    refit = reduce(DataFrame.unionByName, solved)
     new = F.col("total") / F.greatest(F.size("hits") - 4, F.lit(1))
     passed = refit.withColumn("new", new).where(F.col("new") < GATE_PENALISED * F.col("chi_square"))
     first = F.struct("turn", F.when(F.col("turn") == 0, F.col("new")).otherwise(F.col("place")), "subset")
@@ -292,22 +311,24 @@ def remove_penalised(fits: DataFrame, checkpoint) -> DataFrame:
 
 
 def _rounds(fits: DataFrame, checkpoint, sizes: tuple[int, ...], attempt) -> DataFrame:
+    """A round carries the events that are still outlying, and nothing else; the others are left where they are written."""
     cols = [*EVENT, "rho", "theta", "phi", "sx", "sy", "sz", "chi_square", "fit_status", "seed_phi", "hits", "removed"]
     state = fits.withColumn("removed", F.array().cast("array<int>")).select(*cols)
     for k in sizes:
-        state, turn = state.withColumn("aside", F.col("fit_status") != "fitted"), 0
+        state = checkpoint(state, f"state-{k}")
+        outlying = (F.col("fit_status") == "fitted") & (F.col("chi_square") > OUTLYING) & (F.size("hits") >= 4 + k)
+        done, todo, turn = [state.where(~outlying)], state.where(outlying), 0
         while True:
-            state, turn = checkpoint(state, f"state-{k}-{turn}"), turn + 1
-            open_ = ~F.col("aside") & (F.col("chi_square") > OUTLYING) & (F.size("hits") >= 4 + k)
-            longest = state.where(open_).agg(F.max(F.size("hits"))).first()[0]
-            if longest is None:
+            turn += 1
+            better = checkpoint(attempt(todo, k), f"better-{k}-{turn}")
+            done.append(todo.join(better.select(*EVENT), EVENT, "left_anti"))
+            if better.limit(1).count() == 0:
                 break
-            better = checkpoint(attempt(state.where(open_), k, longest), f"better-{k}-{turn}")
-            before = state.select(*EVENT, "removed", "fit_status")
-            changed = better.join(before, EVENT).withColumn("removed", F.concat("removed", F.transform("gone", lambda h: h["du_id"]))).select(*cols, F.lit(False).alias("aside"))
-            rest = state.join(better.select(*EVENT), EVENT, "left_anti").withColumn("aside", F.col("aside") | open_)
-            state = rest.unionByName(changed)
-        state = state.drop("aside")
+            removed = F.concat("removed", F.transform("gone", lambda h: h["du_id"]))
+            changed = checkpoint(better.join(todo.select(*EVENT, "removed", "fit_status"), EVENT).withColumn("removed", removed).select(*cols), f"changed-{k}-{turn}")
+            done.append(changed.where(~outlying))
+            todo = changed.where(outlying)
+        state = reduce(DataFrame.unionByName, done)
     return state
 
 
