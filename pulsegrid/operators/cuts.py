@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.constants import EVENT
@@ -19,27 +20,28 @@ TIME, TIME_SEC = 2.0, (-60.321, 41.1506, 2.3754, 80.0)
 LOW_DETECTORS, RING_DETECTORS, RING_MEAN = 4, 6, 700.0
 
 
-def footprint(hits: DataFrame, fits: DataFrame, *, shape: float = SHAPE, spread: float = SPREAD, inside: float = INSIDE, time: float = TIME) -> DataFrame:
-    """One row of diagnostics per event of at least four hits: spreads, elongations and the three tests.
+def _measured(hits: DataFrame, fits: DataFrame) -> DataFrame:
+    """One row per event that has a fit, with what both cuts need of its hits.
 
-    `fits` has an event's arrival vector vx, vy, vz. Hits are moved along it to their mean height, centred, and turned so
-    that the first axis lies along the incident direction. Spreads are between the 5th and 95th percentile. The time
-    residual is the scatter of the times about a line over the long axis. A vector of no length fails.
+    Means are windows over the event and the sums are grouped by it, so hits are shuffled once. They move along the arrival
+    vector to their mean height, which leaves their means where they are, and turn so that the first axis lies along
+    the incident direction.
     """
-    v = fits.select(*EVENT, *(F.col(c) for c in ("vx", "vy", "vz"))).withColumn("n", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz"))).where("n >= 1e-12")
-    unit = v.select(*EVENT, (F.col("vx") / F.col("n")).alias("ux"), (F.col("vy") / F.col("n")).alias("uy"), (F.col("vz") / F.col("n")).alias("uz"))
-    centre = hits.groupBy(*EVENT).agg(F.avg("z").alias("mz"), F.count(F.lit(1)).alias("n_du")).where(F.col("n_du") >= LOW_DETECTORS)
-    j = hits.join(centre, EVENT).join(unit, EVENT)
-    shift = F.when(F.abs("uz") > 0.05, (F.col("mz") - F.col("z")) / F.col("uz")).otherwise(F.lit(0.0))
-    moved = j.select(*EVENT, "time_ns", "n_du", "ux", "uy", "uz", (F.col("x") + shift * F.col("ux")).alias("px"), (F.col("y") + shift * F.col("uy")).alias("py"))
-    means = moved.groupBy(*EVENT).agg(F.avg("px").alias("mx"), F.avg("py").alias("my"))
+    norm = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz"))
+    # A vector of no length has no direction; its event has no axes.
+    unit = fits.select(*EVENT, "vx", "vy", "vz", *[F.when(norm >= 1e-12, F.col(f"v{k}") / norm).alias(f"u{k}") for k in "xyz"])
     az = F.radians(incident_azimuth(F.col("ux"), F.col("uy"), F.col("uz")))
-    dx, dy = F.col("px") - F.col("mx"), F.col("py") - F.col("my")
-    turned = moved.join(means, EVENT).select(*EVENT, "time_ns", "n_du", incident_zenith(F.col("ux"), F.col("uy"), F.col("uz")).alias("zenith"), (dx * F.cos(az) + dy * F.sin(az)).alias("major"), (-dx * F.sin(az) + dy * F.cos(az)).alias("minor"))
+    slope = lambda c: F.when(F.abs("uz") > 0.05, F.col(c) / F.col("uz")).otherwise(F.lit(0.0))
+    turn = unit.select(*EVENT, "vx", "vy", "vz", F.col("ux").isNotNull().alias("directed"), F.cos(az).alias("c"), F.sin(az).alias("s"), slope("ux").alias("kx"), slope("uy").alias("ky"), incident_zenith(F.col("ux"), F.col("uy"), F.col("uz")).alias("zenith"))
+    w = W.partitionBy(*EVENT)
+    off = hits.select(*EVENT, "time_ns", *[(F.col(k) - F.avg(k).over(w)).alias(f"d{k}") for k in "xyz"]).join(turn, EVENT)
+    px, py = F.col("dx") - F.col("dz") * F.col("kx"), F.col("dy") - F.col("dz") * F.col("ky")
+    axes = off.select(*EVENT, "vx", "vy", "vz", "directed", "zenith", "time_ns", F.hypot("dx", "dy").alias("away"), (px * F.col("c") + py * F.col("s")).alias("major"), (py * F.col("c") - px * F.col("s")).alias("minor"))
     p = lambda c: F.percentile(c, F.array(F.lit(0.05), F.lit(0.95)))
-    sums = turned.groupBy(*EVENT).agg(
-        F.first("n_du").alias("n_du"),
-        F.first("zenith").alias("zenith"),
+    return axes.groupBy(*EVENT, "vx", "vy", "vz", "directed", "zenith").agg(
+        F.count(F.lit(1)).alias("n_du"),
+        F.max("away").alias("d_max"),
+        F.avg("away").alias("d_mean"),
         p("major").alias("pa"),
         p("minor").alias("pb"),
         F.regr_syy("time_ns", "major").alias("syy"),
@@ -47,44 +49,62 @@ def footprint(hits: DataFrame, fits: DataFrame, *, shape: float = SHAPE, spread:
         F.regr_sxx("time_ns", "major").alias("sxx"),
         F.collect_list(F.struct("major", "minor")).alias("points"),
     )
-    a, b = F.col("pa")[1] - F.col("pa")[0], F.col("pb")[1] - F.col("pb")[0]
+
+
+def _with_footprint(measured: DataFrame, shape: float, spread: float, inside: float, time: float) -> DataFrame:
+    """The diagnostics of events of at least four hits and a direction, and keep_footprint."""
+    events = measured.where((F.col("n_du") >= LOW_DETECTORS) & F.col("directed"))
     cos, cone = math.cos(math.radians(CONE_DEG)), math.cos(math.radians(CONE_DEG)) ** 2
     sin_z = F.sin(F.radians("zenith"))
-    sec = 1 / F.cos(F.radians("zenith"))
-    with_spread = sums.select("*", a.alias("spread_major"), b.alias("spread_minor"), F.least(F.lit(cos) / F.sqrt(F.greatest(F.lit(cone) - sin_z * sin_z, F.lit(1e-12))), F.lit(MOST_ELONGATED)).alias("expected"), sec.alias("sec"))
+    a, b = F.col("pa")[1] - F.col("pa")[0], F.col("pb")[1] - F.col("pb")[0]
+    widths = events.select("*", a.alias("spread_major"), b.alias("spread_minor"), F.least(F.lit(cos) / F.sqrt(F.greatest(F.lit(cone) - sin_z * sin_z, F.lit(1e-12))), F.lit(MOST_ELONGATED)).alias("expected"), (1 / F.cos(F.radians("zenith"))).alias("sec"))
     half = lambda c: F.greatest(F.lit(spread) * F.col(c) / 2, F.lit(1e-6))
     within = F.size(F.filter("points", lambda q: F.pow(q["major"] / half("spread_major"), 2) + F.pow(q["minor"] / half("spread_minor"), 2) <= 1)) / F.size("points")
     rms = F.when(F.col("spread_major") > 1.0, F.sqrt(F.greatest((F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) / F.col("n_du"), F.lit(0.0)))).otherwise(F.lit(float("inf")))
-    out = with_spread.select(*EVENT, "n_du", "zenith", "sec", "spread_major", "spread_minor", "expected", (F.col("spread_major") / F.greatest("spread_minor", F.lit(1e-6))).alias("observed"), within.alias("share_inside"), rms.alias("time_rms"))
+    out = widths.select(*EVENT, "n_du", "zenith", "sec", "spread_major", "spread_minor", "expected", (F.col("spread_major") / F.greatest("spread_minor", F.lit(1e-6))).alias("observed"), within.alias("share_inside"), rms.alias("time_rms"))
     k0, k1, k2 = SHAPE_SEC
     t0, t1, t2, t3 = TIME_SEC
     s = F.col("sec")
     return out.select(
         "*",
-        ((F.col("expected") / F.col("observed") < shape * (k0 + k1 * s + k2 * s * s)) & (F.col("observed") > 1.0)).alias("shape_ok"),
+        ((F.col("expected") / F.col("observed") < shape * (k0 + k1 * s + k2 * s * s)) & (F.round("observed", 9) > 1.0)).alias("shape_ok"),
         (F.col("share_inside") >= inside).alias("ellipse_ok"),
         (F.col("time_rms") <= time * (t0 + t1 * s + t2 * s * s + t3)).alias("time_ok"),
     ).withColumn("keep", F.col("shape_ok") & F.col("ellipse_ok") & F.col("time_ok"))
 
 
-def ring(hits: DataFrame, fits: DataFrame, *, many: int = RING_DETECTORS, mean_limit: float = RING_MEAN) -> DataFrame:
-    """Events with d_max and d_mean from the centre of their hits; `keep` for many detectors, or for small distances."""
-    centre = hits.groupBy(*EVENT).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    d = F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))
-    sums = hits.join(centre, EVENT).groupBy(*EVENT).agg(F.max(d).alias("d_max"), F.avg(d).alias("d_mean"), F.count(F.lit(1)).alias("n_du"))
+def _with_ring(measured: DataFrame, many: int, mean_limit: float) -> DataFrame:
     zen = incident_zenith(F.col("vx"), F.col("vy"), F.col("vz"))
-    out = sums.join(fits.select(*EVENT, zen.alias("zenith")), EVENT).withColumn("limit", distance_limit(F.col("zenith")))
+    out = measured.withColumn("zenith", zen).withColumn("limit", distance_limit(F.col("zenith")))
     return out.withColumn("keep", F.coalesce((F.col("n_du") >= many) | ((F.col("d_max") <= F.col("limit")) & (F.col("d_mean") < mean_limit)), F.lit(False)))
 
 
+def footprint(hits: DataFrame, fits: DataFrame, *, shape: float = SHAPE, spread: float = SPREAD, inside: float = INSIDE, time: float = TIME) -> DataFrame:
+    """One row of diagnostics per event of at least four hits: spreads, elongations and the three tests.
+
+    `fits` has an event's arrival vector vx, vy, vz. Spreads are between the 5th and 95th percentile of the axes. The
+    time residual is the scatter of the times about a line over the long axis. A vector of no length fails, and so does an
+    elongation of 1, whatever noise a sum leaves beyond its ninth decimal.
+    """
+    return _with_footprint(_measured(hits, fits), shape, spread, inside, time)
+
+
+def ring(hits: DataFrame, fits: DataFrame, *, many: int = RING_DETECTORS, mean_limit: float = RING_MEAN) -> DataFrame:
+    """Events with d_max and d_mean from the centre of their hits; `keep` for many detectors, or for small distances."""
+    return _with_ring(_measured(hits, fits), many, mean_limit).select(*EVENT, "d_max", "d_mean", "n_du", "zenith", "limit", "keep")
+
+
 def apply_cuts(hits: DataFrame, fits: DataFrame, run_footprint: bool = True, run_ring: bool = True) -> DataFrame:
-    """The events of `fits` that pass the cuts that are switched on; both see the whole input."""
-    kept = fits
-    if run_footprint:
-        kept = kept.join(footprint(hits, fits).where("keep").select(*EVENT), EVENT, "left_semi")
+    """The events of `fits` that pass the cuts that are switched on; both see the whole input, and the hits are measured
+    once for both."""
+    if not (run_footprint or run_ring):
+        return fits
+    kept = _measured(hits, fits)
     if run_ring:
-        kept = kept.join(ring(hits, fits).where("keep").select(*EVENT), EVENT, "left_semi")
-    return kept
+        kept = _with_ring(kept, RING_DETECTORS, RING_MEAN).where("keep").select(*kept.columns)
+    if run_footprint:
+        kept = _with_footprint(kept, SHAPE, SPREAD, INSIDE, TIME).where("keep")
+    return fits.join(kept.select(*EVENT), EVENT, "left_semi")
 
 
 def cut_saved_fits(spark, fits_path: str, hits: DataFrame) -> DataFrame:
