@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.constants import EVENT
 from pulsegrid.operators.hits import small
 
-#: Calibration windows that may be put into a plan as literals; they are a configuration, not data.
-MAX_WINDOWS = 2_000
+#: Up to this many calibration windows stand in the plan as literals; more are joined.
+LISTED_WINDOWS = 2_000
+#: Rows of a block of windows or seconds in the join.
+BLOCK_SECONDS = 86_400
 
 
-def nearest_window(second: Column, windows: DataFrame) -> Column:
+def first_windows(windows: DataFrame, n: int) -> list:
+    return windows.select("window_id", "start_s", "end_s").orderBy("start_s", "window_id").limit(n).collect()
+
+
+def nearest_window(second: Column, windows: DataFrame | list) -> Column:
     """struct(dist, start_s, ord, window_id) of the window that holds a second (the first by start), else of the nearest.
 
-    The windows are read once and stand in the plan as an array, so events need neither a join nor a shuffle.
+    The windows, at most LISTED_WINDOWS, stand in the plan as an array, so events need neither a join nor a shuffle;
+    `event_windows` takes any number.
     """
-    rows = windows.select("window_id", "start_s", "end_s").orderBy("start_s", "window_id").limit(MAX_WINDOWS + 1).collect()
-    if len(rows) > MAX_WINDOWS:
-        raise ValueError(f"more than {MAX_WINDOWS} calibration windows")
+    rows = windows if isinstance(windows, list) else first_windows(windows, LISTED_WINDOWS + 1)
+    if len(rows) > LISTED_WINDOWS:
+        raise ValueError(f"more than {LISTED_WINDOWS} calibration windows")
     listed = F.array(*[F.struct(F.lit(r.start_s).cast("long").alias("start_s"), F.lit(r.end_s).cast("long").alias("end_s"), F.lit(i).alias("ord"), F.lit(r.window_id).cast("long").alias("window_id")) for i, r in enumerate(rows)])
     away = lambda w: F.greatest(w["start_s"] - second, second - w["end_s"], F.lit(0).cast("long"))
     return F.when(second.isNotNull(), F.array_min(F.transform(listed, lambda w: F.struct(away(w).alias("dist"), w["start_s"].alias("start_s"), w["ord"].alias("ord"), w["window_id"].alias("window_id")))))
@@ -28,7 +36,46 @@ def nearest_window(second: Column, windows: DataFrame) -> Column:
 def event_windows(events: DataFrame, windows: DataFrame, utc: Column | None = None) -> DataFrame:
     """Each event's window and its distance in seconds; `utc` is by default gps_time less 18 s."""
     second = utc if utc is not None else F.col("gps_time") - 18
-    return events.withColumn("w", nearest_window(second, windows)).select(*events.columns, "w.window_id", F.col("w.dist").alias("window_dist"))
+    rows = first_windows(windows, LISTED_WINDOWS + 1)
+    if len(rows) > LISTED_WINDOWS:
+        return joined_windows(events, windows, second)
+    return events.withColumn("w", nearest_window(second, rows)).select(*events.columns, "w.window_id", F.col("w.dist").alias("window_dist"))
+
+
+def joined_windows(events: DataFrame, windows: DataFrame, second: Column) -> DataFrame:
+    """The same for any number of windows, by joins of the distinct seconds.
+
+    A range join finds the windows that hold a second: a window is listed under each day that it touches, and a second
+    meets those of its day. A second in a gap takes the nearest end before it or start after it: windows and seconds
+    are merged in time by a running maximum within each day and, over the days, of one row a day.
+    """
+    at = events.select(second.cast("long").alias("s")).where("s is not null").distinct()
+    day = lambda c: F.floor(F.col(c) / BLOCK_SECONDS).cast("long")
+    w = windows.select("window_id", F.col("start_s").cast("long").alias("start_s"), F.col("end_s").cast("long").alias("end_s")).where("start_s is not null and end_s is not null")
+    touched = w.select("*", F.explode(F.sequence(day("start_s"), F.greatest(day("start_s"), day("end_s")))).alias("day"))
+    first = F.struct("start_s", "window_id")
+    held = at.withColumn("day", day("s")).join(touched, "day").where("s between start_s and end_s").groupBy("s").agg(F.min(first).alias("w"))
+    # The marks of the merge: an end can only be the nearest for later seconds, a start for earlier ones.
+    late = F.struct("end_s", (-F.col("start_s")).alias("negative_start"), (-F.col("window_id")).alias("negative_id"))
+    free = at.join(held.select("s"), "s", "left_anti")
+    marks = free.select(F.col("s").alias("t"), F.lit(True).alias("asks"), F.lit(None).cast("struct<end_s: bigint, negative_start: bigint, negative_id: bigint>").alias("before"), F.lit(None).cast("struct<start_s: bigint, window_id: bigint>").alias("after"))
+    shape = marks.schema
+    marks = marks.unionByName(w.select(F.col("end_s").alias("t"), F.lit(False).alias("asks"), late.cast(shape["before"].dataType).alias("before"), F.lit(None).cast(shape["after"].dataType).alias("after")))
+    marks = marks.unionByName(w.select(F.col("start_s").alias("t"), F.lit(False).alias("asks"), F.lit(None).cast(shape["before"].dataType).alias("before"), first.cast(shape["after"].dataType).alias("after")))
+    marks = marks.withColumn("day", day("t"))
+    days = marks.groupBy("day").agg(F.max("before").alias("b"), F.min("after").alias("a"))
+    earlier = W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    later = W.orderBy("day").rowsBetween(1, W.unboundedFollowing)
+    outside = days.select("day", F.max("b").over(earlier).alias("b"), F.min("a").over(later).alias("a"))
+    up, down = W.partitionBy("day").orderBy("t").rangeBetween(W.unboundedPreceding, 0), W.partitionBy("day").orderBy("t").rangeBetween(0, W.unboundedFollowing)
+    near = marks.select("*", F.max("before").over(up).alias("in_b"), F.min("after").over(down).alias("in_a")).where("asks").join(outside, "day").select(F.col("t").alias("s"), F.coalesce("in_b", "b").alias("b"), F.coalesce("in_a", "a").alias("a"))
+    options = F.array_compact(F.array(
+        F.when(F.col("b").isNotNull(), F.struct((F.col("s") - F.col("b.end_s")).alias("dist"), (-F.col("b.negative_start")).alias("start_s"), (-F.col("b.negative_id")).alias("window_id"))),
+        F.when(F.col("a").isNotNull(), F.struct((F.col("a.start_s") - F.col("s")).alias("dist"), F.col("a.start_s").alias("start_s"), F.col("a.window_id").alias("window_id"))),
+    ))
+    best = near.select("s", F.array_min(options).alias("w")).select("s", "w.window_id", F.col("w.dist").alias("window_dist"))
+    best = best.unionByName(held.select("s", "w.window_id", F.lit(0).cast("long").alias("window_dist")))
+    return events.withColumn("asked_s", second.cast("long")).join(best.withColumnRenamed("s", "asked_s"), "asked_s", "left").select(*events.columns, "window_id", "window_dist")
 
 
 def calibrate_times(hits: DataFrame, events: DataFrame, windows: DataFrame, table: DataFrame) -> DataFrame:
