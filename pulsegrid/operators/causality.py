@@ -57,7 +57,12 @@ def match_clique(hits: DataFrame, least: int = MIN_DETECTORS, max_ratio: float =
     """Events with `matched`, the hits of a greedy clique: by falling degree (record order among equals), each hit that
     is causal with every member so far. Events whose clique has fewer than `least` hits are left out.
     """
-    events = gather(hits, least)
+    return match_rows(gather(hits, least), least, max_ratio)
+
+
+def match_rows(events: DataFrame, least: int = MIN_DETECTORS, max_ratio: float = MAX_RATIO) -> DataFrame:
+    """The same for events that hold their hits as arrays in record order; it needs no shuffle, so it runs on a stream."""
+    events = events.where(F.size("hits") >= least)
     ranked = F.transform("hits", lambda h: F.struct((-F.size(F.filter("hits", lambda g: (g["du_id"] != h["du_id"]) & _fits(h, g, max_ratio)))).alias("rank"), h["hit_pos"].alias("hit_pos"), h.alias("hit")))
     order = events.select(*EVENT, "hits", F.array_sort(ranked).alias("order"))
     hit_type = order.schema["hits"].dataType.simpleString()

@@ -32,6 +32,16 @@ def moments(hits: DataFrame) -> DataFrame:
     return hits.groupBy(*EVENT).agg(F.count(F.lit(1)).alias("n"), *[(n2 * F.covar_pop(of[m[0]], of[m[1]])).alias(m) for m in MOMENTS])
 
 
+def moments_in_row(events: DataFrame) -> DataFrame:
+    """The same of events that hold their hits as arrays, summed within the row."""
+    n = F.size("hits")
+    of = {"x": lambda h: h["x"], "y": lambda h: h["y"], "z": lambda h: h["z"], "t": lambda h: h["time_ns"]}
+    mean = lambda f: F.aggregate("hits", F.lit(0.0), lambda s, h: s + f(h)) / n
+    centred = events.select(*EVENT, "hits", *[mean(f).alias(f"m{k}") for k, f in of.items()])
+    cov = lambda a, b: n * F.aggregate("hits", F.lit(0.0), lambda s, h: s + (of[a](h) - F.col(f"m{a}")) * (of[b](h) - F.col(f"m{b}")))
+    return centred.select(*EVENT, n.cast("long").alias("n"), *[cov(k[0], k[1]).alias(k) for k in MOMENTS])
+
+
 def chi_square(m: dict[str, Column] | None, nx: Column, ny: Column, nz: Column, n: Column, *, fitted: int = 3, c: float = C_AIR) -> Column:
     """Pairwise chi square of a direction over n - fitted; null for no degrees of freedom."""
     g = m or {k: F.col(k) for k in MOMENTS}
@@ -143,7 +153,12 @@ def fit(hits: DataFrame, *, least: int = 4, fold_zenith: bool = False, fitted: i
 
     With `fold_zenith` the propagation vector is exported itself and zeniths above 90 are folded.
     """
-    rows = moments(hits).where(F.col("n") >= least)
+    return fit_moments(moments(hits), least=least, fold_zenith=fold_zenith, fitted=fitted, c=c)
+
+
+def fit_moments(m: DataFrame, *, least: int = 4, fold_zenith: bool = False, fitted: int = 3, c: float = C_AIR) -> DataFrame:
+    """The same from the events' moments; it needs no shuffle, so it runs on a stream."""
+    rows = m.where(F.col("n") >= least)
     schema = T.StructType([*rows.schema.fields, *[T.StructField(k, T.DoubleType()) for k in ("nx", "ny", "nz")]])
     where = {k: rows.columns.index(k) for k in MOMENTS}
 
@@ -162,7 +177,11 @@ def fit(hits: DataFrame, *, least: int = 4, fold_zenith: bool = False, fitted: i
     return done.select(*EVENT, "n", "nx", "ny", "nz", vx.alias("vx"), vy.alias("vy"), z.alias("vz"), zen.alias("zenith"), azimuth(-x, -y).alias("azimuth"), "chi_square")
 
 
-#: Start angles of the scan: zeniths, and azimuths relative to the seed's.
+#: Starts of the scan around the seed: its own direction and two zeniths at its azimuth, then, where the best of them leaves
+#: a chi square above WIDE, a grid of zeniths and azimuths relative to the seed's; 45 and 34 degrees stand in for a seed.
+NARROW_ZENITH, WIDE, NO_SEED = (45.0, 75.0), 100.0, (45.0, 34.0)
+WIDE_ZENITH, WIDE_AZIMUTH, WIDE_AZIMUTH_NO_SEED = (30.0, 45.0, 60.0, 75.0, 85.0), (0.0, 90.0, -90.0, 180.0), (0.0, 45.0, 90.0, 135.0, 180.0, -135.0, -90.0, -45.0)
+#: Absolute start angles of the scan over fixed directions.
 SCAN_ZENITH, SCAN_AZIMUTH = (30.0, 45.0, 60.0, 75.0, 85.0), (0.0, 72.0, 144.0, 216.0, 288.0)
 
 
@@ -176,6 +195,45 @@ def scan(m: DataFrame, directions: list[tuple[float, float, float]]) -> DataFram
     return m.where("n >= 4").select(*EVENT, "n", F.array_min(listed).alias("b")).select(*EVENT, "n", "b.start", "b.chi_square", "b.nx", "b.ny", "b.nz")
 
 
+def scan_around_seed(m: DataFrame) -> DataFrame:
+    """The best direction by chi square among the starts around each event's seed, for events of at least 4 hits.
+
+    The candidates are made and compared within the row; `start` counts them from 0, and the first among equals stands.
+    """
+    s = seed_direction(m).where("n >= 4")
+    seeded = F.col("nx").isNotNull()
+    zen = F.when(seeded, F.degrees(F.acos(F.greatest(F.least("nz", F.lit(1.0)), F.lit(-1.0))))).otherwise(F.lit(NO_SEED[0]))
+    azi = F.when(seeded, F.degrees(F.atan2("ny", "nx"))).otherwise(F.lit(NO_SEED[1]))
+    at = s.select(*m.columns, seeded.alias("seeded"), zen.alias("seed_zenith"), azi.alias("seed_azimuth"))
+
+    def best_of(starts: list[tuple[Column, float]], first: int) -> Column:
+        """The least candidate of (zenith, azimuth less the seed's) starts; made by a lambda, as they are many."""
+
+        def candidate(c: Column) -> Column:
+            t, p = F.radians(c["zenith"]), F.radians(F.col("seed_azimuth") + c["off"])
+            d = {"nx": F.sin(t) * F.cos(p), "ny": F.sin(t) * F.sin(p), "nz": F.cos(t)}
+            return F.struct(chi_square(None, *d.values(), F.col("n")).alias("chi_square"), c["start"].alias("start"), *[v.alias(k) for k, v in d.items()])
+
+        return F.array_min(F.transform(F.array(*[F.struct(F.lit(first + i).alias("start"), z.alias("zenith"), F.lit(a).alias("off")) for i, (z, a) in enumerate(starts)]), candidate))
+
+    narrow = best_of([(z, 0.0) for z in (F.col("seed_zenith"), *map(F.lit, NARROW_ZENITH))], 0)
+    grid = lambda azimuths: best_of([(F.lit(z), a) for z in WIDE_ZENITH for a in azimuths], 3)
+    first = at.withColumn("best", narrow)
+    wider = F.when(F.col("seeded"), grid(WIDE_AZIMUTH)).otherwise(grid(WIDE_AZIMUTH_NO_SEED))
+    best = F.when(F.col("best.chi_square") > WIDE, F.least("best", wider)).otherwise(F.col("best"))
+    return first.select(*EVENT, "n", best.alias("b")).select(*EVENT, "n", "b.start", "b.chi_square", "b.nx", "b.ny", "b.nz")
+
+
+def refined_two_point(hits: DataFrame, least: int = 4) -> DataFrame:
+    """The two-point direction refined on the pairwise residuals of all hits: rx, ry, rz beside it (null below `least` hits).
+
+    The refinement minimises the plane wave's objective with the sign of the direction reversed, so its solution is that
+    of the fit turned round, whatever the start.
+    """
+    turned = fit(hits, least=least).select(*EVENT, *[(-F.col(f"n{k}")).alias(f"r{k}") for k in AXES], "chi_square")
+    return two_point_direction(hits).join(turned, EVENT, "left")
+
+
 def start_directions() -> list[tuple[float, float, float]]:
     """The scan's starts as unit vectors."""
     out = []

@@ -1,4 +1,4 @@
-"""The sequential repeat filter on a stream of events, and stateless stages on the same stream.
+"""The sequential repeat filter on a stream of events.
 
 State is kept by file: the look-back buffer and the history of removed fingerprints. Events of a file must arrive in
 order; within a micro-batch they are sorted by key. A row with end = true flushes its file.
@@ -11,10 +11,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pulsegrid.operators.planewave import chi_square, start_directions
 from pulsegrid.operators.repeats import RepeatFold, pairs_of
 
 OUT, STATE = "file string, event_key string", "fold binary"
@@ -37,19 +35,3 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def filter_stream(events: DataFrame) -> DataFrame:
     """Keys of events that stay, from a stream of (file, event_key, dus, times, end)."""
     return events.groupBy("file").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def scan_stream(events: DataFrame) -> DataFrame:
-    """Stateless stage on a stream of (file, event_key, hits): the best scanned direction of each event.
-
-    Moments are summed within the row, so the stream needs neither state nor a shuffle.
-    """
-    n = F.size("hits")
-    mean = lambda f: F.aggregate("hits", F.lit(0.0), lambda s, h: s + f(h)) / n
-    of = {"x": lambda h: h["x"], "y": lambda h: h["y"], "z": lambda h: h["z"], "t": lambda h: h["time_ns"]}
-    centred = events.select("file", "event_key", "hits", *[mean(f).alias(f"m{k}") for k, f in of.items()])
-    names = ("xx", "xy", "xz", "yy", "yz", "zz", "xt", "yt", "zt", "tt")
-    cov = lambda a, b: n * F.aggregate("hits", F.lit(0.0), lambda s, h: s + (of[a](h) - F.col(f"m{a}")) * (of[b](h) - F.col(f"m{b}")))
-    m = centred.select("file", "event_key", n.alias("n"), *[cov(k[0], k[1]).alias(k) for k in names])
-    listed = F.array(*[F.struct(chi_square(None, *map(F.lit, d), F.col("n")).alias("chi_square"), F.lit(i).alias("start")) for i, d in enumerate(start_directions())])
-    return m.where("n >= 4").select("file", "event_key", F.array_min(listed).alias("b")).select("file", "event_key", "b.start", "b.chi_square")
