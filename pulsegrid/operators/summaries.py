@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.constants import EVENT
+from pulsegrid.operators.hits import small
 
 
 def detector_counts(hits: DataFrame) -> DataFrame:
@@ -20,24 +23,61 @@ def multiplicities(hits: DataFrame) -> DataFrame:
 
 
 def spread_to_reference(hits: DataFrame, reference: int, limit: float = 100.0) -> DataFrame:
-    """By detector: count, mean and population deviation of its time differences to a reference detector below `limit`."""
-    ref = hits.where(F.col("du_id") == reference).select(*EVENT, F.col("time_ns").alias("ref_ns"))
-    d = hits.where(F.col("du_id") != reference).join(ref, EVENT).withColumn("d", F.col("time_ns") - F.col("ref_ns")).where(F.abs("d") < limit)
+    """By detector: count, mean and population deviation of its time differences to a reference detector, of those below
+    `limit` (negative ones all count)."""
+    d = reference_differences(hits, reference, limit)
     return d.groupBy("du_id").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_ns"), F.stddev_pop("d").alias("std_ns"))
 
 
+def reference_differences(hits: DataFrame, reference: int, limit: float = 100.0) -> DataFrame:
+    """du_id and d: each hit's time less that of the reference detector in its event, where it is below `limit`."""
+    ref = hits.where(F.col("du_id") == reference).select(*EVENT, F.col("time_ns").alias("ref_ns"))
+    return hits.where(F.col("du_id") != reference).join(ref, EVENT).select("du_id", (F.col("time_ns") - F.col("ref_ns")).alias("d")).where(F.col("d") < limit)
+
+
+def histograms(df: DataFrame, group: str, column: str, bins: int) -> DataFrame:
+    """The histogram of a column by group, over each group's own range: group, bin (from 1), low, high, n."""
+    v = F.col(column).cast("double")
+    rows = df.where(v.isNotNull()).select(group, v.alias("v"))
+    ends = rows.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # A group of one value has a range of 1 about it.
+    ends = ends.select(group, F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5).alias("lo"), F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("hi") + 0.5).alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    place = F.least(F.floor((F.col("v") - F.col("lo")) / width).cast("int") + 1, F.lit(bins))
+    counts = rows.join(small(ends), group).groupBy(group, place.alias("bin"), "lo", width.alias("width")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(group, "bin", (F.col("lo") + (F.col("bin") - 1) * F.col("width")).alias("low"), (F.col("lo") + F.col("bin") * F.col("width")).alias("high"), "n")
+
+
 def histogram(df: DataFrame, column: str, bins: int, *, log: bool = False) -> DataFrame:
     """bin (from 1), low, high, n over the range of a column, the last bin closed; with `log` over log10, from 0.01 above
-    the least value, and what lies below that is left out."""
+    the least value, and what lies below that is left out. Where that passes the greatest value, the range starts at a
+    tenth of the least."""
     value = F.col(column).cast("double")
     rows = df.where(value.isNotNull()).select((F.log10(value) if log else value).alias("v"), value.alias("raw"))
-    low = F.log10(F.min("raw") + 0.01) if log else F.min("v")
+    above = F.min("raw") + 0.01
+    low = F.log10(F.when(above < F.max("raw"), above).otherwise(F.greatest(F.min("raw"), F.lit(1e-6)) / 10.0)) if log else F.min("v")
     ends = rows.agg(low.alias("lo"), F.max("v").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     at = rows.join(F.broadcast(ends)).where("v >= lo").withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / width).cast("int") + 1, F.lit(bins)))
     return at.where("bin is not null").groupBy("bin").agg(F.first(F.col("lo") + (F.col("bin") - 1) * width).alias("low"), F.first(F.col("lo") + F.col("bin") * width).alias("high"), F.count(F.lit(1)).alias("n"))
 
 
+def distribution_tables(fits: DataFrame, bins: int = 50, log_bins: int = 99) -> DataFrame:
+    """The histograms of fits as one table: quantity, bin, low, high, n. Angles in degrees, sources in km and chi square (by
+    its logarithm; low and high are log10 values)."""
+    km = [(f"s{k}", f"{k}_km") for k in "xyz" if f"s{k}" in fits.columns]
+    cols = fits.select(*[c for c in ("zenith", "azimuth", "chi_square") if c in fits.columns], *[(F.col(c) / 1000).alias(n) for c, n in km])
+    each = [histogram(cols, c, log_bins if c == "chi_square" else bins, log=c == "chi_square").select(F.lit(c).alias("quantity"), "bin", "low", "high", "n") for c in cols.columns]
+    return reduce(DataFrame.unionByName, each)
+
+
+def projections(fits: DataFrame, events: DataFrame) -> DataFrame:
+    """The sources in km on the three planes, with their time: plane (xy, xz, yz), u, v, gps_time, one row each."""
+    at = fits.join(events.select(*EVENT, "gps_time"), EVENT)
+    planes = F.array(*[F.struct(F.lit(f"{a}{b}").alias("plane"), (F.col(f"s{a}") / 1000).alias("u"), (F.col(f"s{b}") / 1000).alias("v")) for a, b in ("xy", "xz", "yz")])
+    return at.select(*EVENT, "gps_time", F.explode(planes).alias("p")).select(*EVENT, "gps_time", "p.*")
+
+
 def signal_line(hits: DataFrame, distance: Column) -> DataFrame:
     """By event: slope and intercept of the signal on a distance."""
     return hits.groupBy(*EVENT).agg(F.regr_slope("signal", distance).alias("slope"), F.regr_intercept("signal", distance).alias("intercept"))

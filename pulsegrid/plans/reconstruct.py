@@ -23,6 +23,7 @@ class PipelineConfig:
     min_detectors: int = MIN_DETECTORS
     max_ratio: float = MAX_RATIO
     relational_repeats: bool = False
+    with_signal: bool = True
     remove_outliers: bool = True
 
     @classmethod
@@ -40,6 +41,8 @@ def reconstruct(hits: DataFrame, events: DataFrame, layout: DataFrame, config: P
     `checkpoint` (DataFrame, name -> DataFrame) writes what several stages read. The last plane-wave table is the first one
     restricted to events with a source, as an event's fit depends on its hits alone.
     """
+    if not config.with_signal:
+        hits = hits.drop("signal")
     if not config.skip_calibration and windows is not None and offsets is not None:
         hits = calibration.calibrate_times(hits, events, windows, offsets).select(*hits.columns)
         layout = calibration.calibrate_positions(layout, offsets)

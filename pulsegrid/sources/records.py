@@ -17,11 +17,15 @@ SIMULATED = "run_number long, event_number long, du_id array<int>, du_nanosecond
 def trigger_events(spark: SparkSession, path: str) -> DataFrame:
     """Staged trigger records; events without a detector are left out. Waveforms are pruned unless used."""
     raw = spark.read.schema(TRIGGER).parquet(path)
-    return keyed_events(raw.withColumn("file", F.col("_metadata.file_name")).where(F.size("du_id") > 0))
+    return keyed_events(raw.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("idx")).where(F.size("du_id") > 0))
 
 
 def keyed_events(raw: DataFrame) -> DataFrame:
-    """Records with event_key, idx (order of the file) and event_ts; of a number that occurs twice the last one stays."""
+    """Records with event_key, idx (order of the file) and event_ts; of a number that occurs twice the last one stays.
+
+    Records that bring no idx are numbered in the order of the partitions, which is the order of a file only while it is
+    read as one split.
+    """
     if "idx" not in raw.columns:
         raw = raw.withColumn("idx", F.monotonically_increasing_id())
     stamped = raw.withColumn("event_ts", event_time(F.col("gps_time"))) if "gps_time" in raw.columns else raw.withColumn("event_ts", F.lit(None).cast("timestamp_ntz"))
@@ -95,7 +99,7 @@ def aligned_events(shower: DataFrame, field: DataFrame, signal: DataFrame | None
     j = first_events(shower, n).join(field, ["file", "idx"], "full_outer" if n == 0 else "left")
     j = j.withColumn("checked", F.assert_true((F.size("det_id") == F.size("det_pos")) & (F.size("det_id") == F.size("t_0")), "collections differ in length"))
     if signal is not None:
-        j = j.join(signal, ["file", "idx"], "left").withColumn("checked2", F.assert_true(F.size("p2p") == F.size("det_id"), "signals differ in length"))
+        j = j.join(signal, ["file", "idx"], "left").withColumn("checked", F.coalesce("checked", F.assert_true(F.coalesce(F.size("p2p") == F.size("det_id"), F.lit(False)), "signals differ in length")))
     truth = F.struct(true_azimuth(F.col("azimuth")).alias("azimuth"), true_zenith(F.col("zenith")).alias("zenith"))
     return j.where("checked is null").withColumn("truth", truth).withColumn("gps_time", numbered_second(F.col("idx"))).withColumn("event_key", F.col("evt_id").cast("string"))
 

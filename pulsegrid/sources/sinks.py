@@ -35,8 +35,9 @@ DIAGNOSTICS = {"zenith": 2, "spread_major": 2, "spread_minor": 2, "expected": 3,
 
 
 def diagnostics(footprint: DataFrame) -> DataFrame:
-    """The footprint cut's diagnostics as twelve columns with fixed decimals."""
-    fixed = [F.when(F.col(c) < 1e12, F.format_string(f"%.{d}f", F.col(c))).otherwise("inf").alias(c) for c, d in DIAGNOSTICS.items()]
+    """The footprint cut's diagnostics as twelve columns with fixed decimals; ties go up, whatever noise a sum leaves beyond
+    the ninth decimal."""
+    fixed = [F.when(F.col(c) < 1e12, F.format_string(f"%.{d}f", F.round(c, 9))).otherwise("inf").alias(c) for c, d in DIAGNOSTICS.items()]
     return footprint.select("event_key", "n_du", *fixed, "shape_ok", "ellipse_ok", "time_ok")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.clock import file_second
@@ -19,8 +19,13 @@ def parse_layout(lines: DataFrame) -> DataFrame:
     return rows.groupBy("du_id").agg(F.max_by(F.struct("x", "y", "z"), "ord").alias("r")).select("du_id", "r.*")
 
 
+def file_order() -> Column:
+    """The order of the lines of files: by file, by the split that a line was read in, by the line in the split."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+
+
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    return parse_layout(spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()))
+    return parse_layout(spark.read.text(path).select("value", file_order().alias("ord")))
 
 
 def parse_calibration(raw: DataFrame) -> DataFrame:
@@ -36,7 +41,7 @@ def parse_calibration(raw: DataFrame) -> DataFrame:
 
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     columns = ("window_start_utc", "window_end_utc", "DU_ID", "time_offset_add_ns", "x_offset_m", "y_offset_m", "z_offset_m")
-    return parse_calibration(spark.read.option("header", True).csv(path).select(*columns).withColumn("ord", F.monotonically_increasing_id()))
+    return parse_calibration(spark.read.option("header", True).csv(path).select(*columns, file_order().alias("ord")))
 
 
 PAIR_COLUMNS = ("du_a", "du_b", "distance_m", "theoretical_delta_ns")
@@ -58,11 +63,12 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
 
 
 def parse_fingerprints(lines: DataFrame) -> DataFrame:
-    """file, event_key, hit_pos, du_id, time_ns from lines `time: [('du', ns), ...]`; bad items are skipped."""
+    """file, event_key, hit_pos, du_id, time_ns from lines `time: [('du', ns), ...]`; bad items are skipped, and so are times
+    that aren't whole ns."""
     stamp = F.trim(F.regexp_extract("value", r"^([^:]*(?::\d+)*?):\s*\[", 1))
-    items = F.regexp_extract_all("value", F.lit(r"\(\s*'?(\d+)'?\s*,\s*-?[\d.]+\s*\)"), 0)
+    items = F.regexp_extract_all("value", F.lit(r"\(\s*'?(\d+)'?\s*,\s*[+-]?\d+\s*\)"), 0)
     rows = lines.where(F.col("value").contains("[")).select(F.col("file") if "file" in lines.columns else F.lit("").alias("file"), stamp.alias("event_key"), F.posexplode(items).alias("p", "i"))
-    return rows.select("file", "event_key", (F.col("p") + 1).alias("hit_pos"), F.regexp_extract("i", r"(\d+)", 1).cast("int").alias("du_id"), F.regexp_extract("i", r",\s*(-?[\d.]+)", 1).try_cast("double").alias("time_ns")).where("time_ns is not null")
+    return rows.select("file", "event_key", (F.col("p") + 1).alias("hit_pos"), F.regexp_extract("i", r"(\d+)", 1).cast("int").alias("du_id"), F.regexp_extract("i", r",\s*([+-]?\d+)", 1).try_cast("double").alias("time_ns")).where("time_ns is not null")
 
 
 def files_between(files: DataFrame, start: str, end: str) -> DataFrame:
