@@ -141,7 +141,24 @@ def earliest_first_match(spark, sf_dir):
     return causality.scatter(causality.drop_after_earlier(placed_hits(spark, sf_dir)), "matched").select(*EVENT, "du_id")
 
 
-@query()
+WORST = f"""{PLACED}, o as (
+    select *, row_number() over (partition by file, event_key order by time_ns, hit_pos) as r, count(*) over (partition by file, event_key) as n from p),
+  big as (select * from o where n >= 5),
+  clash as (
+    select a.file, a.event_key, a.r, list(b.r) as others from big a join big b on a.file = b.file and a.event_key = b.event_key and a.r <> b.r
+    where abs(a.time_ns - b.time_ns) > sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) / {C} * 1.01e0 group by all),
+  one as (
+    select file, event_key, list(r order by r) as left_over, list(du_id order by r) as dus, list(coalesce(others, []::bigint[]) order by r) as others
+    from big left join clash using (file, event_key, r) group by all),
+  prune(file, event_key, turn, dus, others, left_over, counts) as (
+    select file, event_key, 0, dus, others, left_over, list_transform(left_over, lambda i: len(list_intersect(others[i], left_over))) from one
+    union all
+    select file, event_key, turn + 1, dus, others, rest, list_transform(rest, lambda i: len(list_intersect(others[i], rest)))
+    from (select *, list_filter(left_over, lambda i: i <> left_over[list_position(counts, list_max(counts))]) as rest from prune where len(left_over) >= 5 and list_max(counts) > 0)),
+  pruned as (select file, event_key, arg_max(left_over, turn) as left_over, any_value(dus) as dus from prune group by file, event_key)"""
+
+
+@query(f"{WORST} select file, event_key, unnest(list_transform(left_over, lambda i: dus[i])) as du_id from pruned where len(left_over) >= 5")
 def worst_first_match(spark, sf_dir):
     return causality.scatter(causality.prune_worst(placed_hits(spark, sf_dir)), "matched").select(*EVENT, "du_id")
 
@@ -156,6 +173,21 @@ def nearest_calibration_window(spark, sf_dir):
     return calibration.event_windows(fixtures.clock(spark, sf_dir), fixtures.windows(spark, sf_dir)).select(*EVENT, "window_id", "window_dist")
 
 
+@query(""", many as (
+    select c_custkey::bigint as window_id, 788918400 + (c_custkey * 7919 % 3000)::bigint * 70000 as start_s, 788918400 + (c_custkey * 7919 % 3000)::bigint * 70000 + 3600 * (1 + c_custkey % 20) as end_s from customer),
+  sec as (select distinct gps_time - 18 as s from ev),
+  best as (
+    select s, arg_min(window_id, struct_pack(d := dist, a := start_s, w := window_id)) as window_id, min(dist) as window_dist
+    from (select s, many.*, greatest(start_s - s, s - end_s, 0) as dist from sec cross join many) group by s)
+  select file, event_key, window_id, window_dist from ev join best on s = gps_time - 18""")
+def nearest_of_many_windows(spark, sf_dir):
+    """A window of some hours for each customer; their number grows with the tables, so they are joined."""
+    key = F.col("c_custkey").cast("long")
+    start = F.lit(788918400) + (key * 7919) % 3000 * 70000
+    windows = fixtures.read(spark, sf_dir, "customer").select(key.alias("window_id"), start.alias("start_s"), (start + (key % 20 + 1) * 3600).alias("end_s"))
+    return calibration.joined_windows(fixtures.clock(spark, sf_dir), windows, F.col("gps_time") - 18).select(*EVENT, "window_id", "window_dist")
+
+
 CALIBRATED = f"""{NEAR}, caltime as (
   select h.file, h.event_key, h.du_id, case when dt_ns is not null then round_even(time_ns + dt_ns, 0) else time_ns end as time_ns, dt_ns as offset_ns, window_id, window_dist
   from hits h left join near using (file, event_key) left join cal using (window_id, du_id))"""
@@ -229,9 +261,45 @@ def plane_wave_fit_folded(spark, sf_dir):
     return planewave.fit(placed_hits(spark, sf_dir), fold_zenith=True, fitted=2)
 
 
-@query()
+SEED = f"""{MOMENTS}, sd as (
+    select *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) as det, xx * yy - xy * xy as flat,
+      xt * (yy * zz - yz * yz) - xy * (yt * zz - yz * zt) + xz * (yt * yz - yy * zt) as d1, xx * (yt * zz - yz * zt) - xt * (xy * zz - yz * xz) + xz * (xy * zt - yt * xz) as d2,
+      xx * (yy * zt - yt * yz) - xy * (xy * zt - yt * xz) + xt * (xy * yz - yy * xz) as d3 from m),
+  sk as (select *, abs(det) > pow((xx + yy + zz) / 3e0, 3) * 1e-9 as solid, abs(flat) > pow((xx + yy) / 2e0, 2) * 1e-12 as plane from sd),
+  sv as (
+    select *, case when solid then d1 / det when plane then (xt * yy - yt * xy) / flat end * {C} as sx, case when solid then d2 / det when plane then (xx * yt - xy * xt) / flat end * {C} as sy,
+      case when solid then d3 / det when plane then 0e0 end * {C} as sz from sk),
+  sn as (select *, sqrt(sx * sx + sy * sy + sz * sz) as norm from sv),
+  seed as (select *, case when n >= 3 and norm >= 1e-6 then sx / norm end as nx, case when n >= 3 and norm >= 1e-6 then sy / norm end as ny, case when n >= 3 and norm >= 1e-6 then sz / norm end as nz from sn)"""
+
+
+@query(f"{SEED} select file, event_key, n, round(nx, 4) + 0e0 as nx, round(ny, 4) + 0e0 as ny, round(nz, 4) + 0e0 as nz from seed")
 def plane_wave_seed(spark, sf_dir):
-    return planewave.seed_direction(planewave.moments(placed_hits(spark, sf_dir))).select(*EVENT, "n", "nx", "ny", "nz")
+    seed = planewave.seed_direction(planewave.moments(placed_hits(spark, sf_dir)))
+    return seed.select(*EVENT, "n", *[(rounded(F.col(f"n{k}"), 4) + F.lit(0.0)).alias(f"n{k}") for k in "xyz"])
+
+
+def _scan_around_seed_sql() -> str:
+    at = lambda zen, off: (f"sin(radians({zen})) * cos(radians(azi + {off}))", f"sin(radians({zen})) * sin(radians(azi + {off}))", f"cos(radians({zen}))")
+    least = lambda directions: f"least({', '.join(_sql_chi(*(f'({v})' for v in d)) for d in directions)})"
+    narrow = least([at(z, "0e0") for z in ("zen", *(f"{z}e0" for z in map(int, planewave.NARROW_ZENITH)))])
+    grid = lambda azimuths: least([at(f"{z}e0", f"({a}e0)") for z in map(int, planewave.WIDE_ZENITH) for a in map(int, azimuths)])
+    return f"""{SEED}, a as (
+    select *, case when nz is null then {planewave.NO_SEED[0]}e0 else degrees(acos(greatest(least(nz, 1e0), -1e0))) end as zen, coalesce(degrees(atan2(ny, nx)), {planewave.NO_SEED[1]}e0) as azi from seed where n >= 4),
+  w as (select file, event_key, n, nx is not null as seeded, {narrow} as near, {grid(planewave.WIDE_AZIMUTH)} as wide, {grid(planewave.WIDE_AZIMUTH_NO_SEED)} as wider from a)
+  select file, event_key, n, round(case when near > {planewave.WIDE}e0 then least(near, case when seeded then wide else wider end) else near end / 1000e0, 3) as chi_square from w"""
+
+
+@query(_scan_around_seed_sql())
+def plane_wave_scan_around_seed(spark, sf_dir):
+    """Chi squares in thousands."""
+    best = planewave.scan_around_seed(planewave.moments(placed_hits(spark, sf_dir)))
+    return best.select(*EVENT, "n", rounded(F.col("chi_square") / 1000.0, 3).alias("chi_square"))
+
+
+@query()
+def two_point_refined(spark, sf_dir):
+    return planewave.refined_two_point(placed_hits(spark, sf_dir)).select(*EVENT, "nx", "ny", "nz", "delta_ns", "rx", "ry", "rz", "chi_square")
 
 
 @query(f"""{PLACED}, e as (
@@ -272,7 +340,14 @@ FOOTPRINT = f"""{PLACED}{DIRS}, f0 as (
     from f3 group by all),
   f5 as (
     select *, case when spread_major > 1 then sqrt(greatest((syy - sxy * sxy / sxx) / n_du, 0)) end as time_rms, spread_major / greatest(spread_minor, 1e-6) as observed,
-      least(cos(radians(2e0)) / sqrt(greatest(cos(radians(2e0)) ** 2 - sin(radians(zenith)) ** 2, 1e-12)), 15) as expected from f4)"""
+      least(cos(radians(2e0)) / sqrt(greatest(cos(radians(2e0)) ** 2 - sin(radians(zenith)) ** 2, 1e-12)), 15) as expected, 1 / cos(radians(zenith)) as sec from f4),
+  f6 as (
+    select file, event_key, avg(case when (major / greatest(1.8e0 * spread_major / 2, 1e-6)) ** 2 + (minor / greatest(1.8e0 * spread_minor / 2, 1e-6)) ** 2 <= 1 then 1e0 else 0e0 end) as share_inside
+    from f3 join f5 using (file, event_key) group by all),
+  f7 as (
+    select f5.*, share_inside, round(observed, 9) > 1 and expected / observed < 1.5e0 * (0.9236e0 + 0.2798e0 * sec + 0.0542e0 * sec * sec) as shape_ok, share_inside >= 0.8e0 as ellipse_ok,
+      coalesce(time_rms <= 2e0 * (-60.321e0 + 41.1506e0 * sec + 2.3754e0 * sec * sec + 80e0), false) as time_ok
+    from f5 join f6 using (file, event_key))"""
 
 
 @query(f"{FOOTPRINT} select file, event_key, n_du, round(zenith, 6) as zenith, round(spread_major, 4) as spread_major, round(spread_minor, 4) as spread_minor, round(expected, 6) as expected, round(time_rms, 4) as time_rms from f5")
@@ -282,13 +357,28 @@ def footprint_diagnostics(spark, sf_dir):
     return out.select(*EVENT, "n_du", rounded(F.col("zenith")).alias("zenith"), *[rounded(F.col(c), 4).alias(c) for c in ("spread_major", "spread_minor")], rounded(F.col("expected")).alias("expected"), F.when(F.col("spread_major") > 1.0, rounded(F.col("time_rms"), 4)).alias("time_rms"))
 
 
-@query()
+@query(f"{FOOTPRINT} select file, event_key, round(share_inside, 6) as share_inside, case when spread_minor > 1e-3 then round(observed, 4) end as observed, shape_ok, ellipse_ok, time_ok, shape_ok and ellipse_ok and time_ok as keep from f7")
+def footprint_decisions(spark, sf_dir):
+    hits = placed_hits(spark, sf_dir)
+    out = cuts.footprint(hits, known_fits(hits))
+    return out.select(*EVENT, rounded(F.col("share_inside")).alias("share_inside"), F.when(F.col("spread_minor") > 1e-3, rounded(F.col("observed"), 4)).alias("observed"), "shape_ok", "ellipse_ok", "time_ok", "keep")
+
+
+BOTH = FOOTPRINT + RING.removeprefix(PLACED + DIRS)
+
+
+@query(f"{BOTH} select d.file, d.event_key, -nx as vx, -ny as vy, nz as vz from dirs d join f7 using (file, event_key) join ringk using (file, event_key) where shape_ok and ellipse_ok and time_ok and ringk.keep")
 def combined_cuts(spark, sf_dir):
     hits = placed_hits(spark, sf_dir)
     return cuts.apply_cuts(hits, known_fits(hits))
 
 
-@query()
+def _fixed(column: str, digits: int) -> str:
+    return f"printf('%.{digits}f', round({column}, 9) + 1e-10)"
+
+
+@query(f"""{FOOTPRINT} select event_key, n_du, {", ".join(f"{_fixed(c, d)} as {c}" for c, d in sinks.DIAGNOSTICS.items() if c != "time_rms")},
+  coalesce({_fixed("time_rms", 2)}, 'inf') as time_rms, shape_ok, ellipse_ok, time_ok from f7""")
 def footprint_csv_rows(spark, sf_dir):
     hits = placed_hits(spark, sf_dir)
     return sinks.diagnostics(cuts.footprint(hits, known_fits(hits)))
@@ -321,12 +411,31 @@ def events_without_repeats(spark, sf_dir):
     return repeats.without_repeats(fixtures.clock(spark, sf_dir), hits_of(spark, sf_dir))
 
 
-@query()
+SEQUENTIAL = f"""{REPEAT},
+  close as (
+    select a.file, a.seq as s, b.seq as t from fp a join fp b on a.file = b.file and a.du_a = b.du_a and a.du_b = b.du_b and b.seq < a.seq
+    where abs(a.dt - b.dt) < 10 group by all having count(*) >= 5),
+  step as (select sq.file, sq.seq, coalesce(list(t) filter (t is not null), []::bigint[]) as like_seq from sq left join close on close.file = sq.file and close.s = sq.seq group by all),
+  walk(file, seq, live, gone, removed) as (
+    select distinct file, 0::bigint, []::bigint[], []::bigint[], []::bigint[] from sq
+    union all
+    select file, seq, case when known or found is not null then live when len(live) >= 50 then list_append(live[2:], seq) else list_append(live, seq) end,
+      case when len(more) > 200 then more[len(more) - 199:] else more end,
+      case when known then list_append(removed, seq) when found is not null then removed || [found, seq] else removed end
+    from (
+      select *, case when known then list_append(gone, seq) when found is not null then gone || [found, seq] else gone end as more
+      from (
+        select w.file, s.seq, live, gone, removed, list_has_any(like_seq, gone) as known, list_filter(live, lambda x: list_contains(like_seq, x) and not list_contains(removed, x))[1] as found
+        from walk w join step s on s.file = w.file and s.seq = w.seq + 1))),
+  dropped as (select file, unnest(arg_max(removed, seq)) as seq from walk group by file)"""
+
+
+@query(f"{SEQUENTIAL} select file, event_key, gps_time from ev where (file, event_key) not in (select (file, event_key) from sq join dropped using (file, seq))")
 def sequential_repeat_filter(spark, sf_dir):
     return repeats.sequential_filter(fixtures.clock(spark, sf_dir), hits_of(spark, sf_dir))
 
 
-@query()
+@query(f"{SEQUENTIAL} select file, event_key from sq anti join dropped using (file, seq)")
 def sequential_repeat_filter_listed(spark, sf_dir):
     return repeats.filter_listed(repeats.packed(fixtures.clock(spark, sf_dir), hits_of(spark, sf_dir)))
 
@@ -342,11 +451,18 @@ def multiplicities(spark, sf_dir):
 
 
 @query(""" , d as (select a.du_id, a.time_ns - b.time_ns as d from hits a join hits b on a.file = b.file and a.event_key = b.event_key and b.du_id = 9 and a.du_id <> 9)
-  select du_id, count(*) as n, round(avg(d), 6) as mean_ns, round(stddev_pop(d), 6) as std_ns from d where abs(d) < 100 group by du_id""")
+  select du_id, count(*) as n, round(avg(d), 6) as mean_ns, round(stddev_pop(d), 6) as std_ns from d where d < 100 group by du_id""")
 def spread_to_reference(spark, sf_dir):
     return summaries.spread_to_reference(hits_of(spark, sf_dir), 9).select("du_id", "n", rounded(F.col("mean_ns")).alias("mean_ns"), rounded(F.col("std_ns")).alias("std_ns"))
 
 
+@query(""", d as (select a.du_id, a.time_ns - b.time_ns as d from hits a join hits b on a.file = b.file and a.event_key = b.event_key and b.du_id = 9 and a.du_id <> 9 where a.time_ns - b.time_ns < 100),
+  r as (select du_id, case when min(d) < max(d) then min(d) else min(d) - 0.5 end as lo, case when min(d) < max(d) then max(d) else max(d) + 0.5 end as hi from d group by du_id)
+  select du_id, least(floor((d - lo) / ((hi - lo) / 40))::int + 1, 40) as bin, count(*) as n from d join r using (du_id) group by 1, 2""")
+def reference_histograms(spark, sf_dir):
+    return summaries.histograms(summaries.reference_differences(hits_of(spark, sf_dir), 9), "du_id", "d", 40).select("du_id", "bin", "n")
+
+
 @query(""", e as (select min(signal::double) as lo, max(signal::double) as hi from hits)
   select least(floor((signal - lo) / ((hi - lo) / 40))::int + 1, 40) as bin, count(*) as n from hits, e group by 1""")
 def signal_histogram(spark, sf_dir):
@@ -459,6 +575,52 @@ def background_rejection(spark, sf_dir):
     return cuts.reject_background(source.join(plane.select(*EVENT, "zenith", "azimuth"), EVENT))
 
 
+KNOWN_CHI = f"""{MOMENTS}{DIRS}, kc as (
+    select m.file, m.event_key, n, nx, ny, nz, {_sql_chi("nx", "ny", "nz")} as chi_square, degrees(acos(nz)) as zenith,
+      case when degrees(atan2(-ny, -nx)) < 0 then degrees(atan2(-ny, -nx)) + 360 else degrees(atan2(-ny, -nx)) end as azimuth
+    from m join dirs on dirs.file = m.file and dirs.event_key = m.event_key)"""
+
+
+def known_chi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known directions as fits: zenith, azimuth and chi square of the hits."""
+    hits = placed_hits(spark, sf_dir)
+    m = planewave.moments(hits).join(known_directions(hits), EVENT)
+    x, y, z = F.col("nx"), F.col("ny"), F.col("nz")
+    return m.select(*EVENT, planewave.chi_square(None, x, y, z, F.col("n")).alias("chi_square"), F.degrees(F.acos(z)).alias("zenith"), geometry.azimuth(-x, -y).alias("azimuth"))
+
+
+@query(f"""{KNOWN_CHI} select gps_time, printf('%d %s %.1f %.1f Chi %.1f', gps_time, strftime(make_timestamp((gps_time - 18 + 28800) * 1000000), '%Y-%m-%d %H:%M:%S'), zenith, azimuth, chi_square) as value
+  from kc join ev using (file, event_key) where chi_square < 500 and zenith > 45 and zenith < 85""")
+def selected_known_directions(spark, sf_dir):
+    return sinks.direction_lines(known_chi(spark, sf_dir), fixtures.clock(spark, sf_dir))
+
+
+@query(f"""{KNOWN_CHI} select file, event_key, round(chi_square, 3) as chi_square, round(zenith, 6) as zenith, round(azimuth, 6) as azimuth, nz * 20000 as z from kc
+  where chi_square < 500 and zenith > 50 and zenith < 85 and (azimuth < 40 or azimuth > 225 or abs(nz * 20000 / 1000 - 9) > 1.5)""")
+def background_rejection_known(spark, sf_dir):
+    fits = known_chi(spark, sf_dir).join(known_sources(hits_of(spark, sf_dir)).select(*EVENT, F.col("sz").alias("z")), EVENT)
+    return cuts.reject_background(fits).select(*EVENT, rounded(F.col("chi_square"), 3).alias("chi_square"), *[rounded(F.col(c)).alias(c) for c in ("zenith", "azimuth")], "z")
+
+
+@query(f"""{KNOWN_CHI}, v as (select zenith, azimuth, chi_square, nx * 20 as x_km, ny * 20 as y_km, nz * 20 as z_km from kc),
+  long as (unpivot v on zenith, azimuth, x_km, y_km, z_km into name quantity value v),
+  ends as (select quantity, min(v) as lo, max(v) as hi from long group by quantity),
+  edge as (select log10(case when min(chi_square) + 0.01 < max(chi_square) then min(chi_square) + 0.01 else greatest(min(chi_square), 1e-6) / 10 end) as lo, log10(max(chi_square)) as hi from v)
+  select quantity, least(floor((v - lo) / ((hi - lo) / 50))::int + 1, 50) as bin, count(*) as n from long join ends using (quantity) group by 1, 2
+  union all
+  select 'chi_square', least(floor((log10(chi_square) - lo) / ((hi - lo) / 99))::int + 1, 99), count(*) from v, edge where chi_square > 0 and log10(chi_square) >= lo group by 1, 2""")
+def distribution_tables(spark, sf_dir):
+    fits = known_chi(spark, sf_dir).join(known_sources(hits_of(spark, sf_dir)), EVENT)
+    return summaries.distribution_tables(fits).select("quantity", "bin", "n")
+
+
+@query(f"""{DIRS}, k as (select file, event_key, gps_time, nx * 20 as x, ny * 20 as y, nz * 20 as z from dirs join ev using (file, event_key))
+  select file, event_key, gps_time, plane, round(case plane when 'yz' then y else x end, 6) as u, round(case plane when 'xy' then y else z end, 6) as v from k, (values ('xy'), ('xz'), ('yz')) p(plane)""")
+def source_projections(spark, sf_dir):
+    out = summaries.projections(known_sources(hits_of(spark, sf_dir)), fixtures.clock(spark, sf_dir))
+    return out.select(*EVENT, "gps_time", "plane", rounded(F.col("u")).alias("u"), rounded(F.col("v")).alias("v"))
+
+
 @query()
 def selected_directions(spark, sf_dir):
     return sinks.direction_lines(planewave.fit(placed_hits(spark, sf_dir)), fixtures.clock(spark, sf_dir))
@@ -475,6 +637,37 @@ def companion_join(spark, sf_dir):
     return events.join(shower.drop("file"), "k", "left").join(run.drop("file"), "run", "left").select("event_key", "shower", "site")
 
 
+@query(f"""{PLACED}, o as (select o_orderkey as k, o_totalprice::double as price, o_custkey as cust from orders),
+  near as (select event_key, count(*) as n_hits from p where sqrt(x * x + y * y) <= 1000 group by event_key)
+  select e.event_key, 1578024306 + k as gps_time, case when k % 7 <> 0 then price end as energy, case when k % 7 <> 0 then 'a' end as shower_file, cust as depth, 40e0 + k % 5 as latitude,
+    case when k % 5 <> 4 then 1000e0 + k % 5 end as altitude, coalesce(n_hits, 0) as n_hits
+  from (select distinct event_key, event_key::bigint as k0 from hits) e join o on o.k = k0 left join near using (event_key)""")
+def simulated_events(spark, sf_dir):
+    """Simulated records with their companions: truth of two files of which the first counts (and none for every seventh
+    event), sites of runs (the last lacks an altitude), clocks from the path, and the hits inside a radius."""
+    orders, hits = fixtures.read(spark, sf_dir, "orders"), fixtures.raw_hits(spark, sf_dir)
+    key, path = F.col("event_key").cast("long"), F.lit("sim/20200103_040506_L1_0-9999999_x.data")
+    raw = hits.groupBy("event_key").agg(F.array_sort(F.collect_list(F.struct("hit_pos", "du_id", F.col("time_ns").cast("long").alias("ns")))).alias("h"))
+    low, high = records.interval(path)
+    raw = raw.select(key.alias("event_number"), F.concat(F.lit("r"), (key % 5).cast("string")).alias("run_dir"), low.alias("low"), high.alias("high"), F.col("h.du_id").alias("du_id"), F.col("h.ns").alias("du_nanoseconds"), path.alias("file"), key.alias("idx"))
+    at = [F.concat(F.lit("r"), (F.col("o_orderkey") % 5).cast("string")).alias("run_dir"), low.alias("low"), high.alias("high"), F.col("o_orderkey").cast("long").alias("event_number")]
+    first = orders.where("o_orderkey % 7 <> 0").select(*at, F.lit("a").alias("file"), F.col("o_totalprice").cast("double").alias("energy"), F.lit("a").alias("made_in"))
+    second = orders.where("o_orderkey % 7 <> 0 and o_orderkey % 3 = 0").select(*at, F.lit("b").alias("file"), F.lit(-1.0).alias("energy"), F.lit("b").alias("made_in"))
+    deep = orders.select(*at, F.lit("a").alias("file"), F.col("o_custkey").alias("depth"))
+    region = fixtures.read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("r")).where("r < 5")
+    run_dir = F.concat(F.lit("r"), F.col("r").cast("string")).alias("run_dir")
+    run = region.select(run_dir, F.lit("a").alias("file"), F.array(F.lit(40.0) + F.col("r"), F.lit(94.0), F.when(F.col("r") < 4, F.lit(1000.0) + F.col("r"))).alias("origin"))
+    run_sim = region.select(run_dir, F.lit("a").alias("file"), F.lit(2.0).alias("bin_ns"))
+    events = records.with_companions(records.keyed_events(raw), first.unionByName(second), deep, run, run_sim)
+    events = records.simulated_clock(events, F.col("file"))
+    placed = resolve_positions(records.trigger_hits(events), fixtures.positions(spark, sf_dir))
+    inside = within_radius(placed, 1000.0).groupBy("event_key").agg(F.count(F.lit(1)).alias("n_hits"))
+    site = records.site_fields(F.col("run.origin"))
+    truth = records.renamed_truth(events.select("truth.*"), {"energy": ("energy", "double"), "shower_file": ("made_in", "string")})
+    named = events.select("event_key", "gps_time", "truth.energy", F.col("truth.made_in").alias("made_in"), F.col("truth_sim.depth").alias("depth"), site.alias("site"))
+    return named.select("event_key", "gps_time", truth.alias("t"), "depth", "site.latitude", "site.altitude").join(inside, "event_key", "left").select("event_key", "gps_time", "t.energy", "t.shower_file", "depth", "latitude", "altitude", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
+
+
 @query(f"{PLACED} select file, event_key, du_id, x, y from p where sqrt(x * x + y * y) <= 1000")
 def hits_within_radius(spark, sf_dir):
     return within_radius(placed_hits(spark, sf_dir), 1000.0).select(*EVENT, "du_id", "x", "y")

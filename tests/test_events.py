@@ -118,7 +118,7 @@ def test_pairs_of_six_hits_need_no_confirmation(spark, keep):
     events = {str(i): wave(rng, 6, source=v * 8e3, noise=9) for i, v in enumerate(d)}
     hits = spark.createDataFrame(hit_rows(events), HITS)
     fits = keep(pointsource.fit(hits, planewave.fit(hits)).withColumn("chi_square", F.lit(40.0)), "fits")
-    found = pointsource._round(fits, 2, 6)
+    found = pointsource._round(fits, 2)
     least = {r.event_key: r for r in found.collect()}
     assert set(least) == set(events) and all(len(r.hits) == 4 and r.chi_square < 32 for r in least.values())
     off = found.select("event_key", pointsource._confirmed().alias("far")).where("not far")
@@ -261,7 +261,8 @@ def test_sequential_filter_holds_no_file(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    from pulsegrid.streaming.repeats import filter_stream, scan_stream
+    from pulsegrid.streaming.repeats import filter_stream
+    from pulsegrid.streaming.stages import scan_stream
 
     rng = np.random.default_rng(12)
     base = rng.integers(0, 5000, 6)
@@ -294,6 +295,70 @@ def test_calibration_cases(spark):
     assert out == {("1", 7): 10.0, ("1", 8): 10.0, ("2", 7): 10.0}
 
 
+def test_many_windows_are_joined(spark):
+    """The join against the list: windows that overlap, share starts, hold no second, and gaps on both sides."""
+    rng = np.random.default_rng(31)
+    starts = rng.integers(0, 40, 60) * 50_000
+    rows = [(i, int(s), int(s + rng.integers(0, 60_000))) for i, s in enumerate(starts)]
+    windows = spark.createDataFrame(rows, "window_id long, start_s long, end_s long")
+    seconds = [(str(i), int(s) if i else None) for i, s in enumerate(rng.integers(-300_000, 2_600_000, 500))] + [("e", rows[0][2]), ("s", rows[0][1])]
+    events = spark.createDataFrame(seconds, "event_key string, s long")
+    got = {r.event_key: (r.window_id, r.window_dist) for r in calibration.joined_windows(events, windows, F.col("s")).collect()}
+    ordered = sorted(rows, key=lambda w: (w[1], w[0]))
+    for k, s in seconds:
+        dist = lambda w: max(w[1] - s, s - w[2], 0)
+        best = s is not None and min(ordered, key=lambda w: (dist(w), w[1], w[0]))
+        assert got[k] == ((best[0], dist(best)) if best else (None, None))
+
+
+def test_sets_of_a_large_event_are_made_in_its_row(spark, keep):
+    """An event of 299 hits with two outliers: its plan is small, and both hits go."""
+    rng, d = np.random.default_rng(33), directions(34, 1)[0]
+    p, t = wave(rng, 299, source=d * 9e3, noise=1)
+    t[[7, 200]] += 40_000.0
+    hits = spark.createDataFrame(hit_rows({"1": (p, t)}), HITS)
+    assert pointsource.subsets(causality.gather(hits), 2).count() == 299 * 298 // 2
+    plane = planewave.fit(hits)
+    start = plane.select("file", "event_key", F.lit(float(np.degrees(np.arctan2(d[1], d[0])) % 360)).alias("azimuth"), F.lit(float(np.degrees(np.arccos(d[2])))).alias("zenith"))
+    fits = keep(pointsource.fit(hits, start, fallback=float("inf")), "fits")
+    out = pointsource.remove_outliers(fits, keep, pairs=False).first()
+    assert sorted(out.removed) == [107, 300] and out.chi_square < 10 and len(out.hits) == 297
+
+
+def test_stages_take_a_stream(spark, tmp_path):
+    """Calibration, pairs, matching and fits of a stream equal those of the batch forms."""
+    from pulsegrid.streaming import stages
+
+    events = {f"{i}": wave(np.random.default_rng(i), 6, direction=v, noise=3) for i, v in enumerate(directions(41, 12))}
+    rows = hit_rows(events)
+    hits = spark.createDataFrame(rows, HITS)
+    # All events share detectors, so the layout is that of the first one.
+    layout = hits.where("event_key = '0'").select("du_id", "x", "y", "z")
+    clock_rows = spark.createDataFrame([("f", k, 18 + 10 * int(k)) for k in events], "file string, event_key string, gps_time long")
+    windows = spark.createDataFrame([(1, 0, 55), (2, 80, 90)], "window_id long, start_s long, end_s long")
+    offsets = spark.createDataFrame([(w, 100 + i, w * 0.5 + i, 0.0, 0.0, 0.0) for w in (1, 2) for i in range(5)], "window_id long, du_id int, dt_ns double, dx double, dy double, dz double")
+    at = resolve_positions(calibration.calibrate_times(hits, clock_rows, windows, offsets).select(*hits.columns), layout)
+    causality.gather(hits).join(clock_rows, ["file", "event_key"]).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+
+    def run(df, name):
+        q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        return spark.table(name)
+
+    ready = stages.place_stream(stages.calibrate_stream(source, windows, offsets), layout)
+    key = lambda df, *c: sorted(tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in df.select("event_key", *c).collect())
+    assert key(run(ready.select("event_key", F.explode("hits").alias("h")).select("event_key", "h.du_id", "h.time_ns", "h.x"), "ready"), "du_id", "time_ns", "x") == key(at, "du_id", "time_ns", "x")
+    from pulsegrid.operators.pairs import hit_pairs
+
+    pairs = hit_pairs(at).withColumn("causal", causality.causal(F.col("dt_ns"), F.col("distance_m")))
+    assert key(run(stages.pair_stream(ready), "pairs"), "du_a", "du_b", "dt_ns", "distance_m", "causal") == key(pairs, "du_a", "du_b", "dt_ns", "distance_m", "causal")
+    matched = causality.scatter(causality.match_clique(at), "matched")
+    assert key(run(stages.match_stream(ready).select("event_key", F.explode("hits.du_id").alias("du_id")), "matched"), "du_id") == key(matched, "du_id")
+    fits = key(run(stages.fit_stream(ready), "fits"), "n", "zenith")
+    assert fits == key(planewave.fit(at), "n", "zenith") and len(fits) == 12
+
+
 def test_geometry_and_clock(spark):
     one = spark.range(1)
     r = one.select(
@@ -356,8 +421,8 @@ def test_text_tables(spark, tmp_path):
     (tmp_path / "pairs.csv").write_text("du_a,du_b,distance_m,theoretical_delta_ns\n1,2,3.0,4.0\n1,x,3.0,4.0\n")
     good, bad = tables.read_pairs(spark, str(tmp_path / "pairs.csv"))
     assert good.count() == 1 and bad.count() == 1
-    lines = spark.createDataFrame([("12.5: [('3', 40), ('4', -7.5), ('bad', 1)]",)], "value string")
-    assert [(r.event_key, r.du_id, r.time_ns) for r in tables.parse_fingerprints(lines).collect()] == [("12.5", 3, 40.0), ("12.5", 4, -7.5)]
+    lines = spark.createDataFrame([("12.5: [('3', 40), ('4', -7.5), ('5', -7), ('bad', 1)]",)], "value string")
+    assert [(r.event_key, r.du_id, r.time_ns) for r in tables.parse_fingerprints(lines).collect()] == [("12.5", 3, 40.0), ("12.5", 5, -7.0)]
     files = spark.createDataFrame([("/d/a_20240101000000.x",), ("/d/a_20240103000000.x",), ("/d/none.x",)], "path string")
     assert tables.files_between(files, "2024-01-01 00:00:00", "2024-01-02 00:00:00").count() == 1
 
@@ -382,11 +447,80 @@ def test_records(spark):
     broken = spark.createDataFrame([("s", 0, [1], [[0.0, 0.0, 1.0]], [1.0, 2.0])], field.schema)
     with pytest.raises(Exception, match="differ in length"):
         records.aligned_events(shower, broken).collect()
+    short = spark.createDataFrame([("s", 0, [1.0])], "file string, idx long, p2p array<double>")
+    for wrong in (short, short.where("idx > 0")):
+        with pytest.raises(Exception, match="signals differ in length"):
+            records.aligned_hits(records.aligned_events(shower, field, wrong)).collect()
+    right = spark.createDataFrame([("s", 0, [1.0, 2.0])], short.schema)
+    assert [r.signal for r in records.aligned_hits(records.aligned_events(shower, field, right)).orderBy("du_id").collect()] == [1.0, 2.0]
+
+
+def test_records_keep_the_order_of_their_files(spark, tmp_path):
+    """Of a number that occurs twice the last record in the file stays, however the file is split."""
+    rows = [(1, i % 500, [5], [20240102, 30405, 0], [i], *[[[1]]] * 4) for i in range(1000)]
+    raw = spark.createDataFrame(rows, records.TRIGGER).coalesce(1)
+    raw.write.option("parquet.block.size", 4096).parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        events = records.trigger_events(spark, str(tmp_path / "t"))
+        assert {r.event_number: (r.idx, r.du_nanoseconds[0]) for r in events.collect()} == {i: (500 + i, 500 + i) for i in range(500)}
+        lines = "".join(f"{i % 50} {i} 0 0\n" for i in range(2000))
+        (tmp_path / "layout.txt").write_text(lines)
+        assert {r.du_id: r.x for r in tables.read_layout(spark, str(tmp_path / "layout.txt")).collect()} == {i: 1950.0 + i for i in range(50)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_and_writers(spark, tmp_path):
+    """Listing, the first files, pair tables and documents, written and read again."""
+    from pulsegrid.operators.hits import attach, first_files
+    from pulsegrid.sources import sinks
+
+    for n in ("b_1.dat", "a_1.dat", "c.txt"):
+        (tmp_path / n).write_text(n)
+    assert sorted(Path(r.path).name for r in tables.list_files(spark, str(tmp_path), "*_1.dat").collect()) == ["a_1.dat", "b_1.dat"]
+    files = spark.createDataFrame([(f, i) for f in "cab" for i in range(2)], "file string, i int")
+    assert {r.file for r in first_files(files, 2).collect()} == {"a", "b"} and first_files(files, 0).count() == 6
+    pairs = spark.createDataFrame([(2, 10, 1.5, 2.5), (10, 2, 3.5, 4.5), (1, 2, 0.5, 0.25)], "du_a int, du_b int, distance_m double, theoretical_delta_ns double")
+    tables.write_pairs(pairs, str(tmp_path / "pairs"))
+    good, bad = tables.read_pairs(spark, str(tmp_path / "pairs"))
+    assert sorted(map(tuple, good.collect())) == sorted(map(tuple, pairs.collect())) and bad.count() == 0
+    events = spark.createDataFrame([("f", "1", "2024-01-01"), ("f", "2", "2024-01-02")], "file string, event_key string, date string")
+    hits = spark.createDataFrame([("f", "1", 2, 7, 10.0), ("f", "1", 1, 8, 12.0), ("f", "2", 1, 7, 9.0)], "file string, event_key string, hit_pos int, du_id int, time_ns double")
+    documents = sinks.event_documents(events, hits)
+    sinks.write_documents(documents, str(tmp_path / "docs"))
+    assert {r.event_key: (r.du_ids, r.time[7]) for r in spark.read.parquet(str(tmp_path / "docs")).collect()} == {"1": ([8, 7], 10.0), "2": ([7], 9.0)}
+    sinks.export_documents(documents, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    sinks.write_stage(hits, str(tmp_path / "stage"))
+    assert attach(spark.read.parquet(str(tmp_path / "stage")), events).where("date = '2024-01-01'").count() == 2
+    lines = spark.createDataFrame([(20, "b"), (10, "a")], "gps_time long, value string")
+    sinks.write_directions(lines, str(tmp_path / "lines"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "lines")).collect()] == ["a", "b"]
+
+
+def test_cuts_of_saved_fits(spark, sf_dir, tmp_path):
+    from pulsegrid.plans.queries import known_fits
+
+    hits = placed_hits(spark, sf_dir)
+    fits = known_fits(hits)
+    fits.unionByName(fits.limit(3).select("file", F.lit("none").alias("event_key"), F.lit(None).cast("double").alias("vx"), "vy", "vz")).write.parquet(str(tmp_path / "fits"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(cuts.cut_saved_fits(spark, str(tmp_path / "fits"), hits)) == rows(cuts.apply_cuts(hits, fits))
 
 
 def test_summaries_and_options(spark):
     h = summaries.histogram(spark.createDataFrame([(float(i),) for i in range(11)], "v double"), "v", 5).orderBy("bin").collect()
     assert [r.n for r in h] == [2, 2, 2, 2, 3]
+    low = summaries.histogram(spark.createDataFrame([(1.0,), (10.0,), (100.0,)], "v double"), "v", 4, log=True).orderBy("bin").collect()
+    assert [(r.bin, r.n) for r in low] == [(2, 1), (4, 1)] and math.isclose(low[0].low, math.log10(1.01) + (2 - math.log10(1.01)) / 4)
+    flat = summaries.histogram(spark.createDataFrame([(2.0,), (2.001,)], "v double"), "v", 9, log=True).collect()
+    assert [(r.bin, r.n) for r in flat] == [(9, 2)]
+    each = summaries.histograms(spark.createDataFrame([(1, 0.0), (1, 10.0), (1, 9.0), (2, 5.0)], "k int, v double"), "k", "v", 4)
+    assert sorted((r.k, r.bin, r.n) for r in each.collect()) == [(1, 1, 1), (1, 4, 2), (2, 3, 1)]
+    diffs = spark.createDataFrame([("f", "1", 9, 0.0), ("f", "1", 8, -500.0), ("f", "1", 7, 99.0), ("f", "1", 6, 100.0)], "file string, event_key string, du_id int, time_ns double")
+    assert sorted((r.du_id, r.mean_ns) for r in summaries.spread_to_reference(diffs, 9).collect()) == [(7, 99.0), (8, -500.0)]
     assert summaries.batch_summary(spark.createDataFrame([("ok",), ("failed",)], "status string")).count() == 2
     sim = PipelineConfig.for_layout("simulated")
     assert sim.skip_matching and sim.skip_repeats and sim.skip_footprint and not PipelineConfig.for_layout("trigger").skip_matching
