@@ -132,6 +132,25 @@ def test_links_that_are_relative_quoted_or_several(spark, scratch):
     assert {r.verdict for r in url_rules.judge_urls(alias, url_rules.PRODUCTION_RULES, scratch).collect()} == {"block"}
 
 
+def test_every_address_is_a_component(spark, scratch):
+    """Addresses of one node share a decision without any link, tracking parameters name no other page, and rules are many."""
+    pages = [
+        (1, "https://a.example.com/en/", None),
+        (2, "http://a.example.com/en", None),
+        (3, "https://b.example.com/de/1?utm_source=feed&p=2", None),
+        (4, "http://b.example.com/de/1?p=2", None),
+        (5, "http://b.example.com/de/1?ref=x", None),
+        (6, None, None),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("Component", F.lit("clash"))
+    many = [(f"h{i}.org", "/", "block") for i in range(6000)] + [("com", "/en/", "block"), ("h7.org", "/x", "allow")]
+    got = {r.page_id: r for r in url_rules.judge_urls(df, many, scratch).collect()}
+    assert [got[i].verdict for i in (1, 2, 3, 6)] == ["block", "block", "allow", "allow"] and got[2].rule is None and got[6].component is None
+    assert got[3].component == got[4].component == "b.example.com/de/1?p=2" and got[5].component == "b.example.com/de/1"
+    more = spark.createDataFrame([(1, "http://h5999.org/a", None), (2, "http://h7.org/xy", None), (3, "http://ah7.org/xy", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.rule for r in url_rules.judge_urls(more, many, Scratch(spark, "more")).collect()} == {1: "h5999.org/", 2: "h7.org/x", 3: None}
+
+
 # -- op2
 
 
@@ -216,6 +235,23 @@ def test_mix_takes_its_targets_in_order(spark, sf_dir, scratch):
     assert mixed.columns == [*d.columns, "position"]
 
 
+def test_shared_and_missing_ids_are_spread(spark, scratch):
+    """Rows of one id or of none are dealt over the salts; their words are taken like any others."""
+    rows = [(None, f"w{i} " * 5, "en", "s", 1) for i in range(300)] + [(7, "same text", "en", "s", 1)] * 300 + [(i, "a b c", "en", "t", 1) for i in range(100, 200)]
+    plan = curriculum.plan_mix(spark.createDataFrame(rows, DOC), scratch, carry=["source"]).collect()
+    taken = {s: sum(r.taken for r in plan if r.source == s) for s in "st"}
+    target = {r.source: r.target for r in plan}
+    assert len(plan) == 700 and all(abs(taken[s] - target[s]) <= 5 for s in "st")
+
+
+def test_schedule_is_sorted_by_position(spark, sf_dir, scratch):
+    plan = curriculum.schedule(curriculum.plan_mix(table(spark, sf_dir, "documents"), scratch))
+    first = [r.first_position for r in plan.collect()]
+    known = [x for x in first if x is not None]
+    assert known == sorted(known) and first[: len(known)] == known
+    assert "rangepartitioning" in plan._jdf.queryExecution().executedPlan().toString()
+
+
 # -- op5
 
 
@@ -419,9 +455,65 @@ def test_blocks_find_every_link():
     assert {(i, find(i)) for i in range(30)} == {(i, c) for i, _, c in brute_near(list(enumerate(texts)))}
 
 
+# -- op9
+
+
+def test_training_by_hand():
+    """One feature that decides the label: the first round's table is that of the gradient's best cuts."""
+    x = np.array([[0.0], [0.0], [1.0], [1.0]] * 50)
+    y = np.array([0.0, 1.0, 1.0, 1.0] * 50)
+    model = gam.train(x, y)
+    got = model.score(np.array([[0.0], [1.0]]))
+    assert abs(got[0] - 0.5) < 0.05 and got[1] > 0.95 and not model.pairs
+    g, h = np.array([-9.0, 3.0, 3.0, -9.0]), np.ones(4)
+    assert np.allclose(gam.shallow_tree(g, h), [-9 / 3, 6 / 4, 6 / 4, -9 / 3])
+
+
+def test_scores_are_additions_of_bins():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = gam.train(x, y)
+    for row in x[:20]:
+        z = model.bias + sum(t[sum(c <= v for c in e)] for e, t, v in zip(model.edges, model.tables, row, strict=True))
+        z += sum(t[sum(c <= row[i] for c in model.pair_edges[i]), sum(c <= row[j] for c in model.pair_edges[j])] for i, j, t in model.pairs)
+        assert math.isclose(model.score(row[None])[0], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+    # Neither feature tells anything alone: the pair does.
+    assert (1, 0) in {(i, j) for i, j, _ in model.pairs} and ((model.score(x) > 0.5) == y).mean() > 0.95
+
+
 # -- op10
 
 
+def test_png_against_a_plain_reader():
+    """Chunks by the format's definition, rows unfiltered byte by byte; the hash by sums of cosines."""
+    rng = np.random.default_rng(9)
+    payload = bytes(rng.integers(32, 127, 64 * 40, np.uint8))
+    data, at, body, size = media.encode_png(payload), 8, b"", None
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        kind, part = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + part) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        size = (int.from_bytes(part[:4], "big"), int.from_bytes(part[4:8], "big")) if kind == b"IHDR" else size
+        body += part if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, rows = zlib.decompress(body), []
+    for y in range(size[1]):
+        line = raw[y * 65 : y * 65 + 65]
+        row = []
+        for x, v in enumerate(line[1:]):
+            left, above = (row[x - 1] if x else 0), (rows[y - 1][x] if y else 0)
+            row.append((v + [0, left, above][line[0]]) % 256)
+        rows.append(row)
+    assert size == (64, 40) and bytes(v for row in rows for v in row) == payload
+    bands = [(i * 40 // 32, (i + 1) * 40 // 32) for i in range(32)]
+    small = [[np.mean([rows[y][x] for y in range(a, b) for x in (2 * j, 2 * j + 1)]) for j in range(32)] for a, b in bands]
+    low = [round(sum(small[y][x] * math.cos(math.pi * (2 * y + 1) * u / 64) * math.cos(math.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)), 4) for u in range(8) for v in range(8)]
+    middle = float(np.median(low[1:]))
+    bits = "".join("1" if v > middle else "0" for v in low)
+    assert media.visual_hash(media.decode_png(data)) == f"{int(bits, 2):016x}"
+
+
 def test_png_round_trip_and_checks():
     rng = np.random.default_rng(1)
     for n in (64, 640, 64 * 700):
@@ -484,6 +576,51 @@ def test_odd_inputs(spark, scratch, name):
     assert OPERATORS[name](d.limit(0), Scratch(spark, "none")).count() == 0
 
 
+def test_odd_inputs_have_defined_results(spark, scratch):
+    """Nulls, empty texts, repeated rows and clashing names (in any case) by their values."""
+    d = odd(spark)
+    for c in ("N_Removed", "Score", "Payload", "Is_First", "Clean_Text", "Removed"):
+        d = d.drop(c).withColumn(c, F.lit("clash"))
+    by = lambda rows, *c: {r.text: tuple(r[x] for x in c) for r in rows if r.doc_id != 1 and (r.text is None or len(r.text) < 99)}
+    lines = line_windows.dedupe_lines(d, scratch)
+    assert by(lines.collect(), "n_lines", "n_removed") == {"no id": (1, 0), None: (0, 0), "": (1, 0), " \t\n ": (2, 0), "x": (1, 0), "ä 漢字 <|endoftext|> \x00 é": (1, 0)}
+    toxic = toxic_segments.judge_toxicity(d, toxic_segments.Model({"x": 30.0}, k=0.01, bias=-3.0, slope=3.0), keep_text=True)
+    got = by(toxic.collect(), "n_words", "score")
+    assert got[""] == got[None] == (0, 1 / (1 + math.exp(3.0))) and got["x"][1] > 0.9 and got["x"][0] == 1
+    near = minmax_hash.near_duplicates(d, Scratch(spark, "odd")).collect()
+    assert by(near, "n_shingles", "component_id")[""] == (0, 3) and by(near, "n_shingles")["no id"] == (1,)
+    # Two rows of the same text and id are one class, of which one row is first.
+    assert sorted(r.is_first for r in near if r.doc_id == 1 and r.text.startswith("a")) == [False, True]
+    spans = bucket_pointer.remove_repeats(d, Scratch(spark, "odd")).collect()
+    assert {r.text: bytes(r.kept_bytes) for r in spans if r.text in ("", "x")} == {"": b"", "x": b"x"} and all(bytes(r.kept_bytes) == b"" for r in spans if r.text is None)
+    rules = {r.text: r for r in line_quality.judge_lines(d.withColumn("copy", F.col("text"))).withColumnRenamed("copy", "text").collect()}
+    assert (rules[None].n_words, rules[None].kept, rules[None].clean_text) == (0, False, "") and rules["no id"].n_words == 2
+    stored = media.read_media(media.to_media(d, "text", "media"), "media", "payload", "feature")
+    assert {r.text: bytes(r.payload) for r in stored.collect() if r.text in ("", "x")} == {"": bytes(64), "x": b"x" + bytes(63)}
+    packed = packing.pack(d, BPE).where("doc_id is null or doc_id in (2, 3)").collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in packed if r.start == 0) == [(0, 1), (0, 3), (2, 1), (3, 1)]
+
+
+def test_sequences_follow_the_training_order(spark, sf_dir, keep):
+    """The packing stage numbers sequences by the place of their document in the written mix."""
+    d = table(spark, sf_dir, "documents")
+    mixed = keep(curriculum.mix(d, Scratch(spark, "order"), seed="mix").select(*d.columns), "mixed")
+    files = sorted({r[0] for r in mixed.select("_metadata.file_name").collect()})
+    want = [r.doc_id for r in sorted(mixed.select("doc_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).collect(), key=lambda r: (files.index(r.f), r.i))]
+    pieces = sorted(corpus_pipeline.pack_tokens(spark, mixed, sf_dir).collect(), key=lambda r: r.sequence_id)
+    assert [r.doc_id for r in pieces if r.start == 0] == want
+    positions = [r.position for r in curriculum.mix(d, Scratch(spark, "order")).collect()]
+    assert positions == sorted(positions) and len(positions) == len(want)
+
+
+def test_long_words_are_told_apart():
+    """Words that agree under a polynomial modulo 2^64 (a Thue-Morse word and its complement)."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    assert not set(minmax_hash.shingles(f"one {a} two")) & set(minmax_hash.shingles(f"one {b} two"))
+
+
 def test_repeated_rows_are_defined(spark, scratch):
     d = odd(spark)
     near = minmax_hash.near_duplicates(d, scratch).where("doc_id = 1").collect()
