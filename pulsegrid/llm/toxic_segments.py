@@ -115,11 +115,12 @@ def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[
 
 
 def _rate(scores: np.ndarray, shares: np.ndarray, drift: float = DRIFT) -> float:
-    """The positive root of sum(share * exp(rate * (score - drift))) = 1 for words of these scores and shares."""
+    """The positive root of sum(share * exp(rate * (score - drift))) = 1 for words of these scores and shares, 5 at most, as
+    where no clean word scores above the drift."""
     value = lambda x: float((shares * np.exp(np.minimum(x * (scores - drift), 300))).sum() - 1)
     low, high = 1e-3, 5.0
-    if not (scores > drift).any() or value(high) < 0:
-        return high if (scores > drift).any() else 1.0
+    if not len(scores) or value(high) < 0:
+        return high if len(scores) else 1.0
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if value(mid) < 0 else (low, mid)
