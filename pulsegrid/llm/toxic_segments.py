@@ -29,7 +29,7 @@ from pulsegrid.llm.common import Scratch, without
 #: Weight of the prior (in documents, and for each unit at least), cost of a word, the confidence bound in deviations,
 #: and the least bound that counts as evidence.
 PRIOR, FLOOR, DRIFT, CONFIDENCE, LEAST = 1.0, 0.5, 0.1, 1.96, 0.7
-#: Karlin-Altschul's K where the clean texts hold no segment, and the number of segments of such a score that chance may
+#: The greatest K of Karlin-Altschul where the clean texts hold no segment, and the number of segments of such a score that chance may
 #: give in a text for one to be significant.
 K, SIGNIFICANT = 0.1, 0.05
 PREFIXES = (4, 5, 6)
@@ -130,7 +130,7 @@ def _rate(scores: np.ndarray, shares: np.ndarray, drift: float = DRIFT) -> float
 def _chance(scores: np.ndarray, counts: np.ndarray, words: float, rate: float) -> float:
     """K, from the clean segments: those that reach their mean score are K * words * exp(-rate * score) in number."""
     if not counts.sum():
-        return K
+        return min(K, 1.0 / max(words, 1.0))  # none was seen, so there is less than one in all words
     mean = float((scores * counts).sum() / counts.sum())
     return float(counts[scores >= mean].sum() / max(words, 1.0) * math.exp(min(rate * mean, 50.0)))
 

@@ -317,7 +317,7 @@ def test_background_statistics():
     assert math.isclose((shares * np.exp(rate * (scores - toxic_segments.DRIFT))).sum(), 1, rel_tol=1e-6) and rate > 0.01
     counts, at = np.array([50, 30, 20]), np.array([1.0, 2.0, 3.0])
     k = toxic_segments._chance(at, counts, 1e4, 1.5)
-    assert math.isclose(k * 1e4 * math.exp(-1.5 * 1.7), 50) and toxic_segments._chance(at[:0], counts[:0], 1e4, 1.5) == toxic_segments.K
+    assert math.isclose(k * 1e4 * math.exp(-1.5 * 1.7), 50) and toxic_segments._chance(at[:0], counts[:0], 1e4, 1.5) == 1e-4
     assert toxic_segments._rate(np.array([-1.0]), np.array([1.0])) == 5.0 and toxic_segments._rate(counts[:0], counts[:0]) == 1.0
 
 
