@@ -207,11 +207,11 @@ def calibration_usage(spark, sf_dir):
     return calibration.usage(_calibrated(spark, sf_dir))
 
 
-@query(""", m as (select du_id, avg(dx) as mx, avg(dy) as my, avg(dz) as mz from cal group by du_id)
+@query(""", m as (select l_partkey as du_id, avg(case when l_linenumber > 6 then l_linenumber::double end) as mx, avg((l_linenumber % 3)::double) as my, avg((l_suppkey % 5)::double) as mz from lineitem group by 1)
   select du_id, case when mx is null then x else round(x + mx, 4) end as x, case when my is null then y else round(y + my, 4) end as y, case when mz is null then z else round(z + mz, 4) end as z
-  from du_positions left join m using (du_id)""")
+  from du_wide left join m using (du_id)""")
 def calibrated_positions(spark, sf_dir):
-    return calibration.calibrate_positions(fixtures.positions(spark, sf_dir), fixtures.offsets(spark, sf_dir))
+    return calibration.calibrate_positions(fixtures.wide_positions(spark, sf_dir), fixtures.wide_offsets(spark, sf_dir))
 
 
 MOMENTS = f"""{PLACED}, m as (
@@ -673,11 +673,11 @@ def hits_within_radius(spark, sf_dir):
     return within_radius(placed_hits(spark, sf_dir), 1000.0).select(*EVENT, "du_id", "x", "y")
 
 
-@query(""", o as (select (p_partkey % 72)::int as du_id, max_by((p_size % 7) * 1.5e0, p_partkey) as o from part where p_partkey % 5 <> 0 group by 1)
+@query(""", o as (select (p_partkey % 60)::int as du_id, max_by((p_size % 7) * 1.5e0, p_partkey) as o from part group by 1)
   select file, event_key, du_id, coalesce(o, 0e0) as time_offset from hits left join o using (du_id)""")
 def static_time_offsets(spark, sf_dir):
-    part = fixtures.read(spark, sf_dir, "part").where("p_partkey % 5 <> 0")
-    table = part.select((F.col("p_partkey") % 72).cast("int").alias("du_id"), ((F.col("p_size") % 7) * F.lit(1.5)).alias("mean_ns"), F.col("p_partkey").alias("ord"))
+    part = fixtures.read(spark, sf_dir, "part")  # the last four detectors have no offset
+    table = part.select((F.col("p_partkey") % 60).cast("int").alias("du_id"), ((F.col("p_size") % 7) * F.lit(1.5)).alias("mean_ns"), F.col("p_partkey").alias("ord"))
     return subtract_offsets(hits_of(spark, sf_dir), table).select(*EVENT, "du_id", "time_offset")
 
 
@@ -690,9 +690,9 @@ def aligned_fields(spark, sf_dir):
     return align(fixtures.clock(spark, sf_dir), n, top).fillna({"n_hits": 0, "top": -1})
 
 
-@query(f" select du_id, x + {geometry.SHIFT_X} as x, y + {geometry.SHIFT_Y} as y, z + {geometry.SHIFT_Z} as z from (select du_id, x::double as x, y::double as y, z::double as z from du_positions)")
+@query(f" select du_id, x + {geometry.SHIFT_X} as x, y + {geometry.SHIFT_Y} as y, z + {geometry.SHIFT_Z} as z from (select du_id, x::double as x, y::double as y, z::double as z from du_wide)")
 def shifted_positions(spark, sf_dir):
-    p = fixtures.positions(spark, sf_dir)
+    p = fixtures.wide_positions(spark, sf_dir)
     return p.select("du_id", geometry.shifted(F.col("x"), F.col("y"), F.col("z")).alias("s")).select("du_id", "s.*")
 
 
@@ -743,9 +743,9 @@ def files_of_a_period(spark, sf_dir):
     return tables.files_between(files, "1995-03-01 05:00:00", "1996-02-01 00:00:00").select("path")
 
 
-@query(" select du_id, x, y, z from du_positions")
+@query(" select du_id, x, y, z from du_wide")
 def layout_from_lines(spark, sf_dir):
-    p = fixtures.positions(spark, sf_dir)
+    p = fixtures.wide_positions(spark, sf_dir)
     line = F.concat_ws(", ", "du_id", "x", "y", F.concat(F.col("z").cast("string"), F.lit(" # metres")))
     stale = F.concat_ws(" ", F.col("du_id"), F.lit("0 0 0"))
     lines = p.select(F.explode(F.array(F.struct(F.lit(1).alias("ord"), stale.alias("value")), F.struct(F.lit(2).alias("ord"), line.alias("value")), F.struct(F.lit(3).alias("ord"), F.lit("# comment").alias("value")))).alias("l")).select("l.*")

@@ -20,7 +20,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 detectors on a grid of 400 m."""
-    du = read(spark, sf_dir, "part").select((F.col("p_partkey") % 64).cast("int").alias("du_id")).distinct()
+    return _on_grid(read(spark, sf_dir, "part").select((F.col("p_partkey") % 64).cast("int").alias("du_id")).distinct())
+
+
+def wide_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector for every part, in rows of eight on a grid of 400 m."""
+    return _on_grid(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("du_id")).distinct())
+
+
+def _on_grid(du: DataFrame) -> DataFrame:
     d = F.col("du_id")
     return du.select("du_id", ((d % 8) * F.lit(400.0) - F.lit(1400.0)).alias("x"), (F.floor(d / 8.0) * F.lit(400.0) - F.lit(1400.0)).alias("y"), ((d * 37) % 23).cast("double").alias("z"))
 
@@ -76,7 +84,17 @@ def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("window_id", "du_id", (((w * 7 + d * 3) % 41) * F.lit(0.5) - F.lit(10.0)).alias("dt_ns"), (((w + d) % 5) * F.lit(0.25)).alias("dx"), (((w + d * 2) % 5) * F.lit(0.25)).alias("dy"), ((w % 3) * F.lit(0.5)).alias("dz"))
 
 
+def wide_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position offsets of the detectors of `wide_positions`, one row for each line item of the part; x is often unknown."""
+    line = read(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber")
+    return line.select(F.col("l_partkey").cast("int").alias("du_id"), F.when(n > 6, n.cast("double")).alias("dx"), (n % 3).cast("double").alias("dy"), (F.col("l_suppkey") % 5).cast("double").alias("dz"))
+
+
 SQL = """
+du_wide as (
+  select du_id::int as du_id, (du_id % 8) * 400e0 - 1400e0 as x, floor(du_id / 8e0) * 400e0 - 1400e0 as y, ((du_id * 37) % 23)::double as z
+  from (select distinct p_partkey as du_id from part) t),
 du_positions as (
   select du_id::int as du_id, (du_id % 8) * 400e0 - 1400e0 as x, floor(du_id / 8e0) * 400e0 - 1400e0 as y, ((du_id * 37) % 23)::double as z
   from (select distinct p_partkey % 64 as du_id from part) t),
