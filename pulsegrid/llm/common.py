@@ -92,6 +92,24 @@ def keyed(df: DataFrame, id_col: str, key: str, scratch: Scratch) -> DataFrame:
     return scratch.write(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
+def ranked(df: DataFrame, order: list[str | Column], name: str, scratch: Scratch, rank: str = "rank") -> DataFrame:
+    """`df`, written range-sorted by `order`, with each row's place in that order from 0.
+
+    Only the row counts of the written partitions go through the driver. `order` should tell rows apart: ties have some
+    order among themselves.
+    """
+    at = fresh(df, "row_at")[0]
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    placed = scratch.write(placed, name)
+    part = F.shiftright(at, 33)
+    sizes = dict(placed.groupBy(part.alias("p")).count().collect())
+    starts = [0]
+    for p in range(max(sizes, default=0)):
+        starts.append(starts[-1] + sizes.get(p, 0))
+    first = F.element_at(F.split(F.lit(" ".join(map(str, starts))), " ").cast("array<bigint>"), part.cast("int") + 1)
+    return placed.withColumn(rank, first + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for a null text."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), F.array().cast("array<string>"))
