@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bucket_pointer, curriculum, gam, line_quality, line_windows, minmax_hash, periodic_runs, sharding, toxic_segments, url_rules
+from pulsegrid.llm import bucket_pointer, collocations, curriculum, gam, line_quality, line_windows, minmax_hash, periodic_runs, sharding, toxic_segments, url_rules
 from pulsegrid.llm.common import Scratch, fold_of, table, training_rows
 from pulsegrid.llm.media import media_digests
 from pulsegrid.llm.packing import pack, piece_digests
@@ -69,6 +69,10 @@ def op11_longest_processing_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digests(sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "shards")))
 
 
+def op12_double_array_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"), Scratch(spark, "collocations"))
+
+
 def op13_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True))
 
@@ -87,6 +91,7 @@ QUERIES = {
         op9_pairwise_additive_quality,
         op10_png_media,
         op11_longest_processing_time,
+        op12_double_array_collocations,
         op13_grammar_runs,
     )
 }
