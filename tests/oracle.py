@@ -3,14 +3,24 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def value(v):
+    """Nulls as None, numbers rounded and whole ones as integers: columns with nulls come as floats from one side."""
+    if v is None or v is pd.NA or v != v:
+        return None
+    if isinstance(v, float):
+        v = round(float(v), 9)
+        return str(int(v)) if v.is_integer() else v
+    return str(v)
+
+
 def plain(df):
     df = df[sorted(df.columns)]
-    rows = [tuple(None if v is None or v != v else round(float(v), 9) if isinstance(v, float) else str(v) for v in r) for r in df.astype(object).itertuples(index=False)]
-    return sorted(rows, key=repr)
+    return sorted((tuple(map(value, r)) for r in df.astype(object).itertuples(index=False)), key=repr)
 
 
 def same(spark, sf_dir, query, sql):
