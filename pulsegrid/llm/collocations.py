@@ -369,3 +369,27 @@ def collocations(docs: DataFrame, scratch: Scratch, *, least: int = 100, longest
     part = part.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top)
     ranks = part.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
     return ranks.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+ORACLE = r"""
+with d as (select row_number() over () as doc, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from p),
+n as (select lang, sum(len(words))::hugeint as n from w group by lang),
+g as (select lang, words, unnest([1, 2, 3, 4, 5]) as k from w),
+i as (select lang, k, words, unnest(range(1, len(words) - k + 2)) as pos from g),
+c as (select lang, k, words[pos : pos + k - 1] as phrase, count(*) as f from i group by all having count(*) >= 100),
+x as (select *, unnest(range(1, k)) as j from c where k > 1),
+s as (
+  select x.lang, x.k, x.phrase, x.f as a, n.n, l.f as l, r.f as r, x.j, (1000::hugeint * x.f * n.n) // (l.f::hugeint * r.f) as score
+  from x join n using (lang) join c l on l.lang = x.lang and l.phrase = x.phrase[1 : x.j] join c r on r.lang = x.lang and r.phrase = x.phrase[x.j + 1 :]),
+m as (select *, row_number() over (partition by lang, phrase order by score, j) as nth from s),
+longer as (select lang, phrase, f, k, unnest([1, 2, 3, 4]) as len from c where k > 1),
+inner_ as (select lang, f, phrase[pos : pos + len - 1] as part from (select *, unnest(range(1, k - len + 2)) as pos from longer where len < k)),
+gone as (select lang, part, max(f) as f from inner_ group by all),
+b as (
+  select m.*, array_to_string(m.phrase, ' ') as name from m left join gone on gone.lang = m.lang and gone.part = m.phrase
+  where nth = 1 and not coalesce(100 * gone.f >= 100 * m.a, false)),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, encode(name)) as rank from b)
+select lang, rank::bigint as rank, name as phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from o where rank <= 2000
+"""

@@ -134,3 +134,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, label
     chosen = learned.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.where(fold_of(F.col(id_col), folds) != held_out).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return scratch.write(rows.join(F.broadcast(chosen), "id").select("id", "t", "y"), "training")
+
+
+def crc32_sql(blob: str) -> str:
+    """SQL for the unsigned crc32 of a blob: the checksum's table for four bits, made by its rule, is applied twice to each
+    byte."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(f"{c}::bigint")
+    half = lambda a: f"xor({a} >> 4, [{', '.join(table)}][({a} & 15) + 1])"
+    bytes_of = f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda s: ('0x' || s)::bigint)"
+    return f"xor(list_reduce({bytes_of}, lambda a, x: {half(half('xor(a, x)'))}, 4294967295::bigint), 4294967295::bigint)"

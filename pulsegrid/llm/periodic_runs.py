@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.llm.common import crc32_sql
+
 #: A run has at least this many words and this many periods.
 LEAST, PERIODS = 24, 3
 
@@ -257,3 +259,29 @@ def run_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         "runs_sha256",
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: Runs from all pairs of equal words of a document: those of one distance that stand next to each other.
+ORACLE = rf"""
+with d as (
+  select row_number() over () as r, doc_id, {crc32_sql("encode(coalesce(doc_id::varchar, ''))")} as h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+n as (select *, len(words)::bigint as n, h // 10 as g from d),
+a as (select *, case when n > 0 then g % n else 0 end as a from n),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+i as (select *, unnest(range(n)) as i from p),
+w as (select r, n, i, words[1 + case when h % 10 = 0 and i >= a then a + (i - a) % p else i end] as word from i),
+often as (select *, count(*) over (partition by r, word) as c from w),
+pairs as (select x.r, x.i, y.i - x.i as q from often x join often y on x.r = y.r and x.word = y.word and y.i > x.i and y.i - x.i <= x.n // 3 where x.c >= 3),
+marked as (select *, i - row_number() over (partition by r, q order by i) as island from pairs),
+spans as (select r, q, min(i) as s, count(*) + q as len from marked group by r, q, island having count(*) + q >= greatest(24, 3 * q)),
+runs as (
+  select * from spans x where not exists (
+    select 1 from spans y where y.r = x.r and y.q < x.q and x.q % y.q = 0 and y.s <= x.s and x.s + x.len <= y.s + y.len)),
+best as (select r, s, len, q, row_number() over (partition by r order by len::double / q desc, s, q) as nth from runs),
+listed as (select r, count(*) as n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) as text from runs group by r),
+gone as (select distinct r, unnest(range(s + q, s + len)) as i from runs),
+kept as (select r, string_agg(word, ' ' order by i) as text from w anti join gone using (r, i) group by r)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, s::bigint as start, len::bigint as length, q::bigint as period, (1000 * len // q)::bigint as exponent_milli,
+  sha256(coalesce(listed.text, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
+from d left join listed using (r) left join kept using (r) left join (select * from best where nth = 1) b using (r)
+"""

@@ -103,4 +103,7 @@ ORACLE: dict[str, str] = {
     "op6_bucket_pointer_refinement": bucket_pointer.ORACLE,
     "op7_line_first_quality": line_quality.ORACLE,
     "op8_minmax_hashing": minmax_hash.ORACLE,
+    "op11_longest_processing_time": sharding.ORACLE,
+    "op12_double_array_collocations": collocations.ORACLE,
+    "op13_grammar_runs": periodic_runs.ORACLE,
 }

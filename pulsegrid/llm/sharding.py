@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import Scratch, fresh, keyed, ranked
+from pulsegrid.llm.common import Scratch, crc32_sql, fresh, keyed, ranked
 
 
 class Schedule:
@@ -114,3 +114,16 @@ def shard(docs: DataFrame, scratch: Scratch, *, n_shards: int = 16, group: Colum
 
 def shard_digests(sharded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return sharded.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+ORACLE = f"""
+with recursive d as (select doc_id, coalesce(text, '') as text, octet_length(encode(coalesce(text, ''))) + 1 as size from documents),
+g as (select text, sum(size)::bigint as bytes, row_number() over (order by sum(size) desc, md5(text)) as i from d group by text),
+lpt as (
+  select 0::bigint as i, list_transform(range(16), lambda x: 0::bigint) as loads, 0::bigint as to_shard union all
+  select g.i, list_transform(l.loads, lambda x, k: x + case when k = l.p then g.bytes else 0 end), l.p - 1
+  from (select i, loads, list_position(loads, list_min(loads))::bigint as p from lpt) l join g on g.i = l.i + 1)
+select doc_id, size::bigint as size, {crc32_sql('encode(text)')} as text_crc32, 'bytes' as law, to_shard::int as shard,
+  row_number() over (partition by to_shard order by doc_id) - 1 as slot, null::int as grown_shard
+from d join g using (text) join lpt using (i)
+"""
