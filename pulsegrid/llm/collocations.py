@@ -29,9 +29,9 @@ from pulsegrid.llm.rolling import LONG_WORD, RangeHash, U, mix
 #: States of a trie, and words of a dictionary, that are broadcast together.
 TRIE = 1 << 21
 #: Bytes of text that are hashed together.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Positions of a row of the stream, at least; a row ends at a break.
-ROW = 512
+ROW = 128
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KIND = np.zeros(256, np.uint8)  # 1: between words, 2: between pieces
@@ -104,8 +104,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(*streams: np.ndarray, hits: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
-    """A batch of the stream: ids, states and the states to come (empty where they aren't given) as bytes, cut at breaks
-    (zeros among the ids). `hits`, states and their counts, go with the first row."""
+    """A batch of the stream: ids, states and the states to come as bytes, cut at breaks (zeros among the ids). What isn't
+    given is empty; without states, the ids are the states. `hits`, states and their counts, go with the first row."""
     ids = streams[0]
     breaks = np.flatnonzero(ids == 0) + 1
     cuts = np.zeros(1, np.int64)
@@ -132,6 +132,11 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(_starts(column)[0].tobytes(), np.int64)
 
 
+def _ids_and_states(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    ids, states = _numbers(b.column(0)), _numbers(b.column(1))
+    return ids, states if len(states) else ids
+
+
 def _compact(ids: np.ndarray, states: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Keeps the words of phrases of k words that stand next to another one, with a break after each stretch of them."""
     n = len(ids)
@@ -165,7 +170,7 @@ def _encode(dictionary, last: bool) -> Callable:
             out = np.where(symbols[at] == out, ids[at], out)
             if last:
                 out = np.maximum(out, 0)
-                yield _rows(*_compact(out, out, 1))
+                yield _rows(_compact(out, out, 1)[0])
             else:
                 yield _rows(out)
 
@@ -177,7 +182,7 @@ def _pairs(k: int, width: int, most: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, states = _numbers(b.column(0)), _numbers(b.column(1))
+            ids, states = _ids_and_states(b)
             at = np.flatnonzero((states[:-1] != 0) & (states[1:] != 0))
             keys, first, n = np.unique(states[at] * width + states[at + 1], return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), pa.array(ids[at + k][first]), pa.array(np.minimum(n, most), pa.int64())], ["a", "b", "word", "n"])
@@ -252,7 +257,7 @@ def _advance(trie, k: int, first: int, last: int, at_end: bool) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, states, after = (_numbers(b.column(i)) for i in range(3))
+            (ids, states), after = _ids_and_states(b), _numbers(b.column(2))
             # The word that follows a phrase counts only where it ends a phrase of k words that begins one word later.
             onward = np.zeros(len(ids), np.int64)
             near = np.flatnonzero((states[:-1] != 0) & (states[1:] != 0))
@@ -332,6 +337,10 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, *, least: int = 100, lon
     return totals, levels
 
 
+#: floor(1000 * n * total / (l * r)) of counts, exact where 1000 * n * total has 38 digits at most.
+SCORE = "(cast(1000 as decimal(4,0)) * cast(n as decimal(16,0)) * cast(total as decimal(16,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
+
+
 def collocations(docs: DataFrame, scratch: Scratch, *, least: int = 100, longest: int = 5, share: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's `top` phrases of 2 to `longest` words.
 
@@ -347,8 +356,6 @@ def collocations(docs: DataFrame, scratch: Scratch, *, least: int = 100, longest
     """
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     totals, levels = frequent_phrases(texts, scratch, least=least, longest=longest)
-    exact = lambda c, digits: f"cast({c} as decimal({digits},0))"
-    cut = f"({exact('1000', 4)} * {exact('n', 16)} * {exact('total', 16)}) div ({exact('l', 19)} * {exact('r', 19)})"
     found = []
     for k in range(2, len(levels) + 1):
         mine = levels[k - 1]
@@ -359,8 +366,9 @@ def collocations(docs: DataFrame, scratch: Scratch, *, least: int = 100, longest
     if not found:
         return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     rows = reduce(DataFrame.union, found).join(totals, "lang")
+    in_cut = SCORE.replace("cast(l ", "cast(x.l ").replace("cast(r ", "cast(x.r ")
     cuts = "transform(sequence(1, size(words) - 1), j -> named_struct('j', j, 'l', prefixes[j - 1], 'r', suffixes[size(words) - j - 1]))"
-    weakest = f"array_min(transform({cuts}, x -> named_struct('score', {cut.replace('cast(l ', 'cast(x.l ').replace('cast(r ', 'cast(x.r ')}, 'j', x.j, 'l', x.l, 'r', x.r)))"
+    weakest = f"array_min(transform({cuts}, x -> named_struct('score', {in_cut}, 'j', x.j, 'l', x.l, 'r', x.r)))"
     scored = rows.select("lang", F.array_join("words", " ").alias("phrase"), F.col("n").alias("a"), F.col("total").alias("n"), F.expr(weakest).alias("cut"))
     scored = scored.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
     # First within parts of a language, so that no task holds more than their best.
