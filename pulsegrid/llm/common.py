@@ -84,12 +84,16 @@ def numbered(df: DataFrame, id_col: str) -> bool:
 def keyed(df: DataFrame, id_col: str, key: str, scratch: Scratch) -> DataFrame:
     """`df` with a column `key` that tells its rows apart (long, never null).
 
-    Where `id_col` is an integer column without nulls and repeats, it is the key itself. Otherwise the rows are
-    numbered once and written to the shared folder, so that the numbers hold when a task runs again.
+    Where `id_col` is an integer column without nulls and repeats, it is the key itself. Otherwise the rows are numbered
+    by id (null last) and content, and written to the shared folder: rows that differ get the same numbers however the
+    input is split, and equal rows are interchangeable.
     """
     if not numbered(df, id_col):
         return df.withColumn(key, F.col(id_col).cast("long"))
-    return scratch.write(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    content, place = fresh(df, "row_content", "row_place")
+    hashed = [c.name for c in df.schema.fields if not isinstance(c.dataType, T.MapType)]
+    told = df.withColumn(content, F.xxhash64(*hashed)).withColumn(place, F.monotonically_increasing_id())
+    return ranked(told, [F.col(id_col).isNull(), F.col(id_col), F.col(content), F.col(place)], "keyed", scratch, key).drop(content, place)
 
 
 def ranked(df: DataFrame, order: list[str | Column], name: str, scratch: Scratch, rank: str = "rank") -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.llm.common import WORD, Scratch, fresh, keyed, numbered, without
 
@@ -20,7 +21,8 @@ from pulsegrid.llm.common import WORD, Scratch, fresh, keyed, numbered, without
 MOST = 3
 #: Hex digits of the order's hash that make a bucket: sums over buckets replace one long running sum for each source.
 DIGITS = 3
-#: Parts of a bucket among rows that share an id, so that no repeated or missing id puts all its rows into one window.
+#: Parts of a bucket where ids repeat, by the rows' content, and parts of a group of equal rows, so that no repeated or
+#: missing id and no repeated row puts all its rows into one window.
 SALTS = 64
 #: Knots (time, weight) by source weight: light sources fade, heavy ones rise.
 SCHEDULES: Mapping[int, Sequence[tuple[float, float]]] = {1: ((0.0, 1.5), (0.5, 1.25), (1.0, 0.25)), 2: ((0.0, 1.0), (1.0, 1.0)), 3: ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0))}
@@ -79,14 +81,14 @@ def source_targets(sizes: DataFrame, cycle: Sequence[int] = (1, 2, 3), most: int
     return left.select("source", "source_size", "rank", "weight", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.least(level, F.col("cap").cast("double"))).alias("target"))
 
 
-def plan_mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = (), seed: str = "mix", cycle: Sequence[int] = (1, 2, 3), schedules: Mapping[int, Sequence[tuple[float, float]]] = SCHEDULES) -> DataFrame:
+def plan_mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = (), content: Sequence[str] = (), seed: str = "mix", cycle: Sequence[int] = (1, 2, 3), schedules: Mapping[int, Sequence[tuple[float, float]]] = SCHEDULES) -> DataFrame:
     """One row per document: id, the `carry` columns, size, source_size, target, copies, taken, positions (one for each
     copy, in [0, 1]). The words taken are those of the copies that have a position.
 
     A null text has size 0, as an empty one. A null source is a source of its own. Where ids repeat or are missing, rows
-    are dealt by their numbers as well, and those of one number, size and text are interchangeable: reruns over the
-    same files agree. Other columns are not read, so names don't clash; an empty table gives none. A source without
-    words gets a target of 0.
+    of one id stand in the order of their text and `content` columns; those that agree in all of them are interchangeable
+    and get places next to each other. So positions don't depend on how the input is split. Other columns are not read,
+    so names don't clash; an empty table gives none. A source without words gets a target of 0.
     """
     repeated = numbered(docs, id_col)
     sized = docs.select(
@@ -95,19 +97,27 @@ def plan_mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"),
-        F.xxhash64(text_col).alias("tie"),
+        (F.xxhash64(text_col, *content) if repeated else F.lit(0).cast("long")).alias("tie"),
         (F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)) if repeated else F.lit(0).cast("long")).alias("salt"),
     )
-    sized = scratch.write(sized, "sizes")
+    sized = scratch.write(sized.withColumn("sub", F.pmod("tie", F.lit(SALTS)) if repeated else F.lit(0).cast("long")), "sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cycle)
     targets = scratch.write(targets.withColumn("no", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit(""))).drop("source"), "targets")
     rows = sized.withColumn("no", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit(""))).join(targets, ["no", "name"]).drop("no", "name", "source").withColumn("bucket", F.substring("h", 1, DIGITS))
-    along = W.partitionBy("rank").orderBy("bucket", "salt")
+    along = W.partitionBy("rank").orderBy("bucket", "sub")
     # Sources that are few but large: the running sum is over at most 16^DIGITS * SALTS rows of each.
-    sums = rows.groupBy("rank", "bucket", "salt").agg(F.sum("size").alias("words")).select("rank", "bucket", "salt", (F.sum("words").over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).alias("start"))
+    sums = rows.groupBy("rank", "bucket", "sub").agg(F.sum("size").alias("words")).select("rank", "bucket", "sub", (F.sum("words").over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).alias("start"))
     buckets = scratch.write(sums, "buckets")
-    inside = W.partitionBy("rank", "bucket", "salt").orderBy("h", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
-    placed = rows.join(buckets, ["rank", "bucket", "salt"]).withColumn("offset", F.col("start") + F.sum("size").over(inside) - F.col("size"))
+    inside = W.partitionBy("rank", "bucket", "sub").orderBy("h", "size", "tie", "salt").rowsBetween(W.unboundedPreceding, 0)
+    if repeated:
+        # Equal rows are one entry for each salt, which says where they begin; a row's number among them says the rest.
+        same = ["rank", "bucket", "sub", "h", "size", "tie", "salt"]
+        entries = rows.groupBy(*same).agg(F.sum("size").alias("words")).withColumn("before", F.sum("words").over(inside) - F.col("words"))
+        nth = F.row_number().over(W.partitionBy(*same).orderBy(F.lit(0))) - 1
+        rows = rows.withColumn("nth", nth).join(scratch.write(entries.drop("words"), "entries"), same).withColumn("before", F.col("before") + F.col("nth") * F.col("size"))
+    else:
+        rows = rows.withColumn("before", F.sum("size").over(inside) - F.col("size"))
+    placed = rows.join(buckets, ["rank", "bucket", "sub"]).withColumn("offset", F.col("start") + F.col("before"))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     extra = F.col("target") - (F.col("full") * F.col("source_size")).cast("double")
     once_more = (F.lit(2) * F.col("offset") + F.col("size")).cast("double") < F.lit(2.0) * extra
@@ -136,7 +146,8 @@ def mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", **options)
     """
     key, position = fresh(docs, "row_key", "position_")
     rows = keyed(docs, id_col, key, scratch)
-    plan = scratch.write(plan_mix(rows, scratch, id_col=id_col, carry=[key], **options).where("copies > 0").select(key, F.explode("positions").alias(position)), "plan")
+    content = [c.name for c in docs.schema.fields if not isinstance(c.dataType, T.MapType)]
+    plan = scratch.write(plan_mix(rows, scratch, id_col=id_col, carry=[key], content=content, **options).where("copies > 0").select(key, F.explode("positions").alias(position)), "plan")
     columns = without(docs, "position")
     taken = rows.join(plan, key).select(*columns, F.col(position).alias("position"))
     return taken.repartitionByRange(F.col("position"), F.col(id_col)).sortWithinPartitions("position", id_col)

@@ -244,6 +244,37 @@ def test_shared_and_missing_ids_are_spread(spark, scratch):
     assert len(plan) == 700 and all(abs(taken[s] - target[s]) <= 5 for s in "st")
 
 
+def test_positions_do_not_depend_on_the_splits(spark, tmp_path):
+    """Repeated, null and identical rows get the same positions from 1, 4 and 8 files, and op3 and op8 keep the same rows."""
+    rnd = random.Random(9)
+    rows = [(None if i % 11 == 0 else i % 40, " ".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 30))), "en", f"s{i % 3}", i % 5) for i in range(1200)]
+    rows += [(7, "the same text", "en", "s1", 3)] * 500 + [(8, "three\nlines\nmore\nand", "en", "s1", i % 7) for i in range(60)]
+    seen = []
+    for n in (1, 4, 8):
+        rnd.shuffle(rows)
+        path = str(tmp_path / f"split-{n}")
+        spark.createDataFrame(rows, DOC).repartition(n).write.parquet(path)
+        d = spark.read.parquet(path)
+        plan = curriculum.plan_mix(d, Scratch(spark, "plan"), content=["n_chars"], carry=["n_chars", "text"])
+        mixed = curriculum.mix(d, Scratch(spark, "mix"))
+        near = minmax_hash.near_duplicates(d, Scratch(spark, "near"))
+        lines = line_windows.dedupe_lines(d, Scratch(spark, "lines"))
+        order = lambda found: sorted(map(repr, found))
+        seen.append(
+            (
+                order((r.doc_id, r.n_chars, r.text, tuple(r.positions)) for r in plan.collect()),
+                order((r.position, r.doc_id, r.text, r.n_chars) for r in mixed.collect()),
+                order((r.doc_id, r.text, r.n_chars, r.component_id, r.is_first) for r in near.collect()),
+                order((r.doc_id, r.text, r.n_chars, r.n_removed) for r in lines.collect()),
+            )
+        )
+    for one, four, eight in zip(*seen, strict=True):
+        assert one == four == eight and len(one) > 500
+    plan = curriculum.plan_mix(spark.createDataFrame(rows, DOC), Scratch(spark, "sum"))
+    found = plan.agg(F.sum("taken"), F.sum("size")).first()
+    assert abs(found[0] - found[1]) < 100
+
+
 def test_schedule_is_sorted_by_position(spark, sf_dir, scratch):
     plan = curriculum.schedule(curriculum.plan_mix(table(spark, sf_dir, "documents"), scratch))
     first = [r.first_position for r in plan.collect()]
