@@ -32,6 +32,8 @@ TRIE = 1 << 21
 SLICE = 1 << 21
 #: Positions of a row of the stream, at least; a row ends at a break.
 ROW = 128
+#: States whose counts travel in one row.
+CHUNK = 512
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KIND = np.zeros(256, np.uint8)  # 1: between words, 2: between pieces
@@ -103,9 +105,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[at])), _take(low, starts[at], ends[at]), pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["lang", "word", "symbol", "n"])
 
 
-def _rows(*streams: np.ndarray, hits: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
+def _rows(*streams: np.ndarray) -> pa.RecordBatch:
     """A batch of the stream: ids, states and the states to come as bytes, cut at breaks (zeros among the ids). What isn't
-    given is empty; without states, the ids are the states. `hits`, states and their counts, go with the first row."""
+    given is empty; without states, the ids are the states."""
     ids = streams[0]
     breaks = np.flatnonzero(ids == 0) + 1
     cuts = np.zeros(1, np.int64)
@@ -118,14 +120,30 @@ def _rows(*streams: np.ndarray, hits: tuple[np.ndarray, np.ndarray] | None = Non
     for i in range(3):
         data, ends = (streams[i], cuts * 8) if i < len(streams) else (ids[:0], cuts * 0)
         columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())]))
-    where = np.full(len(cuts), len(hits[0]) if hits else 0)
-    where[0] = 0
-    for i in range(2):
-        columns.append(pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(hits[i] if hits else ids[:0], pa.int64())))
-    return pa.RecordBatch.from_arrays(columns, ["ids", "states", "after", "accepted", "counts"])
+    rows = len(cuts) - 1
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())], _NAMES)
 
 
-_STREAM = "ids binary, states binary, after binary, accepted array<bigint>, counts array<bigint>"
+def _sums(counts: np.ndarray, first: int) -> pa.RecordBatch:
+    """The counts of a task as rows without a stream: a row for each chunk of states that has any."""
+    counts = np.concatenate([np.zeros(first % CHUNK, np.int64), counts])
+    counts = np.concatenate([counts, np.zeros(-len(counts) % CHUNK, np.int64)]).reshape(-1, CHUNK)
+    chunks = np.flatnonzero(counts.any(axis=1))
+    none = pa.array([b""] * len(chunks), pa.binary())
+    return pa.RecordBatch.from_arrays([none, none, none, pa.array(chunks + first // CHUNK, pa.int64()), pa.array([counts[i].tobytes() for i in chunks], pa.binary())], _NAMES)
+
+
+def _add_up(key: tuple, rows: pa.Table) -> pa.Table:
+    """The counts of one chunk, summed over the tasks."""
+    total = np.zeros(CHUNK, np.int64)
+    for counts in rows.column("counts").to_pylist():
+        total += np.frombuffer(counts, np.int64)
+    found = np.flatnonzero(total)
+    return pa.table({"id": pa.array(found + key[0].as_py() * CHUNK, pa.int64()), "n": pa.array(total[found])})
+
+
+_NAMES = ["ids", "states", "after", "chunk", "counts"]
+_STREAM = "ids binary, states binary, after binary, chunk bigint, counts binary"
 
 
 def _numbers(column: pa.Array) -> np.ndarray:
@@ -177,15 +195,15 @@ def _encode(dictionary, last: bool) -> Callable:
     return run
 
 
-def _pairs(k: int, width: int, most: int) -> Callable:
-    """The neighbouring states of a batch, the word that the second one adds, and how often, `most` at most."""
+def _pairs(width: int, most: int) -> Callable:
+    """The neighbouring states of a batch, as one number, and how often, `most` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, states = _ids_and_states(b)
+            _, states = _ids_and_states(b)
             at = np.flatnonzero((states[:-1] != 0) & (states[1:] != 0))
-            keys, first, n = np.unique(states[at] * width + states[at + 1], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), pa.array(ids[at + k][first]), pa.array(np.minimum(n, most), pa.int64())], ["a", "b", "word", "n"])
+            keys, n = np.unique(states[at] * width + states[at + 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.minimum(n, most), pa.int64())], ["pair", "n"])
 
     return run
 
@@ -256,6 +274,7 @@ def _advance(trie, k: int, first: int, last: int, at_end: bool) -> Callable:
     new states take the place of the old ones, and the stream shrinks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(last - first + 1, np.int64)
         for b in batches:
             (ids, states), after = _ids_and_states(b), _numbers(b.column(2))
             # The word that follows a phrase counts only where it ends a phrase of k words that begins one word later.
@@ -263,10 +282,10 @@ def _advance(trie, k: int, first: int, last: int, at_end: bool) -> Callable:
             near = np.flatnonzero((states[:-1] != 0) & (states[1:] != 0))
             onward[near] = ids[near + k]
             new = trie.value.next(states, onward)
-            n = np.bincount(new[new > 0] - first, minlength=last - first + 1)
-            hit = np.flatnonzero(n)
+            counts += np.bincount(new[new > 0] - first, minlength=len(counts))
             new = np.maximum(new, after) if len(after) else new
-            yield _rows(*(_compact(ids, new, k + 1) if at_end else (ids, states, new)), hits=(hit + first, n[hit]))
+            yield _rows(*(_compact(ids, new, k + 1) if at_end else (ids, states, new)))
+        yield _sums(counts, first)
 
     return run
 
@@ -303,37 +322,39 @@ def _encoded(docs: DataFrame, often: DataFrame, size: int, scratch: Scratch) ->
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, *, least: int = 100, longest: int = 5) -> tuple[DataFrame, list[DataFrame]]:
-    """(lang, total) and, for each length from 1, (id, lang, words, n, prefixes, suffixes, a, b): a phrase that occurs at
-    least `least` times, the counts of its first and last 1, 2, ... words, and the ids of its phrases without the last and
-    without the first word. `docs` holds lang and text, without nulls."""
+    """(lang, total) and, for each length from 1, (id, lang, words, last, n, prefixes, suffixes, a, b): a phrase that occurs
+    at least `least` times, the id of its last word, the counts of its first and last 1, 2, ... words, and the ids of its
+    phrases without the last and without the first word. `docs` holds lang and text, without nulls."""
     spark = docs.sparkSession
     totals, often = _frequent_words(docs, scratch, least)
     one = F.array("n")
-    levels = [scratch.write(often.select("id", "lang", F.array("word").alias("words"), "n", one.alias("prefixes"), one.alias("suffixes"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), "phrases-1")]
+    levels = [scratch.write(often.select("id", "lang", F.array("word").alias("words"), F.col("id").alias("last"), "n", one.alias("prefixes"), one.alias("suffixes"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), "phrases-1")]
     size = levels[0].count()
     stream = _encoded(docs, often, size, scratch)
     for k in range(1, longest):
         if not size:
             break
-        near = stream.mapInArrow(_pairs(k, size + 1, least), "a bigint, b bigint, word bigint, n bigint")
-        possible = near.groupBy("a", "b").agg(F.min("word").alias("word"), F.sum("n").alias("n")).where(F.col("n") >= least)
-        candidates = ranked(possible.drop("n"), ["a", "b"], f"candidates-{k + 1}", scratch).withColumn("id", F.col("rank") + 1).drop("rank")
+        width = size + 1
+        near = stream.mapInArrow(_pairs(width, least), "pair bigint, n bigint")
+        possible = near.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        possible = possible.select(F.expr(f"pair div {width}").alias("a"), F.expr(f"pair % {width}").alias("b"))
+        candidates = ranked(possible.join(levels[-1].select(F.col("id").alias("b"), "last"), "b"), ["a", "b"], f"candidates-{k + 1}", scratch).withColumn("id", F.col("rank") + 1).drop("rank")
         size = candidates.count()
         counts = []
         for low, high in _ranges(size):
-            a, word, child = _arrays(candidates.where(F.col("id").between(low, high)), "a", "word", "id")
+            a, word, child = _arrays(candidates.where(F.col("id").between(low, high)), "a", "last", "id")
             order = np.lexsort((word, a))
             trie = spark.sparkContext.broadcast(Trie(int(a[order[0]]), a[order], word[order], child[order]))
             stream = scratch.write(stream.mapInArrow(_advance(trie, k, low, high, high == size), _STREAM), f"stream-{k + 1}-{low}")
-            counts.append(stream.where("size(accepted) > 0").select(F.explode(F.arrays_zip("accepted", "counts")).alias("x")).select(F.col("x.accepted").alias("id"), F.col("x.counts").alias("n")))
+            counts.append(stream.where("chunk is not null").select("chunk", "counts"))
         if not size:
             break
-        counted = scratch.write(reduce(DataFrame.union, counts).groupBy("id").agg(F.sum("n").alias("n")), f"counts-{k + 1}")
+        counted = scratch.write(reduce(DataFrame.union, counts).groupBy("chunk").applyInArrow(_add_up, "id bigint, n bigint"), f"counts-{k + 1}")
         left = levels[-1].select(F.col("id").alias("a"), "lang", "words", "prefixes")
-        right = levels[-1].select(F.col("id").alias("b"), F.element_at("words", -1).alias("last"), "suffixes")
+        right = levels[-1].select(F.col("id").alias("b"), F.element_at("words", -1).alias("word"), "suffixes")
         grown = candidates.join(counted, "id").where(F.col("n") >= least).join(left, "a").join(right, "b")
         add = lambda c, x: F.array_append(c, F.col(x)).alias(c)
-        levels.append(scratch.write(grown.select("id", "lang", add("words", "last"), "n", add("prefixes", "n"), add("suffixes", "n"), "a", "b"), f"phrases-{k + 1}"))
+        levels.append(scratch.write(grown.select("id", "lang", add("words", "word"), "last", "n", add("prefixes", "n"), add("suffixes", "n"), "a", "b"), f"phrases-{k + 1}"))
     return totals, levels
 
 
