@@ -1,22 +1,20 @@
 """Plane-wave fits: the arrival direction of each event from the centred second moments of its hits.
 
 The sum over all pairs of ((n . dp / c - dt) / sigma)^2 depends on nine centred moments and the number of hits only, so
-one aggregation by event gives everything that a fit, a seed or a chi square needs; no pairs are formed.
+one aggregation by event gives everything that a fit, a seed or a chi square needs; no pairs are formed. The fit itself
+is solved in column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pulsegrid.constants import C_AIR, EVENT, SIGMA
 from pulsegrid.functions.geometry import azimuth, zenith
-from pulsegrid.operators.pairs import hit_pairs
+from pulsegrid.functions.sphere import least_on_sphere
 
 AXES = ("x", "y", "z")
 MOMENTS = ("xx", "xy", "xz", "yy", "yz", "zz", "xt", "yt", "zt", "tt")
@@ -94,59 +92,6 @@ def two_point_direction(hits: DataFrame) -> DataFrame:
     return out.select("*", azimuth(F.col("nx"), F.col("ny")).alias("azimuth"), F.when(F.abs("delta_ns") < 10, F.lit(0.0)).otherwise(zenith(F.col("nx"), F.col("ny"), F.col("nz"))).alias("zenith"))
 
 
-def solve_sphere(a: np.ndarray, h: np.ndarray, prefer: float = 1e-6) -> np.ndarray:
-    """Minimisers of n'An - 2h'n over unit vectors, for stacks of symmetric 3 x 3 matrices and vectors.
-
-    In the eigenbasis n = h / (lambda + mu) with |n| = 1; the multiplier of the global minimum is at least -lambda_1, that
-    of a second local one lies between -lambda_2 and -lambda_1. Without a component along the first eigenvector there
-    are two mirror solutions. Of the best solutions with nz >= 0 and nz < 0 the first is taken unless the other is lower
-    by more than `prefer`, relatively.
-    """
-    lam, vec = np.linalg.eigh(a)
-    g = np.einsum("bij,bi->bj", vec, h)
-    size = np.maximum(np.abs(lam).max(1), np.linalg.norm(h, axis=1)) + 1e-300
-    excess = lambda mu: ((g / (lam + mu[:, None] + 1e-300)) ** 2).sum(1) - 1
-    tiny = size * 1e-13
-
-    def root(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """A zero of a falling function between the ends."""
-        for _ in range(90):
-            mid = (low + high) / 2
-            up = excess(mid) > 0
-            low, high = np.where(up, mid, low), np.where(up, high, mid)
-        return (low + high) / 2
-
-    low = -lam[:, 0] + tiny
-    mu = root(low, -lam[:, 0] + np.linalg.norm(g, axis=1) + 2 * tiny)
-    found = [g / (lam + mu[:, None])]
-    rest = g[:, 1:] / np.maximum(lam[:, 1:] - lam[:, :1], tiny[:, None])
-    spare = np.sqrt(np.maximum(1 - (rest**2).sum(1), 0))
-    found += [np.concatenate([s[:, None], rest], axis=1) for s in (spare, -spare)]
-    left, right = -lam[:, 1] + tiny, -lam[:, 0] - tiny
-    at, end = left.copy(), right.copy()
-    for _ in range(90):
-        m1, m2 = at + (end - at) / 3, end - (end - at) / 3
-        less = excess(m1) < excess(m2)
-        at, end = np.where(less, at, m1), np.where(less, m2, end)
-    low2, high2 = (at + end) / 2, right
-    for _ in range(90):
-        mid = (low2 + high2) / 2
-        under = excess(mid) < 0
-        low2, high2 = np.where(under, mid, low2), np.where(under, high2, mid)
-    found.append(g / (lam + ((low2 + high2) / 2)[:, None]))
-    n = np.stack(found, axis=1)
-    length = np.linalg.norm(n, axis=2, keepdims=True)
-    n = np.where(np.isfinite(length) & (length > 0.5), n / np.where(length > 0, length, 1), np.array([0.0, 0.0, 1.0]))
-    n = np.einsum("bij,bkj->bki", vec, n)
-    value = np.einsum("bki,bij,bkj->bk", n, a, n) - 2 * np.einsum("bki,bi->bk", n, h)
-    up = n[:, :, 2] >= 0
-    best = lambda mask: np.where(mask, value, np.inf).argmin(1)
-    i, j, row = best(up), best(~up), np.arange(len(n))
-    hi, lo = np.where(up[row, i], value[row, i], np.inf), np.where(~up[row, j], value[row, j], np.inf)
-    down = lo < hi - prefer * np.maximum(np.abs(np.where(np.isfinite(hi), hi, 0)), 1e-12)
-    return n[row, np.where(down, j, i)]
-
-
 def fit(hits: DataFrame, *, least: int = 4, fold_zenith: bool = False, fitted: int = 3, c: float = C_AIR) -> DataFrame:
     """Plane-wave fit of every event of at least `least` hits with positions: nx, ny, nz (propagation), vx, vy, vz
     (arrival: x and y reversed), zenith, azimuth, chi_square, n.
@@ -159,18 +104,9 @@ def fit(hits: DataFrame, *, least: int = 4, fold_zenith: bool = False, fitted: i
 def fit_moments(m: DataFrame, *, least: int = 4, fold_zenith: bool = False, fitted: int = 3, c: float = C_AIR) -> DataFrame:
     """The same from the events' moments; it needs no shuffle, so it runs on a stream."""
     rows = m.where(F.col("n") >= least)
-    schema = T.StructType([*rows.schema.fields, *[T.StructField(k, T.DoubleType()) for k in ("nx", "ny", "nz")]])
-    where = {k: rows.columns.index(k) for k in MOMENTS}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g = {k: b.column(i).to_numpy(zero_copy_only=False) for k, i in where.items()}
-            a = np.stack([np.stack([g["xx"], g["xy"], g["xz"]], -1), np.stack([g["xy"], g["yy"], g["yz"]], -1), np.stack([g["xz"], g["yz"], g["zz"]], -1)], 1) / (c * c)
-            n = solve_sphere(a, np.stack([g["xt"], g["yt"], g["zt"]], -1) / c) if b.num_rows else np.zeros((0, 3))
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(n[:, k]) for k in range(3)]], [*b.schema.names, "nx", "ny", "nz"])
-
+    solved = least_on_sphere(rows, {k: f"{k} / {c * c!r}d" for k in MOMENTS[:6]}, [f"{k} / {c!r}d" for k in MOMENTS[6:9]])
     x, y, z = (F.col(f"n{k}") for k in AXES)
-    done = rows.mapInArrow(run, schema).withColumn("chi_square", chi_square(None, x, y, z, F.col("n"), fitted=fitted, c=c))
+    done = solved.withColumn("chi_square", chi_square(None, x, y, z, F.col("n"), fitted=fitted, c=c))
     raw = F.degrees(F.acos(F.greatest(F.least(z, F.lit(1.0)), F.lit(-1.0))))
     zen = F.when(raw > 90.0, 180.0 - raw).otherwise(raw) if fold_zenith else raw
     vx, vy = (x, y) if fold_zenith else (-x, -y)
@@ -236,11 +172,5 @@ def refined_two_point(hits: DataFrame, least: int = 4) -> DataFrame:
 
 def start_directions() -> list[tuple[float, float, float]]:
     """The scan's starts as unit vectors."""
-    out = []
-    for t in np.radians(SCAN_ZENITH):
-        out += [(float(np.sin(t) * np.cos(p)), float(np.sin(t) * np.sin(p)), float(np.cos(t))) for p in np.radians(SCAN_AZIMUTH)]
-    return out
-
-
-def pair_count(hits: DataFrame) -> DataFrame:
-    return hit_pairs(hits).groupBy(*EVENT).agg(F.count(F.lit(1)).alias("n_pairs"))
+    angles = [(math.radians(t), math.radians(p)) for t in SCAN_ZENITH for p in SCAN_AZIMUTH]
+    return [(math.sin(t) * math.cos(p), math.sin(t) * math.sin(p), math.cos(t)) for t, p in angles]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,11 +62,25 @@ def histogram(df: DataFrame, column: str, bins: int, *, log: bool = False) -> Da
 
 def distribution_tables(fits: DataFrame, bins: int = 50, log_bins: int = 99) -> DataFrame:
     """The histograms of fits as one table: quantity, bin, low, high, n. Angles in degrees, sources in km and chi square (by
-    its logarithm; low and high are log10 values)."""
+    its logarithm; low and high are log10 values).
+
+    The quantities are unpivoted, so that one aggregation gives all ranges and one more all bins: the fits are read twice.
+    """
     km = [(f"s{k}", f"{k}_km") for k in "xyz" if f"s{k}" in fits.columns]
-    cols = fits.select(*[c for c in ("zenith", "azimuth", "chi_square") if c in fits.columns], *[(F.col(c) / 1000).alias(n) for c, n in km])
-    each = [histogram(cols, c, log_bins if c == "chi_square" else bins, log=c == "chi_square").select(F.lit(c).alias("quantity"), "bin", "low", "high", "n") for c in cols.columns]
-    return reduce(DataFrame.unionByName, each)
+    taken = {c: F.col(c).cast("double") for c in ("zenith", "azimuth", "chi_square") if c in fits.columns} | {n: F.col(c) / 1000 for c, n in km}
+    pairs = F.array(*[F.struct(F.lit(n).alias("quantity"), c.alias("raw")) for n, c in taken.items()])
+    long = fits.select(F.explode(pairs).alias("q")).select("q.*").where("raw is not null")
+    log = F.col("quantity") == "chi_square"
+    value = F.when(log, F.log10("raw")).otherwise(F.col("raw"))
+    above = F.col("least") + 0.01
+    low = F.when(log, F.log10(F.when(above < F.col("most"), above).otherwise(F.greatest("least", F.lit(1e-6)) / 10.0))).otherwise(F.col("least"))
+    high = F.when(log, F.log10("most")).otherwise(F.col("most"))
+    # One row a quantity, of which there are seven at most.
+    ends = long.groupBy("quantity").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).select("quantity", low.alias("lo"), ((high - low) / F.when(log, log_bins).otherwise(bins)).alias("width"), F.when(log, log_bins).otherwise(bins).alias("last"))
+    at = long.join(F.broadcast(ends), "quantity").withColumn("v", value).where("v >= lo")
+    place = F.least(F.floor((F.col("v") - F.col("lo")) / F.col("width")).cast("int") + 1, F.col("last"))
+    counts = at.groupBy("quantity", place.alias("bin"), "lo", "width").agg(F.count(F.lit(1)).alias("n")).where("bin is not null")
+    return counts.select("quantity", "bin", (F.col("lo") + (F.col("bin") - 1) * F.col("width")).alias("low"), (F.col("lo") + F.col("bin") * F.col("width")).alias("high"), "n")
 
 
 def projections(fits: DataFrame, events: DataFrame) -> DataFrame:

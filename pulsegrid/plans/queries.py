@@ -251,14 +251,88 @@ def plane_wave_scan(spark, sf_dir):
     return best.select(*EVENT, "n", rounded(F.col("chi_square"), 3).alias("chi_square"))
 
 
-@query()
+def _sphere_sql(source: str = "m", least: int = 4) -> str:
+    """SQL for the plane-wave fit of moments: eigenvalues by the cubic's cosine form, roots of the multiplier by bisection."""
+    cross = lambda p, a, b: ", ".join(f"{a}{i} * {b}{j} - {a}{j} * {b}{i} as {p}{k}" for k, (i, j) in {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}.items())
+    dot = lambda a, b: f"({a}x * {b}x + {a}y * {b}y + {a}z * {b}z)"
+    form = lambda a, b: f"({a}x * (axx * {b}x + axy * {b}y + axz * {b}z) + {a}y * (axy * {b}x + ayy * {b}y + ayz * {b}z) + {a}z * (axz * {b}x + ayz * {b}y + azz * {b}z))"
+    square = lambda t: f"(pow(g0 / ({t}), 2) + pow(g1 / (d1 + {t}), 2) + pow(g2 / (d2 + {t}), 2))"
+    slope = lambda t: f"(g0 * g0 / pow({t}, 3) + g1 * g1 / pow(d1 + {t}, 3) + g2 * g2 / pow(d2 + {t}, 3))"
+    fold = lambda low, high, up: f"list_reduce(list_transform(range(200), lambda i: [{low}, {high}]), lambda s, i: case when {up('(s[1] + s[2]) / 2')} then [(s[1] + s[2]) / 2, s[2]] else [s[1], (s[1] + s[2]) / 2] end)"
+    return f""", q0 as (select *, (xx + yy + zz) as tr from {source} where n >= {least}),
+  q1 as (select *, {', '.join(f'{k} / tr as a{k}' for k in planewave.MOMENTS[:6])}, {', '.join(f'{k}t * {C} / tr as h{k}' for k in 'xyz')} from q0),
+  q2 as (select *, (axx + ayy + azz) / 3 as q from q1),
+  q3 as (select *, sqrt(((axx - q) ** 2 + (ayy - q) ** 2 + (azz - q) ** 2 + 2 * (axy ** 2 + axz ** 2 + ayz ** 2)) / 6) as p from q2),
+  q4 as (
+    select *, acos(greatest(least(((axx - q) * ((ayy - q) * (azz - q) - ayz * ayz) - axy * (axy * (azz - q) - ayz * axz) + axz * (axy * ayz - (ayy - q) * axz)) / (2 * p ** 3), 1e0), -1e0)) / 3 as phi from q3),
+  q5 as (select *, q + 2 * p * cos(phi) as most, q + 2 * p * cos(phi + 2 * pi() / 3) as few from q4),
+  q6 as (select *, case when 3 * q - most - 2 * few >= 2 * most - 3 * q + few then few else most end as ap from q5),
+  q7 as (select *, axx - ap as m1x, axy as m1y, axz as m1z, axy as m2x, ayy - ap as m2y, ayz as m2z, axz as m3x, ayz as m3y, azz - ap as m3z from q6),
+  q8 as (select *, {cross('c', 'm1', 'm2')}, {cross('d', 'm1', 'm3')}, {cross('e', 'm2', 'm3')} from q7),
+  q9 as (select *, {dot('c', 'c')} as nc, {dot('d', 'd')} as nd, {dot('e', 'e')} as ne from q8),
+  q10 as (select *, {', '.join(f"case when nc >= nd and nc >= ne then c{k} / sqrt(nc) when nd >= ne then d{k} / sqrt(nd) else e{k} / sqrt(ne) end as w{k}" for k in 'xyz')} from q9),
+  q11 as (
+    select *, case when abs(wx) > abs(wy) then -wz / sqrt(wx * wx + wz * wz) else 0e0 end as ux, case when abs(wx) > abs(wy) then 0e0 else wz / sqrt(wy * wy + wz * wz) end as uy,
+      case when abs(wx) > abs(wy) then wx / sqrt(wx * wx + wz * wz) else -wy / sqrt(wy * wy + wz * wz) end as uz from q10),
+  q12 as (select *, {cross('v', 'w', 'u')} from q11),
+  q13 as (select *, {form('u', 'u')} as uu, {form('u', 'v')} as uv, {form('v', 'v')} as vv, {form('w', 'w')} as ww from q12),
+  q14 as (select *, atan2(2 * uv, uu - vv) / 2 as turn, (uu + vv) / 2 as mean, sqrt(pow((uu - vv) / 2, 2) + uv * uv) as half from q13),
+  q15 as (
+    select *, list_sort([struct_pack(l := greatest(ww, 0e0), x := wx, y := wy, z := wz), struct_pack(l := greatest(mean + half, 0e0), x := cos(turn) * ux + sin(turn) * vx, y := cos(turn) * uy + sin(turn) * vy, z := cos(turn) * uz + sin(turn) * vz),
+      struct_pack(l := greatest(mean - half, 0e0), x := cos(turn) * vx - sin(turn) * ux, y := cos(turn) * vy - sin(turn) * uy, z := cos(turn) * vz - sin(turn) * uz)]) as own from q14),
+  q16 as (select *, {', '.join(f'own[{i + 1}].l as l{i}, own[{i + 1}].x * hx + own[{i + 1}].y * hy + own[{i + 1}].z * hz as g{i}' for i in range(3))} from q15),
+  q17 as (select *, l1 - l0 as d1, l2 - l0 as d2, greatest(l2, sqrt(g0 * g0 + g1 * g1 + g2 * g2)) as big from q16),
+  q18 as (select *, 1e-13 * big as tiny, g1 / greatest(d1, 1e-13 * big) as r1, g2 / greatest(d2, 1e-13 * big) as r2 from q17),
+  q19 as (select *, l1 <= 1e-12 * l2 as line, abs(g0) <= 1e-9 * big and r1 * r1 + r2 * r2 < 1 as mirror, greatest(abs(g0), abs(g1) - d1, abs(g2) - d2, tiny) as t0 from q18),
+  q20 as (
+    select *, ({fold('t0', '2 * big + t0', lambda t: f'{square(t)} > 1')})[1] as t,
+      case when not line and not mirror and d1 > tiny and g0 <> 0 then ({fold('tiny - d1', '-greatest(abs(g0), tiny)', lambda t: f'{slope(t)} > 0')})[1] end as b0 from q19),
+  q21 as (select *, case when {square('b0')} < 1 then ({fold('b0', '-greatest(abs(g0), tiny)', lambda t: f'{square(t)} < 1')})[1] end as t2 from q20),
+  q22 as (
+    select *, greatest(least(g2 / greatest(l2, tiny), 1e0), -1e0) as al, sqrt(own[1].z * own[1].z + own[2].z * own[2].z) as st,
+      sqrt(greatest(1 - r1 * r1 - r2 * r2, 0e0)) as sp from q21),
+  q23 as (
+    select *, unnest(case when line then [[sqrt(greatest(1 - al * al, 0e0)) * case when st > 1e-9 then own[1].z / st else 1e0 end, sqrt(greatest(1 - al * al, 0e0)) * case when st > 1e-9 then own[2].z / st else 0e0 end, al]]
+      when mirror then [[sp, r1, r2], [-sp, r1, r2]] else [[g0 / t, g1 / (d1 + t), g2 / (d2 + t)], [g0 / t2, g1 / (d1 + t2), g2 / (d2 + t2)]] end) as cand from q22),
+  q24 as (select *, sqrt(cand[1] ** 2 + cand[2] ** 2 + cand[3] ** 2) as len from q23),
+  q25 as (
+    select *, {' + '.join(f'(l{i} * pow(cand[{i + 1}] / len, 2) - 2 * g{i} * cand[{i + 1}] / len)' for i in range(3))} as value,
+      {', '.join(f"({' + '.join(f'cand[{i + 1}] * own[{i + 1}].{k}' for i in range(3))}) / len as o{k}" for k in 'xyz')} from q24 where len > 0.5),
+  q26 as (select *, min(value) over (partition by file, event_key) as low from q25),
+  q27 as (select *, row_number() over (partition by file, event_key order by round(oz, 9) desc, round(ox, 9) desc, round(oy, 9) desc) as nth from q26 where value <= low + 1e-6 * greatest(abs(low), 1e-12)),
+  pf as (select file, event_key, n, ox as nx, oy as ny, oz as nz, {', '.join(planewave.MOMENTS)} from q27 where nth = 1)"""
+
+
+def _fit_columns(folded: bool) -> str:
+    """Of a direction as the fit gives it: the angles, and the chi square over n less the parameters fitted."""
+    raw = "degrees(acos(greatest(least(nz, 1e0), -1e0)))"
+    zen = f"case when {raw} > 90 then 180 - {raw} else {raw} end" if folded else raw
+    azi = "degrees(atan2(-ny, -nx))"
+    chi = _sql_chi("nx", "ny", "nz").replace("n > 3", f"n > {2 if folded else 3}").replace("(n - 3)", f"(n - {2 if folded else 3})")
+    return f"{zen} as zenith, case when {azi} < 0 then {azi} + 360 else {azi} end as azimuth, {chi} as chi_square"
+
+
+PLANE_FIT = f"{MOMENTS}{_sphere_sql()}, fits as (select *, {_fit_columns(False)} from pf)"
+PLANE_FIT_FOLDED = f"{MOMENTS}{_sphere_sql()}, fits as (select *, {_fit_columns(True)} from pf)"
+_FIT = {"nx": 5, "ny": 5, "nz": 5, "zenith": 3, "azimuth": 3}
+
+
+def _fit_rows(fits: DataFrame) -> DataFrame:
+    """Fits with the logarithm of 1 + chi square, as the chi squares of whole times are often multiples of a quarter."""
+    return fits.select(*EVENT, "n", *[(rounded(F.col(c), d) + F.lit(0.0)).alias(c) for c, d in _FIT.items()], rounded(F.log1p("chi_square"), 5).alias("ln_chi_square"))
+
+
+_FIT_SQL = f"file, event_key, n, {', '.join(f'round({c}, {d}) + 0e0 as {c}' for c, d in _FIT.items())}, round(ln(1 + chi_square), 5) as ln_chi_square"
+
+
+@query(f"{PLANE_FIT} select {_FIT_SQL} from fits")
 def plane_wave_fit(spark, sf_dir):
-    return planewave.fit(placed_hits(spark, sf_dir))
+    return _fit_rows(planewave.fit(placed_hits(spark, sf_dir)))
 
 
-@query()
+@query(f"{PLANE_FIT_FOLDED} select {_FIT_SQL} from fits")
 def plane_wave_fit_folded(spark, sf_dir):
-    return planewave.fit(placed_hits(spark, sf_dir), fold_zenith=True, fitted=2)
+    return _fit_rows(planewave.fit(placed_hits(spark, sf_dir), fold_zenith=True, fitted=2))
 
 
 SEED = f"""{MOMENTS}, sd as (
@@ -297,9 +371,16 @@ def plane_wave_scan_around_seed(spark, sf_dir):
     return best.select(*EVENT, "n", rounded(F.col("chi_square") / 1000.0, 3).alias("chi_square"))
 
 
-@query()
+TWO_POINT = """, tp as (
+  select file, event_key, arg_min(struct_pack(x := x, y := y, z := z, t := time_ns), struct_pack(t := time_ns, p := hit_pos)) as a, arg_max(struct_pack(x := x, y := y, z := z, t := time_ns), struct_pack(t := time_ns, p := -hit_pos)) as b
+  from p group by all)"""
+
+
+@query(f"""{PLANE_FIT}{TWO_POINT} select tp.file, tp.event_key, b.t - a.t as delta_ns, -round(nx, 5) + 0e0 as rx, -round(ny, 5) + 0e0 as ry, -round(nz, 5) + 0e0 as rz, round(ln(1 + chi_square), 5) as ln_chi_square
+  from tp left join fits on fits.file = tp.file and fits.event_key = tp.event_key""")
 def two_point_refined(spark, sf_dir):
-    return planewave.refined_two_point(placed_hits(spark, sf_dir)).select(*EVENT, "nx", "ny", "nz", "delta_ns", "rx", "ry", "rz", "chi_square")
+    out = planewave.refined_two_point(placed_hits(spark, sf_dir))
+    return out.select(*EVENT, "delta_ns", *[(rounded(F.col(k), 5) + F.lit(0.0)).alias(k) for k in ("rx", "ry", "rz")], rounded(F.log1p("chi_square"), 5).alias("ln_chi_square"))
 
 
 @query(f"""{PLACED}, e as (
@@ -488,7 +569,7 @@ def relative_hits(spark, sf_dir):
   from (select *, case when gps_time < 1483228818 then 17 else 18 end as l from ev)""")
 def local_clock(spark, sf_dir):
     g = F.col("gps_time")
-    return fixtures.clock(spark, sf_dir).select(*EVENT, F.unix_timestamp(clock.local_time(g)).alias("local_s"), rounded(clock.local_hour(g), 9).alias("local_hour"))
+    return fixtures.clock(spark, sf_dir).select(*EVENT, clock.epoch_second(clock.local_time(g)).alias("local_s"), rounded(clock.local_hour(g), 9).alias("local_hour"))
 
 
 @query(" select floor(list_max(list_transform(embedding[9:40], lambda x: abs(x)))::double * 1000) as peak from embeddings")
@@ -589,7 +670,7 @@ def known_chi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(*EVENT, planewave.chi_square(None, x, y, z, F.col("n")).alias("chi_square"), F.degrees(F.acos(z)).alias("zenith"), geometry.azimuth(-x, -y).alias("azimuth"))
 
 
-@query(f"""{KNOWN_CHI} select gps_time, printf('%d %s %.1f %.1f Chi %.1f', gps_time, strftime(make_timestamp((gps_time - 18 + 28800) * 1000000), '%Y-%m-%d %H:%M:%S'), zenith, azimuth, chi_square) as value
+@query(f"""{KNOWN_CHI} select gps_time, printf('%d %s %.1f %.1f Chi %.1f', gps_time, strftime(make_timestamp((gps_time - 18 + 28800) * 1000000), '%Y-%m-%d %H:%M:%S'), round_even(round(zenith, 6), 1), round_even(round(azimuth, 6), 1), round_even(round(chi_square, 6), 1)) as value
   from kc join ev using (file, event_key) where chi_square < 500 and zenith > 45 and zenith < 85""")
 def selected_known_directions(spark, sf_dir):
     return sinks.direction_lines(known_chi(spark, sf_dir), fixtures.clock(spark, sf_dir))
@@ -621,7 +702,8 @@ def source_projections(spark, sf_dir):
     return out.select(*EVENT, "gps_time", "plane", rounded(F.col("u")).alias("u"), rounded(F.col("v")).alias("v"))
 
 
-@query()
+@query(f"""{PLANE_FIT} select gps_time, printf('%d %s %.1f %.1f Chi %.1f', gps_time, strftime(make_timestamp((gps_time - 18 + 28800) * 1000000), '%Y-%m-%d %H:%M:%S'), round_even(round(zenith, 6), 1), round_even(round(azimuth, 6), 1), round_even(round(chi_square, 6), 1)) as value
+  from fits join ev using (file, event_key) where chi_square < 500 and zenith > 45 and zenith < 85""")
 def selected_directions(spark, sf_dir):
     return sinks.direction_lines(planewave.fit(placed_hits(spark, sf_dir)), fixtures.clock(spark, sf_dir))
 

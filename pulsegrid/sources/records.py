@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.amplitude import amplitude
-from pulsegrid.functions.clock import SYNTHETIC_START, event_time, numbered_second, time_in_path
+from pulsegrid.functions.clock import SYNTHETIC_START, epoch_second, event_time, numbered_second, time_in_path
 from pulsegrid.functions.geometry import true_azimuth, true_zenith
 from pulsegrid.operators.hits import explode_events, first_events, last_events, last_hits
 
@@ -23,11 +23,10 @@ def trigger_events(spark: SparkSession, path: str) -> DataFrame:
 def keyed_events(raw: DataFrame) -> DataFrame:
     """Records with event_key, idx (order of the file) and event_ts; of a number that occurs twice the last one stays.
 
-    Records that bring no idx are numbered in the order of the partitions, which is the order of a file only while it is
-    read as one split.
+    Records must bring their idx, as the order of rows isn't known otherwise.
     """
     if "idx" not in raw.columns:
-        raw = raw.withColumn("idx", F.monotonically_increasing_id())
+        raise ValueError("records need idx, their order in the file")
     stamped = raw.withColumn("event_ts", event_time(F.col("gps_time"))) if "gps_time" in raw.columns else raw.withColumn("event_ts", F.lit(None).cast("timestamp_ntz"))
     return last_events(stamped).withColumn("event_key", F.col("event_number").cast("string"))
 
@@ -77,7 +76,7 @@ def with_companions(events: DataFrame, shower: DataFrame, shower_sim: DataFrame,
 
 def simulated_clock(events: DataFrame, path: Column) -> DataFrame:
     """Simulated events with gps_time: the time of their path (or 2020-01-01) and their number."""
-    base = F.coalesce(F.unix_timestamp(time_in_path(path).cast("timestamp")), F.lit(SYNTHETIC_START))
+    base = F.coalesce(epoch_second(time_in_path(path)), F.lit(SYNTHETIC_START))
     return events.withColumn("gps_time", numbered_second(F.col("event_number"), base))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.clock import file_second
+from pulsegrid.functions.clock import epoch_second, file_second
 
 
 def parse_layout(lines: DataFrame) -> DataFrame:
@@ -31,8 +31,9 @@ def read_layout(spark: SparkSession, path: str) -> DataFrame:
 def parse_calibration(raw: DataFrame) -> DataFrame:
     """Calibration rows with window_id (by start): times with or without fractions; of a window's repeated detector the
     last row stays. `raw` has the columns of the file as text, and ord."""
-    # An ISO string without a zone is UTC, as the session's time zone is.
-    utc = lambda c: F.unix_timestamp(F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")), F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(c)))
+    # A time without a zone is UTC, whatever the session's zone is.
+    zoned = lambda c: F.regexp_like(c, F.lit(r"(?i)(\d\s*(Z|UTC|GMT)|:\d\d(\.\d+)?\s*[+-]\d{1,2}(:?\d\d)?)\s*$"))
+    utc = lambda c: F.when(zoned(F.col(c)), F.unix_seconds(F.col(c).try_cast("timestamp"))).otherwise(epoch_second(F.col(c).try_cast("timestamp_ntz")))
     num = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
     rows = raw.select(utc("window_start_utc").alias("start_s"), utc("window_end_utc").alias("end_s"), F.col("DU_ID").try_cast("int").alias("du_id"), num("time_offset_add_ns").alias("dt_ns"), num("x_offset_m").alias("dx"), num("y_offset_m").alias("dy"), num("z_offset_m").alias("dz"), "ord")
     last = rows.groupBy("start_s", "end_s", "du_id").agg(F.max_by(F.struct("dt_ns", "dx", "dy", "dz"), "ord").alias("r")).select("start_s", "end_s", "du_id", "r.*")
@@ -44,6 +45,7 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     return parse_calibration(spark.read.option("header", True).csv(path).select(*columns, file_order().alias("ord")))
 
 
+#: The column names of the files.
 PAIR_COLUMNS = ("du_a", "du_b", "distance_m", "theoretical_delta_ns")
 
 
@@ -58,6 +60,28 @@ def read_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return typed.where(ok), typed.where(~ok)
 
 
+def read_pairs_counted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Observation]:
+    """A pair table, its invalid rows as (text, reason), and an observation of n_rows and n_invalid, which any action over
+    the pairs fills in the same pass. Fails where a column is missing.
+
+    A row is invalid if it doesn't parse (its whole text is kept) or if a value is missing.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    lacking = [c for c in PAIR_COLUMNS if c not in header]
+    if lacking:
+        raise ValueError(f"pair table without {', '.join(lacking)}")
+    kinds = dict(zip(PAIR_COLUMNS, ("int", "int", "double", "double"), strict=True))
+    schema = ", ".join([*(f"`{c}` {kinds.get(c, 'string')}" for c in header), "bad_row string"])
+    rows = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_row").schema(schema).csv(path)
+    lost = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in PAIR_COLUMNS]))
+    reason = F.when(F.col("bad_row").isNotNull(), "unreadable").when(F.size(lost) > 0, F.concat(F.lit("without "), F.array_join(lost, ", ")))
+    seen = Observation()
+    told = rows.withColumn("reason", reason)
+    counted = told.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count("reason").alias("n_invalid"))
+    text = F.coalesce("bad_row", F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in header]))
+    return counted.where("reason is null").select(*PAIR_COLUMNS), told.where("reason is not null").select(text.alias("text"), "reason"), seen
+
+
 def write_pairs(pairs: DataFrame, path: str) -> None:
     pairs.select(*PAIR_COLUMNS).orderBy(F.col("du_a").cast("string"), F.col("du_b").cast("string")).write.option("header", True).csv(path)
 
@@ -79,3 +103,29 @@ def files_between(files: DataFrame, start: str, end: str) -> DataFrame:
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """path, length and time of the files of a folder and those below it whose names fit a glob pattern."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
+
+
+def audit_files(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """path, status, n_rows and length of each file of a listing (path, length), by the rows that it gave (column path).
+
+    A file that gave rows is `read`. Of the others, those that begin and end as a Parquet file are `empty` and all else is
+    `failed`; only their bytes are looked at. Damaged files are skipped by the reader where it is told so, with the option
+    ignoreCorruptFiles; a file that was damaged behind its first rows counts as read, with the rows it gave.
+    """
+    plain = lambda c: F.regexp_replace(c, r"^file:/+", "file:/")
+    given = rows.groupBy(plain(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
+    listed = files.withColumn("path", plain(F.col("path"))).join(given, "path", "left")
+    whole = F.lit(False)
+    if "content" in files.columns:
+        mark = F.lit(b"PAR1")
+        whole = (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark) & (F.octet_length("content") >= 12)
+    status = F.when(F.col("n_rows") > 0, "read").when(whole, "empty").otherwise("failed")
+    return listed.select("path", status.alias("status"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), "length")
+
+
+def read_surviving(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
+    """The rows of the readable Parquet files of a folder, with their path, and the audit of all its files."""
+    rows = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(folder)
+    rows = rows.withColumn("path", F.col("_metadata.file_path"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    return rows, audit_files(files.select("path", "length", "content"), rows)

@@ -17,19 +17,40 @@ from pulsegrid.operators.calibration import event_windows
 from pulsegrid.operators.hits import BROADCAST_ROWS, small
 
 
+#: A layout on a stream is searched in this many maps, by detector.
+LAYOUT_PARTS = 1024
+
+
 def place_stream(events: DataFrame, layout: DataFrame) -> DataFrame:
     """Events whose hits have x, y, z of a static layout; an event with a hit that it doesn't know is left out.
 
-    The layout becomes one row of the plan, so it may have BROADCAST_ROWS detectors at most.
+    Up to BROADCAST_ROWS detectors the layout is one row of the plan, of LAYOUT_PARTS small maps. A batch takes a larger one
+    too, by a join of its hits; on a stream that would need state, so there it is an error: use it within foreachBatch.
     """
     if layout.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"a layout of more than {BROADCAST_ROWS} detectors takes the batch form, resolve_positions")
-    known = layout.agg(F.map_from_entries(F.collect_list(F.struct("du_id", F.struct("x", "y", "z")))).alias("known_at"))
-    at = lambda h: F.try_element_at("known_at", h["du_id"])
+        if events.isStreaming:
+            raise ValueError(f"a layout of more than {BROADCAST_ROWS} detectors takes batches: place_stream within foreachBatch")
+        return _placed_by_join(events, layout)
+    part = lambda d: F.pmod(d, F.lit(LAYOUT_PARTS)).cast("int")
+    parts = layout.groupBy(part(F.col("du_id")).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("du_id", F.struct("x", "y", "z")))).alias("known"))
+    known = parts.agg(F.map_from_entries(F.collect_list(F.struct("part", "known"))).alias("by_part"))
+    known = known.select(F.transform(F.sequence(F.lit(0), F.lit(LAYOUT_PARTS - 1)), lambda i: F.try_element_at("by_part", i)).alias("known_at"))
+    at = lambda h: F.try_element_at(F.get("known_at", part(h["du_id"])), h["du_id"])
     placed = F.transform("hits", lambda h: h.withField("x", at(h)["x"]).withField("y", at(h)["y"]).withField("z", at(h)["z"]))
     return events.join(F.broadcast(known)).withColumn("hits", placed).drop("known_at").where(F.forall("hits", lambda h: h["x"].isNotNull()))
 
 
+def _placed_by_join(events: DataFrame, layout: DataFrame) -> DataFrame:
+    """The same by a join of the hits, which are gathered again in their order."""
+    rest = [c for c in events.columns if c not in (*EVENT, "hits")]
+    hits = events.select(*EVENT, F.posexplode("hits").alias("place", "hit"))
+    at = hits.withColumn("du_id", F.col("hit.du_id")).join(layout.select("du_id", "x", "y", "z"), "du_id", "left")
+    moved = F.col("hit").withField("x", F.col("x")).withField("y", F.col("y")).withField("z", F.col("z"))
+    each = at.groupBy(*EVENT).agg(F.array_sort(F.collect_list(F.struct("place", moved.alias("hit")))).alias("h"), F.every(F.col("x").isNotNull()).alias("whole")).where("whole")
+    placed = each.select(*EVENT, F.transform("h", lambda s: s["hit"]).alias("hits"))
+    return events.select(*EVENT, *rest).join(placed, EVENT).select(*events.columns)
+
+
 def calibrate_stream(events: DataFrame, windows: DataFrame, offsets: DataFrame) -> DataFrame:
     """Events with window_id, window_dist and the window's offsets added to their times, rounded to whole ns (half to even).
 
