@@ -18,7 +18,7 @@ def wall_time(digits: Column) -> Column:
 
 def epoch_second(time: Column) -> Column:
     """The seconds of a timestamp without zone since the start of 1970."""
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), time)
+    return F.unix_date(time.cast("date")).cast("long") * 86400 + F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
 
 
 def event_time(gps_time: Column) -> Column:

@@ -105,27 +105,34 @@ def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
 
 
-def audit_files(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """path, status, n_rows and length of each file of a listing (path, length), by the rows that it gave (column path).
+def _plain(path: Column) -> Column:
+    """A local path with one slash after its scheme; listings and readers write it differently."""
+    return F.regexp_replace(path, r"^file:/+", "file:/")
 
-    A file that gave rows is `read`. Of the others, those that begin and end as a Parquet file are `empty` and all else is
-    `failed`; only their bytes are looked at. Damaged files are skipped by the reader where it is told so, with the option
-    ignoreCorruptFiles; a file that was damaged behind its first rows counts as read, with the rows it gave.
-    """
-    plain = lambda c: F.regexp_replace(c, r"^file:/+", "file:/")
-    given = rows.groupBy(plain(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
-    listed = files.withColumn("path", plain(F.col("path"))).join(given, "path", "left")
-    whole = F.lit(False)
-    if "content" in files.columns:
-        mark = F.lit(b"PAR1")
-        whole = (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark) & (F.octet_length("content") >= 12)
-    status = F.when(F.col("n_rows") > 0, "read").when(whole, "empty").otherwise("failed")
-    return listed.select("path", status.alias("status"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), "length")
+
+def audit_files(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """path, status, n_rows and length of each file of a listing (path, length), by the rows that it gave (column path): `read`
+    or `silent`. A file that was damaged behind its first rows counts as read, with the rows it gave."""
+    given = rows.groupBy(_plain(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
+    listed = files.withColumn("path", _plain(F.col("path"))).join(given, "path", "left")
+    return listed.select("path", F.when(F.col("n_rows") > 0, "read").otherwise("silent").alias("status"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), "length")
 
 
 def read_surviving(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
-    """The rows of the readable Parquet files of a folder, with their path, and the audit of all its files."""
-    rows = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(folder)
-    rows = rows.withColumn("path", F.col("_metadata.file_path"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return rows, audit_files(files.select("path", "length", "content"), rows)
+    """The rows of the readable Parquet files of a folder, with their path, and the audit of all its files: `read`, `empty` or
+    `failed`. Files that can't be read, or no longer are a Parquet file from end to end, have failed; Spark lists no file of
+    no bytes at all.
+
+    Only the bytes of files without rows are looked at once more; their names are listed on the driver, as Spark lists all.
+    """
+    seek = lambda reader: reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    rows = seek(spark.read.option("ignoreCorruptFiles", True)).parquet(folder).withColumn("path", F.col("_metadata.file_path"))
+    audit = audit_files(list_files(spark, folder, pattern), rows)
+    silent = [r.path for r in audit.where("status = 'silent'").select("path").collect()]
+    if not silent:
+        return rows, audit
+    mark = F.lit(b"PAR1")
+    whole = (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark) & (F.octet_length("content") >= 12)
+    sound = spark.read.option("ignoreCorruptFiles", True).format("binaryFile").load(silent).where(whole).select(_plain(F.col("path")).alias("path"), F.lit("empty").alias("sound"))
+    status = F.when(F.col("status") == "read", "read").otherwise(F.coalesce("sound", F.lit("failed")))
+    return rows, audit.join(sound, "path", "left").select("path", status.alias("status"), "n_rows", "length")

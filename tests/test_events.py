@@ -13,6 +13,7 @@ sys.path[:0] = [str(Path(__file__).parents[1])]
 
 from pulsegrid.constants import C_AIR  # noqa: E402
 from pulsegrid.functions import amplitude, clock, geometry  # noqa: E402
+from pulsegrid.functions.sphere import least_on_sphere  # noqa: E402
 from pulsegrid.operators import calibration, causality, cuts, planewave, pointsource, repeats, summaries  # noqa: E402
 from pulsegrid.operators.hits import consistent_events, resolve_positions, subtract_offsets, unplaced_events, within_radius  # noqa: E402
 from pulsegrid.plans.queries import placed_hits  # noqa: E402
@@ -51,20 +52,38 @@ def test_plane_wave_is_recovered_and_invariant(spark):
     assert all(again[k].zenith == pytest.approx(got[k].zenith, abs=1e-3) for k in got)
 
 
-def test_sphere_solver_is_never_above_a_dense_scan():
+def test_sphere_solver_is_never_above_a_dense_scan(spark):
+    """On solid, nearly planar, planar (level and tilted), linear and three-point arrays; mirror solutions by the rule."""
     rng = np.random.default_rng(5)
     th, ph = np.meshgrid(np.radians(np.arange(0.5, 180, 1)), np.radians(np.arange(0, 360, 1)))
     grid = np.stack([np.sin(th) * np.cos(ph), np.sin(th) * np.sin(ph), np.cos(th)], -1).reshape(-1, 3)
-    for scale in (1.0, 0.02, 0.0):
-        p = rng.normal(0, 500, (40, 7, 3)) * [1, 1, scale]
-        t = np.einsum("bhk,bk->bh", p, directions(7, 40)) / C_AIR + rng.normal(0, 20, (40, 7))
+    forms = []
+    for kind in ("solid", "nearly", "level", "tilted", "line", "three"):
+        p = rng.normal(0, 500, (20, 3 if kind == "three" else 7, 3)) * [1, 1, {"solid": 1.0, "nearly": 0.02}.get(kind, 0.0)]
+        if kind == "tilted":
+            p[:, :, 2] = 0.3 * p[:, :, 0] - 0.2 * p[:, :, 1]
+        if kind == "line":
+            p = p[:, :, :1] * np.array([0.6, 0.48, 0.64])
+        t = np.einsum("bhk,bk->bh", p, directions(7, 20)) / C_AIR + rng.normal(0, 20, p.shape[:2])
         p, t = p - p.mean(1, keepdims=True), t - t.mean(1, keepdims=True)
         a, h = np.einsum("bhi,bhj->bij", p, p) / C_AIR**2, np.einsum("bhi,bh->bi", p, t) / C_AIR
-        n = planewave.solve_sphere(a, h)
-        value = lambda v, i: np.einsum("...i,ij,...j", v, a[i], v) - 2 * v @ h[i]
-        for i in range(40):
-            best = np.min(np.einsum("gi,ij,gj->g", grid, a[i], grid) - 2 * grid @ h[i])
-            assert value(n[i], i) <= best + 1e-6 * max(1, abs(best))
+        forms += [(kind, *x) for x in zip(a, h, strict=True)]
+    rows = [(i, *map(float, (a[0, 0], a[0, 1], a[0, 2], a[1, 1], a[1, 2], a[2, 2], *h))) for i, (_, a, h) in enumerate(forms)] + [(len(forms), *[0.0] * 9)]
+    entries = ("xx", "xy", "xz", "yy", "yz", "zz")
+    df = spark.createDataFrame(rows, "i long, " + ", ".join(f"{k} double" for k in (*entries, "a", "b", "c")))
+    got = {r.i: np.array([r.nx, r.ny, r.nz], float) for r in least_on_sphere(df, {k: k for k in entries}, ["a", "b", "c"]).collect()}
+    assert np.isnan(got.pop(len(forms))).all()
+    for i, (kind, a, h) in enumerate(forms):
+        value = lambda v: np.einsum("...i,ij,...j", v, a, v) - 2 * v @ h  # noqa: B023, E731
+        every = value(grid)
+        assert abs(np.linalg.norm(got[i]) - 1) < 1e-9 and value(got[i]) <= every.min() + 1e-6 * max(1, abs(every.min()))
+        if kind == "level":
+            assert got[i][2] >= 0
+        if kind in ("tilted", "three"):
+            normal = np.linalg.eigh(a)[1][:, 0]
+            assert (got[i] - 2 * (got[i] @ normal) * normal)[2] <= got[i][2] + 1e-9
+        if kind == "line":
+            assert got[i][2] >= grid[every <= every.min() + 1e-4 * abs(every.min())][:, 2].max() - 0.05
 
 
 def test_plane_chi_square_from_moments_is_that_of_pairs(spark):
