@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: The amplitude of a hit whose waveform is missing or empty.
 DEFAULT_AMPLITUDE = 10
-#: Places of the channels; for simulated events F is X.
+#: Places of the channels; for simulated events F is X.
 CHANNELS, SIMULATED = {"F": 0, "X": 1, "Y": 2, "Z": 3}, {"F": 0, "X": 0, "Y": 1, "Z": 2}
 
 

@@ -113,11 +113,11 @@ def fit_moments(m: DataFrame, *, least: int = 4, fold_zenith: bool = False, fitt
     return done.select(*EVENT, "n", "nx", "ny", "nz", vx.alias("vx"), vy.alias("vy"), z.alias("vz"), zen.alias("zenith"), azimuth(-x, -y).alias("azimuth"), "chi_square")
 
 
-#: Starts of the scan around the seed: its own direction and two zeniths at its azimuth, then, where the best of them leaves
+#: Starts of the scan around the seed, its own direction and two zeniths at its azimuth, then, where the best of them leaves
 #: a chi square above WIDE, a grid of zeniths and azimuths relative to the seed's; 45 and 34 degrees stand in for a seed.
 NARROW_ZENITH, WIDE, NO_SEED = (45.0, 75.0), 100.0, (45.0, 34.0)
 WIDE_ZENITH, WIDE_AZIMUTH, WIDE_AZIMUTH_NO_SEED = (30.0, 45.0, 60.0, 75.0, 85.0), (0.0, 90.0, -90.0, 180.0), (0.0, 45.0, 90.0, 135.0, 180.0, -135.0, -90.0, -45.0)
-#: Absolute start angles of the scan over fixed directions.
+#: Own choice: absolute start angles of the scan over fixed directions.
 SCAN_ZENITH, SCAN_AZIMUTH = (30.0, 45.0, 60.0, 75.0, 85.0), (0.0, 72.0, 144.0, 216.0, 288.0)
 
 

@@ -8,7 +8,7 @@ at once and gives back the best of each row, so fits need no shuffle; the choice
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +22,21 @@ from pulsegrid.operators.causality import gather, scatter
 STEPS = 60
 #: Hits of all starts that are solved together; bounds the memory of a batch.
 TOGETHER = 1 << 16
-#: Starts (rho, theta, azimuth relative to the seed): two rings of eight azimuths.
+#: Starts (rho, theta, azimuth relative to the seed), two rings of eight azimuths.
 STARTS = [(3e4, 60.0, 45.0 * k) for k in range(8)] + [(2e4, 45.0, 22.5 + 45.0 * k) for k in range(8)]
-#: Azimuths (relative) of the refits of subsets: of more than four hits, of four.
+#: Azimuths (relative) of the refits of subsets, of more than four hits and of four.
 REFIT, REFIT_FOUR = [(3e4, 60.0, 30.0 * k) for k in range(12)] + [(1e4, 75.0, 0.0)], [(3e4, 60.0, 60.0 * k) for k in range(6)]
 #: Fixed values of the removal: chi square that calls for it, gates on the ratio to it, and the residual in ns.
 OUTLYING, GATE_TO_FOUR, GATE, CONFIRM = 10.0, 0.8, 0.7, 3 * SIGMA
+#: Own choices: of an event with more subsets than PROMISING, that many are refitted, and all that seem to pass LIKELY times
+#: the gate.
+PROMISING, LIKELY = 64, 1.2
 PLANE_FALLBACK, FALLBACK_RHO = 1e6, 1e5
 #: The penalised variant: speed, bounds, gate of its removal, chi square from which all subsets of four of five are tried,
 #: strength of the azimuth penalty in refits, least chi square after the removal.
 PENALISED = {"c": C_VACUUM, "rho": (2e3, 6e4), "theta": (30.0, 95.0)}
 GATE_PENALISED, ALL_FOURS, EDGE_WIDTH, EDGE_STRENGTH, FLOOR_PENALISED = 0.5, 200.0, 10.0, 5e2, 1e-3
-#: Its starts around the fit before (factor of rho, differences of theta and azimuth): four of five hits, one of five left
+#: Its starts around the fit before (factor of rho, differences of theta and azimuth): four of five hits, one of five left
 #: out, one of more left out.
 AROUND_FOURS = [(1.0, 0.0, 0.0), (1.2, 0.0, 90.0), (0.8, 0.0, -120.0), (1.0, 10.0, -30.0), (1.0, -10.0, 0.0)]
 AROUND_FOUR = [(1.0, 0.0, 0.0), (1.2, 0.0, 20.0), (0.8, 0.0, -30.0), (1.0, 10.0, -90.0), (1.0, -10.0, 0.0), (1.0, 0.0, 180.0)]
@@ -243,9 +246,72 @@ def subsets(events: DataFrame, k: int) -> DataFrame:
     n = F.size("hits")
     one = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(i))
     two = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.array(i, j))))
-    rows = events.where(n >= k + 4).select("*", F.posexplode(one if k == 1 else two).alias("subset", "out"))
+    return _divided(events.where(n >= k + 4).select("*", F.posexplode(one if k == 1 else two).alias("subset", "out")), events.columns)
+
+
+def _divided(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The hits of each row, divided into those that stay and those of its index set `out`."""
     part = lambda want: F.transform(F.filter(F.transform("hits", lambda h, i: F.struct(h.alias("h"), F.array_contains("out", i).alias("o"))), lambda s: s["o"] == want), lambda s: s["h"])
-    return rows.select(*[c for c in events.columns if c != "hits"], "subset", part(False).alias("hits"), part(True).alias("gone"))
+    return rows.select(*[c for c in columns if c != "hits"], "subset", part(False).alias("hits"), part(True).alias("gone"))
+
+
+def removal_gains(u: np.ndarray, p: np.ndarray, t: np.ndarray, k: int, most: int, enough: float, c: float = C_AIR) -> tuple[np.ndarray, np.ndarray]:
+    """The subsets of k hits (one or two) whose removal promises most, as (numbers, indices of the hits): the `most` of
+    greatest gain, and all that take away at least `enough` of the sum of squares.
+
+    At the fit u = (1 / rho, theta, phi) the normal equations of all hits are kept; a hit or a pair is taken out of them by a
+    downdate, so its gain needs its residuals and its entries of the hat matrix only, and no subset is formed.
+    """
+    n = len(p)
+    r, j = (x[0] for x in _residuals(u[None], p[None], t[None], np.ones((1, n)), c))
+    scale = np.linalg.norm(j, axis=0) + 1e-300
+    q, s, _ = np.linalg.svd(j / scale, full_matrices=False)
+    q = np.column_stack([q[:, s > 1e-9 * s.max(initial=0)], np.full(n, n**-0.5)])
+    own = np.maximum(1 - (q**2).sum(1), 1e-9)
+    total = max(float(r @ r), 1e-300)
+    if k == 1:
+        gain = r**2 / own
+        best = np.union1d(np.argsort(-gain, kind="stable")[:most], np.flatnonzero(gain >= enough * total))
+        return best, best[:, None]
+    kept: list[np.ndarray] = []
+    step = max(1, (1 << 20) // n)
+    for low in range(0, n, step):
+        i = np.arange(low, min(low + step, n))
+        h = q[i] @ q.T
+        gain = (own[None, :] * r[i, None] ** 2 + 2 * h * r[i, None] * r[None, :] + own[i, None] * r[None, :] ** 2) / np.maximum(own[i, None] * own[None, :] - h**2, 1e-12)
+        gain = np.where(np.arange(n)[None, :] > i[:, None], gain, -1.0)
+        at = np.argsort(-gain.ravel(), kind="stable")[:most]
+        at = np.union1d(at, np.flatnonzero(gain.ravel() >= enough * total))
+        at = at[gain.ravel()[at] >= 0]
+        kept.append(np.column_stack([gain.ravel()[at], i[at // n], at % n]))
+    found = np.concatenate(kept)
+    found = found[np.argsort(-found[:, 0], kind="stable")]
+    found = found[(np.arange(len(found)) < most) | (found[:, 0] >= enough * total)]
+    i, j2 = found[:, 1].astype(np.int64), found[:, 2].astype(np.int64)
+    return i * n - i * (i + 1) // 2 + j2 - i - 1, np.column_stack([i, j2])
+
+
+def promising_subsets(events: DataFrame, k: int, most: int, enough: float) -> DataFrame:
+    """`subsets`, but only those of `removal_gains` around each event's fit (rho, theta, phi), chosen where the event's row
+    is; the hits are divided afterwards, so an event of many hits becomes `most` rows or little more."""
+    keep = events.columns
+    at = {c: keep.index(c) for c in ("hits", "rho", "theta", "phi")}
+    schema = T.StructType([*events.schema.fields, T.StructField("subset", T.IntegerType()), T.StructField("out", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for row in range(whole.num_rows):
+                b = whole.slice(row, 1)
+                hits = b.column(at["hits"]).flatten()
+                v = np.stack([hits.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "z", "time_ns")], -1).astype(float)
+                rho, theta, phi = (float(b.column(at[c])[0].as_py()) for c in ("rho", "theta", "phi"))
+                numbers, out = removal_gains(np.array([1 / rho, np.radians(theta), np.radians(phi)]), v[:, :3], v[:, 3] - v[:, 3].mean(), k, most, enough)
+                for low in range(0, len(numbers), 256):
+                    part = slice(low, low + 256)
+                    again = pa.array(np.zeros(len(numbers[part]), np.int64))
+                    yield pa.RecordBatch.from_arrays([*(c.take(again) for c in b.columns), pa.array(numbers[part], pa.int32()), pa.array(out[part].tolist(), pa.list_(pa.int32()))], schema.names)
+
+    return _divided(events.mapInArrow(run, schema), keep)
 
 
 def _confirmed(c: float = C_AIR) -> Column:
@@ -255,9 +321,19 @@ def _confirmed(c: float = C_AIR) -> Column:
     return F.forall("gone", lambda h: F.abs(d(h) - mean) > CONFIRM)
 
 
-def _round(todo: DataFrame, k: int) -> DataFrame:
-    """For each outlying event the best way to leave out k hits that passes its gate, or none."""
-    tried = subsets(todo.select(*EVENT, "chi_square", "seed_phi", "hits"), k)
+def _round(todo: DataFrame, k: int, exhaustive: bool = False) -> DataFrame:
+    """For each outlying event the best way to leave out k hits that passes its gate, or none.
+
+    All subsets are refitted where there are at most PROMISING; of an event with more, those that promise most.
+    """
+    columns = [*EVENT, "chi_square", "seed_phi", "hits"]
+    n = F.size("hits").cast("long")
+    many = (n if k == 1 else n * (n - 1) / 2) > PROMISING
+    if exhaustive:
+        tried = subsets(todo.select(*columns), k)
+    else:
+        chosen = promising_subsets(todo.where(many).select(*columns, "rho", "theta", "phi"), k, PROMISING, 1 - LIKELY * GATE).drop("rho", "theta", "phi")
+        tried = subsets(todo.where(~many).select(*columns), k).unionByName(chosen)
     four = F.size("hits") == 4
     wide = solve_best(tried.where(~four), relative_to_seed(REFIT), ["seed_phi"])
     few = solve_best(tried.where(four), relative_to_seed(REFIT_FOUR), ["seed_phi"])
@@ -293,15 +369,18 @@ def _round_penalised(todo: DataFrame, k: int) -> DataFrame:
     return passed.groupBy(*EVENT).agg(best.alias("b")).select(*EVENT, "b.*")
 
 
-def remove_outliers(fits: DataFrame, checkpoint, *, pairs: bool = True) -> DataFrame:
+def remove_outliers(fits: DataFrame, checkpoint, *, pairs: bool = True, exhaustive: bool = False) -> DataFrame:
     """Fits after removal of outlying hits, with removed (their detectors).
 
     While an event's chi square exceeds 10, single hits are left out in turn and the best refit that passes its gate is
     kept; then pairs of hits, for events that are still outlying. Every round treats all outlying events at once and
     either removes hits of an event or sets it aside, so there are at most as many rounds as an event has hits.
     `checkpoint` (DataFrame, name -> DataFrame) cuts the lineage between rounds.
+
+    Of events with many hits only the subsets are refitted that promise most by a downdate of the normal equations, at
+    least PROMISING of them; `exhaustive` refits all, which takes n * (n - 1) / 2 refits an event.
     """
-    return _rounds(fits, checkpoint, (1, 2) if pairs else (1,), _round)
+    return _rounds(fits, checkpoint, (1, 2) if pairs else (1,), partial(_round, exhaustive=exhaustive))
 
 
 def remove_penalised(fits: DataFrame, checkpoint) -> DataFrame:

@@ -340,8 +340,50 @@ def test_sets_of_a_large_event_are_made_in_its_row(spark, keep):
     plane = planewave.fit(hits)
     start = plane.select("file", "event_key", F.lit(float(np.degrees(np.arctan2(d[1], d[0])) % 360)).alias("azimuth"), F.lit(float(np.degrees(np.arccos(d[2])))).alias("zenith"))
     fits = keep(pointsource.fit(hits, start, fallback=float("inf")), "fits")
-    out = pointsource.remove_outliers(fits, keep, pairs=False).first()
+    out = pointsource.remove_outliers(fits, keep).first()
     assert sorted(out.removed) == [107, 300] and out.chi_square < 10 and len(out.hits) == 297
+    # A pair at once: of 44,551 those are refitted that promise most.
+    chosen = pointsource.promising_subsets(fits.select("file", "event_key", "chi_square", "seed_phi", "hits", "rho", "theta", "phi"), 2, 64, 1 - 1.2 * 0.7)
+    assert 64 <= chosen.count() < 2000
+    both = pointsource._round(fits, 2).first()
+    assert sorted(h.du_id for h in both.gone) == [107, 300] and both.chi_square < 10
+
+
+def test_gains_are_those_of_refits_without_the_hits():
+    """A downdate gives what a linear refit of the others gives, for every hit and every pair."""
+    rng = np.random.default_rng(44)
+    p, t = wave(rng, 9, source=directions(45, 1)[0] * 8e3, noise=30)
+    u = np.array([1 / 8e3, *np.radians([50.0, 20.0])])
+    r, j = (x[0] for x in pointsource._residuals(u[None], p[None], (t - t.mean())[None], np.ones((1, 9)), C_AIR))
+    # At the fit the residuals have no part along the derivatives.
+    base = np.column_stack([j / np.linalg.norm(j, axis=0), np.ones(9)])
+    t2 = t - t.mean() + base @ np.linalg.lstsq(base, r, rcond=None)[0]
+    r = r - base @ np.linalg.lstsq(base, r, rcond=None)[0]
+    for k, sets in ((1, [(i,) for i in range(9)]), (2, list(itertools.combinations(range(9), 2)))):
+        numbers, out = pointsource.removal_gains(u, p, t2, k, 1000, 2.0)
+        assert sorted(numbers.tolist()) == list(range(len(sets))) and all(tuple(o) == sets[i] for i, o in zip(numbers, out.tolist(), strict=True))
+        want = []
+        for s in sets:
+            left = [i for i in range(9) if i not in s]
+            rest = r[left] - base[left] @ np.linalg.lstsq(base[left], r[left], rcond=None)[0]
+            want.append(float(r @ r - rest @ rest))
+        for most in (3, 10):
+            best, _ = pointsource.removal_gains(u, p, t2, k, most, 2.0)
+            assert sorted(best.tolist()) == sorted(np.argsort([-w for w in want], kind="stable")[:most].tolist())
+
+
+def test_promising_subsets_hold_the_best(spark, keep):
+    """Events of 14 hits with two outlying ones: of 91 pairs the promising ones give the same removal as all."""
+    events = {}
+    for i, d in enumerate(directions(51, 6)):
+        p, t = wave(np.random.default_rng(60 + i), 14, source=d * 9e3, noise=2)
+        t[[2, 9]] += [300.0 + 50 * i, -250.0]
+        events[str(i)] = (p, t)
+    hits = spark.createDataFrame(hit_rows(events), HITS)
+    fits = keep(pointsource.fit(hits, planewave.fit(hits)), "fits").where("fit_status = 'fitted'")
+    key = lambda df: {r.event_key: (sorted(h.du_id for h in r.gone), round(r.chi_square, 4)) for r in df.collect()}
+    some, every = key(pointsource._round(fits, 2)), key(pointsource._round(fits, 2, exhaustive=True))
+    assert some == every and len(some) >= 4
 
 
 def test_stages_take_a_stream(spark, tmp_path):
