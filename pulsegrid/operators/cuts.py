@@ -107,6 +107,17 @@ def apply_cuts(hits: DataFrame, fits: DataFrame, run_footprint: bool = True, run
     return fits.join(kept.select(*EVENT), EVENT, "left_semi")
 
 
+def cut_reasons(hits: DataFrame, fits: DataFrame, run_footprint: bool = True, run_ring: bool = True) -> DataFrame:
+    """file, event_key and reason of every event of `fits`: which cut it fails (ring, footprint, or that it has too few hits
+    to be measured); null where it passes those that are switched on."""
+    measured = _measured(hits, fits)
+    rung = _with_ring(measured, RING_DETECTORS, RING_MEAN).select(*EVENT, F.col("keep").alias("in_ring"))
+    shaped = _with_footprint(measured, SHAPE, SPREAD, INSIDE, TIME).select(*EVENT, F.coalesce("keep", F.lit(False)).alias("in_shape"))
+    j = fits.select(*EVENT).join(rung, EVENT, "left").join(shaped, EVENT, "left")
+    why = F.when(F.lit(run_ring) & F.coalesce(~F.col("in_ring"), F.lit(False)), "ring").when(F.lit(run_footprint) & F.coalesce(~F.col("in_shape"), F.lit(False)), "footprint")
+    return j.select(*EVENT, why.when(F.lit(run_ring or run_footprint) & F.col("in_ring").isNull(), "not measured").alias("reason"))
+
+
 def cut_saved_fits(spark, fits_path: str, hits: DataFrame) -> DataFrame:
     """The cuts on a saved table of fits; rows without a direction are skipped."""
     return apply_cuts(hits, spark.read.parquet(fits_path).where("vx is not null and vy is not null and vz is not null"))

@@ -17,7 +17,7 @@ from pulsegrid.functions.geometry import axis_distance, distance
 from pulsegrid.operators import calibration, causality, cuts, planewave, pointsource, repeats, summaries
 from pulsegrid.operators.hits import align, consistent_events, enough_detectors, first_events, last_hits, resolve_positions, subtract_offsets, within_radius
 from pulsegrid.operators.pairs import hit_pairs, layout_pairs, with_pair_distance
-from pulsegrid.plans.reconstruct import PipelineConfig, reconstruct
+from pulsegrid.plans.reconstruct import PipelineConfig, matching_rejects, reconstruct
 from pulsegrid.plans.staging import Stages
 from pulsegrid.sources import fixtures, records, sinks, tables
 
@@ -647,6 +647,50 @@ def reconstruction(spark, sf_dir):
     return tables["plane_final"].select(*EVENT, "n", "zenith", "azimuth", "chi_square").join(source, EVENT)
 
 
+@query(f"""{CLIQUE} select h.file, h.event_key, 'matching' as stage, case when count(*) < 5 then 'fewer than 5 detectors' else 'no causal clique of 5' end as reason
+  from hits h anti join clique c on c.file = h.file and c.event_key = h.event_key group by all""")
+def matching_rejected(spark, sf_dir):
+    hits = placed_hits(spark, sf_dir)
+    matched = _matched(spark, sf_dir, Stages(spark))
+    return matching_rejects(hits, matched, 5)
+
+
+@query()
+def reconstruction_rejected(spark, sf_dir):
+    return reconstructed(spark, sf_dir)["rejects"]
+
+
+@query(f""" select file, event_key, gps_time, strftime(make_timestamp((gps_time - 18) * 1000000), '%Y-%m-%d') as day from ev
+  where gps_time - 18 between epoch(timestamp '1995-03-05 06:00:00') and epoch(timestamp '1995-04-20 18:30:00')""")
+def events_of_a_period(spark, sf_dir):
+    stages = Stages(spark)
+    sinks.write_events(fixtures.clock(spark, sf_dir), f"{stages.root}/events")
+    found = sinks.read_events(spark, f"{stages.root}/events", "1995-03-05 06:00:00", "1995-04-20 18:30:00")
+    return found.select(*EVENT, "gps_time", F.col("event_date").cast("string").alias("day"))
+
+
+@query(""" select n_nationkey::int as period_id, file, event_key from ev join nation
+  on gps_time between 800000000 + n_nationkey * 5000000 and 800000000 + n_nationkey * 5000000 + 90000""")
+def events_of_many_periods(spark, sf_dir):
+    stages = Stages(spark)
+    sinks.write_events(fixtures.clock(spark, sf_dir), f"{stages.root}/events")
+    start = F.lit(800000000) + F.col("n_nationkey").cast("long") * 5000000
+    periods = fixtures.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("period_id"), start.alias("start_s"), (start + 90000).alias("end_s"))
+    return sinks.events_of_periods(spark.read.parquet(f"{stages.root}/events"), periods).select("period_id", *EVENT)
+
+
+@query(""" select l_orderkey || ',' || l_linenumber || ',' || case when l_linenumber % 3 = 0 then '' else (l_partkey % 7)::varchar end || ',' || case when l_suppkey % 5 = 0 then 'lost' else (l_partkey % 11)::varchar end as text,
+    case when l_suppkey % 5 = 0 then 'unreadable' else 'without distance_m' end as reason from lineitem where l_suppkey % 5 = 0 or l_linenumber % 3 = 0""".replace("(l_partkey % 11)::varchar", "(l_partkey % 11)::varchar || '.0'"))
+def invalid_pair_rows(spark, sf_dir):
+    """The invalid rows of a pair table made of all line items, by their text."""
+    line = fixtures.read(spark, sf_dir, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    rows = line.select(text("l_orderkey").alias("du_a"), text("l_linenumber").alias("du_b"), F.when(F.col("l_linenumber") % 3 != 0, (F.col("l_partkey") % 7).cast("string")).alias("distance_m"), F.when(F.col("l_suppkey") % 5 == 0, "lost").otherwise(F.concat((F.col("l_partkey") % 11).cast("string"), F.lit(".0"))).alias("theoretical_delta_ns"))
+    path = f"{Stages(spark).root}/pairs"
+    rows.write.option("header", True).option("emptyValue", "").csv(path)
+    return tables.read_pairs_counted(spark, path)[1]
+
+
 @query()
 def background_rejection(spark, sf_dir):
     stages = Stages(spark)

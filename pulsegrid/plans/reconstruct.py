@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from pulsegrid.constants import EVENT, MAX_RATIO, MIN_DETECTORS
 from pulsegrid.operators import calibration, causality, cuts, planewave, pointsource, repeats
@@ -35,8 +37,23 @@ class PipelineConfig:
         return replace(base, **options)
 
 
+def rejects(before: DataFrame, after: DataFrame, stage: str, reason: Column) -> DataFrame:
+    """file, event_key, stage, reason of the events of `before` that `after` no longer has; `reason` is read from the hits or
+    rows of an event, of which the first by its text counts."""
+    lost = before.withColumn("reason", reason).groupBy(*EVENT).agg(F.min("reason").alias("reason"))
+    return lost.join(after.select(*EVENT).distinct(), EVENT, "left_anti").select(*EVENT, F.lit(stage).alias("stage"), "reason")
+
+
+def matching_rejects(hits: DataFrame, matched: DataFrame, least: int) -> DataFrame:
+    """What placing and matching take out: events with an unknown detector, with too few, or without a clique."""
+    per_event = hits.groupBy(*EVENT).agg(F.count_distinct("du_id").alias("n_du"), F.count_if(F.col("x").isNull()).alias("unplaced"))
+    why = F.when(F.col("unplaced") > 0, "unknown detector").when(F.col("n_du") < least, f"fewer than {least} detectors").otherwise(f"no causal clique of {least}")
+    return rejects(per_event, matched, "matching", why)
+
+
 def reconstruct(hits: DataFrame, events: DataFrame, layout: DataFrame, config: PipelineConfig, checkpoint, *, own_layout: DataFrame | None = None, windows: DataFrame | None = None, offsets: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of each stage: hits, matched, kept, plane, cut, source, plane_final.
+    """The tables of each stage: hits, matched, kept, plane, cut, source, plane_final; and rejects (file, event_key, stage,
+    reason), where each event is that has hits but no source.
 
     `checkpoint` (DataFrame, name -> DataFrame) writes what several stages read. The last plane-wave table is the first one
     restricted to events with a source, as an event's fit depends on its hits alone.
@@ -65,4 +82,11 @@ def reconstruct(hits: DataFrame, events: DataFrame, layout: DataFrame, config: P
     if config.remove_outliers:
         source = pointsource.remove_outliers(checkpoint(source, "source0"), checkpoint)
     source = checkpoint(source, "source")
-    return {"hits": at, "matched": matched, "kept": kept, "plane": plane, "cut": cut, "source": source, "plane_final": plane.join(source.select(*EVENT), EVENT, "left_semi")}
+    lost = [
+        matching_rejects(at, matched, config.min_detectors),
+        rejects(matched, kept, "repeats", F.lit("repeats an earlier event")),
+        rejects(kept, plane, "plane", F.lit("fewer than 4 hits")),
+        rejects(cuts.cut_reasons(placed(kept, whole_events=False), plane, not config.skip_footprint, not config.skip_ring), cut, "cuts", F.col("reason")),
+        rejects(cut, source, "source", F.lit("fewer than 5 hits")),
+    ]
+    return {"rejects": reduce(DataFrame.unionByName, lost), "hits": at, "matched": matched, "kept": kept, "plane": plane, "cut": cut, "source": source, "plane_final": plane.join(source.select(*EVENT), EVENT, "left_semi")}

@@ -69,7 +69,8 @@ def read_streamed(spark: SparkSession, path: str) -> DataFrame:
 def write_events(events: DataFrame, path: str) -> None:
     """Events as a table with a folder for each day of their clock (gps_time; `event_date` is null without one)."""
     dated = events.withColumn("event_date", local_time(F.col("gps_time") - LOCAL).cast("date"))
-    dated.repartition("event_date", F.pmod(F.xxhash64(*EVENT), F.lit(8))).write.mode("overwrite").partitionBy("event_date").parquet(path)
+    # Rebalanced, so that a day is one file or, where it is large, several.
+    dated.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
