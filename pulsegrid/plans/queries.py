@@ -634,7 +634,7 @@ def reconstructed(spark: SparkSession, sf_dir: str, **options) -> dict[str, Data
         fixtures.clock(spark, sf_dir),
         fixtures.positions(spark, sf_dir),
         PipelineConfig.for_layout("trigger", **options),
-        Stages(spark).write,
+        Stages(spark).bucketed,
         windows=fixtures.windows(spark, sf_dir),
         offsets=fixtures.offsets(spark, sf_dir),
     )

@@ -122,3 +122,28 @@ def test_large_layouts_are_joined(spark, monkeypatch):
     small = key(stages.place_stream(events, layout))
     monkeypatch.setattr(stages, "BROADCAST_ROWS", 2)
     assert key(stages.place_stream(events, layout)) == small and 0 < len(small) < 14
+
+
+def test_bucketed_stages_need_no_exchange(spark):
+    """Aligning, re-attaching, grouping and semi-joining stage tables by event."""
+    from pulsegrid.constants import EVENT
+    from pulsegrid.operators.hits import align, attach, enough_detectors
+    from pulsegrid.operators.planewave import moments
+    from pulsegrid.plans.staging import Stages
+
+    stages = Stages(spark)
+    rows = [(f"f{i % 3}", str(i // 4), i % 4, i % 4, 1.0 * i, 1.0 * i, 2.0, 3.0) for i in range(400)]
+    plain = spark.createDataFrame(rows, "file string, event_key string, hit_pos int, du_id int, time_ns double, x double, y double, z double")
+    hits = stages.bucketed(plain, "hits")
+    fields = [stages.bucketed(plain.groupBy(*EVENT).agg(F.max(c).alias(c)), c) for c in ("time_ns", "x")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = hits.select(*EVENT).distinct()
+        for df in (align(keys, *fields), attach(fields[0], fields[1]), enough_detectors(hits, 2), moments(hits), hits.join(fields[0].select(*EVENT), EVENT, "left_anti")):
+            assert "Exchange" not in plan_of(df)
+        assert align(keys, *fields).count() == plain.select(*EVENT).distinct().count()
+        assert sorted(moments(hits).collect()) == sorted(moments(plain).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert stages.bucketed(spark.range(3), "plain").count() == 3
