@@ -586,3 +586,58 @@ def test_summaries_and_options(spark):
     sim = PipelineConfig.for_layout("simulated")
     assert sim.skip_matching and sim.skip_repeats and sim.skip_footprint and not PipelineConfig.for_layout("trigger").skip_matching
     assert len(list(itertools.combinations(range(6), 2))) == 15
+
+
+def test_kept_and_rejected_events_are_the_input(spark, sf_dir):
+    """Of the whole chain, and of simulated events with their own layouts, some of which lack a detector."""
+    from pulsegrid.plans.queries import reconstructed
+    from pulsegrid.plans.staging import Stages
+
+    def whole(tables):
+        ids = lambda df: sorted(r.event_key for r in df.select("file", "event_key").distinct().collect())
+        lost = tables["rejects"].collect()
+        assert sorted([*ids(tables["source"]), *(r.event_key for r in lost)]) == ids(tables["hits"]) and all(r.reason for r in lost)
+        return {r.event_key: (r.stage, r.reason) for r in lost}
+
+    assert {s for s, _ in whole(reconstructed(spark, sf_dir, remove_outliers=False)).values()} >= {"matching", "cuts"}
+    events = {f"{i}": wave(np.random.default_rng(i), 6 - i % 3, source=d * 9e3, noise=1) for i, d in enumerate(directions(71, 9))}
+    rows = hit_rows(events)
+    own = spark.createDataFrame([(r[0], r[1], r[3], *r[6:]) for r in rows if (r[1], r[2]) != ("3", 2)], "file string, event_key string, du_id int, x double, y double, z double")
+    hits = spark.createDataFrame(rows, HITS)
+    layout = spark.createDataFrame([(999, 0.0, 0.0, 0.0)], "du_id int, x double, y double, z double")
+    clock_rows = spark.createDataFrame([("f", k, 18) for k in events], "file string, event_key string, gps_time long")
+    config = PipelineConfig.for_layout("simulated", with_signal=False, min_detectors=4)
+    tables_of = reconstruct(hits, clock_rows, layout, config, Stages(spark).bucketed, own_layout=own)
+    lost = whole(tables_of)
+    assert lost["3"] == ("matching", "unknown detector") and all(lost[k] == ("source", "fewer than 5 hits") for k in ("2", "5", "8")) and len(lost) == 4
+    assert "signal" not in tables_of["hits"].columns
+    truth = {k: np.degrees(np.arccos(d[2])) for k, d in zip(events, directions(71, 9), strict=True)}
+    assert all(r.theta == pytest.approx(truth[r.event_key], abs=1.5) for r in tables_of["source"].where("size(hits) = 6").collect())
+
+
+def test_variants_of_the_source_fit_by_value(spark):
+    """Plane fallback, the single start, and four hits, on noise-free fronts."""
+    d = directions(81, 4)
+    events = {f"{i}": wave(np.random.default_rng(90 + i), 7, source=v * 9e3) for i, v in enumerate(d)}
+    hits = spark.createDataFrame(hit_rows(events), HITS)
+    plane = planewave.fit(hits)
+    seeds = {r.event_key: r for r in plane.collect()}
+    for r in pointsource.fit(hits, plane, fallback=-1.0).collect():
+        s = seeds[r.event_key]
+        assert r.fit_status == "plane_fallback" and (r.rho, r.theta, r.phi) == (1e5, s.zenith, s.azimuth)
+        t, p = np.radians([s.zenith, s.azimuth])
+        assert np.allclose([r.sx, r.sy, r.sz], 1e5 * np.array([np.sin(t) * np.cos(p), np.sin(t) * np.sin(p), np.cos(t)]))
+    turned = plane.select("file", "event_key", *[F.lit(0.0).alias(c) for c in ("zenith", "azimuth")]).drop("zenith", "azimuth")
+    truth = spark.createDataFrame([(str(i), float(np.degrees(np.arccos(v[2]))), float(np.degrees(np.arctan2(v[1], v[0])) % 360)) for i, v in enumerate(d)], "event_key string, zenith double, azimuth double")
+    near = turned.join(truth, "event_key")
+    for fits in (pointsource.fit_single(hits, near), pointsource.fit_four(hits.where("hit_pos < 5"), near)):
+        rows = fits.collect()
+        assert len(rows) == 4 and all(r.chi_square < 1.0 for r in rows)
+    assert all(np.linalg.norm(np.array([r.sx, r.sy, r.sz]) - d[int(r.event_key)] * 9e3) < 100 for r in pointsource.fit_single(hits, near).collect())
+
+
+def test_channels_of_waveforms_by_value(spark):
+    traces = F.array(*[F.array(*[F.lit(v) for v in row]) for row in ([1, -9, 2, 0], [3, 0, -4, 1], [0, 5, 3, -7], [8, 1, 1, 1])])
+    want = {("F", False): 9, ("X", False): 4, ("Y", False): 5, ("Z", False): 1, ("XY", False): 5, ("F", True): 9, ("X", True): 9, ("Y", True): 4, ("Z", True): 5, ("XY", True): 9}
+    got = spark.range(1).select(*[amplitude.amplitude(traces, name, 1, 3, simulated).alias(f"{name}{simulated}") for name, simulated in want]).first()
+    assert list(got) == list(want.values())
