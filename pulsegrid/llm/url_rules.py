@@ -29,8 +29,7 @@ PRODUCTION_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"),
 LINK_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\x22']?canonical\b[^>]*>"
 REFRESH_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\x22']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\x22']?([^\x22'\s>]+)"
-REFRESH_URL = r"(?is)\burl\s*=\s*([^\x22'\s>;]+)"
-#: The same with a quote before the target, inside that of the attribute. The checking SQL reads the form above.
+#: With or without a quote before the target, inside that of the attribute.
 REFRESH_TARGET = r"(?is)\burl\s*=\s*[\x22']?([^\x22'\s>;]+)"
 
 
@@ -156,18 +155,32 @@ _SQL_PATH = "coalesce(regexp_extract({u}, '://[^/?#]*([^?#]*)', 1), '')"
 _SQL_NODE = f"case when contains({{u}}, '://') then {_SQL_HOST} || regexp_replace({_SQL_PATH}, '/+$', '') || regexp_extract({{u}}, '://[^?#]*(\\?[^#]*)', 1) end"
 
 
+def _sql_dots(path: str) -> str:
+    """SQL for a path that begins with / after its . and .. segments are resolved."""
+    steps = f"list_reduce(list_transform(string_split(substr({path}, 2), '/'), lambda s: [s]), lambda kept, s: case when s = ['..'] then kept[1:greatest(len(kept) - 1, 0)] when s = ['.'] then kept else list_concat(kept, s) end, []::varchar[])"
+    return f"case when regexp_matches({path}, '/\\.\\.?(/|$)') then '/' || array_to_string({steps}, '/') else {path} end"
+
+
 def oracle(rules: Sequence[tuple[str, str, str]] = PRODUCTION_RULES) -> str:
-    quoted = {k: v.replace("'", "''").replace("''?", "''?") for k, v in {"link": LINK_TAG, "refresh": REFRESH_TAG, "href": HREF, "to": REFRESH_URL}.items()}
+    link, refresh, href, to = (v.replace("'", "''") for v in (LINK_TAG, REFRESH_TAG, HREF, REFRESH_TARGET))
+    targets = lambda tag, pattern: f"list_transform(regexp_extract_all(html, '{tag}', 0), lambda t: regexp_extract(t, '{pattern}', 1))"
+    host, path = _SQL_HOST.format(u="a_url"), _SQL_PATH.format(u="a_url")
     return f"""
 with recursive rules(h, p, v) as (values {_sql_rules(rules)}),
-tags as (
-  select url as a_url, unnest([regexp_extract(regexp_extract(html, '{quoted["link"]}', 0), '{quoted["href"]}', 1),
-                               regexp_extract(regexp_extract(html, '{quoted["refresh"]}', 0), '{quoted["to"]}', 1)]) as link from pages),
-links as (
-  select a_url, case when contains(link, '://') then link when starts_with(link, '//') then 'http:' || link
-    when starts_with(link, '/') then 'http://' || {_SQL_HOST.format(u="a_url")} || link
-    else 'http://' || {_SQL_HOST.format(u="a_url")} || '/' || link end as b_url
-  from tags where coalesce(link, '') <> '' and a_url is not null),
+tags as (select url as a_url, unnest(list_concat({targets(link, href)}, {targets(refresh, to)})) as link from pages where url is not null and html is not null),
+parts as (
+  select a_url, link, 'http://' || {host} as start, {path} as own, regexp_replace({path}, '[^/]*$', '') as folder,
+    regexp_extract(link, '^[^?#]*', 0) as lpath, regexp_extract(link, '[?#].*$', 0) as tail, regexp_extract(a_url, '://[^?#]*(\\?[^#]*)', 1) as query
+  from tags where link <> ''),
+joined as (select *, case when folder = '' then '/' else folder end || lpath as full_path from parts),
+targets as (
+  select a_url, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link when starts_with(link, '//') then 'http:' || link
+    when starts_with(link, '/') then start || {_sql_dots("lpath")} || tail
+    when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
+    when lpath = '' then start || own || case when starts_with(tail, '#') then query else '' end || tail
+    else start || {_sql_dots("full_path")} || tail end as b_url
+  from joined),
+links as (select a_url, b_url from targets where b_url is not null),
 urls as (select url as u from pages union select a_url from links union select b_url from links),
 fit as (
   select u, {_SQL_NODE.format(u="u")} as node, max_by(h || p, length(h || p)) as rule, max_by(v, length(h || p)) as v

@@ -132,6 +132,34 @@ def test_links_that_are_relative_quoted_or_several(spark, scratch):
     assert {r.verdict for r in url_rules.judge_urls(alias, url_rules.PRODUCTION_RULES, scratch).collect()} == {"block"}
 
 
+def test_sql_resolves_links_as_the_code_does(spark, scratch, tmp_path):
+    """Chains, several tags a page, dots, queries and fragments: all columns of the query equal its SQL."""
+    link, go = (lambda to: f'<LINK rel=canonical href="{to}">'), (lambda to: f"<meta http-equiv='refresh' content=\"0; url='{to}'\">")
+    pages = [
+        ("http://a.example.info/d/b.html", link("../c.html") + go("/e/./f/")),
+        ("https://a.example.info/c.html", link("//b.net/de/1")),
+        ("http://c.info/1?x=1", link("#top") + link("?y=2") + go("http://Shop.Example.com/en/5")),
+        ("http://c.info/1?y=2", None),
+        ("http://d.info", link("en/1/../2") + link("mailto:a@b.org")),
+        ("http://d.info/en/2/", go("../../../../g")),
+        ("http://d.info/g?utm_source=q", link("http://d.org/es/7")),
+        ("http://e.info/a/b/c", link("..") + go(".") + link("")),
+        ("http://e.info/a", link("http://x.com/en/9#part")),
+        ("http://e.info/a/b", "<p>plain</p>"),
+        ("no address", link("http://x.com/en/9")),
+        (None, link("http://x.com/en/9")),
+    ]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages * 2)], "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (part,) = (tmp_path / "parts").glob("*.parquet")
+    part.rename(tmp_path / "pages.parquet")
+    query = lambda s, d: url_rules.judge_urls(s.read.parquet(f"{d}/pages.parquet"), url_rules.PRODUCTION_RULES, scratch).drop("url")
+    same(spark, str(tmp_path), query, url_rules.oracle())
+    # No page has a rule of its own: the first two reach an allowed host, the last two have no address.
+    got = query(spark, str(tmp_path)).collect()
+    assert {r.rule for r in got} == {None} and {r.page_id % 12 for r in got if r.verdict == "block"} == set(range(2, 10))
+
+
 def test_every_address_is_a_component(spark, scratch):
     """Addresses of one node share a decision without any link, tracking parameters name no other page, and rules are many."""
     pages = [
