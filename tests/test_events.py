@@ -641,3 +641,24 @@ def test_channels_of_waveforms_by_value(spark):
     want = {("F", False): 9, ("X", False): 4, ("Y", False): 5, ("Z", False): 1, ("XY", False): 5, ("F", True): 9, ("X", True): 9, ("Y", True): 4, ("Z", True): 5, ("XY", True): 9}
     got = spark.range(1).select(*[amplitude.amplitude(traces, name, 1, 3, simulated).alias(f"{name}{simulated}") for name, simulated in want]).first()
     assert list(got) == list(want.values())
+
+
+def test_sources_beyond_the_bound_are_fitted_along_it():
+    """Plane waves in whole ns pull the distance beyond its bound; every start must still reach the best direction there."""
+    rng, d = np.random.default_rng(23), directions(24, 12)
+    p = np.stack([rng.integers(0, 8, (12, 6)) * 400.0 - 1400, rng.integers(0, 8, (12, 6)) * 400.0 - 1400, rng.integers(0, 23, (12, 6)) * 1.0], -1)
+    t = np.round(np.einsum("bhk,bk->bh", p, -d) / C_AIR) + rng.integers(-6, 7, (12, 6))
+    t -= t.mean(1, keepdims=True)
+    azimuth, starts = np.degrees(np.arctan2(d[:, 1], d[:, 0])), np.array(pointsource.STARTS)
+    first = np.tile(starts, (12, 1)) + np.repeat(azimuth, len(starts))[:, None] * [0, 0, 1]
+    again = lambda a: np.repeat(a, len(starts), axis=0)
+    found, total = pointsource.solve_sources(first, again(p), again(t), np.ones((len(first), 6)))
+    best = total.reshape(12, -1).min(1)
+    for i in np.flatnonzero(np.isclose(found[total.reshape(12, -1).argmin(1) + np.arange(12) * len(starts), 0], 1e6)):
+        th, ph = (np.radians(a.ravel()) for a in np.meshgrid(np.arange(5, 95.1, 0.5), np.arange(0, 360, 0.5)))
+        u = np.stack([np.full(th.size, 1e-6), th, ph], -1)
+        every = lambda a: np.repeat(a[i : i + 1], th.size, axis=0)  # noqa: E731, B023
+        r, _ = pointsource._residuals(u, every(p), every(t), np.ones((th.size, 6)), C_AIR)
+        assert best[i] <= (r**2).sum(1).min() / 36 * (1 + 1e-9)
+    close = total.reshape(12, -1) <= best[:, None] * 1.001 + 1e-6
+    assert close.mean() > 0.9
