@@ -11,7 +11,7 @@ from pulsegrid.operators.hits import small
 
 #: Up to this many calibration windows stand in the plan as literals; more are joined.
 LISTED_WINDOWS = 2_000
-#: Rows of a block of windows or seconds in the join.
+#: Seconds of a block of the merge.
 BLOCK_SECONDS = 86_400
 
 
@@ -43,38 +43,42 @@ def event_windows(events: DataFrame, windows: DataFrame, utc: Column | None = No
 
 
 def joined_windows(events: DataFrame, windows: DataFrame, second: Column) -> DataFrame:
-    """The same for any number of windows, by joins of the distinct seconds.
+    """The same for any number of windows, by a merge of windows and distinct seconds in time.
 
-    A range join finds the windows that hold a second: a window is listed under each day that it touches, and a second
-    meets those of its day. A second in a gap takes the nearest end before it or start after it: windows and seconds
-    are merged in time by a running maximum within each day and, over the days, of one row a day.
+    Of the windows that hold a second the first by (start, id) counts, so a window counts from where all before it have
+    ended: what is left of the windows is disjoint, and the last of these that begins at or before a second is the only one
+    that may hold it. A second in a gap takes the nearest end before it or start after it. All three are running extremes
+    within a day and, over the days, of one row a day. Equal windows are one (that of the least id) before they are merged.
     """
     at = events.select(second.cast("long").alias("s")).where("s is not null").distinct()
     day = lambda c: F.floor(F.col(c) / BLOCK_SECONDS).cast("long")
-    w = windows.select("window_id", F.col("start_s").cast("long").alias("start_s"), F.col("end_s").cast("long").alias("end_s")).where("start_s is not null and end_s is not null")
-    touched = w.select("*", F.explode(F.sequence(day("start_s"), F.greatest(day("start_s"), day("end_s")))).alias("day"))
-    first = F.struct("start_s", "window_id")
-    held = at.withColumn("day", day("s")).join(touched, "day").where("s between start_s and end_s").groupBy("s").agg(F.min(first).alias("w"))
+    w = windows.select(F.col("window_id").cast("long").alias("window_id"), F.col("start_s").cast("long").alias("start_s"), F.col("end_s").cast("long").alias("end_s"))
+    w = w.where("start_s is not null and end_s is not null").groupBy("start_s", "end_s").agg(F.min("window_id").alias("window_id")).withColumn("day", day("start_s"))
+    earlier, later = W.orderBy("day").rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, -1)
+    # Where each window begins to count; one that holds no second but in reach of an earlier one keeps its ends for the gaps.
+    ended = w.groupBy("day").agg(F.max("end_s").alias("e")).select("day", F.max("e").over(earlier).alias("before_day"))
+    in_day = W.partitionBy("day").orderBy("start_s", "window_id", "end_s").rowsBetween(W.unboundedPreceding, -1)
+    w = w.withColumn("in_day", F.max("end_s").over(in_day)).join(ended, "day").withColumn("since", F.greatest(F.col("start_s"), F.col("in_day") + 1, F.col("before_day") + 1))
     # The marks of the merge: an end can only be the nearest for later seconds, a start for earlier ones.
+    held = F.when(F.col("since") <= F.col("end_s"), F.struct("since", "end_s", "start_s", "window_id"))
     late = F.struct("end_s", (-F.col("start_s")).alias("negative_start"), (-F.col("window_id")).alias("negative_id"))
-    free = at.join(held.select("s"), "s", "left_anti")
-    marks = free.select(F.col("s").alias("t"), F.lit(True).alias("asks"), F.lit(None).cast("struct<end_s: bigint, negative_start: bigint, negative_id: bigint>").alias("before"), F.lit(None).cast("struct<start_s: bigint, window_id: bigint>").alias("after"))
-    shape = marks.schema
-    marks = marks.unionByName(w.select(F.col("end_s").alias("t"), F.lit(False).alias("asks"), late.cast(shape["before"].dataType).alias("before"), F.lit(None).cast(shape["after"].dataType).alias("after")))
-    marks = marks.unionByName(w.select(F.col("start_s").alias("t"), F.lit(False).alias("asks"), F.lit(None).cast(shape["before"].dataType).alias("before"), first.cast(shape["after"].dataType).alias("after")))
-    marks = marks.withColumn("day", day("t"))
-    days = marks.groupBy("day").agg(F.max("before").alias("b"), F.min("after").alias("a"))
-    earlier = W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    later = W.orderBy("day").rowsBetween(1, W.unboundedFollowing)
-    outside = days.select("day", F.max("b").over(earlier).alias("b"), F.min("a").over(later).alias("a"))
-    up, down = W.partitionBy("day").orderBy("t").rangeBetween(W.unboundedPreceding, 0), W.partitionBy("day").orderBy("t").rangeBetween(0, W.unboundedFollowing)
-    near = marks.select("*", F.max("before").over(up).alias("in_b"), F.min("after").over(down).alias("in_a")).where("asks").join(outside, "day").select(F.col("t").alias("s"), F.coalesce("in_b", "b").alias("b"), F.coalesce("in_a", "a").alias("a"))
+    first = F.struct("start_s", "window_id")
+    kinds = {"held": "struct<since: bigint, end_s: bigint, start_s: bigint, window_id: bigint>", "before": "struct<end_s: bigint, negative_start: bigint, negative_id: bigint>", "after": "struct<start_s: bigint, window_id: bigint>"}
+    mark = lambda t, **v: F.struct(F.col(t).alias("t"), *[v.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()])
+    of_windows = w.select(F.explode(F.array(mark("since", held=held), mark("end_s", before=late), mark("start_s", after=first))).alias("m")).select("m.*", F.lit(False).alias("asks"))
+    marks = at.select(mark("s").alias("m")).select("m.*", F.lit(True).alias("asks")).unionByName(of_windows).withColumn("day", day("t"))
+    days = marks.groupBy("day").agg(F.max("held").alias("h"), F.max("before").alias("b"), F.min("after").alias("a"))
+    outside = days.select("day", F.max("h").over(earlier).alias("h"), F.max("b").over(earlier).alias("b"), F.min("a").over(later).alias("a"))
+    # Both frames grow from their first row: a frame to the end of its partition is summed anew for each row.
+    up, down = (W.partitionBy("day").orderBy(o).rangeBetween(W.unboundedPreceding, 0) for o in (F.asc("t"), F.desc("t")))
+    near = marks.select("day", "t", "asks", F.max("held").over(up).alias("in_h"), F.max("before").over(up).alias("in_b"), F.min("after").over(down).alias("in_a")).where("asks").join(outside, "day")
+    near = near.select(F.col("t").alias("s"), F.coalesce("in_h", "h").alias("h"), F.coalesce("in_b", "b").alias("b"), F.coalesce("in_a", "a").alias("a"))
     options = F.array_compact(F.array(
         F.when(F.col("b").isNotNull(), F.struct((F.col("s") - F.col("b.end_s")).alias("dist"), (-F.col("b.negative_start")).alias("start_s"), (-F.col("b.negative_id")).alias("window_id"))),
         F.when(F.col("a").isNotNull(), F.struct((F.col("a.start_s") - F.col("s")).alias("dist"), F.col("a.start_s").alias("start_s"), F.col("a.window_id").alias("window_id"))),
     ))
-    best = near.select("s", F.array_min(options).alias("w")).select("s", "w.window_id", F.col("w.dist").alias("window_dist"))
-    best = best.unionByName(held.select("s", "w.window_id", F.lit(0).cast("long").alias("window_dist")))
+    inside = F.when(F.col("h.end_s") >= F.col("s"), F.struct(F.lit(0).cast("long").alias("dist"), F.col("h.start_s").alias("start_s"), F.col("h.window_id").alias("window_id")))
+    best = near.select("s", F.coalesce(inside, F.array_min(options)).alias("w")).select("s", "w.window_id", F.col("w.dist").alias("window_dist"))
     return events.withColumn("asked_s", second.cast("long")).join(best.withColumnRenamed("s", "asked_s"), "asked_s", "left").select(*events.columns, "window_id", "window_dist")
 
 

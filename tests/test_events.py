@@ -662,3 +662,15 @@ def test_sources_beyond_the_bound_are_fitted_along_it():
         assert best[i] <= (r**2).sum(1).min() / 36 * (1 + 1e-9)
     close = total.reshape(12, -1) <= best[:, None] * 1.001 + 1e-6
     assert close.mean() > 0.9
+
+
+def test_many_equal_windows_meet_no_second_twice(spark):
+    """Windows are merged with the seconds, not joined to those of their day, and no frame is summed anew for each row."""
+    rows = [(i, 86_400 * (i % 3), 86_400 * (i % 3) + 90_000) for i in range(300)]
+    windows = spark.createDataFrame(rows, "window_id long, start_s long, end_s long")
+    events = spark.range(0, 400_000, 1000).select(F.col("id").cast("string").alias("event_key"), F.col("id").alias("s"))
+    out = calibration.joined_windows(events, windows, F.col("s"))
+    frames = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in frames and frames.count("generate explode") == frames.count("generate explode(array(")
+    got = {r.s: (r.window_id, r.window_dist) for r in out.collect()}
+    assert got[90_000] == (0, 0) and got[91_000] == (1, 0) and got[180_000] == (2, 0) and got[270_000] == (2, 270_000 - 262_800)
