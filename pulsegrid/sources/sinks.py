@@ -106,7 +106,9 @@ def direction_lines(fits: DataFrame, events: DataFrame) -> DataFrame:
     j = fits.where("chi_square < 500 and zenith > 45 and zenith < 85").join(events.select(*EVENT, "gps_time"), EVENT)
     utc = local_time(F.col("gps_time")).cast("string")
     # Ties of the decimal go to the even digit, whatever noise a sum leaves beyond the sixth.
-    shown = [F.bround(F.round(c, 6), 1) for c in ("zenith", "azimuth", "chi_square")]
+    # An azimuth that noise puts just below 360 is 0.
+    full = [F.round("zenith", 6), F.pmod(F.round("azimuth", 6), F.lit(360.0)), F.round("chi_square", 6)]
+    shown = [F.bround(c, 1) for c in full]
     return j.select("gps_time", F.format_string("%d %s %.1f %.1f Chi %.1f", "gps_time", utc, *shown).alias("value"))
 
 

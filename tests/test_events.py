@@ -16,9 +16,9 @@ from pulsegrid.functions import amplitude, clock, geometry  # noqa: E402
 from pulsegrid.functions.sphere import least_on_sphere  # noqa: E402
 from pulsegrid.operators import calibration, causality, cuts, planewave, pointsource, repeats, summaries  # noqa: E402
 from pulsegrid.operators.hits import consistent_events, resolve_positions, subtract_offsets, unplaced_events, within_radius  # noqa: E402
-from pulsegrid.plans.queries import placed_hits  # noqa: E402
+from pulsegrid.plans.queries import ORACLE, placed_hits  # noqa: E402
 from pulsegrid.plans.reconstruct import PipelineConfig, reconstruct  # noqa: E402
-from pulsegrid.sources import records, tables  # noqa: E402
+from pulsegrid.sources import records, sinks, tables  # noqa: E402
 
 HITS = "file string, event_key string, hit_pos int, du_id int, time_ns double, signal long, x double, y double, z double"
 
@@ -674,3 +674,12 @@ def test_many_equal_windows_meet_no_second_twice(spark):
     assert "unboundedfollowing" not in frames and frames.count("generate explode") == frames.count("generate explode(array(")
     got = {r.s: (r.window_id, r.window_dist) for r in out.collect()}
     assert got[90_000] == (0, 0) and got[91_000] == (1, 0) and got[180_000] == (2, 0) and got[270_000] == (2, 270_000 - 262_800)
+
+
+def test_direction_lines_close_the_circle(spark):
+    """Azimuths that noise leaves a hair below 360 or 0 are 0, in the query and in its SQL."""
+    fits = spark.createDataFrame([("f", "a", 60.0, 359.9999999999, 1.0), ("f", "b", 60.0, -0.0, 1.0), ("f", "c", 60.0, 359.9, 1.0)], "file string, event_key string, zenith double, azimuth double, chi_square double")
+    events = spark.createDataFrame([("f", k, 1_000_000_018 + i) for i, k in enumerate("abc")], "file string, event_key string, gps_time long")
+    shown = [r.value.split()[4] for r in sinks.direction_lines(fits, events).orderBy("gps_time").collect()]
+    assert shown == ["0.0", "0.0", "359.9"]
+    assert "round(azimuth, 6) % 360 + 0e0" in ORACLE["selected_directions"]
