@@ -683,3 +683,15 @@ def test_direction_lines_close_the_circle(spark):
     shown = [r.value.split()[4] for r in sinks.direction_lines(fits, events).orderBy("gps_time").collect()]
     assert shown == ["0.0", "0.0", "359.9"]
     assert "round(azimuth, 6) % 360 + 0e0" in ORACLE["selected_directions"]
+
+
+def test_whole_moments_are_exact(spark, sf_dir):
+    """The same to the last bit as sums of integers, in whatever order the hits come."""
+    hits = placed_hits(spark, sf_dir)
+    whole = {r.event_key: r for r in planewave.whole_moments(hits.repartition(7)).collect()}
+    events = hits.toPandas().groupby("event_key")
+    for key, e in itertools.islice(events, 200):
+        of = {k: [int(v) for v in e[c]] for k, c in zip("xyzt", ("x", "y", "z", "time_ns"), strict=True)}
+        for m in planewave.MOMENTS:
+            a, b = of[m[0]], of[m[1]]
+            assert whole[key][m] == len(e) * sum(x * y for x, y in zip(a, b, strict=True)) - sum(a) * sum(b)
