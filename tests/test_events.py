@@ -695,3 +695,26 @@ def test_whole_moments_are_exact(spark, sf_dir):
         for m in planewave.MOMENTS:
             a, b = of[m[0]], of[m[1]]
             assert whole[key][m] == len(e) * sum(x * y for x, y in zip(a, b, strict=True)) - sum(a) * sum(b)
+
+
+def test_source_solver_refills_its_places_and_sums_along_rows(monkeypatch):
+    """Starts that converge give their places to the next ones, and hits stay arrays whose rows lie together in memory."""
+    rng = np.random.default_rng(29)
+    made = [wave(rng, 6, source=s, noise=4.0) for s in directions(30, 40) * rng.uniform(5e3, 5e4, (40, 1))]
+    p, t = np.stack([e[0] for e in made]), np.stack([e[1] - e[1].mean() for e in made])
+    start = np.array([(3e4, 60.0, 45.0 * k) for k in range(8)])
+    of = np.repeat(np.arange(40), 8)
+    alone = [pointsource.solve_sources(start, *(np.repeat(a[i : i + 1], 8, axis=0) for a in (p, t)), np.ones((8, 6))) for i in range(40)]
+    monkeypatch.setattr(pointsource, "TOGETHER", 6 * 64)
+    widths, inner = [], pointsource._normal
+
+    def watched(u, hits, *rest):
+        assert all(a.flags.c_contiguous for a in hits)
+        widths.append(u.shape[1])
+        return inner(u, hits, *rest)
+
+    monkeypatch.setattr(pointsource, "_normal", watched)
+    found, total = pointsource.solve_sources(np.tile(start, (40, 1)), p, t, np.ones((40, 6)), of=of)
+    assert np.allclose(total, np.concatenate([a[1] for a in alone]), rtol=1e-9, atol=1e-9)
+    assert np.allclose(found, np.concatenate([a[0] for a in alone]), rtol=1e-5)
+    assert max(widths) == 64 and sorted(widths)[len(widths) // 2] > 16
