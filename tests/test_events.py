@@ -718,3 +718,62 @@ def test_source_solver_refills_its_places_and_sums_along_rows(monkeypatch):
     assert np.allclose(total, np.concatenate([a[1] for a in alone]), rtol=1e-9, atol=1e-9)
     assert np.allclose(found, np.concatenate([a[0] for a in alone]), rtol=1e-5)
     assert max(widths) == 64 and sorted(widths)[len(widths) // 2] > 16
+
+
+def test_repeat_fold_equals_comparison_with_all_and_compares_few():
+    """The fold by postings gives what comparing with every event of both lists gives, and looks into none that shares no pair."""
+
+    def plain(events, buffer, least, history):
+        like = lambda a, b: sum(k in b and abs(t - b[k]) < 10 for k, t in a.items()) >= least
+        live, gone, kept, removed = [], [], [], []
+        for key, pairs in events:
+            first = next((e for e in live if not e[2] and like(pairs, e[1])), None)
+            if any(like(pairs, old) for old in gone):
+                gone.append(pairs)
+                removed.append(key)
+            elif first:
+                first[2] = True
+                gone += [first[1], pairs]
+                removed += [first[0], key]
+            else:
+                live.append([key, pairs, False])
+                kept += [e[0] for e in live[:-buffer] if not e[2]]
+                live = live[-buffer:]
+            gone = gone[-history:]
+        return kept + [e[0] for e in live if not e[2]], removed
+
+    rng = np.random.default_rng(31)
+    for buffer, least, history in ((5, 3, 4), (50, 5, 200), (8, 1, 1)):
+        dus = [rng.choice(6, int(rng.integers(1, 7)), replace=False) for _ in range(400)]
+        events = [(i, repeats.pairs_of(d, [float(v) for v in rng.integers(0, 60, len(d))])) for i, d in enumerate(dus)]
+        fold = repeats.RepeatFold(buffer=buffer, least=least, history=history)
+        kept = [k for key, pairs in events for k in fold.push(key, pairs)] + list(fold.flush())
+        assert (kept, fold.removed) == plain(events, buffer, least, history)
+        assert len(fold.removed) > 20
+
+    class Watched(dict):
+        looked = 0
+
+        def __contains__(self, key):
+            Watched.looked += 1
+            return super().__contains__(key)
+
+    fold = repeats.RepeatFold()
+    for i in range(200):
+        list(fold.push(i, Watched(repeats.pairs_of(range(6 * i, 6 * i + 6), range(6)))))
+    assert Watched.looked == 0
+
+
+def test_repeats_derive_hits_once(spark, sf_dir):
+    """The sequential form reads the line items once for all its steps, the others once for each side of their join; with a
+    reach no difference is dealt to neighbouring buckets; fingerprints are the pairs that a join gives."""
+    from pulsegrid.operators.pairs import hit_pairs
+    from pulsegrid.plans.queries import QUERIES
+
+    for name, reads in (("events_without_repeats", 2), ("sequential_repeat_filter", 1), ("similar_events", 2)):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("l_orderkey" in r and "Relation" in r for r in plan.splitlines()) == reads
+        assert "bucket" not in plan
+    hits = placed_hits(spark, sf_dir).drop("x", "y", "z")
+    want = hit_pairs(hits.withColumn("time_ns", F.col("time_ns").cast("long")))
+    assert sorted(map(tuple, repeats.fingerprints(hits).collect())) == sorted(map(tuple, want.collect()))
