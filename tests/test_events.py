@@ -777,3 +777,13 @@ def test_repeats_derive_hits_once(spark, sf_dir):
     hits = placed_hits(spark, sf_dir).drop("x", "y", "z")
     want = hit_pairs(hits.withColumn("time_ns", F.col("time_ns").cast("long")))
     assert sorted(map(tuple, repeats.fingerprints(hits).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_matches_stand_in_the_plan_once(spark):
+    """No filter repeats the match of an event, whichever form it has."""
+    events = {str(i): wave(np.random.default_rng(i), 7, direction=d) for i, d in enumerate(directions(33, 5))}
+    hits = spark.createDataFrame(hit_rows(events), HITS)
+    for operator, mark in ((causality.match_clique, "aggregate("), (causality.prune_worst, "aggregate("), (causality.drop_after_earlier, "exists(")):
+        matched = causality.scatter(operator(hits), "matched")
+        assert matched._jdf.queryExecution().optimizedPlan().toString().count(mark) == 1
+        assert matched.count() == 35
