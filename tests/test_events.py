@@ -13,7 +13,7 @@ sys.path[:0] = [str(Path(__file__).parents[1])]
 
 from pulsegrid.constants import C_AIR  # noqa: E402
 from pulsegrid.functions import amplitude, clock, geometry  # noqa: E402
-from pulsegrid.functions.sphere import least_on_sphere  # noqa: E402
+from pulsegrid.functions.sphere import ENTRIES, least_on_sphere, solve  # noqa: E402
 from pulsegrid.operators import calibration, causality, cuts, planewave, pointsource, repeats, summaries  # noqa: E402
 from pulsegrid.operators.hits import consistent_events, resolve_positions, subtract_offsets, unplaced_events, within_radius  # noqa: E402
 from pulsegrid.plans.queries import ORACLE, placed_hits  # noqa: E402
@@ -86,6 +86,26 @@ def test_sphere_solver_is_never_above_a_dense_scan(spark):
             assert got[i][2] >= grid[every <= every.min() + 1e-4 * abs(every.min())][:, 2].max() - 0.05
 
 
+def test_sphere_solver_takes_rows_in_batches_once(spark):
+    """One Arrow step whatever is asked of its result; the rows of a batch don't touch each other."""
+    rng = np.random.default_rng(11)
+    p = rng.normal(0, 500, (60, 6, 3)) * np.repeat([[1, 1, 1.0], [1, 1, 0.02], [1, 1, 0]], 20, axis=0)[:, None]
+    a, h = np.einsum("bhi,bhj->ijb", p, p), np.einsum("bhi,bh->ib", p, rng.normal(0, 500, (60, 6)))
+    form = np.stack([a["xyz".index(k[0]), "xyz".index(k[1])] for k in ENTRIES])
+    form[:, 7], h[:, 8], form[2, 9] = 0.0, np.nan, np.nan
+    together = solve(form, h)
+    alone = np.concatenate([solve(form[:, [i]], h[:, [i]]) for i in range(60)], axis=1)
+    assert np.array_equal(together, alone, equal_nan=True)
+    assert list(np.flatnonzero(np.isnan(together).any(0))) == [7, 8, 9]
+    rows = [(None if v != v else float(v) for v in r) for r in np.concatenate([form, h]).T]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, " + ", ".join(f"{k} double" for k in (*ENTRIES, "a", "b", "c")))
+    found = least_on_sphere(df, {k: k for k in ENTRIES}, ["a", "b", "c"]).where("nx * nx + ny > 0.1 and nz > -0.5")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = {i: v for i, v in enumerate(together.T) if v[0] * v[0] + v[1] > 0.1 and v[2] > -0.5}
+    got = {r.i: (r.nx, r.ny, r.nz) for r in found.collect()}
+    assert set(got) == set(want) and all(np.allclose(got[i], want[i], atol=1e-12) for i in want)
+
+
 def test_plane_chi_square_from_moments_is_that_of_pairs(spark):
     rng = np.random.default_rng(3)
     d = directions(4, 6)
