@@ -106,6 +106,22 @@ def test_sphere_solver_takes_rows_in_batches_once(spark):
     assert set(got) == set(want) and all(np.allclose(got[i], want[i], atol=1e-12) for i in want)
 
 
+def test_hits_are_dealt_to_tasks_of_bounded_rows(spark, sf_dir, monkeypatch):
+    """Many shuffle partitions are not merged into tasks of more rows; few are made more."""
+    from pulsegrid.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "ROWS_A_TASK", 500)
+    line = fixtures.read(spark, sf_dir, "lineitem").count()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("2", "50"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            held = fixtures.raw_hits(spark, sf_dir).groupBy(F.spark_partition_id().alias("task")).count().collect()
+            assert sum(r["count"] for r in held) == line and max(r["count"] for r in held) < 2 * 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_plane_chi_square_from_moments_is_that_of_pairs(spark):
     rng = np.random.default_rng(3)
     d = directions(4, 6)
