@@ -16,7 +16,7 @@ from pulsegrid.functions import amplitude, clock, geometry  # noqa: E402
 from pulsegrid.functions.sphere import ENTRIES, least_on_sphere, solve  # noqa: E402
 from pulsegrid.operators import calibration, causality, cuts, planewave, pointsource, repeats, summaries  # noqa: E402
 from pulsegrid.operators.hits import consistent_events, resolve_positions, subtract_offsets, unplaced_events, within_radius  # noqa: E402
-from pulsegrid.plans.queries import ORACLE, placed_hits  # noqa: E402
+from pulsegrid.plans.queries import ORACLE, QUERIES, placed_hits  # noqa: E402
 from pulsegrid.plans.reconstruct import PipelineConfig, reconstruct  # noqa: E402
 from pulsegrid.sources import records, sinks, tables  # noqa: E402
 
@@ -122,6 +122,13 @@ def test_hits_are_dealt_to_tasks_of_bounded_rows(spark, sf_dir, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("name", ["background_rejection_known", "selected_known_directions", "distribution_tables"])
+def test_known_directions_are_not_joined(spark, sf_dir, name):
+    """The direction follows from the key, so the hits are derived once for each use of the result."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number() windowspecdefinition(file") <= (2 if name != "distribution_tables" else 4)
+
+
 def test_plane_chi_square_from_moments_is_that_of_pairs(spark):
     rng = np.random.default_rng(3)
     d = directions(4, 6)
