@@ -129,6 +129,22 @@ def test_known_directions_are_not_joined(spark, sf_dir, name):
     assert plan.count("row_number() windowspecdefinition(file") <= (2 if name != "distribution_tables" else 4)
 
 
+def test_cuts_of_hits_that_carry_their_direction(spark, sf_dir):
+    """Arrival vectors in the hits give what joined fits give, and the hits are derived once."""
+    from pulsegrid.plans.queries import arriving_hits, known_fits
+
+    plan = QUERIES["combined_cuts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number() windowspecdefinition(file") == 2
+    hits = arriving_hits(spark, sf_dir).cache()
+    fits = known_fits(hits).cache()
+    rows = lambda df: {tuple(r[:2]): [round(v, 6) if isinstance(v, float) else v for v in r[2:]] for r in df.collect()}
+    plain = hits.drop("vx", "vy", "vz")
+    for cut in (cuts.ring, cuts.footprint, cuts.apply_cuts):
+        assert rows(cut(hits)) == rows(cut(plain, fits))
+    assert rows(cuts.apply_cuts(hits, None, False, False)) == rows(fits)
+    hits.unpersist(), fits.unpersist()
+
+
 def test_plane_chi_square_from_moments_is_that_of_pairs(spark):
     rng = np.random.default_rng(3)
     d = directions(4, 6)
