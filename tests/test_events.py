@@ -445,6 +445,43 @@ def test_promising_subsets_hold_the_best(spark, keep):
     assert some == every and len(some) >= 4
 
 
+def test_every_pair_is_refitted_whatever_the_fit_before(spark, keep):
+    """At a fit far off the downdates point to other pairs than the best one, which is found all the same, in one block or many."""
+    events = {}
+    for i, d in enumerate(directions(51, 3)):
+        p, t = wave(np.random.default_rng(60 + i), 14, source=d * 9e3, noise=2)
+        t[[2, 9]] += [300.0 + 50 * i, -250.0]
+        events[str(i)] = (p, t)
+    hits = spark.createDataFrame(hit_rows(events), HITS)
+    off = {"rho": F.lit(2.5e3), "theta": F.lit(80.0), "phi": F.col("phi") + 120.0}
+    fits = keep(pointsource.fit(hits, planewave.fit(hits)).withColumns(off), "fits").where("fit_status = 'fitted'")
+    key = lambda df: {r.event_key: (sorted(h.du_id for h in r.gone), round(r.chi_square, 6)) for r in df.collect()}
+    assert key(pointsource._round(fits, 2)) == {k: ([102, 109], c) for k, (_, c) in key(pointsource._round(fits, 2, exhaustive=True)).items()} and fits.count() == 3
+
+
+def test_rounds_in_the_batch_are_those_of_tables(spark, keep, monkeypatch):
+    """Single hits and pairs, events of many sizes: in the batch, in blocks of few subsets, and with a row for each subset."""
+    events = {}
+    for i, d in enumerate(directions(71, 12)):
+        rng, n = np.random.default_rng(80 + i), 5 + i % 9
+        p, t = wave(rng, n, source=d * 9e3, noise=2)
+        t[rng.choice(n, i % 3, replace=False)] += [400.0, -300.0][: i % 3]
+        events[str(i)] = (p, t)
+    hits = spark.createDataFrame(hit_rows(events), HITS)
+    fits = keep(pointsource.fit(hits, planewave.fit(hits)), "fits")
+    key = lambda df: {r.event_key: (sorted(r.removed), len(r.hits), pytest.approx(r.chi_square, rel=1e-6, abs=1e-6)) for r in df.collect()}
+    batch = key(pointsource.remove_outliers(fits, keep))
+    assert set(batch) == set(events) and any(x[0] for x in batch.values())
+    assert batch == key(pointsource.remove_outliers(fits, lambda df, name: keep(df, f"plain-{name}"), exhaustive=True))
+    monkeypatch.setattr(pointsource, "LARGE", 0)
+    monkeypatch.setattr(pointsource, "BLOCK", 30)
+    assert batch == key(pointsource.remove_outliers(fits, lambda df, name: keep(df, f"blocks-{name}")))
+    for n, k in ((7, 1), (7, 2)):
+        sets = list(itertools.combinations(range(n), k))
+        out, stay = pointsource.sets_out(n, k, 2, len(sets))
+        assert out.tolist() == [list(x) for x in sets[2:]] and stay.tolist() == [[i for i in range(n) if i not in x] for x in sets[2:]]
+
+
 def test_stages_take_a_stream(spark, tmp_path):
     """Calibration, pairs, matching and fits of a stream equal those of the batch forms."""
     from pulsegrid.streaming import stages
