@@ -29,7 +29,9 @@ from pulsegrid.llm.rolling import LONG_WORD, RangeHash, U, mix
 #: States of a trie, and words of a dictionary, that are broadcast together.
 TRIE = 1 << 21
 #: Bytes of text that are hashed together.
-SLICE = 1 << 21
+SLICE = 1 << 18
+#: Words, and their bytes, that a task counts before it passes them on.
+WORDS, WORD_BYTES = 1 << 19, 1 << 26
 #: Positions of a row of the stream, at least; a row ends at a break.
 ROW = 128
 #: States whose counts travel in one row.
@@ -96,13 +98,38 @@ def _take(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())).cast(pa.string())
 
 
+def _merged(parts: list[tuple]) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """Parts of (languages, words, symbols, counts) as one, in which each symbol occurs once."""
+    symbols, n = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+    order = np.argsort(symbols)
+    first = np.flatnonzero(np.diff(symbols[order], prepend=~symbols[order[:1]]))
+    at = pa.array(order[first])
+    langs, words = (pa.chunked_array([p[i] for p in parts]).combine_chunks().take(at) for i in (0, 1))
+    return langs, words, symbols[order[first]], np.add.reduceat(n[order], first)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a task and how often each occurs; a word comes again only where the words held passed WORDS or WORD_BYTES."""
+    held: list[tuple] = []
+    names = ["lang", "word", "symbol", "n"]
+
+    def rows(part: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part[0], part[1], pa.array(part[2].view(np.int64)), pa.array(part[3], pa.int64())], names)
+
     for b in batches:
         langs = b.column(0)
-        names = langs.dictionary_encode().dictionary
+        dictionary = langs.dictionary_encode().dictionary
         for low, starts, ends, symbols, _, lang in _words(b.column(1), langs):
-            found, at, n = np.unique(symbols, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[at])), _take(low, starts[at], ends[at]), pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["lang", "word", "symbol", "n"])
+            order = np.argsort(symbols)
+            first = np.flatnonzero(np.diff(symbols[order], prepend=~symbols[order[:1]]))
+            at = order[first]
+            held.append((dictionary.take(pa.array(lang[at])), _take(low, starts[at], ends[at]), symbols[at], np.diff(np.append(first, len(order)))))
+            if sum(len(p[2]) for p in held) > WORDS or sum(p[1].nbytes for p in held) > WORD_BYTES:
+                held = [_merged(held)]
+                if 2 * len(held[0][2]) > WORDS or 2 * held[0][1].nbytes > WORD_BYTES:
+                    yield rows(held.pop())
+    if held:
+        yield rows(_merged(held))
 
 
 def _rows(*streams: np.ndarray) -> pa.RecordBatch:
@@ -177,15 +204,43 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(out)
 
 
+class Dictionary:
+    """A table of symbols and their ids, at least half empty; a symbol stands at its lowest bits or in the next free slot."""
+
+    def __init__(self, symbols: np.ndarray, ids: np.ndarray):
+        """`symbols` aren't 0 and occur once."""
+        self.mask = (1 << (2 * len(symbols)).bit_length()) - 1
+        self.symbols, self.ids = np.zeros(self.mask + 1, np.int64), np.zeros(self.mask + 1, np.int64)
+        left, slot = np.arange(len(symbols)), symbols & self.mask
+        while len(left):
+            free = np.flatnonzero(self.symbols[slot] == 0)
+            taken, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.symbols[taken], self.ids[taken] = symbols[left[put]], ids[left[put]]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, slot = left[rest], (slot[rest] + 1) & self.mask
+
+    def replaced(self, stream: np.ndarray) -> np.ndarray:
+        """The stream with ids in place of the symbols that the table has."""
+        out = stream.copy()
+        left = np.flatnonzero(stream < 0)
+        slot = stream[left] & self.mask
+        while len(left):
+            there = self.symbols[slot]
+            hit = there == stream[left]
+            out[left[hit]] = self.ids[slot[hit]]
+            on = np.flatnonzero(~hit & (there != 0))
+            left, slot = left[on], (slot[on] + 1) & self.mask
+        return out
+
+
 def _encode(dictionary, last: bool) -> Callable:
-    """Symbols to ids, by one dictionary (sorted symbols, ids). After the last one, what is still a symbol is a break."""
+    """Symbols to ids, by one dictionary. After the last one, what is still a symbol is a break."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, ids = dictionary.value
         for b in batches:
-            out = _numbers(b.column(0))
-            at = np.minimum(np.searchsorted(symbols, out), len(symbols) - 1)
-            out = np.where(symbols[at] == out, ids[at], out)
+            out = dictionary.value.replaced(_numbers(b.column(0)))
             if last:
                 out = np.maximum(out, 0)
                 yield _rows(_compact(out, out, 1)[0])
@@ -218,18 +273,26 @@ class Trie:
         n, span = len(parent), int(parent[-1]) - low + 1 if len(parent) else 0
         self.base = np.full(span, np.iinfo(np.int64).min // 2)
         top = int(word.max(initial=0)) + 1
-        owner, value = np.zeros(2 * n + top + 1, np.int64), np.zeros(2 * n + top + 1, np.int64)
+        # Behind `size` there is room for the words of a base before it.
+        size = 2 * n + 1
+        owner, value = np.zeros(size + top, np.int64), np.zeros(size + top, np.int64)
         states, first, count = np.unique(parent, return_index=True, return_counts=True)
-        at = 0
-        # States with many children choose first; a base is tried where the least word meets a free slot.
+        at, narrow = 0, 0
+        # States with many children choose first; a base is tried where the least word meets a free slot. A search goes on where
+        # that before ended, as slots passed over hardly fit states of like size; at half the size it begins anew.
         for s, f, c in sorted(zip(states.tolist(), first.tolist(), count.tolist(), strict=True), key=lambda x: (-x[2], x[0])):
             if c == 1:
                 break
+            if c < narrow or not narrow:
+                at, narrow = 0, -(-c // 2)
             words = np.sort(word[f : f + c])
-            base, at = self._fit(owner, words - words[0], at)
+            base, at = self._fit(owner, words - words[0], at, size)
+            while base < 0:
+                more = size // 4 + 1
+                owner, value = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (owner, value))
+                base, at = self._fit(owner, words - words[0], max(0, size - 4096), size + more)
+                size += more
             base -= int(words[0])
-            while base + int(words[-1]) >= len(owner):
-                owner, value = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (owner, value))
             self.base[s - low] = base
             owner[base + word[f : f + c]], value[base + word[f : f + c]] = s, child[f : f + c]
         # A single child takes any free slot.
@@ -241,22 +304,26 @@ class Trie:
         free = free[: len(alone)]
         self.base[parent[alone] - low] = free - word[alone]
         owner[free], value[free] = parent[alone], child[alone]
-        self.owner, self.value = owner, value
+        end = int(np.flatnonzero(owner)[-1]) + 1 if n else 0
+        self.owner, self.value = owner[:end].copy(), value[:end].copy()
 
     @staticmethod
-    def _fit(owner: np.ndarray, shape: np.ndarray, at: int) -> tuple[int, int]:
-        """The first place from `at` on where all of `shape` is free, and where the next search begins: further on once
-        the slots before are nearly full."""
-        begin, together = at, max(1, (1 << 20) // len(shape))
-        while at < len(owner):
-            tried = np.flatnonzero(owner[at : at + 4096] == 0) + at
-            for low in range(0, len(tried), together):
-                inside = tried[low : low + together, None] + shape
-                fits = ((inside >= len(owner)) | (owner[np.minimum(inside, len(owner) - 1)] == 0)).all(axis=1)
+    def _fit(owner: np.ndarray, shape: np.ndarray, at: int, size: int) -> tuple[int, int]:
+        """The first place from `at` on and before `size` where all of `shape` is free, or -1, and the block it is in."""
+        width = 4096 if len(shape) > 64 else 256
+        while at < size:
+            tried = np.flatnonzero(owner[at : min(at + width, size)] == 0) + at
+            k = 1
+            # Word by word while many places are left, as most of them fail at the first words.
+            while len(tried) > 16 and k < len(shape):
+                tried = tried[owner[tried + shape[k]] == 0]
+                k += 1
+            if len(tried):
+                fits = (owner[tried[:, None] + shape[k:]] == 0).all(axis=1)
                 if fits.any():
-                    return int(tried[low + fits.argmax()]), at if len(tried) < 400 else begin
-            at += 4096
-        return len(owner), begin
+                    return int(tried[fits.argmax()]), at
+            at += width
+        return -1, at
 
     def next(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The states that follow, 0 where there is none."""
@@ -314,8 +381,7 @@ def _encoded(docs: DataFrame, often: DataFrame, size: int, scratch: Scratch) ->
     spark, stream = docs.sparkSession, None
     for i, (low, high) in enumerate(_ranges(size)):
         symbols, ids = _arrays(often.where(F.col("id").between(low, high)), "symbol", "id")
-        order = np.argsort(symbols)
-        encode = _encode(spark.sparkContext.broadcast((symbols[order], ids[order])), high == size)
+        encode = _encode(spark.sparkContext.broadcast(Dictionary(symbols, ids)), high == size)
         step = docs.mapInArrow(lambda b, encode=encode: encode(_symbols(b)), _STREAM) if stream is None else stream.mapInArrow(encode, _STREAM)
         stream = scratch.write(step, f"encoded-{i}")
     return stream
@@ -337,7 +403,8 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, *, least: int = 100, lon
         width = size + 1
         near = stream.mapInArrow(_pairs(width, least), "pair bigint, n bigint")
         possible = near.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        possible = possible.select(F.expr(f"pair div {width}").alias("a"), F.expr(f"pair % {width}").alias("b"))
+        # Written, as the range sort reads its input twice.
+        possible = scratch.write(possible.select(F.expr(f"pair div {width}").alias("a"), F.expr(f"pair % {width}").alias("b")), f"possible-{k + 1}")
         candidates = ranked(possible.join(levels[-1].select(F.col("id").alias("b"), "last"), "b"), ["a", "b"], f"candidates-{k + 1}", scratch).withColumn("id", F.col("rank") + 1).drop("rank")
         size = candidates.count()
         counts = []

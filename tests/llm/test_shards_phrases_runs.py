@@ -5,6 +5,7 @@ import heapq
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -172,6 +173,56 @@ def test_trie_follows_its_transitions_alone():
         assert trie.next(s.ravel(), w.ravel()).tolist() == want
 
 
+def test_trie_of_many_states_is_built_in_time():
+    """Few states with many children and many with few, as of words by frequency: the search for places doesn't grow with the
+    square of the states. It took 20 seconds and more."""
+    rng = np.random.default_rng(8)
+    n = 90_000
+    keys = np.unique(rng.zipf(1.25, 8 * n).clip(1, n) * (n + 1) + rng.zipf(1.25, 8 * n).clip(1, n))
+    keys = np.sort(rng.permutation(keys)[:n])
+    parent, word = keys // (n + 1), keys % (n + 1)
+    begun = time.process_time()
+    trie = collocations.Trie(1, parent, word, np.arange(1, len(keys) + 1))
+    assert time.process_time() - begun < 8
+    assert (trie.next(parent, word) == np.arange(1, len(keys) + 1)).all() and len(trie.owner) < 8 * n
+    other = np.unique(parent * (n + 1) + word % 1000 + 1)
+    other = other[~np.isin(other, keys)]
+    assert not trie.next(other // (n + 1), other % (n + 1)).any()
+
+
+def test_dictionary_replaces_its_symbols_alone():
+    """Symbols that share their lowest bits stand in the next free slots."""
+    rng = np.random.default_rng(9)
+    symbols = np.unique(rng.integers(0, 7, 3000) + (rng.integers(1, 1 << 40, 3000) << 12)) | np.int64(-(1 << 63))
+    known, other = symbols[::2], symbols[1::2]
+    table = collocations.Dictionary(known, np.arange(1, len(known) + 1))
+    stream = np.concatenate([known, other, np.zeros(5, np.int64), known[:7], np.arange(1, 9)])
+    want = np.concatenate([np.arange(1, len(known) + 1), other, np.zeros(5, np.int64), np.arange(1, 8), np.arange(1, 9)])
+    assert table.replaced(stream).tolist() == want.tolist()
+    assert collocations.Dictionary(known[:0], known[:0]).replaced(stream).tolist() == stream.tolist()
+
+
+def test_words_held_by_a_task_are_passed_on_whole(monkeypatch):
+    import pyarrow as pa
+
+    rows = small_corpus()
+    batches = [pa.RecordBatch.from_arrays([pa.array([x or "und" for x, _ in part]), pa.array([t or "" for _, t in part])], ["lang", "text"]) for part in (rows[:50], rows[50:])]
+
+    def counted():
+        out = Counter()
+        parts = list(collocations._count_words(iter(batches)))
+        for b in parts:
+            for r in b.to_pylist():
+                out[r["lang"], r["word"], r["symbol"]] += r["n"]
+        return out, len(parts)
+
+    whole, one = counted()
+    monkeypatch.setattr(collocations, "SLICE", 200)
+    monkeypatch.setattr(collocations, "WORDS", 12)
+    again, many = counted()
+    assert again == whole and one == 1 and many > 1
+
+
 def test_scores_beyond_64_bits(spark):
     """1000 * a * n passes 64 bits, the score doesn't: the same arithmetic on given counts."""
     a, n, left, right = 3 * 10**12 + 7, 9 * 10**15 + 1, 4 * 10**12 + 3, 5 * 10**12 + 9
